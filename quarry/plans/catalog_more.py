@@ -1 +1,182 @@
-"""Further registered queries (annotation, dense, clusters, hybrid, joins, sources, sinks)."""
+"""Registered queries beyond the minimum slice: dense vectors and mixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tx
+from quarry.operators import dense, mixture
+from quarry.plans import sqlparts as sq
+from quarry.plans.catalog import K, all_benchmark, register
+from quarry.plans.tables import load
+
+DENSE_THRESHOLD = 0.5
+N_COMPONENTS = 10
+
+
+# --- hashing embedder -------------------------------------------------------------------
+
+def hash_vec_sql(source: str, id_expr: str, name: str) -> str:
+    """CTE ``name(id, slot, v)``: sparse unit-length hash vectors."""
+    return f"""
+_{name}_tok AS (SELECT {id_expr} AS id, unnest({sq.tokens('text')}) AS t FROM {source}),
+_{name}_cnt AS (SELECT id, (('0x' || substring(md5(t), 1, 8))::BIGINT % {dense.HASH_DIM}) AS slot, count(*) AS c
+              FROM _{name}_tok GROUP BY ALL),
+{name} AS (SELECT id, slot, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS v FROM _{name}_cnt)"""
+
+
+def _hash_embed_sql() -> str:
+    return f"""WITH {hash_vec_sql('documents', 'doc_id', 'dv')}
+SELECT id AS doc_id, slot::BIGINT AS slot, round(v, 6) AS value FROM dv"""
+
+
+@register("hash_embed", _hash_embed_sql)
+def q_hash_embed(spark, sf_dir):
+    docs = dense.hash_embed(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return (docs.select("doc_id", F.posexplode("embedding").alias("slot", "value"))
+            .where(F.col("value") != 0)
+            .select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value")))
+
+
+def _dense_hash_sql(min_score: float | None) -> str:
+    where = "" if min_score is None else f"WHERE score >= {min_score}"
+    return f"""WITH {hash_vec_sql('documents', 'doc_id', 'dv')},
+{hash_vec_sql('benchmark', 'item_id', 'qv')},
+_dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS score
+          FROM qv q JOIN dv d USING (slot) GROUP BY ALL),
+_scores AS (
+  SELECT q.query_id, d.doc_id, coalesce(m.score, 0.0) AS score
+  FROM (SELECT item_id AS query_id FROM benchmark) q CROSS JOIN (SELECT doc_id FROM documents) d
+  LEFT JOIN _dots m ON m.query_id = q.query_id AND m.doc_id = d.doc_id),
+_kept AS (SELECT * FROM _scores {where})
+SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score FROM {sq.ranked('_kept', K)}"""
+
+
+def _dense_hash(spark, sf_dir, min_score=None):
+    docs = dense.hash_embed(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    qs = dense.hash_embed(all_benchmark(spark, sf_dir))
+    hits = dense.dense_search(docs, qs, k=K, min_score=min_score)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                       F.round("score", 6).alias("score"))
+
+
+@register("dense_batch", lambda: _dense_hash_sql(None))
+def q_dense_batch(spark, sf_dir):
+    return _dense_hash(spark, sf_dir)
+
+
+@register("dense_threshold", lambda: _dense_hash_sql(DENSE_THRESHOLD))
+def q_dense_threshold(spark, sf_dir):
+    return _dense_hash(spark, sf_dir, DENSE_THRESHOLD)
+
+
+# --- embeddings table -------------------------------------------------------------------
+
+def _first_vector(emb):
+    row = emb.orderBy("vec_id").limit(1).collect()[0]  # one query vector (d numbers)
+    return row
+
+
+def _dense_topk_sql() -> str:
+    return f"""WITH q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS score FROM embeddings, q)
+SELECT row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::BIGINT AS rank, vec_id, round(score, 6) AS score
+FROM s ORDER BY round(score, 9) DESC, vec_id LIMIT {K}"""
+
+
+@register("dense_topk", _dense_topk_sql)
+def q_dense_topk(spark, sf_dir):
+    emb = load(spark, sf_dir, "embeddings")
+    q = _first_vector(emb)
+    top = dense.dense_search_one(emb, q["embedding"], k=K, id_col="vec_id")
+    return top.select(F.col("rank").cast("long").alias("rank"), F.col("doc_id").alias("vec_id"),
+                      F.round("score", 6).alias("score"))
+
+
+def _audit_sql() -> str:
+    return """SELECT count(*)::BIGINT AS n_rows, count(DISTINCT vec_id)::BIGINT AS n_ids,
+  min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim,
+  sum(CASE WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 1 ELSE 0 END)::BIGINT AS n_nan,
+  sum(CASE WHEN list_bool_and(list_transform(embedding, lambda x: x = 0)) THEN 1 ELSE 0 END)::BIGINT AS n_zero,
+  sum(CASE WHEN embedding IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_null
+FROM embeddings"""
+
+
+@register("vector_audit", _audit_sql)
+def q_vector_audit(spark, sf_dir):
+    return dense.vector_audit(load(spark, sf_dir, "embeddings"))
+
+
+# --- mixtures -----------------------------------------------------------------------------
+
+def diag_assign_sql() -> str:
+    """CTEs ``_params`` and ``assigned(vec_id, label, cluster, embedding)``."""
+    return f"""
+_x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim
+       FROM embeddings WHERE embedding IS NOT NULL),
+_params AS (SELECT label AS component, dim, avg(x) AS m, var_samp(x) + {mixture.REG_COVAR} AS v FROM _x GROUP BY ALL),
+_weights AS (SELECT label AS component,
+                    count(*)::DOUBLE / (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS w
+             FROM embeddings WHERE embedding IS NOT NULL GROUP BY label),
+_ld AS (SELECT x.vec_id, p.component,
+               ln(any_value(w.w)) - 0.5 * sum(ln(2 * pi() * p.v) + (x.x - p.m) * (x.x - p.m) / p.v) AS ld
+        FROM _x x JOIN _params p USING (dim) JOIN _weights w USING (component)
+        GROUP BY x.vec_id, p.component),
+_best AS (SELECT vec_id, component AS cluster FROM
+          (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ld DESC, component) AS rn FROM _ld) WHERE rn = 1),
+assigned AS (SELECT e.vec_id, e.label, b.cluster, e.embedding FROM embeddings e JOIN _best b USING (vec_id))"""
+
+
+def _assigned(spark, sf_dir):
+    emb = load(spark, sf_dir, "embeddings")
+    params = mixture.diagonal_from_labels(emb)
+    return mixture.assign_diagonal(emb, params)
+
+
+@register("gmm_assign", lambda: f"""WITH {diag_assign_sql()}
+SELECT vec_id, label::BIGINT AS label, cluster::BIGINT AS cluster FROM assigned""")
+def q_gmm_assign(spark, sf_dir):
+    a = _assigned(spark, sf_dir)
+    return a.select("vec_id", F.col("label").cast("long").alias("label"), F.col("cluster").cast("long").alias("cluster"))
+
+
+@register("cluster_info", lambda: f"""WITH {diag_assign_sql()},
+_n AS (SELECT cluster, count(*) AS n FROM assigned GROUP BY cluster)
+SELECT r.range::INT AS cluster, coalesce(n, 0)::BIGINT AS document_count
+FROM range({N_COMPONENTS}) r LEFT JOIN _n ON _n.cluster = r.range""")
+def q_cluster_info(spark, sf_dir):
+    return mixture.cluster_info(_assigned(spark, sf_dir), N_COMPONENTS)
+
+
+@register("cluster_members", lambda: f"""WITH {diag_assign_sql()}
+SELECT cluster::INT AS cluster, vec_id AS doc_id FROM assigned""")
+def q_cluster_members(spark, sf_dir):
+    return mixture.cluster_members(_assigned(spark, sf_dir), id_col="vec_id")
+
+
+@register("cluster_search", lambda: f"""WITH {diag_assign_sql()},
+q AS (SELECT embedding AS qv, cluster AS qc FROM assigned ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS score
+      FROM assigned, q WHERE cluster = qc)
+SELECT row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::BIGINT AS rank, vec_id, round(score, 6) AS score
+FROM s ORDER BY round(score, 9) DESC, vec_id LIMIT {K}""")
+def q_cluster_search(spark, sf_dir):
+    a = _assigned(spark, sf_dir)
+    q = a.orderBy("vec_id").limit(1).collect()[0]  # the query row (one vector)
+    top = dense.dense_search_one(a.where(F.col("cluster") == q["cluster"]), q["embedding"], k=K, id_col="vec_id")
+    return top.select(F.col("rank").cast("long").alias("rank"), F.col("doc_id").alias("vec_id"),
+                      F.round("score", 6).alias("score"))
+
+
+@register("gmm_fit")
+def q_gmm_fit(spark, sf_dir):
+    emb = load(spark, sf_dir, "embeddings")
+    model = mixture.fit_gmm(emb, k=N_COMPONENTS)
+    params = model.to_df(spark)
+    return params.select(
+        F.col("component").cast("long").alias("component"), F.round("weight", 6).alias("weight"),
+        F.lit(model.n_iter).cast("long").alias("n_iter"),
+        F.lit(round(model.log_likelihood, 6)).alias("log_likelihood"))
+
+
+__all__ = ["tx"]
