@@ -184,6 +184,21 @@ def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id
     return top.select("query_id", "rank", "doc_id", "score")
 
 
+def scoped_search(index: LexicalIndex, queries: DataFrame, scopes: DataFrame, k: int = DEFAULT_K,
+                  id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """Top-k matching documents per (query, scope) — e.g. per chapter or file
+    group: (query_id, scope, rank, doc_id, score).  ``scopes`` is
+    (doc_id, scope); only documents with a positive score are returned."""
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
+    qv = query_vectors(index, q)
+    hits = _join_queries(index.postings, qv, q.count())
+    scores = (hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
+              .join(scopes.select("doc_id", "scope"), "doc_id"))
+    w = Window.partitionBy("query_id", "scope").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "scope", "rank", "doc_id", "score"))
+
+
 def tfidf_search_one(index: LexicalIndex, text: str, k: int = DEFAULT_K,
                      include_zero: bool = True) -> DataFrame:
     """Single query: scores then a global ``orderBy().limit`` (TakeOrderedAndProject)."""

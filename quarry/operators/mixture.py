@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,18 +240,22 @@ def log_likelihood(vectors: DataFrame, model: MixtureModel, vec_col: str = "embe
 
 def diagonal_from_labels(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding",
                          reg: float = REG_COVAR) -> DataFrame:
-    """(component, weight, mean array<double>, var array<double>) — one pass.
+    """(component, label, weight, mean array<double>, var array<double>) — one pass.
 
-    Per-label sample variance plus ``reg``; weight = label share.  MLlib's
-    ``Summarizer`` aggregates vectors with partial aggregation.
+    Per-label sample variance plus ``reg``; weight = label share; components
+    are numbered 0.. in label order.  MLlib's ``Summarizer`` aggregates the
+    vectors with partial aggregation (one small row per label per task).
     """
     v = array_to_vector(F.col(vec_col).cast("array<double>"))
-    s = (vectors.where(F.col(vec_col).isNotNull())
-         .groupBy(F.col(label_col).alias("component"))
+    rows = vectors.where(F.col(vec_col).isNotNull())
+    s = (rows.groupBy(F.col(label_col).alias("label"))
          .agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("m")))
-    total = vectors.where(F.col(vec_col).isNotNull()).select(F.count("*").cast("double")).scalar()
+    total = rows.select(F.count("*").cast("double")).scalar()
+    # k rows only: a global window over them is harmless.
+    order = Window.orderBy("label")
     return s.select(
-        F.col("component").cast("int").alias("component"),
+        (F.dense_rank().over(order) - 1).cast("int").alias("component"),
+        "label",
         (F.col("m.count") / total).alias("weight"),
         vector_to_array("m.mean").alias("mean"),
         F.transform(vector_to_array("m.variance"), lambda x: x + reg).alias("var"))

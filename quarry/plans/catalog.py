@@ -34,13 +34,18 @@ def register(name: str, oracle: Callable[[], str] | None = None):
     return wrap
 
 
+def _register_all() -> None:
+    # importing the modules registers their queries
+    from quarry.plans import catalog_hybrid, catalog_more, catalog_text  # noqa: F401
+
+
 def queries() -> dict[str, QueryFn]:
-    from quarry.plans import catalog_more  # noqa: F401  (registers the rest)
+    _register_all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry.plans import catalog_more  # noqa: F401
+    _register_all()
     return {k: f() for k, f in _ORACLES.items()}
 
 

@@ -109,22 +109,37 @@ def q_vector_audit(spark, sf_dir):
 
 # --- mixtures -----------------------------------------------------------------------------
 
+def diag_fit_sql(grid: str, p: str) -> str:
+    """``grid(id, label, dim, x)`` -> CTEs ``{p}_lab``, ``{p}_params(component, dim, m, v)``, ``{p}_w``."""
+    return f"""
+{p}_lab AS (SELECT label, (dense_rank() OVER (ORDER BY label) - 1) AS component
+            FROM (SELECT DISTINCT label FROM {grid})),
+{p}_params AS (SELECT l.component, g.dim, avg(g.x) AS m, var_samp(g.x) + {mixture.REG_COVAR} AS v
+               FROM {grid} g JOIN {p}_lab l USING (label) GROUP BY ALL),
+{p}_w AS (SELECT l.component, count(DISTINCT g.id)::DOUBLE / (SELECT count(DISTINCT id) FROM {grid}) AS w
+          FROM {grid} g JOIN {p}_lab l USING (label) GROUP BY ALL)"""
+
+
+def diag_predict_sql(grid: str, p: str, out: str) -> str:
+    """``grid(id, dim, x)`` -> CTE ``{out}(id, cluster)``: most probable component."""
+    return f"""
+{out}_ld AS (SELECT g.id, pr.component,
+                    ln(any_value(w.w)) - 0.5 * sum(ln(2 * pi() * pr.v) + (g.x - pr.m) * (g.x - pr.m) / pr.v) AS ld
+             FROM {grid} g JOIN {p}_params pr USING (dim) JOIN {p}_w w USING (component)
+             GROUP BY g.id, pr.component),
+{out} AS (SELECT id, component AS cluster FROM
+          (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ld DESC, component) AS rn FROM {out}_ld)
+          WHERE rn = 1)"""
+
+
 def diag_assign_sql() -> str:
-    """CTEs ``_params`` and ``assigned(vec_id, label, cluster, embedding)``."""
+    """CTE ``assigned(vec_id, label, cluster, embedding)`` for the embeddings table."""
     return f"""
-_x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim
-       FROM embeddings WHERE embedding IS NOT NULL),
-_params AS (SELECT label AS component, dim, avg(x) AS m, var_samp(x) + {mixture.REG_COVAR} AS v FROM _x GROUP BY ALL),
-_weights AS (SELECT label AS component,
-                    count(*)::DOUBLE / (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS w
-             FROM embeddings WHERE embedding IS NOT NULL GROUP BY label),
-_ld AS (SELECT x.vec_id, p.component,
-               ln(any_value(w.w)) - 0.5 * sum(ln(2 * pi() * p.v) + (x.x - p.m) * (x.x - p.m) / p.v) AS ld
-        FROM _x x JOIN _params p USING (dim) JOIN _weights w USING (component)
-        GROUP BY x.vec_id, p.component),
-_best AS (SELECT vec_id, component AS cluster FROM
-          (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ld DESC, component) AS rn FROM _ld) WHERE rn = 1),
-assigned AS (SELECT e.vec_id, e.label, b.cluster, e.embedding FROM embeddings e JOIN _best b USING (vec_id))"""
+_grid AS (SELECT vec_id AS id, label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x
+          FROM embeddings WHERE embedding IS NOT NULL),
+{diag_fit_sql('_grid', '_emb')},
+{diag_predict_sql('_grid', '_emb', '_best')},
+assigned AS (SELECT e.vec_id, e.label, b.cluster, e.embedding FROM embeddings e JOIN _best b ON b.id = e.vec_id)"""
 
 
 def _assigned(spark, sf_dir):
