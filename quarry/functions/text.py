@@ -57,6 +57,12 @@ def normalize(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(collapsed, NORMALISE_DROP, ""))
 
 
+def strip_ws(col: Column | str) -> Column:
+    """Strip leading/trailing whitespace as ``str.strip()`` does (``trim`` only removes spaces)."""
+    # \z, not $: Java's $ also matches before a final line break
+    return F.regexp_replace(_c(col), "^" + WS_RUN + "|" + WS_RUN + r"\z", "")
+
+
 def split_words(col: Column | str) -> Column:
     """Whitespace tokenisation with no empty tokens (``str.split()``)."""
     return F.filter(F.split(_c(col), WS_RUN), lambda x: x != F.lit(""))
@@ -81,7 +87,7 @@ def preview(col: Column | str, n: int) -> Column:
 
 def safe_name(col: Column | str) -> Column:
     replaced = F.regexp_replace(_c(col), UNSAFE_NAME_CHARS, "_")
-    stripped = F.regexp_replace(replaced, r"^[ .]+|[ .]+$", "")
+    stripped = F.regexp_replace(replaced, r"^[ .]+|[ .]+\z", "")
     return F.substring(stripped, 1, SAFE_NAME_MAX)
 
 
@@ -89,17 +95,17 @@ def safe_name(col: Column | str) -> Column:
 
 def path_name(col: Column | str) -> Column:
     """Final path component (trailing slashes ignored)."""
-    return F.regexp_extract(_c(col), r"([^/]+)/*$", 1)
+    return F.regexp_extract(_c(col), r"([^/]+)/*\z", 1)
 
 
 def path_suffix(col: Column | str) -> Column:
     """Lower-cased suffix of the final component ('' when none)."""
-    return F.lower(F.regexp_extract(path_name(col), r"^.+(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(path_name(col), r"^.+(\.[^.]+)\z", 1))
 
 
 def path_stem(col: Column | str) -> Column:
     name = path_name(col)
-    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+\z", "")
 
 
 def _int_group(text: Column, pattern: str) -> Column:

@@ -29,7 +29,7 @@ def _check(size: int, overlap: int) -> None:
 
 
 def _number_and_explode(df: DataFrame, pieces: Column, keep: list[str], min_length: int,
-                        source: Column) -> DataFrame:
+                        source: Column, strip=F.trim) -> DataFrame:
     """``pieces`` is an array<struct<window_start int, text string>> in order.
 
     chunk_index  — position among non-empty pieces (before the length filter)
@@ -38,7 +38,7 @@ def _number_and_explode(df: DataFrame, pieces: Column, keep: list[str], min_leng
     """
     indexed = F.transform(pieces, lambda p, i: F.struct(
         i.alias("chunk_index"), p["window_start"].alias("window_start"), p["text"].alias("text")))
-    kept = F.filter(indexed, lambda p: F.length(F.trim(p["text"])) >= min_length)
+    kept = F.filter(indexed, lambda p: F.length(strip(p["text"])) >= min_length)
     located = F.transform(kept, lambda p: F.struct(
         p["chunk_index"].alias("chunk_index"),
         p["window_start"].alias("window_start"),
@@ -75,6 +75,8 @@ def chunk_fixed(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     _check(size, overlap)
     keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
     src = tx.normalize(text_col) if normalise else F.col(text_col)
+    # after normalisation only plain spaces remain, so the cheap trim is exact
+    strip = F.trim if normalise else tx.strip_ws
     staged = df.select(*keep, src.alias("_src"))
     s = F.col("_src")
     n = F.length(s)
@@ -82,10 +84,10 @@ def chunk_fixed(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     starts = F.sequence(F.lit(0), n - 1, F.lit(size - overlap))
     windows = F.filter(
         F.transform(starts, lambda st: F.struct(
-            st.alias("window_start"), F.trim(F.substring(s, st + 1, size)).alias("text"))),
+            st.alias("window_start"), strip(F.substring(s, st + 1, size)).alias("text"))),
         lambda p: p["text"] != F.lit(""))
     pieces = F.when(n <= size, single).otherwise(windows)
-    return _number_and_explode(staged, pieces, keep, min_length, s)
+    return _number_and_explode(staged, pieces, keep, min_length, s, strip)
 
 
 # --- separator-aware windows (raw text) --------------------------------------------
@@ -146,10 +148,10 @@ def chunk_separator(df: DataFrame, text_col: str = "text", keep: list[str] | Non
         F.transform("_b", lambda b: F.struct(
             b["window_start"].alias("window_start"),
             F.when(single, s).otherwise(
-                F.trim(F.substring(s, b["window_start"] + 1, b["window_end"] - b["window_start"]))
+                tx.strip_ws(F.substring(s, b["window_start"] + 1, b["window_end"] - b["window_start"]))
             ).alias("text"))),
         lambda p: single | (p["text"] != F.lit("")))
-    return _number_and_explode(staged.select(*keep, "_src", "_b"), pieces, keep, min_length, s)
+    return _number_and_explode(staged.select(*keep, "_src", "_b"), pieces, keep, min_length, s, tx.strip_ws)
 
 
 # --- sentence packing ------------------------------------------------------------------

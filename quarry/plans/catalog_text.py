@@ -200,3 +200,43 @@ def q_chunk_sentences(spark, sf_dir):
     c = chunking.chunk_sentences(docs, keep=["doc_id"])
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
                     F.col("n_words").cast("long").alias("n_words"), F.md5("text").alias("chunk_md5"))
+
+
+def _sep_sql() -> str:
+    size, ov, half = chunking.CHUNK_SIZE, chunking.CHUNK_OVERLAP, chunking.CHUNK_SIZE // 2
+
+    def end(st: str) -> str:
+        win = f"substring(s, {st} + 1, {size})"
+        last = f"length(regexp_extract({win}, '(?s)^(.*)\\n', 1))"
+        return (f"CASE WHEN {st} + {size} < n AND regexp_matches({win}, '\\n') AND {last} > {half} "
+                f"THEN {st} + {last} + 1 ELSE {st} + {size} END")
+
+    def strip(x: str) -> str:
+        return f"regexp_replace({x}, '^{sq.WS}+|{sq.WS}+$', '', 'g')"
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text AS s, length(text) AS n FROM documents),
+w(doc_id, st, en) AS (
+  SELECT doc_id, 0, {end('0')} FROM d WHERE n > {size}
+  UNION ALL
+  SELECT w.doc_id, w.en - {ov}, {end(f'(w.en - {ov})')}
+  FROM w JOIN d USING (doc_id) WHERE w.en - {ov} < d.n),
+pieces AS (
+  SELECT doc_id, st, {strip('substring(s, st + 1, least(en, n) - st)')} AS piece, false AS single
+  FROM w JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, 0, s, true FROM d WHERE n <= {size}),
+ne AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS chunk_index FROM pieces
+       WHERE single OR piece <> ''),
+kept AS (SELECT * FROM ne WHERE length({strip('piece')}) >= {chunking.MIN_CHUNK_LENGTH})
+SELECT doc_id, chunk_index::BIGINT AS chunk_index,
+       row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index)::BIGINT AS chunk_number,
+       count(*) OVER (PARTITION BY doc_id)::BIGINT AS total_chunks, st::BIGINT AS window_start,
+       md5(piece) AS chunk_md5
+FROM kept"""
+
+
+@register("chunk_sep", _sep_sql)
+def q_chunk_sep(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    c = chunking.chunk_separator(docs, keep=["doc_id"])
+    return c.select("doc_id", *[F.col(n).cast("long").alias(n) for n in (
+        "chunk_index", "chunk_number", "total_chunks", "window_start")], F.md5("text").alias("chunk_md5"))
