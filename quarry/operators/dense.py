@@ -105,27 +105,46 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _top_k_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best entries (score desc, id asc) of a 1-d score row."""
-    valid = np.flatnonzero(~np.isnan(scores))
-    if valid.size <= k:
-        cand = valid
-    else:
-        r = np.round(scores[valid], TIE_DECIMALS)
-        kth = np.partition(r, valid.size - k)[valid.size - k]
-        cand = valid[r >= kth]
-    r = np.round(scores[cand], TIE_DECIMALS)
-    order = np.lexsort((ids[cand], -r))
-    return cand[order[:k]]
+def _merge_top_k(best_ids: np.ndarray, best_sc: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int):
+    """Row-wise top-k of [best | new] by (rounded score desc, id asc).
+
+    ``best_*`` are (Q, k) with -inf scores as padding; ``s`` is (Q, n) with
+    -inf for excluded documents.  Two stable sorts (by id, then by score)
+    break ties by id without any per-query Python loop.
+    """
+    q = s.shape[0]
+    all_ids = np.concatenate([best_ids, np.broadcast_to(ids, (q, ids.size))], axis=1)
+    all_sc = np.concatenate([best_sc, s], axis=1)
+    if all_sc.shape[1] > 4 * k:
+        # keep every candidate tied with the k-th best, drop the rest first
+        r = np.round(all_sc, TIE_DECIMALS)
+        kth = -np.partition(-r, k - 1, axis=1)[:, k - 1:k]
+        keep = r >= kth
+        width = int(keep.sum(axis=1).max())
+        idx = np.argsort(~keep, axis=1, kind="stable")[:, :width]
+        all_ids = np.take_along_axis(all_ids, idx, 1)
+        all_sc = np.take_along_axis(all_sc, idx, 1)
+    by_id = np.argsort(all_ids, axis=1, kind="stable")
+    ids1 = np.take_along_axis(all_ids, by_id, 1)
+    sc1 = np.take_along_axis(all_sc, by_id, 1)
+    by_score = np.argsort(-np.round(sc1, TIE_DECIMALS), axis=1, kind="stable")[:, :k]
+    out_ids = np.take_along_axis(ids1, by_score, 1)
+    out_sc = np.take_along_axis(sc1, by_score, 1)
+    if out_ids.shape[1] < k:
+        pad = k - out_ids.shape[1]
+        out_ids = np.pad(out_ids, ((0, 0), (0, pad)), constant_values=np.iinfo(np.int64).max)
+        out_sc = np.pad(out_sc, ((0, 0), (0, pad)), constant_values=-np.inf)
+    return out_ids, out_sc
 
 
 def _block_scorer(qids: np.ndarray, qmat: np.ndarray, qgroups: np.ndarray | None, k: int,
                   min_score: float | None, id_col: str, vec_col: str, group_col: str | None):
     qn = _unit_rows(qmat)
+    nq = len(qids)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(len(qids))]
-        best_sc = [np.empty(0, dtype=np.float64) for _ in range(len(qids))]
+        best_ids = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
+        best_sc = np.full((nq, k), -np.inf)
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -135,19 +154,19 @@ def _block_scorer(qids: np.ndarray, qmat: np.ndarray, qgroups: np.ndarray | None
             s = qn @ x.T
             if qgroups is not None:
                 g = b.column(group_col).to_numpy(zero_copy_only=False)
-                s = np.where(qgroups[:, None] == g[None, :], s, np.nan)
+                if qgroups.ndim == 1:
+                    allowed = qgroups[:, None] == g[None, :]
+                else:  # several groups per query (probe lists)
+                    allowed = (qgroups[:, :, None] == g[None, None, :]).any(axis=1)
+                s = np.where(allowed, s, -np.inf)
             if min_score is not None:
-                s = np.where(s >= min_score, s, np.nan)
-            for qi in range(len(qids)):
-                all_ids = np.concatenate([best_ids[qi], ids])
-                all_sc = np.concatenate([best_sc[qi], s[qi]])
-                keep = _top_k_rows(all_sc, all_ids, k)
-                best_ids[qi], best_sc[qi] = all_ids[keep], all_sc[keep]
-        counts = [len(x) for x in best_ids]
+                s = np.where(s >= min_score, s, -np.inf)
+            best_ids, best_sc = _merge_top_k(best_ids, best_sc, ids, s, k)
+        valid = np.isfinite(best_sc)
+        rows = np.nonzero(valid)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, counts), pa.int64()),
-             pa.array(np.concatenate(best_ids) if best_ids else [], pa.int64()),
-             pa.array(np.concatenate(best_sc) if best_sc else [], pa.float64())],
+            [pa.array(qids[rows[0]], pa.int64()), pa.array(best_ids[valid], pa.int64()),
+             pa.array(best_sc[valid], pa.float64())],
             names=["query_id", "doc_id", "score"])
 
     return score
@@ -186,7 +205,13 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
         qmat = np.array([r["qv"] for r in block], dtype=np.float64)
         qgroups = np.array([r["qg"] for r in block]) if query_group_col else None
         fn = _block_scorer(qids, qmat, qgroups, k, min_score, "doc_id", "v", "g" if group_col else None)
-        parts.append(x.mapInArrow(fn, schema))
+        xb = x
+        if qgroups is not None:
+            # only the groups this block asks for are read (partition pruning
+            # when the corpus is stored partitioned by the group column)
+            wanted = sorted({v.item() if hasattr(v, "item") else v for v in np.unique(qgroups)})
+            xb = x.where(F.col("g").isin(wanted))
+        parts.append(xb.mapInArrow(fn, schema))
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema + ", rank int").select(
             "query_id", "rank", "doc_id", "score")
@@ -198,6 +223,42 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
             .select("query_id", "rank", "doc_id", "score"))
 
 
+# --- approximate search (inverted lists) --------------------------------------------------
+
+def nearest_lists(df: DataFrame, centres: np.ndarray, n: int = 1, vec_col: str = "embedding",
+                  out_col: str = "list_id") -> DataFrame:
+    """Add the ``n`` nearest centres by cosine (int, or array<int> when n > 1)."""
+    cn = _unit_rows(np.asarray(centres, dtype=np.float64))
+    d = cn.shape[1]
+    out_type = T.IntegerType() if n == 1 else T.ArrayType(T.IntegerType())
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, out_type)])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            flat = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            s = _unit_rows(flat.reshape(b.num_rows, d)) @ cn.T
+            order = np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)
+            arr = pa.array(order[:, 0]) if n == 1 else pa.array(order.tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [arr], names=list(b.schema.names) + [out_col])
+
+    return df.mapInArrow(fn, schema)
+
+
+def ann_search(corpus: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = DEFAULT_K, nprobe: int = 3,
+               id_col: str = "doc_id", vec_col: str = "embedding", query_id_col: str = "query_id",
+               query_vec_col: str = "embedding", list_col: str | None = None) -> DataFrame:
+    """Approximate cosine top-k: each query scores only the documents of its
+    ``nprobe`` nearest lists (inverted-file search).  ``corpus`` may already
+    carry its list id in ``list_col`` (e.g. stored partitioned by it)."""
+    if list_col is None:
+        corpus, list_col = nearest_lists(corpus, centres, 1, vec_col, "list_id"), "list_id"
+    q = nearest_lists(queries, centres, nprobe, query_vec_col, "_probe")
+    return dense_search(corpus, q, k=k, id_col=id_col, vec_col=vec_col, query_id_col=query_id_col,
+                        query_vec_col=query_vec_col, group_col=list_col, query_group_col="_probe")
+
+
 # --- upkeep ------------------------------------------------------------------------------
 
 def vector_audit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

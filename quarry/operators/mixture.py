@@ -142,6 +142,29 @@ def _hard_stats_fn(centres: np.ndarray, d: int):
     return fn
 
 
+def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str = "vec_id", seed: int = SEED,
+           max_iter: int = 20) -> np.ndarray:
+    """Lloyd's k-means; returns the (k, d) centres.  Seeds are the k rows with
+    the smallest hash of the id; each step is one job of per-task sums."""
+    x = _vectors(vectors, vec_col, id_col).persist()
+    try:
+        seeds = x.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()  # k rows
+        centres = np.array([r["v"] for r in seeds], dtype=np.float64)
+        kk, d = centres.shape
+        size = kk + kk * d + kk * d * d
+        for _ in range(max_iter):
+            t = _sum_stats(x, _hard_stats_fn(centres, d), size)
+            nk, sx = t[:kk], t[kk:kk + kk * d].reshape(kk, d)
+            new = np.where(nk[:, None] > 0, sx / np.maximum(nk, 1)[:, None], centres)
+            done = np.allclose(new, centres)
+            centres = new
+            if done:
+                break
+        return centres
+    finally:
+        x.unpersist()
+
+
 def _m_step(nk: np.ndarray, sx: np.ndarray, sxx: np.ndarray, n: int, reg: float) -> MixtureModel:
     k, d = sx.shape
     nk_safe = nk + 10 * np.finfo(float).eps
