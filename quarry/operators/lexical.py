@@ -17,10 +17,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stopwords
+from quarry.session import materialize
 from quarry.functions import text as tx
 
 MAX_FEATURES = 10000
@@ -86,6 +88,11 @@ class LexicalIndex:
     doc_ids: DataFrame
     stop_words: list[str] = field(default_factory=list)
     ngram_max: int = 2
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def unpersist(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
     def terms(self, text: Column | str) -> Column:
         return tx.lexical_terms(text, self.stop_words, self.ngram_max)
@@ -102,16 +109,19 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     stop = stopwords.english() if stop_words is None else list(stop_words)
     docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = _exploded_counts(docs, "doc_id", "text", stop, ngram_max)
+    # the counts feed both the vocabulary (global statistics) and the
+    # postings; keep them instead of tokenising the corpus twice
+    counts = materialize(_exploded_counts(docs, "doc_id", "text", stop, ngram_max))
     n_docs = docs.select(F.count("*").cast("double")).scalar()
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    vocab = (stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0))
+    # at most max_features rows: cached once, then broadcast to every use
+    vocab = materialize(stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+                        .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0))
     weighted = (counts.join(F.broadcast(vocab.select("term", "idf")), "term")
                 .withColumn("w", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     postings = weighted.select("doc_id", "term", "tf", (F.col("w") / norm).alias("weight"))
-    return LexicalIndex(postings, vocab, docs.select("doc_id"), stop, ngram_max)
+    return LexicalIndex(postings, vocab, docs.select("doc_id"), stop, ngram_max, [counts, vocab])
 
 
 def query_vectors(index: LexicalIndex, queries: DataFrame, id_col: str = "query_id",
@@ -146,21 +156,25 @@ def zero_fill(top: DataFrame, queries: DataFrame, doc_ids: DataFrame, k: int) ->
 
     A query with m < k matches has all of its matches in ``top``; the first
     k + m <= 2k ids of the corpus therefore hold enough non-matches.  That
-    pool is a bounded scalar subquery, so nothing here grows with the corpus
-    except one ordered scan of the id column.
+    pool is a bounded scalar subquery.  ``top`` is read once: each query's
+    (at most k) hits are grouped into one array, joined to the query list
+    (queries without any match included), extended and exploded again.
     """
     pool = (doc_ids.orderBy("doc_id").limit(2 * k)
             .agg(F.sort_array(F.collect_list("doc_id")).alias("p")).scalar())
-    have = top.groupBy("query_id").agg(F.collect_list("doc_id").alias("_m"))
-    need = (queries.select("query_id").distinct().join(have, "query_id", "left")
-            .withColumn("_m", F.coalesce("_m", F.array().cast("array<long>")))
-            .where(F.size("_m") < k))
-    fill = need.select(
-        "query_id",
-        F.size("_m").alias("_base"),
-        F.posexplode(F.slice(F.array_except(pool, F.col("_m")), 1, k - F.size("_m"))).alias("_i", "doc_id"),
-    ).select("query_id", "doc_id", F.lit(0.0).alias("score"), (F.col("_base") + F.col("_i") + 1).alias("rank"))
-    return top.select("query_id", "doc_id", "score", "rank").unionByName(fill)
+    grouped = top.groupBy("query_id").agg(
+        F.collect_list(F.struct("rank", "doc_id", "score")).alias("_h"))
+    hit_type = "array<struct<rank:int,doc_id:bigint,score:double>>"
+    per_q = (queries.select("query_id").distinct().join(grouped, "query_id", "left")
+             .withColumn("_h", F.coalesce("_h", F.array().cast(hit_type))))
+    have = F.transform("_h", lambda h: h["doc_id"])
+    fill_ids = F.slice(F.array_except(pool, have), 1, F.greatest(F.lit(k) - F.size("_h"), F.lit(0)))
+    staged = per_q.select("query_id", "_h", fill_ids.alias("_f"))  # subquery kept out of the lambda below
+    fill = F.transform("_f", lambda d, i: F.struct(
+        (F.size("_h") + i + 1).cast("int").alias("rank"), d.alias("doc_id"), F.lit(0.0).alias("score")))
+    out = staged.select("query_id", F.explode_outer(F.concat("_h", fill)).alias("_x")).where(F.col("_x").isNotNull())
+    return out.select("query_id", F.col("_x.doc_id").alias("doc_id"), F.col("_x.score").alias("score"),
+                      F.col("_x.rank").alias("rank"))
 
 
 def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",
@@ -256,7 +270,8 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int = DEFAULT_K, id_col
     """Top-k BM25 per query over distinct query terms: (query_id, rank, doc_id, score)."""
     q = analyze(queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")),
                 "query_id", "text", index.stop_words, 1)
-    qterms = q.select("query_id", F.explode(F.array_distinct("_terms")).alias("term"))
+    qterms = (q.select("query_id", F.explode_outer(F.array_distinct("_terms")).alias("term"))
+              .where(F.col("term").isNotNull()))
     small = n_queries is not None and n_queries <= BROADCAST_QUERY_LIMIT
     qterms = index.terms_stats.join(F.broadcast(qterms) if small else qterms, "term")
     hits = index.postings.join(F.broadcast(qterms) if small else qterms, "term")

@@ -91,7 +91,7 @@ def _edit_tokens(rec: DataFrame, q: int) -> DataFrame:
         staged = rec.withColumn("_p", padded)
         grams = F.transform(F.sequence(F.lit(1), F.length("_p") - q + 1), lambda i: F.substring("_p", i, q))
         rec = staged
-    ex = rec.select("id", "n", F.posexplode(grams).alias("pos", "gram"))
+    ex = rec.select("id", "n", F.posexplode_outer(grams).alias("pos", "gram")).where(F.col("gram").isNotNull())
     occ = F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))
     return ex.select("id", "n", F.concat("gram", F.lit("#"), occ.cast("string")).alias("token"))
 
@@ -130,8 +130,9 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
         size = F.col("n") + (q - 1) if q > 1 else F.col("n") + 1
         prefix_len = F.least(size, q * tau + 1)
     else:
-        ltok = lrec.select("id", "n", F.explode("toks").alias("token"))
-        rtok = ltok if self_join else rrec.select("id", "n", F.explode("toks").alias("token"))
+        ltok = lrec.select("id", "n", F.explode_outer("toks").alias("token")).where(F.col("token").isNotNull())
+        rtok = ltok if self_join else rrec.select("id", "n", F.explode_outer("toks").alias("token")).where(
+            F.col("token").isNotNull())
         # a partner reaching t may miss at most n - ceil(t*n) of this record's tokens
         prefix_len = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
 

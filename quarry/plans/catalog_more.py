@@ -33,7 +33,7 @@ SELECT id AS doc_id, slot::BIGINT AS slot, round(v, 6) AS value FROM dv"""
 @register("hash_embed", _hash_embed_sql)
 def q_hash_embed(spark, sf_dir):
     docs = dense.hash_embed(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return (docs.select("doc_id", F.posexplode("embedding").alias("slot", "value"))
+    return (docs.select("doc_id", F.posexplode_outer("embedding").alias("slot", "value"))
             .where(F.col("value") != 0)
             .select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value")))
 

@@ -81,8 +81,8 @@ WHERE topic_rank <= {annotate.TOPIC_LIMIT} AND c >= {annotate.TOPIC_MIN_COUNT}""
 @register("topics", _topics_sql)
 def q_topics(spark, sf_dir):
     d = annotate.with_topics(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return (d.select("doc_id", F.posexplode("potential_topics").alias("p", "topic"))
-            .select("doc_id", (F.col("p") + 1).cast("long").alias("topic_rank"), "topic"))
+    return (d.select("doc_id", F.posexplode_outer("potential_topics").alias("p", "topic"))
+            .where(F.col("topic").isNotNull()).select("doc_id", (F.col("p") + 1).cast("long").alias("topic_rank"), "topic"))
 
 
 _META = ["chunk_end_char", "chunk_index", "chunk_size", "chunk_start_char", "doc_id", "lang", "source"]

@@ -47,6 +47,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialize(df: DataFrame, level=None) -> DataFrame:
+    """Persist and fill the cache now.
+
+    A persisted DataFrame read by several branches of one plan (broadcasts
+    and subqueries run concurrently) would otherwise be computed by each
+    branch at the same time before the cache is filled.
+    """
+    from pyspark import StorageLevel
+
+    df = df.persist(level or StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     checkpoint_dir(df.sparkSession)

@@ -144,8 +144,11 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     paras = F.transform(F.regexp_extract_all(h, F.lit(PARAGRAPH_HTML), 1), lambda p: F.array(strip(p)))
     rows = F.concat(F.regexp_extract_all(h, F.lit(ROW_HTML), 1), F.regexp_extract_all(h, F.lit(LIST_HTML), 1))
     staged = pages.select(F.col(id_col).alias("doc_id"), paras.alias("_p"), rows.alias("_r"))
-    p = staged.select("doc_id", F.posexplode("_p").alias("seq", "cells")).withColumn("kind", F.lit("paragraph"))
-    r = staged.select("doc_id", F.posexplode("_r").alias("seq", "_row"))
+    # explode_outer + null filter: a plain explode lets the optimizer push an
+    # inferred size() > 0 filter below the projections and evaluate them twice
+    p = (staged.select("doc_id", F.posexplode_outer("_p").alias("seq", "cells")).where(F.col("cells").isNotNull())
+         .withColumn("kind", F.lit("paragraph")))
+    r = staged.select("doc_id", F.posexplode_outer("_r").alias("seq", "_row")).where(F.col("_row").isNotNull())
     r = r.select("doc_id", "seq", F.lit("row").alias("kind"), F.transform(
         F.concat(F.regexp_extract_all("_row", F.lit(CELL_HTML), 1), F.regexp_extract_all("_row", F.lit(ITEM_HTML), 1)),
         strip).alias("cells"))
