@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.session import materialize
 
 METHODS = ("cosine", "jaccard", "levenshtein")
 PAD_LEFT, PAD_RIGHT = "\u0001", "\u0002"
@@ -47,8 +48,9 @@ def word_set(col: Column) -> Column:
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
+    """|A ∩ B| / |A ∪ B| for arrays of distinct elements (|A ∪ B| = |A| + |B| - |A ∩ B|)."""
     inter = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_union(a, b))
+    union = F.size(a) + F.size(b) - inter
     return F.when(union == 0, F.lit(0.0)).otherwise(inter / union)
 
 
@@ -76,10 +78,9 @@ def _records(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFram
         toks = word_set(t)
     else:
         toks = None
-    base = df.select(F.col(id_col).alias("id"), t.alias("text"))
     if toks is not None:
-        return base.withColumn("toks", toks).withColumn("n", F.size("toks"))
-    return base.withColumn("n", F.length("text"))
+        return df.select(F.col(id_col).alias("id"), toks.alias("toks")).withColumn("n", F.size("toks"))
+    return df.select(F.col(id_col).alias("id"), t.alias("text")).withColumn("n", F.length("text"))
 
 
 def _edit_tokens(rec: DataFrame, q: int) -> DataFrame:
@@ -117,8 +118,9 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]; a zero threshold asks for every pair")
     self_join = right is None
-    lrec = _records(left, left_id, left_text, method)
-    rrec = lrec if self_join else _records(right, right_id or left_id, right_text or left_text, method)
+    # records feed the token statistics, the prefixes and the verification
+    lrec = materialize(_records(left, left_id, left_text, method))
+    rrec = lrec if self_join else materialize(_records(right, right_id or left_id, right_text or left_text, method))
     t = float(threshold)
 
     if method == "levenshtein":
@@ -150,15 +152,15 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     cand = cand.where((F.col("ln") >= F.col("rn") * t - 1e-9) & (F.col("rn") >= F.col("ln") * t - 1e-9))
     pairs = cand.select("lid", "rid").distinct()
 
-    lv = lrec.select(F.col("id").alias("lid"), *([F.col("toks").alias("lt")] if method != "levenshtein" else []),
-                     F.col("text").alias("ltext"))
-    rv = rrec.select(F.col("id").alias("rid"), *([F.col("toks").alias("rt")] if method != "levenshtein" else []),
-                     F.col("text").alias("rtext"))
+    # verification needs only the token sets (or, for edit distance, the text)
+    payload = "text" if method == "levenshtein" else "toks"
+    lv = lrec.select(F.col("id").alias("lid"), F.col(payload).alias("lp"))
+    rv = rrec.select(F.col("id").alias("rid"), F.col(payload).alias("rp"))
     v = pairs.join(lv, "lid").join(rv, "rid")
     if method == "levenshtein":
-        sim = edit_similarity(F.col("ltext"), F.col("rtext"))
+        sim = edit_similarity(F.col("lp"), F.col("rp"))
     else:
-        sim = set_jaccard(F.col("lt"), F.col("rt"))
+        sim = set_jaccard(F.col("lp"), F.col("rp"))
     out = v.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), sim.alias("similarity"))
     return out.where(F.col("similarity") >= t - 1e-12)
 
