@@ -137,12 +137,14 @@ def _merge_top_k(best_ids: np.ndarray, best_sc: np.ndarray, ids: np.ndarray, s:
     return out_ids, out_sc
 
 
-def _block_scorer(qids: np.ndarray, qmat: np.ndarray, qgroups: np.ndarray | None, k: int,
-                  min_score: float | None, id_col: str, vec_col: str, group_col: str | None):
-    qn = _unit_rows(qmat)
-    nq = len(qids)
+def _block_scorer(block, k: int, min_score: float | None, id_col: str, vec_col: str, group_col: str | None):
+    """``block`` is a broadcast of (query ids, query matrix, query groups): it
+    reaches each executor once instead of travelling with every task."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, qmat, qgroups = block.value
+        qn = _unit_rows(qmat)
+        nq = len(qids)
         best_ids = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
         best_sc = np.full((nq, k), -np.inf)
         for b in batches:
@@ -204,7 +206,8 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
         qids = np.array([r["query_id"] for r in block], dtype=np.int64)
         qmat = np.array([r["qv"] for r in block], dtype=np.float64)
         qgroups = np.array([r["qg"] for r in block]) if query_group_col else None
-        fn = _block_scorer(qids, qmat, qgroups, k, min_score, "doc_id", "v", "g" if group_col else None)
+        shipped = corpus.sparkSession.sparkContext.broadcast((qids, qmat, qgroups))
+        fn = _block_scorer(shipped, k, min_score, "doc_id", "v", "g" if group_col else None)
         xb = x
         if qgroups is not None:
             # only the groups this block asks for are read (partition pruning

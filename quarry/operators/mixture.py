@@ -120,22 +120,26 @@ def _em_stats_fn(model: MixtureModel, d: int):
     return fn
 
 
-def _hard_stats_fn(centres: np.ndarray, d: int):
+def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
+    """Counts and sums (and, when asked, second moments) of the rows nearest
+    to each centre; Lloyd steps only need the first two."""
     k = len(centres)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nk, sx, sxx = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+        nk, sx = np.zeros(k), np.zeros((k, d))
+        sxx = np.zeros((k, d, d)) if second_moments else np.zeros(0)
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = _batch_matrix(b, d)
-            dist = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+            dist = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :]
             lab = np.argmin(dist, axis=1)
             r = np.zeros((len(x), k))
             r[np.arange(len(x)), lab] = 1.0
             nk += r.sum(axis=0)
             sx += r.T @ x
-            sxx += np.einsum("nk,ni,nj->kij", r, x, x)
+            if second_moments:
+                sxx += np.einsum("nk,ni,nj->kij", r, x, x)
         flat = np.concatenate([nk, sx.ravel(), sxx.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
 
@@ -143,7 +147,7 @@ def _hard_stats_fn(centres: np.ndarray, d: int):
 
 
 def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str = "vec_id", seed: int = SEED,
-           max_iter: int = 20) -> np.ndarray:
+           max_iter: int = 20, tol: float = 1e-4) -> np.ndarray:
     """Lloyd's k-means; returns the (k, d) centres.  Seeds are the k rows with
     the smallest hash of the id; each step is one job of per-task sums."""
     x = _vectors(vectors, vec_col, id_col).persist()
@@ -151,14 +155,14 @@ def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str =
         seeds = x.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()  # k rows
         centres = np.array([r["v"] for r in seeds], dtype=np.float64)
         kk, d = centres.shape
-        size = kk + kk * d + kk * d * d
+        size = kk + kk * d
         for _ in range(max_iter):
-            t = _sum_stats(x, _hard_stats_fn(centres, d), size)
+            t = _sum_stats(x, _hard_stats_fn(centres, d, False), size)
             nk, sx = t[:kk], t[kk:kk + kk * d].reshape(kk, d)
             new = np.where(nk[:, None] > 0, sx / np.maximum(nk, 1)[:, None], centres)
-            done = np.allclose(new, centres)
+            shift = float(np.sum((new - centres) ** 2))
             centres = new
-            if done:
+            if shift <= tol * max(float(np.sum(centres ** 2)), 1e-12):
                 break
         return centres
     finally:
@@ -187,15 +191,17 @@ def fit_gmm(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", id_col:
         centres = np.array([r["v"] for r in seeds], dtype=np.float64)
         d = centres.shape[1]
         size_h = k + k * d + k * d * d
-        nk = sx = sxx = None
         for _ in range(max(1, lloyd_steps)):
-            t = _sum_stats(x, _hard_stats_fn(centres, d), size_h)
-            nk, sx, sxx = t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:].reshape(k, d, d)
+            t = _sum_stats(x, _hard_stats_fn(centres, d, False), k + k * d)
+            nk, sx = t[:k], t[k:].reshape(k, d)
             new = np.where(nk[:, None] > 0, sx / np.maximum(nk, 1)[:, None], centres)
-            if np.allclose(new, centres):
-                centres = new
-                break
+            done = np.allclose(new, centres)
             centres = new
+            if done:
+                break
+        # the starting mixture: one hard assignment to the final centres
+        t = _sum_stats(x, _hard_stats_fn(centres, d, True), size_h)
+        nk, sx, sxx = t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:].reshape(k, d, d)
         model = _m_step(nk, sx, sxx, n, reg)
         prev = -np.inf
         size = size_h + 1
