@@ -30,6 +30,9 @@ DEFAULT_K = 10
 # Queries above this count are joined to the postings with a shuffle join
 # instead of a broadcast one.
 BROADCAST_QUERY_LIMIT = 100_000
+# Up to this many distinct query terms are also pushed into the postings scan
+# as ``term IN (...)`` (row groups of term-sorted postings are skipped).
+PUSHDOWN_TERM_LIMIT = 10_000
 BM25_K1 = 1.2
 BM25_B = 0.75
 
@@ -89,6 +92,9 @@ class LexicalIndex:
     stop_words: list[str] = field(default_factory=list)
     ngram_max: int = 2
     cached: list[DataFrame] = field(default_factory=list)
+    # set for indexes read back from storage: postings are sorted by term, so
+    # pushing the query terms into the scan skips row groups
+    pushdown_terms: bool = False
 
     def unpersist(self) -> None:
         for df in self.cached:
@@ -136,8 +142,12 @@ def query_vectors(index: LexicalIndex, queries: DataFrame, id_col: str = "query_
     return w.select("query_id", "term", (F.col("w") / norm).alias("qweight"))
 
 
-def _join_queries(postings: DataFrame, qv: DataFrame, n_queries: int | None) -> DataFrame:
+def _join_queries(postings: DataFrame, qv: DataFrame, n_queries: int | None, pushdown: bool = False) -> DataFrame:
     small = n_queries is not None and n_queries <= BROADCAST_QUERY_LIMIT
+    if small and pushdown:
+        terms = qv.select("term").distinct().limit(PUSHDOWN_TERM_LIMIT + 1).collect()  # bounded
+        if len(terms) <= PUSHDOWN_TERM_LIMIT:
+            postings = postings.where(F.col("term").isin([r["term"] for r in terms]))
     return postings.join(F.broadcast(qv) if small else qv, "term")
 
 
@@ -190,7 +200,7 @@ def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id
     qv = query_vectors(index, q)
     if n_queries is None:
         n_queries = q.count()  # size check before broadcasting the query side
-    hits = _join_queries(index.postings, qv, n_queries)
+    hits = _join_queries(index.postings, qv, n_queries, index.pushdown_terms)
     scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
     top = top_k_per_query(scores, k)
     if include_zero:
@@ -205,7 +215,7 @@ def scoped_search(index: LexicalIndex, queries: DataFrame, scopes: DataFrame, k:
     (doc_id, scope); only documents with a positive score are returned."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     qv = query_vectors(index, q)
-    hits = _join_queries(index.postings, qv, q.count())
+    hits = _join_queries(index.postings, qv, q.count(), index.pushdown_terms)
     scores = (hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
               .join(scopes.select("doc_id", "scope"), "doc_id"))
     w = Window.partitionBy("query_id", "scope").orderBy(F.desc(F.round("score", 9)), "doc_id")

@@ -40,7 +40,7 @@ class Index:
 
     def lexical(self) -> lexical.LexicalIndex:
         return lexical.LexicalIndex(self.postings, self.vocab, self.chunks.select(F.col("chunk_id").alias("doc_id")),
-                                    self.stop_words, self.ngram_max)
+                                    self.stop_words, self.ngram_max, pushdown_terms=True)
 
 
 def _numbered_docs(docs: DataFrame, id_col: str) -> DataFrame:
