@@ -70,17 +70,38 @@ def text_similarity(a: Column, b: Column, method: str = "cosine") -> Column:
     raise ValueError(f"Unsupported similarity method: {method}")
 
 
-def _records(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFrame:
+def _keys(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFrame:
+    """(id, key): the exact value two identical records share — the sorted
+    distinct token set, or the text itself for edit similarity."""
     t = F.col(text_col)
     if method == "cosine":
-        toks = char_set(t)
+        key = F.sort_array(char_set(t))
     elif method == "jaccard":
-        toks = word_set(t)
+        key = F.sort_array(word_set(t))
     else:
-        toks = None
-    if toks is not None:
-        return df.select(F.col(id_col).alias("id"), toks.alias("toks")).withColumn("n", F.size("toks"))
-    return df.select(F.col(id_col).alias("id"), t.alias("text")).withColumn("n", F.length("text"))
+        key = t
+    return df.select(F.col(id_col).alias("id"), key.alias("key"))
+
+
+def _representatives(keys: DataFrame, method: str) -> DataFrame:
+    """One row per distinct key: (id = smallest id, copies, payload, n).
+
+    A combinable aggregate (min, count), so a key shared by a third of all
+    rows costs no more than any other key."""
+    reps = keys.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    if method == "levenshtein":
+        return reps.select("id", "copies", F.col("key").alias("text"), F.length("key").alias("n"))
+    return reps.select("id", "copies", F.col("key").alias("toks"), F.size("key").alias("n"))
+
+
+def duplicate_groups(df: DataFrame, method: str = "jaccard", id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(rep_id, member_id) for every record whose key (token set or text) is
+    shared with a smaller id: each copy is linked to its representative,
+    never to every other copy.  Skew on a hot key is split by AQE."""
+    keys = _keys(df, id_col, text_col, method)
+    reps = keys.groupBy("key").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return (keys.join(reps, "key").where(F.col("id") != F.col("rep_id"))
+            .select("rep_id", F.col("id").alias("member_id")))
 
 
 def _edit_tokens(rec: DataFrame, q: int) -> DataFrame:
@@ -108,19 +129,28 @@ def _prefix(tokens: DataFrame, df: DataFrame, prefix_len: Column) -> DataFrame:
 def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard",
                     threshold: float = 0.8, left_id: str = "id", left_text: str = "text",
                     right_id: str | None = None, right_text: str | None = None) -> DataFrame:
-    """All pairs with similarity >= ``threshold``: (left_id, right_id, similarity).
-
-    With ``right=None`` the left table is joined with itself and each pair is
-    reported once (left_id < right_id).
+    """Pairs with similarity >= ``threshold`` in compact form:
+    (left_id, right_id, similarity, left_copies, right_copies).
+
+    Records with the same key (token set, or text for edit similarity) are
+    one representative (the smallest id) standing for ``copies`` records;
+    pairs are reported between representatives, so a large group of copies
+    never turns into all of its pairs.  ``duplicate_groups`` lists the copies
+    behind each representative; together they give every pair.  With
+    ``right=None`` the table is joined with itself and each pair of distinct
+    representatives is reported once (left_id < right_id); copies of one
+    record are similar to each other with similarity 1.
     """
     if method not in METHODS:
         raise ValueError(f"Unsupported similarity method: {method}")
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]; a zero threshold asks for every pair")
     self_join = right is None
-    # records feed the token statistics, the prefixes and the verification
-    lrec = materialize(_records(left, left_id, left_text, method))
-    rrec = lrec if self_join else materialize(_records(right, right_id or left_id, right_text or left_text, method))
+    # identical records collapse to one representative first; representatives
+    # feed the token statistics, the prefixes and the verification
+    lrec = materialize(_representatives(_keys(left, left_id, left_text, method), method))
+    rrec = lrec if self_join else materialize(_representatives(
+        _keys(right, right_id or left_id, right_text or left_text, method), method))
     t = float(threshold)
 
     if method == "levenshtein":
@@ -154,44 +184,56 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
 
     # verification needs only the token sets (or, for edit distance, the text)
     payload = "text" if method == "levenshtein" else "toks"
-    lv = lrec.select(F.col("id").alias("lid"), F.col(payload).alias("lp"))
-    rv = rrec.select(F.col("id").alias("rid"), F.col(payload).alias("rp"))
+    lv = lrec.select(F.col("id").alias("lid"), F.col(payload).alias("lp"), F.col("copies").alias("left_copies"))
+    rv = rrec.select(F.col("id").alias("rid"), F.col(payload).alias("rp"), F.col("copies").alias("right_copies"))
     v = pairs.join(lv, "lid").join(rv, "rid")
     if method == "levenshtein":
         sim = edit_similarity(F.col("lp"), F.col("rp"))
     else:
         sim = set_jaccard(F.col("lp"), F.col("rp"))
-    out = v.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), sim.alias("similarity"))
+    out = v.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), sim.alias("similarity"),
+                   F.col("left_copies").cast("long").alias("left_copies"),
+                   F.col("right_copies").cast("long").alias("right_copies"))
     return out.where(F.col("similarity") >= t - 1e-12)
 
 
 def brute_force_pairs(left: DataFrame, right: DataFrame | None, method: str, threshold: float,
                       left_id: str = "id", left_text: str = "text") -> list[tuple]:
-    """Reference answer for small fixtures only (collects both sides)."""
+    """Reference answer in the same compact form, for small fixtures only
+    (collects both sides)."""
     import itertools
 
-    lrows = [(r[left_id], r[left_text]) for r in left.collect()]
-    rrows = lrows if right is None else [(r[left_id], r[left_text]) for r in right.collect()]
-    out = []
+    def reps(rows):
+        groups: dict = {}
+        for i, t in rows:
+            groups.setdefault(_py_key(t, method), []).append(i)
+        return [(min(ids), len(ids), key) for key, ids in groups.items()]
+
+    lrows = reps([(r[left_id], r[left_text]) for r in left.collect()])
+    rrows = lrows if right is None else reps([(r[left_id], r[left_text]) for r in right.collect()])
     pairs = itertools.combinations(lrows, 2) if right is None else itertools.product(lrows, rrows)
-    for (i, a), (j, b) in pairs:
-        if right is None and i > j:
-            i, j, a, b = j, i, b, a
-        s = _py_similarity(a, b, method)
+    out = []
+    for a, b in pairs:
+        if right is None and a[0] > b[0]:
+            a, b = b, a
+        s = _py_similarity(a[2], b[2], method)
         if s >= threshold - 1e-12:
-            out.append((i, j, round(s, 9)))
+            out.append((a[0], b[0], round(s, 9), a[1], b[1]))
     return sorted(out)
 
 
-def _py_similarity(a: str, b: str, method: str) -> float:
+def _py_key(text: str, method: str):
     if method == "cosine":
-        x, y = set(a.lower()), set(b.lower())
-        u = len(x | y)
-        return 0.0 if u == 0 else len(x & y) / u
+        return frozenset(text.lower())
     if method == "jaccard":
-        x, y = set(a.lower().split()), set(b.lower().split())
-        u = len(x | y)
-        return 0.0 if u == 0 else len(x & y) / u
+        return frozenset(text.lower().split())
+    return text
+
+
+def _py_similarity(a, b, method: str) -> float:
+    if method in ("cosine", "jaccard"):
+        u = len(a | b)
+        return 0.0 if u == 0 else len(a & b) / u
     m = max(len(a), len(b))
     if m == 0:
         return 1.0
@@ -204,4 +246,4 @@ def _py_similarity(a: str, b: str, method: str) -> float:
     return 1 - prev[-1] / m
 
 
-__all__ = ["similarity_join", "text_similarity", "brute_force_pairs", "math"]
+__all__ = ["similarity_join", "duplicate_groups", "text_similarity", "brute_force_pairs"]

@@ -30,15 +30,26 @@ TEXTS = [
                                       ("levenshtein", 0.6), ("levenshtein", 0.3), ("levenshtein", 0.9)])
 def test_self_join_matches_brute_force(spark, method, t):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    got = sorted((r["left_id"], r["right_id"], round(r["similarity"], 9))
+    got = sorted((r["left_id"], r["right_id"], round(r["similarity"], 9), r["left_copies"], r["right_copies"])
                  for r in sim.similarity_join(df, None, method, t).collect())
     assert got == sim.brute_force_pairs(df, None, method, t)
 
 
+def test_copies_collapse(spark):
+    rows = [(i, "same words here") for i in range(50)] + [(100, "same words there"), (101, "other")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [tuple(r) for r in sim.similarity_join(df, None, "jaccard", 0.5).collect()]
+    # fifty copies are one representative (id 0), not 1225 pairs
+    assert got == [(0, 100, 0.5, 50, 1)]
+    links = sorted(tuple(r) for r in sim.duplicate_groups(df, "jaccard").collect())
+    assert links == [(0, i) for i in range(1, 50)]
+
+
 def test_two_sided_join(spark):
     left = spark.createDataFrame([(0, "alpha beta"), (1, "gamma delta epsilon")], "id long, text string")
     right = spark.createDataFrame([(10, "alpha beta"), (11, "gamma delta"), (12, "zeta")], "id long, text string")
     got = sorted((r["left_id"], r["right_id"]) for r in sim.similarity_join(left, right, "jaccard", 0.6).collect())
     assert got == [(0, 10), (1, 11)]
+    assert sorted(sim.brute_force_pairs(left, right, "jaccard", 0.6)) == [(0, 10, 1.0, 1, 1), (1, 11, round(2 / 3, 9), 1, 1)]
     with pytest.raises(ValueError):
         sim.similarity_join(left, right, "jaccard", 0.0)
