@@ -133,16 +133,52 @@ def answer(prompts: DataFrame, answer_fn, out_col: str = "answer") -> DataFrame:
     return prompts.withColumn(out_col, run(F.col("prompt")))
 
 
+def consecutive_numbers(df: DataFrame, order_cols: list[str], out_col: str = "_g") -> DataFrame:
+    """Add 0-based consecutive positions in ``order_cols`` order, without a
+    single-partition window and without moving rows through Python.
+
+    The frame is range-partitioned and sorted once and materialised (so every
+    pass sees the same partitions); per-partition row counts — one small row
+    per partition — become offsets, and ``monotonically_increasing_id`` gives
+    the position inside a partition.
+    """
+    from quarry.session import materialize
+
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, 1)
+    srt = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                      .withColumn("_pid", F.spark_partition_id())
+                      .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(
+                          F.spark_partition_id().cast("long"), 33)))
+    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    return (srt.join(F.broadcast(offsets), "_pid")  # one row per partition
+            .select(*df.columns, (F.col("_off") + F.col("_local")).alias(out_col)))
+
+
 def conversation_queries(turns: DataFrame, history: int = 2, role: str = "user") -> DataFrame:
     """Multi-turn query text: each ``role`` turn joined (newline) with the
     previous ``history`` turns of the same role in its conversation.
 
-    (conv_id, turn, n_turns, query_text).  The window frame is bounded
-    (history + 1 rows), so a long conversation never gathers in one row.
+    (conv_id, turn, n_turns, query_text).  Built so that no conversation,
+    however long, lands in one task: turns get consecutive global positions
+    (``consecutive_numbers``), each turn contributes its text to itself and
+    the next ``history`` turns, and the grouping key (conversation, turn
+    rank) holds at most ``history + 1`` rows.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-history, 0)
-    t = turns.where(F.col("role") == role)
-    return t.select(
-        "conv_id", "turn",
-        F.count("*").over(w).alias("n_turns"),
-        F.array_join(F.collect_list("text").over(w), "\n").alias("query_text"))
+    t = turns.where(F.col("role") == role).select("conv_id", "turn", "text")
+    numbered = consecutive_numbers(t, ["conv_id", "turn"])
+    # first position of each conversation: a combinable aggregate; the join
+    # back is split by AQE if one conversation is very large
+    first = numbered.groupBy("conv_id").agg(F.min("_g").alias("_g0"))
+    ranked = numbered.join(first, "conv_id").select("conv_id", "turn", "text", (F.col("_g") - F.col("_g0")).alias("_r"))
+    contrib = ranked.select("conv_id", F.col("turn").alias("_turn"), "text", "_r",
+                            F.explode(F.sequence(F.lit(0), F.lit(history))).alias("_j"))
+    grouped = contrib.groupBy("conv_id", (F.col("_r") + F.col("_j")).alias("_target")).agg(
+        F.max(F.when(F.col("_j") == 0, F.col("_turn"))).alias("turn"),
+        F.count(F.lit(1)).alias("n_turns"),
+        F.sort_array(F.collect_list(F.struct(F.col("_j"), F.col("text"))), asc=False).alias("_parts"))
+    # targets past a conversation's last turn have no own (j = 0) row
+    return grouped.where(F.col("turn").isNotNull()).select(
+        "conv_id", "turn", "n_turns",
+        F.array_join(F.transform("_parts", lambda p: p["text"]), "\n").alias("query_text"))
