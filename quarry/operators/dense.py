@@ -45,12 +45,12 @@ def hash_slots(text: Column | str, dim: int = HASH_DIM) -> Column:
 def _slots_to_vectors(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def to_vec(slots: pd.Series) -> pd.Series:
-        out = []
-        for s in slots:
-            v = np.bincount(np.asarray(s, dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt(v @ v)
-            out.append(v / n if n > 0 else v)
-        return pd.Series(out)
+        # one bincount for the whole Arrow batch: cell = row * dim + slot
+        lens = np.fromiter((len(x) for x in slots), dtype=np.int64, count=len(slots))
+        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in slots]) if lens.sum() else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(slots), dtype=np.int64), lens)
+        m = np.bincount(rows * dim + flat, minlength=len(slots) * dim).astype(np.float64).reshape(len(slots), dim)
+        return pd.Series(list(_unit_rows(m)))
 
     return to_vec
 
