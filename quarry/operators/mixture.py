@@ -61,16 +61,23 @@ class MixtureModel:
                             np.array([r["covariance"] for r in rows]))
 
 
-def _log_resp(x: np.ndarray, weights: np.ndarray, means: np.ndarray, chols: np.ndarray) -> np.ndarray:
+def _factors(model: MixtureModel) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse Cholesky factors and log-determinants, once per model (k·d³)."""
+    chols = [np.linalg.cholesky(c) for c in model.covariances]
+    inv = np.array([np.linalg.inv(c) for c in chols])
+    logdet = np.array([2.0 * np.sum(np.log(np.diag(c))) for c in chols])
+    return inv, logdet
+
+
+def _log_resp(x: np.ndarray, weights: np.ndarray, means: np.ndarray, inv_chols: np.ndarray,
+              logdets: np.ndarray) -> np.ndarray:
     """log(w_k) + log N(x | mean_k, cov_k) for every row and component."""
     n, d = x.shape
     out = np.empty((n, len(weights)))
     for j in range(len(weights)):
-        diff = (x - means[j]).T
-        sol = np.linalg.solve(chols[j], diff)  # L^-1 (x - mu)
-        maha = np.einsum("ij,ij->j", sol, sol)
-        logdet = 2.0 * np.sum(np.log(np.diag(chols[j])))
-        out[:, j] = np.log(weights[j]) - 0.5 * (d * LOG_2PI + logdet + maha)
+        y = (x - means[j]) @ inv_chols[j].T  # L^-1 (x - mu), as one matrix product
+        maha = np.einsum("ij,ij->i", y, y)
+        out[:, j] = np.log(weights[j]) - 0.5 * (d * LOG_2PI + logdets[j] + maha)
     return out
 
 
@@ -79,6 +86,11 @@ def _logsumexp(a: np.ndarray) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=1, keepdims=True))).ravel()
 
 
+def _second_moments(r: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Σ_n r[n, j] x_n x_nᵀ for every component j, one BLAS product each."""
+    return np.stack([(x * r[:, j:j + 1]).T @ x for j in range(r.shape[1])])
+
+
 def _vectors(df: DataFrame, vec_col: str, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")
                      ).where(F.col("v").isNotNull())
@@ -98,7 +110,7 @@ def _sum_stats(x: DataFrame, fn, size: int) -> np.ndarray:
 
 def _em_stats_fn(model: MixtureModel, d: int):
     k = model.k
-    chols = np.array([np.linalg.cholesky(c) for c in model.covariances])
+    inv, logdet = _factors(model)
     w, mu = model.weights, model.means
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +119,13 @@ def _em_stats_fn(model: MixtureModel, d: int):
             if b.num_rows == 0:
                 continue
             x = _batch_matrix(b, d)
-            lr = _log_resp(x, w, mu, chols)
+            lr = _log_resp(x, w, mu, inv, logdet)
             norm = _logsumexp(lr)
             r = np.exp(lr - norm[:, None])
             ll += norm.sum()
             nk += r.sum(axis=0)
             sx += r.T @ x
-            sxx += np.einsum("nk,ni,nj->kij", r, x, x)
+            sxx += _second_moments(r, x)
         flat = np.concatenate([nk, sx.ravel(), sxx.ravel(), [ll]])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
 
@@ -139,7 +151,7 @@ def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
             nk += r.sum(axis=0)
             sx += r.T @ x
             if second_moments:
-                sxx += np.einsum("nk,ni,nj->kij", r, x, x)
+                sxx += _second_moments(r, x)
         flat = np.concatenate([nk, sx.ravel(), sxx.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
 
@@ -235,7 +247,7 @@ def assign(vectors: DataFrame, model: MixtureModel, vec_col: str = "embedding",
     The parameters (k·d² numbers) travel with the task; the vectors stay put.
     """
     d = model.means.shape[1]
-    chols = np.array([np.linalg.cholesky(c) for c in model.covariances])
+    inv, logdet = _factors(model)
     w, mu = model.weights, model.means
     out_schema = T.StructType(list(vectors.schema.fields) + [T.StructField(out_col, T.IntegerType())])
 
@@ -248,7 +260,7 @@ def assign(vectors: DataFrame, model: MixtureModel, vec_col: str = "embedding",
             lab = np.full(b.num_rows, -1, dtype=np.int32)
             if valid.any():
                 x = _batch_matrix(pa.RecordBatch.from_arrays([col.filter(pa.array(valid))], names=["v"]), d)
-                lab[valid] = np.argmax(_log_resp(x, w, mu, chols), axis=1).astype(np.int32)
+                lab[valid] = np.argmax(_log_resp(x, w, mu, inv, logdet), axis=1).astype(np.int32)
             arr = pa.array(lab, pa.int32(), mask=~valid)
             yield pa.RecordBatch.from_arrays(list(b.columns) + [arr], names=list(b.schema.names) + [out_col])
 
