@@ -191,16 +191,23 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     if query_group_col:
         qcols.append(F.col(query_group_col).alias("qg"))
     qdf = queries.select(*qcols)
-    n_q = qdf.count()
+    # one job when the queries fit one block (the common case); the size is
+    # checked by collecting at most one row more than a block holds
+    first = qdf.limit(MAX_QUERY_BLOCK + 1).collect()
+    if len(first) <= MAX_QUERY_BLOCK:
+        blocks = [first]
+    else:
+        n_q = qdf.count()
+        ordered = qdf.orderBy("query_id")
+        blocks = (ordered.offset(start).limit(MAX_QUERY_BLOCK).collect()
+                  for start in range(0, n_q, MAX_QUERY_BLOCK))
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v")]
     if group_col:
         cols.append(F.col(group_col).alias("g"))
     x = corpus.select(*cols).where(F.col("v").isNotNull())
     schema = "query_id long, doc_id long, score double"
     parts = []
-    for start in range(0, max(n_q, 1), MAX_QUERY_BLOCK):
-        block = (qdf.orderBy("query_id").offset(start).limit(MAX_QUERY_BLOCK) if n_q > MAX_QUERY_BLOCK
-                 else qdf).collect()
+    for block in blocks:
         if not block:
             continue
         qids = np.array([r["query_id"] for r in block], dtype=np.int64)

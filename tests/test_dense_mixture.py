@@ -84,3 +84,15 @@ def test_diagonal_tie_and_cluster_info(spark):
     info = {r["cluster"]: r["document_count"] for r in mixture.cluster_info(
         mixture.assign_diagonal(df, params), 3).collect()}
     assert info[2] == 0 and sum(info.values()) == 4
+
+
+def test_query_blocks_agree(spark, monkeypatch):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = emb.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
+    def run():
+        return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9))
+                      for r in dense.dense_search(emb, q, k=5).collect())
+
+    one = run()
+    monkeypatch.setattr(dense, "MAX_QUERY_BLOCK", 3)  # several blocks, same answer
+    assert run() == one

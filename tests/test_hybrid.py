@@ -62,3 +62,9 @@ def test_conversation_queries(spark):
                                   "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): r["query_text"] for r in hybrid.conversation_queries(turns, 2).collect()}
     assert got == {(1, 0): "a", (1, 2): "a\nb", (1, 3): "a\nb\nc", (1, 4): "b\nc\nd", (2, 0): "z"}
+
+
+def test_answer_plugin(spark):
+    prompts = spark.createDataFrame([(1, "p one"), (2, "p two")], "query_id long, prompt string")
+    got = {r["query_id"]: r["answer"] for r in hybrid.answer(prompts, lambda ps: [p.upper() for p in ps]).collect()}
+    assert got == {1: "P ONE", 2: "P TWO"}
