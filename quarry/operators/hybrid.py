@@ -14,6 +14,7 @@ All windows are partitioned by ``query_id``; each group holds at most
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +125,6 @@ def prompt(ctx: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFr
 def answer(prompts: DataFrame, answer_fn, out_col: str = "answer") -> DataFrame:
     """Optional answer column from a user-supplied ``answer_fn(list[str]) -> list[str]``
     called once per Arrow batch (no client is shipped with the engine)."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(p: pd.Series) -> pd.Series:
