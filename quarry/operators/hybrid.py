@@ -133,29 +133,6 @@ def answer(prompts: DataFrame, answer_fn, out_col: str = "answer") -> DataFrame:
     return prompts.withColumn(out_col, run(F.col("prompt")))
 
 
-def consecutive_numbers(df: DataFrame, order_cols: list[str], out_col: str = "_g") -> DataFrame:
-    """Add 0-based consecutive positions in ``order_cols`` order, without a
-    single-partition window and without moving rows through Python.
-
-    The frame is range-partitioned and sorted once and materialised (so every
-    pass sees the same partitions); per-partition row counts — one small row
-    per partition — become offsets, and ``monotonically_increasing_id`` gives
-    the position inside a partition.
-    """
-    from quarry.session import materialize
-
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, 1)
-    srt = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                      .withColumn("_pid", F.spark_partition_id())
-                      .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(
-                          F.spark_partition_id().cast("long"), 33)))
-    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (srt.join(F.broadcast(offsets), "_pid")  # one row per partition
-            .select(*df.columns, (F.col("_off") + F.col("_local")).alias(out_col)))
-
-
 def conversation_queries(turns: DataFrame, history: int = 2, role: str = "user") -> DataFrame:
     """Multi-turn query text: each ``role`` turn joined (newline) with the
     previous ``history`` turns of the same role in its conversation.
@@ -166,6 +143,8 @@ def conversation_queries(turns: DataFrame, history: int = 2, role: str = "user")
     the next ``history`` turns, and the grouping key (conversation, turn
     rank) holds at most ``history + 1`` rows.
     """
+    from quarry.operators.numbering import consecutive_numbers
+
     t = turns.where(F.col("role") == role).select("conv_id", "turn", "text")
     numbered = consecutive_numbers(t, ["conv_id", "turn"])
     # first position of each conversation: a combinable aggregate; the join

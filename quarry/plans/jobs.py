@@ -47,8 +47,9 @@ def _numbered_docs(docs: DataFrame, id_col: str) -> DataFrame:
     """Give every document a numeric key (its own id when integral)."""
     if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         return docs.withColumn("doc_num", F.col(id_col).cast("long"))
-    numbered = docs.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1])).toDF([*docs.columns, "doc_num"])
-    return numbered
+    from quarry.operators.numbering import consecutive_numbers
+
+    return consecutive_numbers(docs, [id_col], "doc_num")
 
 
 def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1000,

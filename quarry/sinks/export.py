@@ -80,10 +80,12 @@ def save_rows(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorife
     elif fmt == "csv":
         df.write.mode(mode).option("header", True).csv(path)
     else:
-        # consecutive numbering without gathering rows: zipWithIndex counts
-        # each partition once and numbers rows in place
+        # consecutive numbering in the rows' current order, computed in the
+        # JVM from per-partition counts (no gathering, no Python round trip)
+        from quarry.operators.numbering import consecutive_numbers
+
         fields = df.columns
-        indexed = df.rdd.zipWithIndex().map(lambda ri: (ri[1] + 1, *ri[0])).toDF(["_i", *fields])
+        indexed = consecutive_numbers(df, None, "_i", start=1)
         body = F.concat(*[F.concat(F.lit(f"  {f}: "), F.coalesce(F.col(f).cast("string"), F.lit("None")),
                                    F.lit("\n")) for f in fields])
         block = F.concat(F.lit("Result "), F.col("_i").cast("string"), F.lit(":\n"), body)
