@@ -22,8 +22,6 @@ length q·tau + 1 where tau is the largest distance a partner may have.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import text as tx
 from quarry.operators import dense, mixture
 from quarry.plans import sqlparts as sq
 from quarry.plans.catalog import K, all_benchmark, register
@@ -194,8 +193,6 @@ def q_gmm_fit(spark, sf_dir):
         F.lit(round(model.log_likelihood, 6)).alias("log_likelihood"))
 
 
-__all__ = ["tx"]
-
 
 ANN_LISTS, ANN_PROBE = 10, 3
 

@@ -13,7 +13,6 @@ library, PDF only through a user-supplied extractor).
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -203,4 +202,4 @@ def read_documents(spark: SparkSession, path: str, extractors=None, max_mb: floa
     return meta, rej1.unionByName(rej2)
 
 
-__all__ = ["scan_files", "extract_documents", "read_documents", "file_metadata", "os"]
+__all__ = ["scan_files", "extract_documents", "read_documents", "file_metadata"]
