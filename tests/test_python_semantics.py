@@ -1,0 +1,82 @@
+"""Java-regex column functions against Python's Unicode regex semantics on
+every document of the small tables (dialect check: \\s, \\w, \\b differ)."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.functions import stopwords
+from quarry.functions import text as tx
+from quarry.operators import annotate, chunking
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def py_normalize(t):
+    t = re.sub(r"\s+", " ", t)
+    return re.sub(r"[^\w\s.,!?;:\-()\[\]{}]", "", t).strip()
+
+
+def py_topics(t):
+    found = [p for p in re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", t) if len(p.split()) <= 4]
+    counts = {}
+    for p in found:
+        counts[p] = counts.get(p, 0) + 1
+    ranked = sorted(counts.items(), key=lambda kv: kv[1], reverse=True)[:10]
+    return [p for p, c in ranked if c > 1]
+
+
+def py_flags(t):
+    low = t.lower()
+    return [name for name, hit in [
+        ("academic_structure", re.search(r"\b(abstract|introduction|conclusion|references|bibliography)\b", low)),
+        ("year_references", re.search(r"\b\d{4}\b", t)),
+        ("citation_style", re.search(r"\b(et al\.|ibid\.|op\. cit\.)\b", low)),
+        ("author_citations", re.search(r"[A-Z][a-z]+ et al\.", t))] if hit]
+
+
+def test_normalize_and_counts(docs, texts):
+    got = {r["doc_id"]: (r["n"], r["w"]) for r in docs.select(
+        "doc_id", tx.normalize("text").alias("n"), tx.word_count("text").alias("w")).collect()}
+    for i, t in texts.items():
+        assert got[i] == (py_normalize(t), len(t.split())), i
+
+
+def test_topics_flags_language(docs, texts):
+    ann = annotate.with_topics(docs).select(
+        "doc_id", "potential_topics", tx.academic_indicators("text").alias("flags"),
+        tx.language_guess("text").alias("lang")).collect()
+    en = {"the", "and", "of", "to", "in", "a", "is", "that", "it", "with"}
+    for r in ann:
+        t = texts[r["doc_id"]]
+        assert r["potential_topics"] == py_topics(t), r["doc_id"]
+        assert r["flags"] == py_flags(t), r["doc_id"]
+        assert r["lang"] == ("english" if len(set(t.lower().split()) & en) > 5 else "unknown")
+
+
+def test_tokens_and_chunks(docs, texts):
+    stop = set(stopwords.english())
+    toks = {r["doc_id"]: r["t"] for r in docs.select("doc_id", tx.tokens("text").alias("t")).collect()}
+    for i, t in texts.items():
+        assert toks[i] == re.findall(r"(?u)\b\w\w+\b", t.lower()), i
+    assert stop  # the list is read from the Spark jar
+    chunks = chunking.chunk_fixed(docs, keep=["doc_id"]).select("doc_id", "chunk_index", "text").collect()
+    got = {}
+    for r in chunks:
+        got.setdefault(r["doc_id"], {})[r["chunk_index"]] = r["text"]
+    for i, t in texts.items():
+        n = py_normalize(t)
+        pieces = [n] if len(n) <= 1000 else [p for p in (n[s:s + 1000].strip() for s in range(0, len(n), 800)) if p]
+        want = {j: p for j, p in enumerate(pieces) if len(p.strip()) >= 100}
+        assert got.get(i, {}) == want, i
