@@ -169,7 +169,8 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     sides = ltok.withColumn("side", F.lit(0)) if self_join else ltok.withColumn("side", F.lit(0)).unionByName(
         rtok.withColumn("side", F.lit(1)))
     df = sides.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    pre = _prefix(sides, df, prefix_len)
+    # prefixes feed both sides of the candidate join: computed once
+    pre = materialize(_prefix(sides, df, prefix_len))
     a = pre.where(F.col("side") == 0).select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token")
     b = (a if self_join else pre.where(F.col("side") == 1)).select(
         F.col("lid" if self_join else "id").alias("rid"), F.col("ln" if self_join else "n").alias("rn"), "token")
