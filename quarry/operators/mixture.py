@@ -277,6 +277,26 @@ def log_likelihood(vectors: DataFrame, model: MixtureModel, vec_col: str = "embe
     return float(t[-1] / max(t[:k].sum(), 1e-300))
 
 
+# --- MLlib alternative on reduced vectors ----------------------------------------------
+
+def fit_gmm_mllib(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", pca_dims: int | None = 16,
+                  seed: int = SEED, out_col: str = "cluster") -> DataFrame:
+    """MLlib's GaussianMixture, optionally after PCA (MLlib has no covariance
+    floor, so full-dimensional fits with few rows per component can fail).
+    Returns the rows with their component in ``out_col``."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+
+    data = vectors.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
+    feat = "_v"
+    if pca_dims:
+        data = PCA(k=pca_dims, inputCol="_v", outputCol="_p").fit(data).transform(data)
+        feat = "_p"
+    gm = GaussianMixture(k=k, seed=seed, featuresCol=feat, predictionCol=out_col, probabilityCol="_prob")
+    out = gm.fit(data).transform(data)
+    return out.drop("_v", "_p", "_prob")
+
+
 # --- diagonal mixture from given labels ---------------------------------------------------
 
 def diagonal_from_labels(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding",
