@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunking
 from quarry.plans import jobs
-from quarry.streaming import ingest
+from quarry.streaming import ingest, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,23 @@ def test_streaming_ingest(spark, scratch):
     want = chunking.chunk_fixed(docs, keep=["doc_id"])
     assert got.count() == want.count()
     assert got.select("doc_id", "chunk_index").exceptAll(want.select("doc_id", "chunk_index")).count() == 0
+
+
+def test_cluster_filter(spark, built):
+    _, idx = built
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(2)
+    hits = jobs.query_index(idx, q, k=5, methods=("gmm",), cluster_filter=1)["hits"]
+    ids = [r["doc_id"] for r in hits.collect()]
+    clusters = {r["cluster"] for r in idx.chunks.where(F.col("chunk_id").isin(ids)).select("cluster").collect()}
+    assert ids and clusters == {1}
+
+
+def test_streaming_queries(spark, built, scratch):
+    root, _ = built
+    out, ckpt = os.path.join(scratch, "hits"), os.path.join(scratch, "qckpt")
+    q = queries.start_query_stream(spark, root, SF, out, ckpt, glob="benchmark.parquet", k=3)
+    q.awaitTermination(600)
+    hits = spark.read.parquet(out)
+    n_q = spark.read.parquet(f"{SF}/benchmark.parquet").count()
+    assert hits.select("query_id").distinct().count() == n_q
+    assert hits.groupBy("query_id").count().where("count > 3").count() == 0
