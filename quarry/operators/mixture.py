@@ -104,6 +104,7 @@ def _batch_matrix(b: pa.RecordBatch, d: int) -> np.ndarray:
 def _sum_stats(x: DataFrame, fn, size: int) -> np.ndarray:
     """Run ``fn`` per partition (yields flat stats arrays) and sum them."""
     stats = x.mapInArrow(fn, "s array<double>")
+    # one row: the summed statistics (k + k·d + k·d² numbers), never data rows
     total = stats.agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("t")).collect()[0]["t"]
     return np.zeros(size) if total is None else np.asarray(total)
 
@@ -336,7 +337,7 @@ def assign_diagonal(vectors: DataFrame, params: DataFrame, vec_col: str = "embed
     expression as literals, so the assignment is a narrow projection with no
     join at all.
     """
-    rows = sorted(params.collect(), key=lambda r: r["component"])
+    rows = sorted(params.collect(), key=lambda r: r["component"])  # k parameter rows
     comps = F.array(*[F.struct(
         F.lit(int(r["component"])).alias("c"),
         F.lit(float(r["weight"])).alias("w"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import similarity as sim
+from tests.bruteforce import brute_force_pairs
 
 
 def test_scalar_cases(spark):
@@ -32,7 +33,7 @@ def test_self_join_matches_brute_force(spark, method, t):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
     got = sorted((r["left_id"], r["right_id"], round(r["similarity"], 9), r["left_copies"], r["right_copies"])
                  for r in sim.similarity_join(df, None, method, t).collect())
-    assert got == sim.brute_force_pairs(df, None, method, t)
+    assert got == brute_force_pairs(df, None, method, t)
 
 
 def test_copies_collapse(spark):
@@ -50,6 +51,6 @@ def test_two_sided_join(spark):
     right = spark.createDataFrame([(10, "alpha beta"), (11, "gamma delta"), (12, "zeta")], "id long, text string")
     got = sorted((r["left_id"], r["right_id"]) for r in sim.similarity_join(left, right, "jaccard", 0.6).collect())
     assert got == [(0, 10), (1, 11)]
-    assert sorted(sim.brute_force_pairs(left, right, "jaccard", 0.6)) == [(0, 10, 1.0, 1, 1), (1, 11, round(2 / 3, 9), 1, 1)]
+    assert sorted(brute_force_pairs(left, right, "jaccard", 0.6)) == [(0, 10, 1.0, 1, 1), (1, 11, round(2 / 3, 9), 1, 1)]
     with pytest.raises(ValueError):
         sim.similarity_join(left, right, "jaccard", 0.0)
