@@ -263,10 +263,11 @@ def build_bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     words = analyze(docs, "doc_id", "text", stop, 1).withColumnRenamed("_n_words", "dl")
     staged = (term_counts(words, "_terms").select("doc_id", "dl", F.explode_outer("_tf").alias("_t"))
               .where(F.col("_t").isNotNull()))
-    postings = staged.select("doc_id", F.col("_t.term").alias("term"),
-                             F.col("_t.tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    # postings feed the term statistics, the total length and every search
+    postings = materialize(staged.select("doc_id", F.col("_t.term").alias("term"),
+                                         F.col("_t.tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl")))
     n_docs = docs.select(F.count("*").cast("double")).scalar()
-    total_len = words.select(F.sum("dl").cast("double")).scalar()
+    total_len = postings.select(F.sum("tf").cast("double")).scalar()  # = sum of document lengths
     avgdl = total_len / n_docs
     stats = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
         "idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
