@@ -329,7 +329,7 @@ def diagonal_log_density(x: Column, weight: Column, mean: Column, var: Column) -
     return F.log(weight) - 0.5 * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
 
 
-def assign_diagonal(vectors: DataFrame, params: DataFrame, vec_col: str = "embedding",
+def assign_diagonal(vectors: DataFrame, params: DataFrame | list, vec_col: str = "embedding",
                     out_col: str = "cluster") -> DataFrame:
     """Most probable component under diagonal parameters (ties to the smaller id).
 
@@ -337,7 +337,8 @@ def assign_diagonal(vectors: DataFrame, params: DataFrame, vec_col: str = "embed
     expression as literals, so the assignment is a narrow projection with no
     join at all.
     """
-    rows = sorted(params.collect(), key=lambda r: r["component"])  # k parameter rows
+    collected = params if isinstance(params, list) else params.collect()  # k parameter rows
+    rows = sorted(collected, key=lambda r: r["component"])
     comps = F.array(*[F.struct(
         F.lit(int(r["component"])).alias("c"),
         F.lit(float(r["weight"])).alias("w"),

@@ -47,7 +47,7 @@ def method_hits(spark, sf_dir, methods=("spider", "bm25", "gmm"), scope_col: str
         idx = lexical.build_tfidf_index(docs)
         out["bm25"] = lexical.tfidf_search(idx, queries, k=K)
     if "gmm" in methods:
-        params = mixture.diagonal_from_labels(dvec, label_col="lang")
+        params = mixture.diagonal_from_labels(dvec, label_col="lang").collect()  # k rows, used twice
         dcl = mixture.assign_diagonal(dvec, params)
         qcl = mixture.assign_diagonal(qvec, params)
         out["gmm"] = dense.dense_search(dcl, qcl, k=K, group_col="cluster", query_group_col="cluster")
