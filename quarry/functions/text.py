@@ -203,8 +203,8 @@ def sorted_struct(*names: str) -> Column:
 # --- lexical tokens -----------------------------------------------------------------
 
 def tokens(col: Column | str) -> Column:
-    """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN), 0)
+    """Lower-cased runs of two or more word characters (empty for null text)."""
+    return F.coalesce(F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN), 0), F.array().cast("array<string>"))
 
 
 def without(words: Column, stop_words: list[str]) -> Column:

@@ -78,7 +78,8 @@ def _keys(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFrame:
         key = F.sort_array(word_set(t))
     else:
         key = t
-    return df.select(F.col(id_col).alias("id"), key.alias("key"))
+    # a record without text has no similarity to anything
+    return df.where(t.isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"))
 
 
 def _representatives(keys: DataFrame, method: str) -> DataFrame:
