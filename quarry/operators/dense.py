@@ -153,7 +153,7 @@ def _block_scorer(block, k: int, min_score: float | None, id_col: str, vec_col:
             ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = _unit_rows(flat.reshape(b.num_rows, qmat.shape[1]))
-            s = qn @ x.T
+            s = np.nan_to_num(qn @ x.T, nan=-np.inf)
             if qgroups is not None:
                 g = b.column(group_col).to_numpy(zero_copy_only=False)
                 if qgroups.ndim == 1:
@@ -204,7 +204,11 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v")]
     if group_col:
         cols.append(F.col(group_col).alias("g"))
-    x = corpus.select(*cols).where(F.col("v").isNotNull())
+    dim = len(first[0]["qv"]) if first else 0
+    # rows that cannot be scored (missing, wrong length, NaN) are skipped;
+    # ``vector_audit`` reports them
+    x = corpus.select(*cols).where(
+        F.col("v").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda e: F.isnan(e)))
     schema = "query_id long, doc_id long, score double"
     parts = []
     for block in blocks:

@@ -92,8 +92,13 @@ def _second_moments(r: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, vec_col: str, id_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")
-                     ).where(F.col("v").isNotNull())
+    """(id, v) of usable rows: no missing vector, no NaN, the most common
+    length (computed with a combinable aggregate)."""
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")
+                  ).where(F.col("v").isNotNull() & ~F.exists("v", lambda e: F.isnan(e)))
+    dim = (v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
+           .select("d").scalar())
+    return v.where(F.size("v") == dim)
 
 
 def _batch_matrix(b: pa.RecordBatch, d: int) -> np.ndarray:

@@ -96,3 +96,15 @@ def test_query_blocks_agree(spark, monkeypatch):
     one = run()
     monkeypatch.setattr(dense, "MAX_QUERY_BLOCK", 3)  # several blocks, same answer
     assert run() == one
+
+
+def test_bad_vectors_are_skipped(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0, float("nan"), 0.0]),
+            (5, [1.0, 1.0]), (6, [0.9, 0.1, 0.0]), (6, [0.8, 0.2, 0.0])] + [(10 + i, [float(i % 3), 1.0, 0.5])
+                                                                          for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    got = [r["doc_id"] for r in dense.dense_search(df, q, k=3).orderBy("rank").collect()]
+    assert got == [1, 6, 6] and 4 not in got and 5 not in got
+    m = mixture.fit_gmm(df.withColumnRenamed("doc_id", "vec_id"), k=2, max_iter=5)
+    assert m.means.shape == (2, 3) and np.all(np.isfinite(m.means))
