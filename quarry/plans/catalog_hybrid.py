@@ -22,7 +22,7 @@ HISTORY_TURNS = 2
 
 # --- Spark side -----------------------------------------------------------------------------
 
-def method_hits(spark, sf_dir, methods=("spider", "bm25", "gmm"), scope_col: str | None = None,
+def method_hits(spark, sf_dir, methods=("spider", "bm25", "gmm"),
                 doc_filter: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """Per-method top-k for every benchmark query (FLT-5 picks the methods).
 
