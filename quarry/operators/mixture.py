@@ -5,7 +5,7 @@ Spark job: every task turns its partition into sufficient statistics
 (Σr, Σr·x, Σr·x·xᵀ and the log-likelihood) with numpy, MLlib's
 ``Summarizer`` sums them across tasks (partial aggregation, no row ever
 reaches the driver), and the driver only updates k·d² numbers.  The
-starting point is deterministic: k seed rows chosen by a hash of the id,
+starting point is deterministic: k-means++ seeds drawn with a seeded hash,
 refined by Lloyd steps computed the same way.
 
 Assignment (``assign``) ships the fitted parameters with the task and
@@ -164,14 +164,58 @@ def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
     return fn
 
 
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    """Deterministic uniforms in (0, 1) from ids (splitmix64 of id and salt)."""
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _seed_key_fn(centres: np.ndarray, d: int, salt: int):
+    """Weighted-sampling key per row: -ln(u) / D², where D is the distance
+    to the nearest chosen centre; the smallest key is a draw ∝ D²."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = _batch_matrix(b, d)
+            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            d2 = ((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :]).min(axis=1)
+            key = -np.log(_uniform(ids, salt)) / np.maximum(d2, 1e-300)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), b.column("v")], names=["key", "id", "v"])
+
+    return fn
+
+
+def kmeanspp_seeds(x: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
+    """k-means++ starting centres over (id, v) rows, deterministic for a seed.
+
+    The first centre is the row with the smallest id hash; each further one
+    is one job whose tasks key every row and keep the smallest key
+    (TakeOrderedAndProject), so only one row per step reaches the driver.
+    """
+    first = x.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).collect()[0]
+    centres = [np.asarray(first["v"], dtype=np.float64)]
+    d = len(centres[0])
+    for step in range(1, k):
+        keyed = x.mapInArrow(_seed_key_fn(np.array(centres), d, seed * 1000 + step),
+                             "key double, id long, v array<double>")
+        row = keyed.orderBy("key", "id").limit(1).collect()[0]
+        centres.append(np.asarray(row["v"], dtype=np.float64))
+    return np.array(centres)
+
+
 def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str = "vec_id", seed: int = SEED,
            max_iter: int = 20, tol: float = 1e-4) -> np.ndarray:
     """Lloyd's k-means; returns the (k, d) centres.  Seeds are the k rows with
     the smallest hash of the id; each step is one job of per-task sums."""
     x = _vectors(vectors, vec_col, id_col).persist()
     try:
-        seeds = x.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()  # k rows
-        centres = np.array([r["v"] for r in seeds], dtype=np.float64)
+        centres = kmeanspp_seeds(x, k, seed)
         kk, d = centres.shape
         size = kk + kk * d
         for _ in range(max_iter):
@@ -205,8 +249,7 @@ def fit_gmm(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", id_col:
         n = x.count()
         if k > n:
             raise ValueError(f"n_components={k} must be <= number of rows ({n})")
-        seeds = x.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()  # k rows
-        centres = np.array([r["v"] for r in seeds], dtype=np.float64)
+        centres = kmeanspp_seeds(x, k, seed)
         d = centres.shape[1]
         size_h = k + k * d + k * d * d
         for _ in range(max(1, lloyd_steps)):
