@@ -122,7 +122,7 @@ def _prefix(tokens: DataFrame, df: DataFrame, prefix_len: Column) -> DataFrame:
     ranked = tokens.join(df, "token")
     w = Window.partitionBy("side", "id").orderBy("df", "token")
     return (ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= prefix_len)
-            .select("side", "id", "n", "token"))
+            .select("side", "id", "n", "token", "_r"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard",
@@ -172,15 +172,28 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     df = sides.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # prefixes feed both sides of the candidate join: computed once
     pre = materialize(_prefix(sides, df, prefix_len))
-    a = pre.where(F.col("side") == 0).select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token")
-    b = (a if self_join else pre.where(F.col("side") == 1)).select(
-        F.col("lid" if self_join else "id").alias("rid"), F.col("ln" if self_join else "n").alias("rn"), "token")
+    a = pre.where(F.col("side") == 0).select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token",
+                                             F.col("_r").alias("lr"))
+    b = (a if self_join else pre.where(F.col("side") == 1).select(
+        F.col("id").alias("lid"), F.col("n").alias("ln"), "token", F.col("_r").alias("lr"))).select(
+        F.col("lid").alias("rid"), F.col("ln").alias("rn"), "token", F.col("lr").alias("rr"))
     cand = a.join(b, "token")
     if self_join:
         cand = cand.where(F.col("lid") < F.col("rid"))
     # length filter (exact): sizes of a qualifying pair are within a factor t
     cand = cand.where((F.col("ln") >= F.col("rn") * t - 1e-9) & (F.col("rn") >= F.col("ln") * t - 1e-9))
-    pairs = cand.select("lid", "rid").distinct()
+    if method == "levenshtein":
+        pairs = cand.select("lid", "rid").distinct()
+    else:
+        # positional filter (exact): both records list tokens in the same global
+        # order, so after their first shared token at ranks (lr, rr) at most
+        # 1 + min(ln - lr, rn - rr) tokens can be shared; Jaccard >= t needs
+        # an overlap of t / (1 + t) * (ln + rn)
+        firsts = cand.groupBy("lid", "rid").agg(
+            F.min(F.struct("lr", "rr")).alias("_f"), F.first("ln").alias("ln"), F.first("rn").alias("rn"))
+        bound = 1 + F.least(F.col("ln") - F.col("_f.lr"), F.col("rn") - F.col("_f.rr"))
+        need = (F.col("ln") + F.col("rn")) * (t / (1 + t))
+        pairs = firsts.where(bound >= need - 1e-9).select("lid", "rid")
 
     # verification needs only the token sets (or, for edit distance, the text)
     payload = "text" if method == "levenshtein" else "toks"
