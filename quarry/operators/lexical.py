@@ -198,7 +198,8 @@ def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     qv = query_vectors(index, q)
     if n_queries is None:
-        n_queries = q.count()  # size check before broadcasting the query side
+        # size check before broadcasting the query side (counts at most limit + 1)
+        n_queries = q.limit(BROADCAST_QUERY_LIMIT + 1).count()
     hits = _join_queries(index.postings, qv, n_queries, index.pushdown_terms)
     scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
     top = top_k_per_query(scores, k)
@@ -214,7 +215,7 @@ def scoped_search(index: LexicalIndex, queries: DataFrame, scopes: DataFrame, k:
     (doc_id, scope); only documents with a positive score are returned."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     qv = query_vectors(index, q)
-    hits = _join_queries(index.postings, qv, q.count(), index.pushdown_terms)
+    hits = _join_queries(index.postings, qv, q.limit(BROADCAST_QUERY_LIMIT + 1).count(), index.pushdown_terms)
     scores = (hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
               .join(scopes.select("doc_id", "scope"), "doc_id"))
     w = Window.partitionBy("query_id", "scope").orderBy(F.desc(F.round("score", 9)), "doc_id")
