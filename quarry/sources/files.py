@@ -54,7 +54,8 @@ def scan_files(spark: SparkSession, path: str, supported=SUPPORTED,
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
-    """source_file, filename (stem), file_size_mb, file_type, chapter, page, date."""
+    """source_file, filename (stem), file_size_mb, file_type, chapter, page, date,
+    processing_timestamp (run-time value: never part of a content id)."""
     p = F.col("path")
     return files.select(
         "*",
@@ -64,6 +65,7 @@ def file_metadata(files: DataFrame) -> DataFrame:
         tx.chapter_from_name(p).alias("chapter"),
         tx.page_from_name(p).alias("page"),
         tx.date_from_name(p).alias("date"),
+        F.current_timestamp().alias("processing_timestamp"),
     )
 
 

@@ -60,3 +60,14 @@ def test_render_table_and_groups(spark):
     groups = {r["group"]: r for r in render.render_groups(df, "g", ["id"], limit=3).collect()}
     assert groups["g0"]["text"] == "\n--- Sheet: g0 ---\nColumns: id, v\n\nRow 1: 2 | 2.0\nRow 2: 4 | 4.0\nRow 3: 6 | 6.0\n"
     assert groups["g1"]["text"].endswith("\n... and 1 more rows\n")
+
+
+def test_corpus_stats_empty_and_filled(spark):
+    from quarry.operators import reports
+
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert reports.corpus_stats(empty).count() == 0
+    full = spark.createDataFrame([(1, "a b c"), (2, "dd ee")], "doc_id long, text string")
+    r = reports.corpus_stats(full).collect()[0]
+    assert (r["total_chunks"], r["chunk_characters"], r["total_words"], r["min_chunk_size"], r["max_chunk_size"]) == (
+        2, 10, 5, 5, 5)
