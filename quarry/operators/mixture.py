@@ -11,7 +11,7 @@ refined by Lloyd steps computed the same way.
 Assignment (``assign``) ships the fitted parameters with the task and
 labels each row by its most probable component (ties to the smaller index).
 ``diagonal_from_labels`` estimates a diagonal mixture in one pass from given
-labels; its assignment (``assign_diagonal``) is a pure column expression.
+labels; ``assign_diagonal`` scores rows against it the same way.
 """
 
 from __future__ import annotations
@@ -101,6 +101,14 @@ def _vectors(df: DataFrame, vec_col: str, id_col: str) -> DataFrame:
     return v.where(F.size("v") == dim)
 
 
+def _usable(col: pa.Array, d: int) -> np.ndarray:
+    """Rows with a vector of length ``d`` (others get a null assignment)."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    return np.asarray(lengths == d)
+
+
 def _batch_matrix(b: pa.RecordBatch, d: int) -> np.ndarray:
     flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(b.num_rows, d)
@@ -305,7 +313,7 @@ def assign(vectors: DataFrame, model: MixtureModel, vec_col: str = "embedding",
             if b.num_rows == 0:
                 continue
             col = b.column(vec_col)
-            valid = ~np.asarray(col.is_null().to_numpy(zero_copy_only=False))
+            valid = _usable(col, d)
             lab = np.full(b.num_rows, -1, dtype=np.int32)
             if valid.any():
                 x = _batch_matrix(pa.RecordBatch.from_arrays([col.filter(pa.array(valid))], names=["v"]), d)
@@ -371,34 +379,40 @@ def diagonal_from_labels(vectors: DataFrame, label_col: str = "label", vec_col:
         F.transform(vector_to_array("m.variance"), lambda x: x + reg).alias("var"))
 
 
-def diagonal_log_density(x: Column, weight: Column, mean: Column, var: Column) -> Column:
-    terms = F.zip_with(F.arrays_zip(x.alias("x"), mean.alias("m")), var, lambda xm, v: F.log(
-        F.lit(2 * np.pi) * v) + (xm["x"] - xm["m"]) * (xm["x"] - xm["m"]) / v)
-    return F.log(weight) - 0.5 * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-
-
 def assign_diagonal(vectors: DataFrame, params: DataFrame | list, vec_col: str = "embedding",
                     out_col: str = "cluster") -> DataFrame:
     """Most probable component under diagonal parameters (ties to the smaller id).
 
-    The k parameter rows are collected (bounded by k·d) and written into the
-    expression as literals, so the assignment is a narrow projection with no
-    join at all.
+    The k parameter rows are collected (k·d numbers) and travel with the
+    task; each Arrow batch is scored with numpy, so plan size does not grow
+    with k or d and no join is needed.
     """
     collected = params if isinstance(params, list) else params.collect()  # k parameter rows
     rows = sorted(collected, key=lambda r: r["component"])
-    comps = F.array(*[F.struct(
-        F.lit(int(r["component"])).alias("c"),
-        F.lit(float(r["weight"])).alias("w"),
-        F.array(*[F.lit(float(m)) for m in r["mean"]]).alias("m"),
-        F.array(*[F.lit(float(v)) for v in r["var"]]).alias("v")) for r in rows])
-    x = F.col("_x")
-    dens = F.transform(comps, lambda p: F.struct(
-        diagonal_log_density(x, p["w"], p["m"], p["v"]).alias("ld"), p["c"].alias("c")))
-    staged = vectors.withColumn("_x", F.col(vec_col).cast("array<double>"))
-    best = F.aggregate(dens, F.struct(F.lit(float("-inf")).alias("ld"), F.lit(-1).alias("c")),
-                       lambda acc, e: F.when(e["ld"] > acc["ld"], e).otherwise(acc))
-    return staged.withColumn(out_col, best["c"]).drop("_x")
+    comp = np.array([int(r["component"]) for r in rows], dtype=np.int32)
+    logw = np.log(np.array([float(r["weight"]) for r in rows]))
+    mean = np.array([r["mean"] for r in rows], dtype=np.float64)
+    var = np.array([r["var"] for r in rows], dtype=np.float64)
+    const = logw - 0.5 * np.log(2 * np.pi * var).sum(axis=1)
+    d = mean.shape[1]
+    out_schema = T.StructType(list(vectors.schema.fields) + [T.StructField(out_col, T.IntegerType())])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            col = b.column(vec_col)
+            ok = _usable(col, d)
+            lab = np.full(b.num_rows, -1, dtype=np.int32)
+            if ok.any():
+                x = _batch_matrix(pa.RecordBatch.from_arrays([col.filter(pa.array(ok))], names=["v"]), d)
+                ld = np.stack([const[j] - 0.5 * (((x - mean[j]) ** 2) / var[j]).sum(axis=1)
+                               for j in range(len(comp))], axis=1)
+                lab[ok] = comp[np.argmax(ld, axis=1)]
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(lab, pa.int32(), mask=~ok)],
+                                             names=list(b.schema.names) + [out_col])
+
+    return vectors.mapInArrow(fn, out_schema)
 
 
 # --- reports --------------------------------------------------------------------------------
