@@ -18,6 +18,11 @@ out of the candidate join (AQE splits what skew remains).
 For edit similarity the tokens are padded q-grams numbered by occurrence
 (q = 2 when the threshold is >= 0.5, else single characters), with prefix
 length q·tau + 1 where tau is the largest distance a partner may have.
+
+Before any of this, identical records (same token set, or same text) are
+collapsed into one representative with a ``copies`` count, so a group of
+copies never expands into all of its pairs; set similarities also apply the
+positional bound of the first shared token before verification.
 """
 
 from __future__ import annotations
