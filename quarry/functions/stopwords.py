@@ -1,31 +1,29 @@
 """Stop-word lists.
 
-The default English list is the one shipped inside Spark's MLlib jar (the same
-list ``StopWordsRemover.loadDefaultStopWords('english')`` returns).  It is read
-straight from the jar so that no JVM is needed (oracle SQL is built from it
-too).  Any other list can be passed to the lexical operators as a parameter.
+The default English list holds the words of
+``StopWordsRemover.loadDefaultStopWords("english")`` of Apache Spark (Apache
+License 2.0; Spark took it from the public Snowball/Postgres list).  It is kept
+here as text, so neither a JVM nor a jar is needed to build a query or its
+oracle.  Any other list can be passed to the lexical operators as a parameter.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
-
-@functools.lru_cache(maxsize=None)
-def spark_stop_words(language: str = "english") -> tuple[str, ...]:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    with zipfile.ZipFile(jars[0]) as jar:
-        raw = jar.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    words = [w.strip() for w in raw.splitlines() if w.strip()]
-    return tuple(dict.fromkeys(words))
+# The public list, word for word and in its own order.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
 
 
 def english() -> list[str]:
-    return list(spark_stop_words("english"))
+    return list(ENGLISH)
