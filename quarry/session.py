@@ -1,8 +1,8 @@
 """Session helpers.
 
 The library never creates machine-local scratch space on a cluster: lineage is
-cut into the shared folder named by ``spark.checkpoint.dir``.  Only when that
-setting is absent (local tests) do we fall back to a fresh folder under /tmp.
+cut into the shared folder named by ``spark.checkpoint.dir``.  Only a local
+master (tests) may leave that setting out and gets a fresh folder under /tmp.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
