@@ -5,10 +5,8 @@
   normalised.  Slots are computed in the JVM; only int arrays reach Python,
   where numpy counts them.  Any other embedder can be plugged in through
   ``embed_texts`` (an Arrow-batched ``texts -> matrix`` callable).
-* ``dense_search`` — exact cosine top-k for many queries: one Arrow task per
-  corpus partition multiplies the (size-checked, broadcast) query block with
-  the partition's vectors and keeps a running top-k per query, so at most
-  Q·k rows per partition ever leave a task; a window with rank <= k merges.
+* ``dense_search`` — exact cosine top-k for many queries, block by block (see
+  ``blocks``); a group column restricts which blocks meet at all.
 * ``dense_search_one`` — single query: a JVM-only cosine expression and a
   global ``orderBy().limit`` (TakeOrderedAndProject).
 """
@@ -20,18 +18,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text as tx
+from quarry.operators.blocks import TIE_DECIMALS, block_top_k
 
 HASH_DIM = 64
 DEFAULT_K = 10
-# Largest query block shipped to every task at once; more queries are scored
-# block by block (each block is its own union branch).
-MAX_QUERY_BLOCK = 4096
-TIE_DECIMALS = 9
 
 
 # --- embedding ---------------------------------------------------------------------------
@@ -105,136 +101,60 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merge_top_k(best_ids: np.ndarray, best_sc: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int):
-    """Row-wise top-k of [best | new] by (rounded score desc, id asc).
+def usable(vec: Column) -> Column:
+    """Whether a vector can be scored: not null, no null and no NaN inside.  Others
+    are skipped by the searches; ``rejected_vectors`` lists them."""
+    return vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
 
-    ``best_*`` are (Q, k) with -inf scores as padding; ``s`` is (Q, n) with
-    -inf for excluded documents.  Two stable sorts (by id, then by score)
-    break ties by id without any per-query Python loop.
-    """
-    q = s.shape[0]
-    all_ids = np.concatenate([best_ids, np.broadcast_to(ids, (q, ids.size))], axis=1)
-    all_sc = np.concatenate([best_sc, s], axis=1)
-    if all_sc.shape[1] > 4 * k:
-        # keep every candidate tied with the k-th best, drop the rest first
-        r = np.round(all_sc, TIE_DECIMALS)
-        kth = -np.partition(-r, k - 1, axis=1)[:, k - 1:k]
-        keep = r >= kth
-        width = int(keep.sum(axis=1).max())
-        idx = np.argsort(~keep, axis=1, kind="stable")[:, :width]
-        all_ids = np.take_along_axis(all_ids, idx, 1)
-        all_sc = np.take_along_axis(all_sc, idx, 1)
-    by_id = np.argsort(all_ids, axis=1, kind="stable")
-    ids1 = np.take_along_axis(all_ids, by_id, 1)
-    sc1 = np.take_along_axis(all_sc, by_id, 1)
-    by_score = np.argsort(-np.round(sc1, TIE_DECIMALS), axis=1, kind="stable")[:, :k]
-    out_ids = np.take_along_axis(ids1, by_score, 1)
-    out_sc = np.take_along_axis(sc1, by_score, 1)
-    if out_ids.shape[1] < k:
-        pad = k - out_ids.shape[1]
-        out_ids = np.pad(out_ids, ((0, 0), (0, pad)), constant_values=np.iinfo(np.int64).max)
-        out_sc = np.pad(out_sc, ((0, 0), (0, pad)), constant_values=-np.inf)
-    return out_ids, out_sc
-
-
-def _block_scorer(block, k: int, min_score: float | None, id_col: str, vec_col: str, group_col: str | None):
-    """``block`` is a broadcast of (query ids, query matrix, query groups): it
-    reaches each executor once instead of travelling with every task."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, qgroups = block.value
-        qn = _unit_rows(qmat)
-        nq = len(qids)
-        best_ids = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
-        best_sc = np.full((nq, k), -np.inf)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = _unit_rows(flat.reshape(b.num_rows, qmat.shape[1]))
-            s = np.nan_to_num(qn @ x.T, nan=-np.inf)
-            if qgroups is not None:
-                g = b.column(group_col).to_numpy(zero_copy_only=False)
-                if qgroups.ndim == 1:
-                    allowed = qgroups[:, None] == g[None, :]
-                else:  # several groups per query (probe lists)
-                    allowed = (qgroups[:, :, None] == g[None, None, :]).any(axis=1)
-                s = np.where(allowed, s, -np.inf)
-            if min_score is not None:
-                s = np.where(s >= min_score, s, -np.inf)
-            best_ids, best_sc = _merge_top_k(best_ids, best_sc, ids, s, k)
-        valid = np.isfinite(best_sc)
-        rows = np.nonzero(valid)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[rows[0]], pa.int64()), pa.array(best_ids[valid], pa.int64()),
-             pa.array(best_sc[valid], pa.float64())],
-            names=["query_id", "doc_id", "score"])
-
-    return score
+
+def rejected_vectors(vectors: DataFrame, dim: int, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, reason) of the rows that a search with ``dim`` components skips or refuses."""
+    v = F.col(vec_col)
+    return (vectors.select(F.col(id_col), F.when(v.isNull(), "missing").when(F.size(v) != dim, "wrong length")
+                           .when(~usable(v), "not a number").alias("reason")).where(F.col("reason").isNotNull()))
+
+
+def _matrix(rows: pa.Array, dim: int) -> np.ndarray:
+    vectors = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(vectors) != len(rows) * dim or not (np.asarray(pc.list_value_length(rows.field("v"))) == dim).all():
+        raise ValueError(f"a vector does not have {dim} components; see rejected_vectors()")
+    return _unit_rows(vectors.reshape(len(rows), dim))
 
 
 def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "doc_id",
                  vec_col: str = "embedding", query_id_col: str = "query_id", query_vec_col: str = "embedding",
                  group_col: str | None = None, query_group_col: str | None = None,
-                 min_score: float | None = None) -> DataFrame:
+                 min_score: float | None = None, skip_other_lengths: bool = False) -> DataFrame:
     """Exact cosine top-k for every query: (query_id, rank, doc_id, score).
 
-    With ``group_col``/``query_group_col`` a document only scores for queries
-    of the same group (cluster-restricted search).  With ``min_score`` only
-    documents at or above the threshold are returned.
-
-    The query side is collected in blocks of at most ``MAX_QUERY_BLOCK``
-    rows (its size is checked, never assumed) and shipped with the task.
+    With ``group_col``/``query_group_col`` a document only meets queries of its
+    group (cluster-restricted search; an array of groups gives a query several).
+    With ``min_score`` only documents at or above the threshold are returned.
+    Ids keep their type.  All usable query vectors must have one length; corpus
+    vectors of another raise, or are left out if the caller says so.
     """
-    qcols = [F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qv")]
-    if query_group_col:
-        qcols.append(F.col(query_group_col).alias("qg"))
-    qdf = queries.select(*qcols)
-    # one job when the queries fit one block (the common case); the size is
-    # checked by collecting at most one row more than a block holds
-    first = qdf.limit(MAX_QUERY_BLOCK + 1).collect()
-    if len(first) <= MAX_QUERY_BLOCK:
-        blocks = [first]
-    else:
-        n_q = qdf.count()
-        ordered = qdf.orderBy("query_id")
-        blocks = (ordered.offset(start).limit(MAX_QUERY_BLOCK).collect()
-                  for start in range(0, n_q, MAX_QUERY_BLOCK))
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v")]
-    if group_col:
-        cols.append(F.col(group_col).alias("g"))
-    dim = len(first[0]["qv"]) if first else 0
-    # rows that cannot be scored (missing, wrong length, NaN) are skipped;
-    # ``vector_audit`` reports them
-    x = corpus.select(*cols).where(
-        F.col("v").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda e: F.isnan(e)))
-    schema = "query_id long, doc_id long, score double"
-    parts = []
-    for block in blocks:
-        if not block:
-            continue
-        qids = np.array([r["query_id"] for r in block], dtype=np.int64)
-        qmat = np.array([r["qv"] for r in block], dtype=np.float64)
-        qgroups = np.array([r["qg"] for r in block]) if query_group_col else None
-        shipped = corpus.sparkSession.sparkContext.broadcast((qids, qmat, qgroups))
-        fn = _block_scorer(shipped, k, min_score, "doc_id", "v", "g" if group_col else None)
-        xb = x
-        if qgroups is not None:
-            # only the groups this block asks for are read (partition pruning
-            # when the corpus is stored partitioned by the group column)
-            wanted = sorted({v.item() if hasattr(v, "item") else v for v in np.unique(qgroups)})
-            xb = x.where(F.col("g").isin(wanted))
-        parts.append(xb.mapInArrow(fn, schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], schema + ", rank int").select(
-            "query_id", "rank", "doc_id", "score")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DECIMALS)), "doc_id")
-    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "doc_id", "score"))
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).cast("array<double>").alias("v"),
+                       *([F.col(query_group_col).alias("grp")] if query_group_col else [])).where(usable(F.col("v")))
+    seen = q.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
+    if seen["lo"] != seen["hi"]:
+        raise ValueError(f"query vectors have {seen['lo']} to {seen['hi']} components")
+    dim = seen["hi"] or 0
+    if query_group_col and isinstance(q.schema["grp"].dataType, T.ArrayType):
+        q = q.select("query_id", "v", F.explode("grp").alias("grp"))
+    x = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
+                      *([F.col(group_col).alias("grp")] if group_col else [])).where(usable(F.col("v")))
+    if skip_other_lengths:
+        x = x.where(F.size("v") == dim)
+
+    def prepare(rows: pa.Array) -> np.ndarray:
+        return _matrix(rows, dim)
+
+    def score(ready: np.ndarray, docs: pa.Array) -> np.ndarray:
+        s = ready @ _matrix(docs, dim).T
+        return s if min_score is None else np.where(s >= min_score, s, -np.inf)
+
+    return block_top_k(x, q, prepare, score, k, seen["n"], match_group=group_col is not None).select(
+        "query_id", "rank", "doc_id", "score")
 
 
 # --- approximate search (inverted lists) --------------------------------------------------
@@ -263,9 +183,10 @@ def nearest_lists(df: DataFrame, centres: np.ndarray, n: int = 1, vec_col: str =
 def ann_search(corpus: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = DEFAULT_K, nprobe: int = 3,
                id_col: str = "doc_id", vec_col: str = "embedding", query_id_col: str = "query_id",
                query_vec_col: str = "embedding", list_col: str | None = None) -> DataFrame:
-    """Approximate cosine top-k: each query scores only the documents of its
-    ``nprobe`` nearest lists (inverted-file search).  ``corpus`` may already
-    carry its list id in ``list_col`` (e.g. stored partitioned by it)."""
+    """Approximate cosine top-k: each query meets only the documents of its
+    ``nprobe`` nearest lists (inverted-file search), by a join on the list.
+    ``corpus`` may already carry its list id in ``list_col`` (e.g. stored
+    partitioned by it)."""
     if list_col is None:
         corpus, list_col = nearest_lists(corpus, centres, 1, vec_col, "list_id"), "list_id"
     q = nearest_lists(queries, centres, nprobe, query_vec_col, "_probe")

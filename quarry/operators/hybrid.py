@@ -122,6 +122,21 @@ def prompt(ctx: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFr
         F.lit(head), F.coalesce("context_text", F.lit("")), F.lit(mid), F.col("_q"), F.lit(tail)).alias("prompt"))
 
 
+def responses(hits: DataFrame, conf: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row per query: query_id, query, documents (its ranked hits, at most k
+    structs with all their columns), total_results, methods, confidence."""
+    cols = [c for c in hits.columns if c not in ("query_id", "rank")]
+    docs = hits.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", F.struct(*cols).alias("hit")))).alias("_d"),
+        F.array_sort(F.collect_set("method")).alias("methods"))
+    met = (queries.select("query_id", F.col(text_col).alias("query")).join(docs, "query_id", "left")
+           .join(conf.select("query_id", "confidence"), "query_id", "left"))
+    return met.select("query_id", "query", F.transform("_d", lambda d: d["hit"]).alias("documents"),
+                      F.coalesce(F.size("_d"), F.lit(0)).alias("total_results"),
+                      F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
+                      F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
 def answer(prompts: DataFrame, answer_fn, out_col: str = "answer") -> DataFrame:
     """Optional answer column from a user-supplied ``answer_fn(list[str]) -> list[str]``
     called once per Arrow batch (no client is shipped with the engine)."""

@@ -1,292 +1,260 @@
 """Lexical retrieval: TF-IDF cosine index and search, plus Okapi BM25.
 
-Index layout (all ordinary DataFrames, persistable as Parquet):
-
-* ``postings(doc_id, term, tf, weight)`` — ``weight`` is the L2-normalised
-  tf·idf of the term in the document (only vocabulary terms).
-* ``vocab(term, df, cf, idf)`` — at most ``max_features`` rows, so it is
-  safe to broadcast (its size bound is the parameter itself).
-* ``doc_ids(doc_id)`` — every indexed document (for zero-score fill).
-
-Term frequencies are counted inside each row (sort + run lengths), so the
-only shuffles of posting-sized data at build time are the per-document norm
-(one exchange by ``doc_id``) and, when persisting, the term-clustered layout.
+An index is sharded by document: ``vectors(doc_id, terms, weights)`` holds one
+row per document with its terms and their weights (the L2-normalised tf·idf, or
+BM25's saturated tf), and ``vocab(term, df, cf, idf)`` the vocabulary.  A search
+keeps queries as a DataFrame and scores blocks of them against packs of
+documents (see ``blocks``), so only the best k documents per query and task are
+ever shuffled: neither a common term's postings nor (query, document) scores.
+
+Tokens are counted per row in Arrow batches.  Counted rows are staged, as both
+the vocabulary and the vectors read them.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import stopwords
+from quarry.operators.blocks import block_top_k
 from quarry.session import materialize
-from quarry.functions import text as tx
 
 MAX_FEATURES = 10000
 DEFAULT_K = 10
-# Queries above this count are joined to the postings with a shuffle join
-# instead of a broadcast one.
-BROADCAST_QUERY_LIMIT = 100_000
-# Up to this many distinct query terms are also pushed into the postings scan
-# as ``term IN (...)`` (row groups of term-sorted postings are skipped).
-PUSHDOWN_TERM_LIMIT = 10_000
 BM25_K1 = 1.2
 BM25_B = 0.75
-
-
-def term_counts(df: DataFrame, terms_col: str) -> DataFrame:
-    """Replace ``terms_col`` (array<string>) by ``_tf`` array<struct<term, tf>>,
-    counted inside the row: sort, mark run starts, run lengths.
-
-    Lambdas only touch their own arguments; the sorted array is a column of
-    its own, so nothing is re-evaluated per element.
-    """
-    keep = [c for c in df.columns if c != terms_col]
-    srt = df.select(*keep, F.sort_array(terms_col).alias("_srt"))
-    prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("_srt")), 1, F.size("_srt"))
-    flags = F.zip_with("_srt", prev, lambda a, b: ~a.eqNullSafe(b))
-    starts = F.filter(F.transform(flags, lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda x: x >= 0)
-    staged = srt.select(*keep, "_srt", starts.alias("_st"))
-    ends = F.slice(F.concat("_st", F.array(F.size("_srt"))), 2, F.size("_st"))
-    counts = F.zip_with("_st", ends, lambda a, b: b - a)
-    tf = F.arrays_zip(F.array_distinct("_srt").alias("term"), counts.alias("tf"))
-    return staged.select(*keep, tf.alias("_tf"))
-
-
-def analyze(df: DataFrame, id_col: str, text_col: str, stop_words: list[str], ngram_max: int) -> DataFrame:
-    """(id, _terms): lower-cased tokens, stop words removed (hash lookup in
-    MLlib's StopWordsRemover), then unigrams plus bigrams of what remains."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    toks = df.select(F.col(id_col).alias(id_col), tx.tokens(text_col).alias("_tok"))
-    if stop_words:
-        remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=list(stop_words),
-                                   caseSensitive=True)
-        kept = remover.transform(toks).select(id_col, "_kept")
-    else:
-        kept = toks.select(id_col, F.col("_tok").alias("_kept"))
-    terms = tx.with_bigrams(F.col("_kept")) if ngram_max >= 2 else F.col("_kept")
-    return kept.select(id_col, terms.alias("_terms"), F.size("_kept").alias("_n_words"))
-
-
-def _exploded_counts(df: DataFrame, id_col: str, text_col: str, stop_words: list[str],
-                     ngram_max: int) -> DataFrame:
-    terms = analyze(df, id_col, text_col, stop_words, ngram_max).drop("_n_words")
-    counted = term_counts(terms, "_terms")
-    # explode_outer + null filter: a plain explode makes the optimizer infer a
-    # size(array) > 0 filter and push it below the projections, which would
-    # evaluate the whole analyzer twice.
-    return (counted.select(F.col(id_col).alias("doc_id"), F.explode_outer("_tf").alias("_t"))
-            .where(F.col("_t").isNotNull())
-            .select("doc_id", F.col("_t.term").alias("term"), F.col("_t.tf").cast("long").alias("tf")))
+PACK_ROWS = 512
+# (document term, query) matches that are expanded at once while scoring
+TILE = 1 << 21
+
+_TOKEN = re.compile(r"\w\w+")
+
+
+def term_lists(df: DataFrame, id_col: str, text_col: str, stop_words: list[str], ngram_max: int,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., terms, tfs, n_words): lower-cased runs of two or more word
+    characters, stop words removed, then unigrams plus bigrams of what remains,
+    counted per row (terms in order of first occurrence)."""
+    stop = frozenset(stop_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, tfs, sizes, n_words = [], [], [], []
+            for text in batch.column("_text").to_pylist():
+                words = [w for w in _TOKEN.findall(text.lower()) if w not in stop] if text else []
+                counts = Counter(words)
+                if ngram_max >= 2:
+                    counts.update(map(" ".join, itertools.pairwise(words)))
+                terms += counts.keys()
+                tfs += counts.values()
+                sizes.append(len(counts))
+                n_words.append(len(words))
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            rest = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in rest), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())),
+                 pa.ListArray.from_arrays(at, pa.array(tfs, pa.int64())), pa.array(n_words, pa.int64())],
+                [*rest, "terms", "tfs", "n_words"])
+
+    src = df.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([*(f for f in src.schema.fields if f.name != "_text"), T.StructField("terms", T.ArrayType(T.StringType())),
+                           T.StructField("tfs", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType())])
+    return src.mapInArrow(run, schema)
+
+
+def term_totals(lists: DataFrame) -> DataFrame:
+    """(term, df, cf): each task counts its rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, cf = Counter(), Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()),
+                 pa.array([cf[t] for t in df], pa.int64())], ["term", "df", "cf"])
+
+        for batch in batches:
+            terms, tfs = batch.column("terms").flatten().to_pylist(), batch.column("tfs").flatten().to_pylist()
+            df.update(terms)
+            for t, n in zip(terms, tfs, strict=True):
+                cf[t] += n
+            if len(df) > 500_000:
+                yield rows()
+                df.clear()
+                cf.clear()
+        yield rows()
+
+    part = lists.select("terms", "tfs").mapInArrow(run, "term string, df long, cf long")
+    return part.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame
+    vectors: DataFrame  # doc_id, terms, weights, kept columns
     vocab: DataFrame
-    doc_ids: DataFrame
     stop_words: list[str] = field(default_factory=list)
     ngram_max: int = 2
-    cached: list[DataFrame] = field(default_factory=list)
-    # set for indexes read back from storage: postings are sorted by term, so
-    # pushing the query terms into the scan skips row groups
-    pushdown_terms: bool = False
 
-    def unpersist(self) -> None:
-        for df in self.cached:
-            df.unpersist()
+    def postings(self) -> DataFrame:
+        """(doc_id, term, weight) in long form."""
+        return (self.vectors.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("t"))
+                .select("doc_id", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight")))
 
-    def terms(self, text: Column | str) -> Column:
-        return tx.lexical_terms(text, self.stop_words, self.ngram_max)
+
+def _weighted(lists: DataFrame, vocab: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., terms, weights): L2-normalised tf·idf over vocabulary terms.
+
+    The vocabulary meets the terms in a join whose side Spark sizes; a marker row
+    keeps rows without any vocabulary term."""
+    marked = lists.select(id_col, *keep, F.explode(F.concat(
+        F.array(F.lit(None).cast("struct<terms:string,tfs:bigint>")), F.arrays_zip("terms", "tfs"))).alias("t"))
+    met = (marked.select(id_col, *keep, F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+           .join(vocab.select("term", "idf"), "term", "left").where("term IS NULL OR idf IS NOT NULL"))
+    rows = met.groupBy(id_col, *keep).agg(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct(
+        "term", (F.col("tf") * F.col("idf")).alias("w")))).alias("t"))
+    # in the order of the terms, so that sums do not depend on the shuffle
+    rows = rows.withColumn("t", F.sort_array("t"))
+    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    rows = rows.select(id_col, *keep, "t", norm.alias("norm"))
+    return rows.select(id_col, *keep, F.col("t.term").alias("terms"), F.transform("t", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
 def build_tfidf_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      max_features: int = MAX_FEATURES, stop_words: list[str] | None = None,
-                      ngram_max: int = 2) -> LexicalIndex:
+                      max_features: int | None = MAX_FEATURES, stop_words: list[str] | None = None,
+                      ngram_max: int = 2, keep: tuple[str, ...] = ()) -> LexicalIndex:
     """TF-IDF (smooth idf, raw tf, L2 rows) over unigrams and bigrams.
 
-    Tokens are lower-cased runs of >= 2 word characters; stop words are
-    removed before bigrams are formed; the vocabulary keeps the
-    ``max_features`` terms with the highest corpus frequency (ties by term).
+    The vocabulary keeps the ``max_features`` terms of the highest corpus
+    frequency (ties by term); ``None`` keeps all.  ``keep`` columns stay with the
+    vectors, e.g. a chapter to search in.
     """
     stop = stopwords.english() if stop_words is None else list(stop_words)
-    docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # the counts feed both the vocabulary (global statistics) and the
-    # postings; keep them instead of tokenising the corpus twice
-    counts = materialize(_exploded_counts(docs, "doc_id", "text", stop, ngram_max))
-    n_docs = docs.select(F.count("*").cast("double")).scalar()
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    # at most max_features rows: cached once, then broadcast to every use
-    vocab = materialize(stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-                        .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0))
-    weighted = (counts.join(F.broadcast(vocab.select("term", "idf")), "term")
-                .withColumn("w", F.col("tf") * F.col("idf")))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    postings = weighted.select("doc_id", "term", "tf", (F.col("w") / norm).alias("weight"))
-    return LexicalIndex(postings, vocab, docs.select("doc_id"), stop, ngram_max, [counts, vocab])
-
-
-def query_vectors(index: LexicalIndex, queries: DataFrame, id_col: str = "query_id",
-                  text_col: str = "text") -> DataFrame:
-    """(query_id, term, qweight): L2-normalised tf·idf over vocabulary terms."""
-    counts = _exploded_counts(queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")),
-                              "query_id", "text", index.stop_words, index.ngram_max
-                              ).withColumnRenamed("doc_id", "query_id")
-    w = counts.join(F.broadcast(index.vocab.select("term", "idf")), "term").withColumn(
-        "w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    return w.select("query_id", "term", (F.col("w") / norm).alias("qweight"))
-
-
-def _join_queries(postings: DataFrame, qv: DataFrame, n_queries: int | None, pushdown: bool = False) -> DataFrame:
-    small = n_queries is not None and n_queries <= BROADCAST_QUERY_LIMIT
-    if small and pushdown:
-        terms = qv.select("term").distinct().limit(PUSHDOWN_TERM_LIMIT + 1).collect()  # bounded
-        if len(terms) <= PUSHDOWN_TERM_LIMIT:
-            postings = postings.where(F.col("term").isin([r["term"] for r in terms]))
-    return postings.join(F.broadcast(qv) if small else qv, "term")
-
-
-def top_k_per_query(scores: DataFrame, k: int, score_col: str = "score",
-                    id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rank within each query: score desc (rounded to 1e-9 so float noise does
-    not reorder ties), then ids ascending; keep ranks <= k.  Spark applies the
-    limit per partition before the shuffle (window group limit)."""
-    w = Window.partitionBy("query_id").orderBy(
-        F.desc(F.round(score_col, 9)), *[F.asc(c) for c in id_cols])
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def zero_fill(top: DataFrame, queries: DataFrame, doc_ids: DataFrame, k: int) -> DataFrame:
-    """Fill each query's list up to ``k`` with zero-score documents (smallest ids).
-
-    A query with m < k matches has all of its matches in ``top``; the first
-    k + m <= 2k ids of the corpus therefore hold enough non-matches.  That
-    pool is a bounded scalar subquery.  ``top`` is read once: each query's
-    (at most k) hits are grouped into one array, joined to the query list
-    (queries without any match included), extended and exploded again.
-    """
-    pool = (doc_ids.orderBy("doc_id").limit(2 * k)
-            .agg(F.sort_array(F.collect_list("doc_id")).alias("p")).scalar())
-    grouped = top.groupBy("query_id").agg(
-        F.collect_list(F.struct("rank", "doc_id", "score")).alias("_h"))
-    hit_type = "array<struct<rank:int,doc_id:bigint,score:double>>"
-    per_q = (queries.select("query_id").distinct().join(grouped, "query_id", "left")
-             .withColumn("_h", F.coalesce("_h", F.array().cast(hit_type))))
-    have = F.transform("_h", lambda h: h["doc_id"])
-    fill_ids = F.slice(F.array_except(pool, have), 1, F.greatest(F.lit(k) - F.size("_h"), F.lit(0)))
-    staged = per_q.select("query_id", "_h", fill_ids.alias("_f"))  # subquery kept out of the lambda below
-    fill = F.transform("_f", lambda d, i: F.struct(
-        (F.size("_h") + i + 1).cast("int").alias("rank"), d.alias("doc_id"), F.lit(0.0).alias("score")))
-    out = staged.select("query_id", F.explode_outer(F.concat("_h", fill)).alias("_x")).where(F.col("_x").isNotNull())
-    return out.select("query_id", F.col("_x.doc_id").alias("doc_id"), F.col("_x.score").alias("score"),
-                      F.col("_x.rank").alias("rank"))
-
-
-def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",
-                 text_col: str = "text", include_zero: bool = True,
-                 n_queries: int | None = None) -> DataFrame:
-    """Cosine top-k for every query: (query_id, rank, doc_id, score).
-
-    ``include_zero`` reproduces the fill-up of short result lists with
-    zero-score documents; ``n_queries`` (if known) lets small query sets be
-    broadcast to the postings.
-    """
+    docs = corpus.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    lists = materialize(term_lists(docs, "doc_id", "text", stop, ngram_max, keep), "terms")
+    n_docs = float(lists.count())
+    stats = term_totals(lists).withColumn("idf", F.log((1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0)
+    if max_features is not None:
+        stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    vocab = materialize(stats, "vocab")
+    return LexicalIndex(materialize(_weighted(lists, vocab, "doc_id", keep), "vectors"), vocab, stop, ngram_max)
+
+
+# --- scoring ------------------------------------------------------------------------------
+
+def _prepare(rows: pa.Array):
+    """Query terms and, per term, the queries that hold it (compressed rows)."""
+    terms, weights = rows.field("terms"), rows.field("weights")
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(terms), 0))
+    names, at = np.unique(np.array(terms.flatten().to_pylist(), dtype=object).astype(str), return_inverse=True)
+    query = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(at, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))]).astype(np.int64)
+    return len(rows), pa.array(names, pa.string()), starts, query[order], weights.flatten().to_numpy(zero_copy_only=False)[order]
+
+
+def _scorer(zeros: bool):
+    def score(ready, docs: pa.Array) -> np.ndarray:
+        n_queries, names, starts, query, q_weight = ready
+        out = np.zeros((n_queries, len(docs)))
+        terms = docs.field("terms")
+        doc = np.repeat(np.arange(len(docs)), np.asarray(pc.fill_null(pc.list_value_length(terms), 0)))
+        at = pc.index_in(terms.flatten(), value_set=names)
+        known = np.asarray(at.is_valid())
+        at = np.asarray(at.drop_null()).astype(np.int64)
+        doc, weight = doc[known], docs.field("weights").flatten().to_numpy(zero_copy_only=False)[known]
+        many = starts[at + 1] - starts[at]
+        cuts = np.searchsorted(np.cumsum(many), np.arange(TILE, many.sum() + TILE, TILE)) + 1 if len(many) else []
+        lo = 0
+        for hi in [*cuts, len(at)]:
+            hi = min(int(hi), len(at))
+            n = many[lo:hi]
+            if n.sum():
+                # each (document term) once per query that holds the term
+                first = np.repeat(starts[at[lo:hi]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                k = first + np.arange(n.sum())
+                cell = query[k] * len(docs) + np.repeat(doc[lo:hi], n)
+                out += np.bincount(cell, weights=q_weight[k] * np.repeat(weight[lo:hi], n), minlength=out.size).reshape(out.shape)
+            lo = hi
+        return out if zeros else np.where(out > 0, out, -np.inf)
+    return score
+
+
+def _queries(queries: DataFrame, index: LexicalIndex, id_col: str, text_col: str) -> DataFrame:
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
-    qv = query_vectors(index, q)
-    if n_queries is None:
-        # size check before broadcasting the query side (counts at most limit + 1)
-        n_queries = q.limit(BROADCAST_QUERY_LIMIT + 1).count()
-    hits = _join_queries(index.postings, qv, n_queries, index.pushdown_terms)
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
-    top = top_k_per_query(scores, k)
-    if include_zero:
-        top = zero_fill(top, q, index.doc_ids, k)
-    return top.select("query_id", "rank", "doc_id", "score")
-
-
-def scoped_search(index: LexicalIndex, queries: DataFrame, scopes: DataFrame, k: int = DEFAULT_K,
-                  id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """Top-k matching documents per (query, scope) — e.g. per chapter or file
-    group: (query_id, scope, rank, doc_id, score).  ``scopes`` is
-    (doc_id, scope); only documents with a positive score are returned."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
-    qv = query_vectors(index, q)
-    hits = _join_queries(index.postings, qv, q.limit(BROADCAST_QUERY_LIMIT + 1).count(), index.pushdown_terms)
-    scores = (hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
-              .join(scopes.select("doc_id", "scope"), "doc_id"))
-    w = Window.partitionBy("query_id", "scope").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "scope", "rank", "doc_id", "score"))
+    lists = term_lists(q, "query_id", "text", index.stop_words, index.ngram_max)
+    return materialize(_weighted(lists, index.vocab, "query_id"), "queries")
 
 
-def tfidf_search_one(index: LexicalIndex, text: str, k: int = DEFAULT_K,
-                     include_zero: bool = True) -> DataFrame:
-    """Single query: scores then a global ``orderBy().limit`` (TakeOrderedAndProject)."""
-    spark = index.postings.sparkSession
-    q = spark.createDataFrame([(0, text)], "query_id long, text string")
-    qv = query_vectors(index, q)
-    scores = (index.postings.join(F.broadcast(qv), "term")
-              .groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")))
-    if include_zero:
-        scores = index.doc_ids.join(scores, "doc_id", "left").fillna({"score": 0.0})
-    return (scores.orderBy(F.desc(F.round("score", 9)), F.asc("doc_id")).limit(k)
-            .withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id"))))
+def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",
+                 text_col: str = "text", include_zero: bool = True) -> DataFrame:
+    """Cosine top-k for every query: (query_id, rank, doc_id, score).  With
+    ``include_zero`` documents that share no term fill short lists up, by id."""
+    q = _queries(queries, index, id_col, text_col)
+    docs = index.vectors.select(F.col("doc_id").alias("id"), "terms", "weights")
+    return block_top_k(docs, q, _prepare, _scorer(include_zero), k, q.count(), pack_rows=PACK_ROWS)
 
 
-def vocabulary(index: LexicalIndex) -> DataFrame:
-    return index.vocab.select("term", "df", "cf", "idf")
+def scoped_search(index: LexicalIndex, queries: DataFrame, scope_col: str, k: int = DEFAULT_K, scope=None,
+                  id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """Top-k matching documents per (query, scope), e.g. per chapter:
+    (query_id, scope, rank, doc_id, score), positive scores only.  ``scope_col``
+    is a kept column of the index; a given ``scope`` restricts the documents
+    before anything is scored."""
+    q = _queries(queries, index, id_col, text_col)
+    docs = index.vectors.select(F.col("doc_id").alias("id"), F.col(scope_col).alias("grp"), "terms", "weights")
+    if scope is not None:
+        docs = docs.where(F.col("grp") == scope)
+    return block_top_k(docs, q, _prepare, _scorer(False), k, q.count(), per_group=True, pack_rows=PACK_ROWS).withColumnRenamed("grp", "scope")
 
 
 # --- Okapi BM25 -------------------------------------------------------------------------
 
 @dataclass
 class BM25Index:
-    postings: DataFrame  # doc_id, term, tf, dl
-    terms_stats: DataFrame  # term, df, idf
-    avgdl: Column
-    doc_ids: DataFrame
+    vectors: DataFrame  # doc_id, terms, weights (saturated tf)
+    lists: DataFrame  # doc_id, terms, tfs, n_words
+    n_docs: float
     stop_words: list[str]
 
 
 def build_bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     stop_words: list[str] | None = None) -> BM25Index:
-    """Okapi BM25 statistics over unigrams (same tokeniser and stop words).
-
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) (non-negative form).
-    Document length ``dl`` is the number of kept tokens, computed in-row.
-    """
+                     stop_words: list[str] | None = None, k1: float = BM25_K1, b: float = BM25_B) -> BM25Index:
+    """Okapi BM25 over unigrams (same tokeniser and stop words); a document's
+    length is the number of its kept tokens."""
     stop = stopwords.english() if stop_words is None else list(stop_words)
     docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = analyze(docs, "doc_id", "text", stop, 1).withColumnRenamed("_n_words", "dl")
-    staged = (term_counts(words, "_terms").select("doc_id", "dl", F.explode_outer("_tf").alias("_t"))
-              .where(F.col("_t").isNotNull()))
-    # postings feed the term statistics, the total length and every search
-    postings = materialize(staged.select("doc_id", F.col("_t.term").alias("term"),
-                                         F.col("_t.tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl")))
-    n_docs = docs.select(F.count("*").cast("double")).scalar()
-    total_len = postings.select(F.sum("tf").cast("double")).scalar()  # = sum of document lengths
-    avgdl = total_len / n_docs
-    stats = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return BM25Index(postings, stats, avgdl, docs.select("doc_id"), stop)
+    lists = materialize(term_lists(docs, "doc_id", "text", stop, 1), "bm25-terms")
+    seen = lists.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).first()
+    n_docs, average = float(seen["n"]), max(float(seen["words"] or 0) / max(seen["n"], 1), 1e-300)
+    length = k1 * (1 - b + b * F.col("n_words") / average)
+    vectors = lists.select("doc_id", "terms", length.alias("length"), "tfs").select(
+        "doc_id", "terms", F.transform("tfs", lambda tf: tf * (k1 + 1) / (tf + F.col("length"))).alias("weights"))
+    return BM25Index(vectors, lists, n_docs, stop)
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",
-                text_col: str = "text", k1: float = BM25_K1, b: float = BM25_B,
-                n_queries: int | None = None) -> DataFrame:
-    """Top-k BM25 per query over distinct query terms: (query_id, rank, doc_id, score)."""
-    q = analyze(queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")),
-                "query_id", "text", index.stop_words, 1)
-    qterms = (q.select("query_id", F.explode_outer(F.array_distinct("_terms")).alias("term"))
-              .where(F.col("term").isNotNull()))
-    small = n_queries is not None and n_queries <= BROADCAST_QUERY_LIMIT
-    qterms = index.terms_stats.join(F.broadcast(qterms) if small else qterms, "term")
-    hits = index.postings.join(F.broadcast(qterms) if small else qterms, "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / index.avgdl))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return top_k_per_query(scores, k).select("query_id", "rank", "doc_id", "score")
+                text_col: str = "text") -> DataFrame:
+    """Top-k BM25 per query over distinct query terms: (query_id, rank, doc_id, score).
+
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only the queries' terms get one."""
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
+    terms = term_lists(q, "query_id", "text", index.stop_words, 1).select("query_id", F.explode("terms").alias("term"))
+    stats = term_totals(index.lists).withColumn(
+        "idf", F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    held = (terms.join(stats.select("term", "idf"), "term").groupBy("query_id")
+            .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
+            .select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights")))
+    held = materialize(held, "bm25-queries")
+    docs = index.vectors.select(F.col("doc_id").alias("id"), "terms", "weights")
+    return block_top_k(docs, held, _prepare, _scorer(False), k, held.count(), pack_rows=PACK_ROWS)

@@ -2,9 +2,9 @@
 
 Fitting (``fit_gmm``) is expectation-maximisation where each iteration is one
 Spark job: every task turns its partition into sufficient statistics
-(Σr, Σr·x, Σr·x·xᵀ and the log-likelihood) with numpy, MLlib's
-``Summarizer`` sums them across tasks (partial aggregation, no row ever
-reaches the driver), and the driver only updates k·d² numbers.  The
+(Σr, Σr·y, Σr·y·yᵀ with y the offset from the present mean, and the
+log-likelihood) with numpy, MLlib's ``Summarizer`` sums them across tasks in
+two levels (no row ever reaches the driver), and the driver only updates k·d² numbers.  The
 starting point is deterministic: k-means++ seeds drawn with a seeded hash,
 refined by Lloyd steps computed the same way.
 
@@ -21,12 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators import dense
+
 REG_COVAR = 1e-6
 TOL = 1e-3
 MAX_ITER = 100
@@ -86,27 +89,37 @@ def _logsumexp(a: np.ndarray) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=1, keepdims=True))).ravel()
 
 
-def _second_moments(r: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Σ_n r[n, j] x_n x_nᵀ for every component j, one BLAS product each."""
-    return np.stack([(x * r[:, j:j + 1]).T @ x for j in range(r.shape[1])])
+def _second_moments(r: np.ndarray, x: np.ndarray, about: np.ndarray) -> np.ndarray:
+    """Σ_n r[n, j] (x_n - a_j)(x_n - a_j)ᵀ for every component j, one BLAS product
+    each; about the present means, so that large means cost no precision."""
+    out = []
+    for j in range(r.shape[1]):
+        y = x - about[j]
+        out.append((y * r[:, j:j + 1]).T @ y)
+    return np.stack(out)
 
 
 def _vectors(df: DataFrame, vec_col: str, id_col: str) -> DataFrame:
-    """(id, v) of usable rows: no missing vector, no NaN, the most common
-    length (computed with a combinable aggregate)."""
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")
-                  ).where(F.col("v").isNotNull() & ~F.exists("v", lambda e: F.isnan(e)))
-    dim = (v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-           .select("d").scalar())
-    return v.where(F.size("v") == dim)
+    """(id, v) of the rows with a vector free of nulls and NaN; mixed lengths raise.
 
+    ``id`` is a long: the id itself, or a hash of an id of another type (it only
+    decides how seeds are drawn)."""
+    number = dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    key = F.col(id_col).cast("long") if number else F.xxhash64(id_col)
+    v = df.select(key.alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(dense.usable(F.col("v")))
+    seen = v.agg(F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
+    if seen["lo"] != seen["hi"]:
+        raise ValueError(f"vectors have {seen['lo']} to {seen['hi']} components; see dense.rejected_vectors()")
+    return v
 
-def _usable(col: pa.Array, d: int) -> np.ndarray:
-    """Rows with a vector of length ``d`` (others get a null assignment)."""
-    import pyarrow.compute as pc
 
-    lengths = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
-    return np.asarray(lengths == d)
+def _usable(col: pa.Array, d: int) -> np.ndarray:
+    """Rows with a vector of length ``d`` without nulls and NaN (others get a null assignment)."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
+    values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    odd = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    ends = np.cumsum(lengths)
+    return (lengths == d) & (odd[ends] == odd[ends - lengths])
 
 
 def _batch_matrix(b: pa.RecordBatch, d: int) -> np.ndarray:
@@ -115,10 +128,14 @@ def _batch_matrix(b: pa.RecordBatch, d: int) -> np.ndarray:
 
 
 def _sum_stats(x: DataFrame, fn, size: int) -> np.ndarray:
-    """Run ``fn`` per partition (yields flat stats arrays) and sum them."""
-    stats = x.mapInArrow(fn, "s array<double>")
+    """Run ``fn`` per partition (yields flat stats arrays) and sum them in two
+    levels, so that no task reads the statistics of all others."""
+    parts = x.rdd.getNumPartitions()
+    stats = x.mapInArrow(fn, "s array<double>").select(
+        array_to_vector("s").alias("s"), F.pmod(F.spark_partition_id(), F.lit(max(1, round(parts ** 0.5)))).alias("g"))
+    middle = stats.groupBy("g").agg(Summarizer.sum(F.col("s")).alias("s"))
     # one row: the summed statistics (k + k·d + k·d² numbers), never data rows
-    total = stats.agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("t")).collect()[0]["t"]
+    total = middle.agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("t")).collect()[0]["t"]
     return np.zeros(size) if total is None else np.asarray(total)
 
 
@@ -138,8 +155,8 @@ def _em_stats_fn(model: MixtureModel, d: int):
             r = np.exp(lr - norm[:, None])
             ll += norm.sum()
             nk += r.sum(axis=0)
-            sx += r.T @ x
-            sxx += _second_moments(r, x)
+            sx += r.T @ x - r.sum(axis=0)[:, None] * mu
+            sxx += _second_moments(r, x, mu)
         flat = np.concatenate([nk, sx.ravel(), sxx.ravel(), [ll]])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
 
@@ -147,8 +164,8 @@ def _em_stats_fn(model: MixtureModel, d: int):
 
 
 def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
-    """Counts and sums (and, when asked, second moments) of the rows nearest
-    to each centre; Lloyd steps only need the first two."""
+    """Counts and sums (and, when asked, second moments), all about the centre, of
+    the rows nearest to each centre; Lloyd steps only need the first two."""
     k = len(centres)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +180,9 @@ def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
             r = np.zeros((len(x), k))
             r[np.arange(len(x)), lab] = 1.0
             nk += r.sum(axis=0)
-            sx += r.T @ x
+            sx += r.T @ x - r.sum(axis=0)[:, None] * centres
             if second_moments:
-                sxx += _second_moments(r, x)
+                sxx += _second_moments(r, x, centres)
         flat = np.concatenate([nk, sx.ravel(), sxx.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
 
@@ -187,6 +204,7 @@ def _seed_key_fn(centres: np.ndarray, d: int, salt: int):
     to the nearest chosen centre; the smallest key is a draw ∝ D²."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -194,7 +212,11 @@ def _seed_key_fn(centres: np.ndarray, d: int, salt: int):
             ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             d2 = ((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :]).min(axis=1)
             key = -np.log(_uniform(ids, salt)) / np.maximum(d2, 1e-300)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), b.column("v")], names=["key", "id", "v"])
+            i = int(np.lexsort((ids, key))[0])
+            if best is None or (key[i], ids[i]) < best[:2]:
+                best = (float(key[i]), int(ids[i]), x[i].tolist())
+        if best is not None:  # one row per task
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in best], names=["key", "id", "v"])
 
     return fn
 
@@ -229,7 +251,7 @@ def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str =
         for _ in range(max_iter):
             t = _sum_stats(x, _hard_stats_fn(centres, d, False), size)
             nk, sx = t[:kk], t[kk:kk + kk * d].reshape(kk, d)
-            new = np.where(nk[:, None] > 0, sx / np.maximum(nk, 1)[:, None], centres)
+            new = centres + sx / np.maximum(nk, 1)[:, None]
             shift = float(np.sum((new - centres) ** 2))
             centres = new
             if shift <= tol * max(float(np.sum(centres ** 2)), 1e-12):
@@ -239,15 +261,34 @@ def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str =
         x.unpersist()
 
 
-def _m_step(nk: np.ndarray, sx: np.ndarray, sxx: np.ndarray, n: int, reg: float) -> MixtureModel:
-    k, d = sx.shape
+def _m_step(nk: np.ndarray, sx: np.ndarray, sxx: np.ndarray, n: int, reg: float, about: np.ndarray) -> MixtureModel:
+    """New parameters from statistics taken about the points ``about``."""
+    d = sx.shape[1]
     nk_safe = nk + 10 * np.finfo(float).eps
-    means = sx / nk_safe[:, None]
-    covs = sxx / nk_safe[:, None, None] - np.einsum("ki,kj->kij", means, means)
+    shift = sx / nk_safe[:, None]
+    means = about + shift
+    covs = sxx / nk_safe[:, None, None] - np.einsum("ki,kj->kij", shift, shift)
     covs = 0.5 * (covs + np.transpose(covs, (0, 2, 1))) + reg * np.eye(d)[None]
     return MixtureModel(nk_safe / n, means, covs)
 
 
+def _em_step(x: DataFrame, model: MixtureModel, n: int, reg: float) -> tuple[MixtureModel, float]:
+    k, d = model.means.shape
+    size = k + k * d + k * d * d
+    t = _sum_stats(x, _em_stats_fn(model, d), size + 1)
+    return _m_step(t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:size].reshape(k, d, d), n, reg, model.means), t[-1] / n
+
+
+def em_step(vectors: DataFrame, model: MixtureModel, vec_col: str = "embedding", id_col: str = "vec_id",
+            reg: float = REG_COVAR) -> MixtureModel:
+    """One step of expectation-maximisation from given parameters; the returned
+    model's log-likelihood is the mean under the given ones."""
+    x = _vectors(vectors, vec_col, id_col)
+    after, ll = _em_step(x, model, x.count(), reg)
+    after.n_iter, after.log_likelihood = model.n_iter + 1, ll
+    return after
+
+
 def fit_gmm(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", id_col: str = "vec_id",
             seed: int = SEED, tol: float = TOL, max_iter: int = MAX_ITER, reg: float = REG_COVAR,
             lloyd_steps: int = LLOYD_STEPS) -> MixtureModel:
@@ -263,7 +304,7 @@ def fit_gmm(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", id_col:
         for _ in range(max(1, lloyd_steps)):
             t = _sum_stats(x, _hard_stats_fn(centres, d, False), k + k * d)
             nk, sx = t[:k], t[k:].reshape(k, d)
-            new = np.where(nk[:, None] > 0, sx / np.maximum(nk, 1)[:, None], centres)
+            new = centres + sx / np.maximum(nk, 1)[:, None]
             done = np.allclose(new, centres)
             centres = new
             if done:
@@ -271,14 +312,10 @@ def fit_gmm(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", id_col:
         # the starting mixture: one hard assignment to the final centres
         t = _sum_stats(x, _hard_stats_fn(centres, d, True), size_h)
         nk, sx, sxx = t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:].reshape(k, d, d)
-        model = _m_step(nk, sx, sxx, n, reg)
+        model = _m_step(nk, sx, sxx, n, reg, centres)
         prev = -np.inf
-        size = size_h + 1
         for it in range(1, max_iter + 1):
-            t = _sum_stats(x, _em_stats_fn(model, d), size)
-            ll = t[-1] / n
-            nk, sx, sxx = t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:size_h].reshape(k, d, d)
-            model = _m_step(nk, sx, sxx, n, reg)
+            model, ll = _em_step(x, model, n, reg)
             model.n_iter, model.log_likelihood = it, ll
             if abs(ll - prev) < tol:
                 model.converged = True

@@ -15,16 +15,14 @@ def consecutive_numbers(df: DataFrame, order_cols: list[str] | None = None, out_
 
     With ``order_cols`` the frame is range-partitioned and sorted by them
     (Spark samples the bounds, so a hot value is split across tasks);
-    without, the current partition order is kept.  The frame is
-    materialised so every pass sees the same partitions; per-partition row
+    without, the current partition order is kept.  The positions are
+    written once to the shared folder, so a lost executor cannot change them; per-partition row
     counts — one small row per partition — become offsets, and
     ``monotonically_increasing_id`` gives the position inside a partition.
     """
-    spark = df.sparkSession
     base = df
     if order_cols:
-        n = max(spark.sparkContext.defaultParallelism, 1)
-        base = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+        base = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     srt = materialize(base.withColumn("_pid", F.spark_partition_id())
                       .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(
                           F.spark_partition_id().cast("long"), 33)))

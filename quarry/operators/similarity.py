@@ -70,7 +70,7 @@ def text_similarity(a: Column, b: Column, method: str = "cosine") -> Column:
         return set_jaccard(word_set(a), word_set(b))
     if method == "levenshtein":
         return edit_similarity(a, b)
-    raise ValueError(f"Unsupported similarity method: {method}")
+    raise ValueError(f"no similarity called {method!r}; choose one of {', '.join(METHODS)}")
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFrame:
@@ -146,7 +146,7 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     record are similar to each other with similarity 1.
     """
     if method not in METHODS:
-        raise ValueError(f"Unsupported similarity method: {method}")
+        raise ValueError(f"no similarity called {method!r}; choose one of {', '.join(METHODS)}")
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]; a zero threshold asks for every pair")
     self_join = right is None

@@ -119,18 +119,18 @@ SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score
 FROM {sq.ranked('_scores', K)}"""
 
 
-def _tfidf(spark, sf_dir, queries: DataFrame, n: int | None) -> DataFrame:
+def _tfidf(spark, sf_dir, queries: DataFrame) -> DataFrame:
     idx = lexical.build_tfidf_index(load(spark, sf_dir, "documents"))
-    hits = lexical.tfidf_search(idx, queries, k=K, n_queries=n)
+    hits = lexical.tfidf_search(idx, queries, k=K)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
                        F.round("score", 6).alias("score"))
 
 
 @register("tfidf_topk", lambda: _tfidf_sql(FIRST_QUERY_SQL))
 def q_tfidf_topk(spark, sf_dir):
-    return _tfidf(spark, sf_dir, first_benchmark(spark, sf_dir), 1)
+    return _tfidf(spark, sf_dir, first_benchmark(spark, sf_dir))
 
 
 @register("tfidf_batch", lambda: _tfidf_sql(ALL_QUERIES_SQL))
 def q_tfidf_batch(spark, sf_dir):
-    return _tfidf(spark, sf_dir, all_benchmark(spark, sf_dir), None)
+    return _tfidf(spark, sf_dir, all_benchmark(spark, sf_dir))

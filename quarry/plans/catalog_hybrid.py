@@ -16,31 +16,36 @@ from quarry.plans.catalog import K, all_benchmark, register
 from quarry.plans.catalog_more import diag_fit_sql, diag_predict_sql, hash_vec_sql
 from quarry.plans.tables import load
 from quarry.session import materialize
+from quarry.sinks import export
 
 HISTORY_TURNS = 2
 
 
 # --- Spark side -----------------------------------------------------------------------------
 
-def method_hits(spark, sf_dir, methods=("spider", "bm25", "gmm"),
-                doc_filter: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+def method_hits(spark, sf_dir, methods=("spider", "bm25", "gmm"), doc_filter: DataFrame | None = None,
+                string_ids: bool = False) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """Per-method top-k for every benchmark query (FLT-5 picks the methods).
 
     ``doc_filter`` (a DataFrame of doc_ids) restricts the corpus before
-    scoring (left-semi join).  Returns (hits by method, queries, documents).
+    scoring (left-semi join); ``string_ids`` names documents and queries by
+    strings.  Returns (hits by method, queries, documents).
     """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if doc_filter is not None:
         docs = docs.join(doc_filter.select("doc_id").distinct(), "doc_id", "left_semi")
     queries = all_benchmark(spark, sf_dir)
+    if string_ids:
+        docs = docs.withColumn("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+        queries = queries.withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")))
     out: dict[str, DataFrame] = {}
     need_vec = "spider" in methods or "gmm" in methods
     if need_vec:
         # document vectors feed the dense search, the mixture estimate and the
         # cluster assignment: computed once
         dvec = materialize(dense.hash_embed(docs.select("doc_id", "text", "lang")).select(
-            "doc_id", "lang", "embedding"))
-        qvec = dense.hash_embed(queries)
+            "doc_id", "lang", "embedding"), "document-vectors")
+        qvec = materialize(dense.hash_embed(queries), "query-vectors")
     if "spider" in methods:
         out["spider"] = dense.dense_search(dvec, qvec, k=K)
     if "bm25" in methods:
@@ -59,19 +64,19 @@ def fused(spark, sf_dir, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
     return hybrid.fuse(hits, K), queries, docs
 
 
-def _out(df: DataFrame) -> DataFrame:
+def _out(df: DataFrame, *more) -> DataFrame:
     return df.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
-                     F.round("score", 6).alias("score"), "method")
+                     F.round("score", 6).alias("score"), "method", *more)
 
 
 # --- SQL side -------------------------------------------------------------------------------
 
-def _hybrid_ctes(doc_source: str = "documents") -> str:
+def _hybrid_ctes(doc_source: str = "documents", query_id: str = "item_id") -> str:
     """CTEs: ``m_spider``, ``m_bm25``, ``m_gmm`` (query_id, doc_id, score, method_rank)."""
     d = dense.HASH_DIM
     return f"""
 corpus AS (SELECT doc_id, text, lang FROM {doc_source}),
-queries AS (SELECT item_id AS query_id, text FROM benchmark),
+queries AS (SELECT {query_id} AS query_id, text FROM benchmark),
 {hash_vec_sql('corpus', 'doc_id', 'dv')},
 {hash_vec_sql('queries', 'query_id', 'qv')},
 _vdots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS score FROM qv q JOIN dv d USING (slot) GROUP BY ALL),
@@ -212,6 +217,24 @@ def q_doc_set_search(spark, sf_dir):
     return _out(top)
 
 
+@register("hybrid_string_ids", lambda: f"""WITH {_hybrid_ctes("(SELECT 'doc' || doc_id AS doc_id, text, lang FROM documents)", "'q' || item_id")}
+SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score, method FROM h_top""")
+def q_hybrid_string_ids(spark, sf_dir):
+    top, _, _ = fused(spark, sf_dir, string_ids=True)
+    return _out(top)
+
+
+@register("hit_rows", lambda: f"""WITH {_hybrid_ctes()}
+SELECT t.query_id, t.rank::BIGINT AS rank, t.doc_id, round(t.score, 6) AS score, t.method, md5(d.text) AS content_md5, d.lang, d.source
+FROM h_top t LEFT JOIN documents d USING (doc_id)""")
+def q_hit_rows(spark, sf_dir):
+    """Ranked hits with their content and metadata, attributable to their query."""
+    top, _, docs = fused(spark, sf_dir)
+    rows = export.hit_records(top, docs, ["lang", "source"])
+    return _out(rows.select("query_id", "rank", "doc_id", "score", "method", "content", "lang", "source"),
+                F.md5("content").alias("content_md5"), "lang", "source")
+
+
 def _scoped_sql() -> str:
     return f"""WITH queries AS (SELECT item_id AS query_id, text FROM benchmark),
 corpus AS (SELECT doc_id, text, source FROM documents), {sq.tfidf_ctes('corpus', 'queries')},
@@ -223,13 +246,11 @@ WHERE rank <= {K}"""
 
 @register("chapter_search", _scoped_sql)
 def q_chapter_search(spark, sf_dir):
-    """Scope-restricted lexical search for every scope value at once: the
-    ranking is partitioned by (query, source), so each chapter/file group
-    gets its own top-k of matching documents."""
+    """Scope-restricted lexical search for every scope value at once: documents
+    are packed by source and each source's best k are kept where it is scored."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    queries = all_benchmark(spark, sf_dir)
-    idx = lexical.build_tfidf_index(docs)
-    hits = lexical.scoped_search(idx, queries, docs.select("doc_id", F.col("source").alias("scope")), k=K)
+    idx = lexical.build_tfidf_index(docs, keep=("source",))
+    hits = lexical.scoped_search(idx, all_benchmark(spark, sf_dir), "source", k=K)
     return hits.select("query_id", F.col("scope").alias("source"), F.col("rank").cast("long").alias("rank"),
                        "doc_id", F.round("score", 6).alias("score"))
 
@@ -253,7 +274,7 @@ queries AS (SELECT item_id AS query_id, text FROM benchmark), {sq.tfidf_ctes('co
 SELECT doc_id, term, round(weight, 6) AS weight FROM _post""")
 def q_tfidf_weights(spark, sf_dir):
     idx = lexical.build_tfidf_index(load(spark, sf_dir, "documents"))
-    return idx.postings.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return idx.postings().select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _bm25_sql() -> str:

@@ -1,16 +1,17 @@
 """End-to-end jobs: build a persisted index, open it, query it, re-cluster it.
 
-Index layout under ``index_dir`` (all Parquet):
-
-* ``chunks/``   — chunk rows with metadata, content id, vector and cluster,
-                  partitioned by ``cluster`` (cluster-restricted search
-                  reads only the partitions it needs);
-* ``postings/`` — TF-IDF postings, range-partitioned and sorted by term so a
-                  query's ``term IN (...)`` filter skips row groups;
-* ``vocab/``    — the vocabulary (at most ``max_features`` rows);
-* ``mixture/``  — the fitted mixture parameters (k rows);
-* ``_CURRENT``  — name of the live chunk table version (re-clustering
-                  writes a new version and then swaps this pointer).
+A build writes a version of its own under ``index_dir`` (all Parquet):
+
+* ``<version>/chunks``  — chunk rows with metadata, ids, vector and cluster,
+                          partitioned by ``cluster`` (cluster-restricted search
+                          reads only the partitions it needs);
+* ``<version>/vectors`` — TF-IDF vectors, one row per chunk;
+* ``<version>/vocab``   — the vocabulary;
+* ``<version>/mixture`` — the fitted mixture parameters (k rows);
+* ``_versions``         — one small JSON line per finished version; the highest
+                          number is the live one.  Lines are only ever added, so
+                          a reader always finds a complete index, and a job that
+                          dies leaves the live version as it was.
 """
 
 from __future__ import annotations
@@ -20,18 +21,18 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import annotate, chunking, dense, hybrid, lexical, mixture
-
-CHUNK_ID_BITS = 20  # chunk_index < 2^20 (a 100 MB document has ~131k chunks)
+from quarry.session import materialize
 
 
 @dataclass
 class Index:
     chunks: DataFrame
-    postings: DataFrame
+    vectors: DataFrame
     vocab: DataFrame
     model: mixture.MixtureModel
     path: str
@@ -39,132 +40,138 @@ class Index:
     ngram_max: int = 2
 
     def lexical(self) -> lexical.LexicalIndex:
-        return lexical.LexicalIndex(self.postings, self.vocab, self.chunks.select(F.col("chunk_id").alias("doc_id")),
-                                    self.stop_words, self.ngram_max, pushdown_terms=True)
-
-
-def _numbered_docs(docs: DataFrame, id_col: str) -> DataFrame:
-    """Give every document a numeric key (its own id when integral)."""
-    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
-        return docs.withColumn("doc_num", F.col(id_col).cast("long"))
-    from quarry.operators.numbering import consecutive_numbers
-
-    return consecutive_numbers(docs, [id_col], "doc_num")
+        return lexical.LexicalIndex(self.vectors, self.vocab, self.stop_words, self.ngram_max)
 
 
 def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1000,
                  overlap: int = 200, min_length: int = 100) -> DataFrame:
-    """Annotate documents (on raw text), normalise and chunk them, add ids."""
-    ann = annotate.annotate_documents(_numbered_docs(docs, id_col), text_col)
+    """Annotate documents (on raw text), normalise and chunk them, add ids.
+
+    ``chunk_id`` is the document id (of any type) and the chunk's index, which
+    no two chunks share."""
+    ann = annotate.annotate_documents(docs, text_col)
     keep = [c for c in ann.columns if c != text_col]
     ch = chunking.chunk_fixed(ann, text_col=text_col, keep=keep, size=size, overlap=overlap, min_length=min_length)
-    ch = ch.withColumn("chunk_id", F.shiftleft(F.col("doc_num"), CHUNK_ID_BITS) + F.col("chunk_index"))
+    ch = ch.withColumn("chunk_id", F.concat_ws("#", F.col(id_col).cast("string"), F.col("chunk_index").cast("string")))
     meta = [id_col, "chunk_index", "chunk_size", "chunk_start_char", "chunk_end_char"]
     return annotate.with_content_ids(ch, metadata_cols=meta)
 
 
 def index_corpus(spark: SparkSession, docs: DataFrame, index_dir: str, id_col: str = "doc_id",
-                 text_col: str = "text", n_components: int = 10, max_features: int = lexical.MAX_FEATURES,
+                 text_col: str = "text", n_components: int = 10, max_features: int | None = lexical.MAX_FEATURES,
                  stop_words: list[str] | None = None, embed_dim: int = dense.HASH_DIM,
                  mode: str = "errorifexists") -> Index:
-    """Chunk, embed, cluster and index a corpus; write everything under ``index_dir``."""
-    chunks = dense.hash_embed(build_chunks(docs, id_col, text_col), dim=embed_dim)
-    version = f"chunks-{uuid.uuid4().hex[:8]}"
-    staging = os.path.join(index_dir, "_staging")
-    # materialise once so fitting, assignment and indexing read the same rows
-    chunks.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    dup = staged.groupBy("chunk_uid").count().where(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError("duplicate chunk ids in the corpus")
+    """Chunk, embed, cluster and index a corpus; write everything under ``index_dir``.
+
+    An existing index raises before any work unless ``mode`` is "overwrite",
+    which adds a version and leaves the earlier one to its readers."""
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "errorifexists" and _live(spark, index_dir) is not None:
+        raise FileExistsError(f"there is an index at {index_dir}")
+    version = os.path.join(index_dir, f"v-{uuid.uuid4().hex[:12]}")
+    # written once, so that fitting, assignment and indexing read the same rows
+    staged = materialize(dense.hash_embed(build_chunks(docs, id_col, text_col), dim=embed_dim), "chunks")
+    twice = staged.groupBy("chunk_id").count().where(F.col("count") > 1)
+    if not twice.isEmpty():
+        raise ValueError("document ids are not unique")
     model = mixture.fit_gmm(staged, k=n_components, vec_col="embedding", id_col="chunk_id")
-    clustered = mixture.assign(staged, model)
-    clustered.write.mode(mode).partitionBy("cluster").parquet(os.path.join(index_dir, version))
+    _by_cluster(mixture.assign(staged, model), os.path.join(version, "chunks"))
     lex = lexical.build_tfidf_index(staged.select(F.col("chunk_id").alias("doc_id"), "text"),
                                     max_features=max_features, stop_words=stop_words)
-    (lex.postings.repartitionByRange("term").sortWithinPartitions("term")
-     .write.mode(mode).parquet(os.path.join(index_dir, "postings")))
-    lex.vocab.write.mode(mode).parquet(os.path.join(index_dir, "vocab"))
-    model.to_df(spark).write.mode(mode).parquet(os.path.join(index_dir, "mixture"))
-    _write_pointer(spark, index_dir, {"chunks": version, "stop_words": lex.stop_words, "ngram_max": lex.ngram_max})
+    lex.vectors.write.parquet(os.path.join(version, "vectors"))
+    lex.vocab.write.parquet(os.path.join(version, "vocab"))
+    model.to_df(spark).write.parquet(os.path.join(version, "mixture"))
+    _publish(spark, index_dir, {"chunks": f"{version}/chunks", "vectors": f"{version}/vectors", "vocab": f"{version}/vocab",
+                                "mixture": f"{version}/mixture", "stop_words": lex.stop_words, "ngram_max": lex.ngram_max})
     return open_index(spark, index_dir)
 
 
-def _write_pointer(spark: SparkSession, index_dir: str, meta: dict) -> None:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    final = jvm.org.apache.hadoop.fs.Path(os.path.join(index_dir, "_CURRENT"))
-    tmp = jvm.org.apache.hadoop.fs.Path(os.path.join(index_dir, f"_CURRENT.{uuid.uuid4().hex[:8]}"))
-    fs = final.getFileSystem(conf)
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(meta).encode("utf-8")))
-    out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
-
-
-def _read_pointer(spark: SparkSession, index_dir: str) -> dict:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(index_dir, "_CURRENT"))
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        raise FileNotFoundError(f"no index at {index_dir}")
-    stream = fs.open(p)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    text = reader.readLine()
-    reader.close()
-    return json.loads(text)
+def _by_cluster(chunks: DataFrame, path: str) -> None:
+    chunks.write.partitionBy("cluster").parquet(path)
+
+
+def _live(spark: SparkSession, index_dir: str) -> dict | None:
+    """The newest published version, or None."""
+    try:
+        lines = spark.read.text(os.path.join(index_dir, "_versions")).collect()  # a line per version
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return max((json.loads(r["value"]) for r in lines), key=lambda m: m["number"], default=None)
+
+
+def _publish(spark: SparkSession, index_dir: str, meta: dict) -> None:
+    live = _live(spark, index_dir)
+    line = json.dumps(meta | {"number": 1 + (live["number"] if live else 0)})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(os.path.join(index_dir, "_versions"))
 
 
 def open_index(spark: SparkSession, index_dir: str) -> Index:
     """Reload a persisted index (nothing is recomputed)."""
-    meta = _read_pointer(spark, index_dir)
-    chunks = spark.read.parquet(os.path.join(index_dir, meta["chunks"]))
-    postings = spark.read.parquet(os.path.join(index_dir, "postings"))
-    vocab = spark.read.parquet(os.path.join(index_dir, "vocab"))
-    model = mixture.MixtureModel.from_df(spark.read.parquet(os.path.join(index_dir, meta.get("mixture", "mixture"))))
-    return Index(chunks, postings, vocab, model, index_dir, meta["stop_words"], meta["ngram_max"])
+    meta = _live(spark, index_dir)
+    if meta is None:
+        raise FileNotFoundError(f"no index at {index_dir}")
+    model = mixture.MixtureModel.from_df(spark.read.parquet(meta["mixture"]))
+    return Index(spark.read.parquet(meta["chunks"]), spark.read.parquet(meta["vectors"]), spark.read.parquet(meta["vocab"]), model,
+                 index_dir, meta["stop_words"], meta["ngram_max"])
 
 
 def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider", "bm25", "gmm"),
-                cluster_filter: int | None = None, include_zero: bool = True) -> dict[str, DataFrame]:
+                cluster_filter: int | None = None, include_zero: bool = True, restrict: str | None = None,
+                doc_filter: DataFrame | None = None, id_col: str = "doc_id") -> dict[str, DataFrame]:
     """Run the chosen methods (fixed order), fuse, score confidence, build context.
 
-    Returns ``hits`` (query_id, rank, doc_id=chunk_id, score, method, method_rank),
-    ``confidence`` and ``context`` DataFrames; the query text column is ``text``.
+    ``restrict`` (a SQL condition on chunk columns, e.g. "chapter = 3") and
+    ``doc_filter`` (a DataFrame with document ids) narrow the chunks before
+    anything is scored.  Scoring runs once; every output reads its result.
+
+    Returns ``hits`` (query_id, rank, doc_id = chunk id, score, method,
+    method_rank, then the chunk's document id, content and metadata),
+    ``confidence``, ``context``, ``prompt`` and ``responses`` (one row per query).
     """
     q = queries.select("query_id", "text")
+    chunks = index.chunks
+    if restrict is not None:
+        chunks = chunks.where(restrict)
+    if doc_filter is not None:
+        chunks = chunks.join(doc_filter.select(id_col).distinct(), id_col, "left_semi")
     per: dict[str, DataFrame] = {}
-    corpus = index.chunks.select(F.col("chunk_id").alias("doc_id"), "embedding", "cluster")
+    corpus = chunks.select(F.col("chunk_id").alias("doc_id"), "embedding", "cluster")
     if "spider" in methods or "gmm" in methods:
-        qv = dense.hash_embed(q)
+        qv = materialize(dense.hash_embed(q), "query-vectors")
     if "spider" in methods:
         per["spider"] = dense.dense_search(corpus, qv, k=k)
     if "bm25" in methods:
-        per["bm25"] = lexical.tfidf_search(index.lexical(), q, k=k, include_zero=include_zero)
+        lex = index.lexical()
+        if restrict is not None or doc_filter is not None:
+            lex.vectors = lex.vectors.join(corpus.select("doc_id"), "doc_id", "left_semi")
+        per["bm25"] = lexical.tfidf_search(lex, q, k=k, include_zero=include_zero)
     if "gmm" in methods:
-        qc = mixture.assign(qv, index.model)
         if cluster_filter is not None:
-            qc = qc.withColumn("cluster", F.lit(int(cluster_filter)))
-        per["gmm"] = dense.dense_search(corpus, qc, k=k, group_col="cluster", query_group_col="cluster")
-    fused = hybrid.fuse(per, k)
-    contents = index.chunks.select(F.col("chunk_id").alias("doc_id"), "text")
-    ctx = hybrid.context(fused, contents)
-    return {"hits": fused, "confidence": hybrid.confidence(fused, q), "context": ctx,
-            "prompt": hybrid.prompt(ctx, q)}
+            wanted = int(cluster_filter)
+            per["gmm"] = dense.dense_search(corpus.where(F.col("cluster") == wanted), qv, k=k)
+        else:
+            qc = mixture.assign(qv, index.model)
+            per["gmm"] = dense.dense_search(corpus, qc, k=k, group_col="cluster", query_group_col="cluster")
+    fused = materialize(hybrid.fuse(per, k), "hits")
+    drop = {"embedding", "chunk_id"}
+    found = index.chunks.select(F.col("chunk_id").alias("_chunk"), *[
+        F.col(c).alias("document_id" if c == id_col else "content" if c == "text" else c) for c in index.chunks.columns if c not in drop])
+    hits = materialize(fused.join(found, F.col("doc_id") == F.col("_chunk"), "left").drop("_chunk"), "hit-rows")
+    ctx = hybrid.context(fused, hits.select("doc_id", F.col("content").alias("text")).distinct())
+    conf = hybrid.confidence(fused, q)
+    return {"hits": hits, "confidence": conf, "context": ctx, "prompt": hybrid.prompt(ctx, q),
+            "responses": hybrid.responses(hits, conf, q)}
 
 
 def recluster(spark: SparkSession, index_dir: str, n_components: int) -> Index:
-    """Refit the mixture with another k; write a new chunk version, then swap."""
-    index = open_index(spark, index_dir)
+    """Refit the mixture with another k; write a new chunk version, then publish it."""
+    index, meta = open_index(spark, index_dir), _live(spark, index_dir)
     model = mixture.fit_gmm(index.chunks, k=n_components, vec_col="embedding", id_col="chunk_id")
-    version = f"chunks-{uuid.uuid4().hex[:8]}"
-    mixture.assign(index.chunks.drop("cluster"), model).write.partitionBy("cluster").parquet(
-        os.path.join(index_dir, version))
-    model.to_df(spark).write.mode("overwrite").parquet(os.path.join(index_dir, f"mixture-{version}"))
-    meta = _read_pointer(spark, index_dir)
-    meta["chunks"] = version
-    meta["mixture"] = f"mixture-{version}"
-    _write_pointer(spark, index_dir, meta)
+    version = os.path.join(index_dir, f"v-{uuid.uuid4().hex[:12]}")
+    _by_cluster(mixture.assign(index.chunks.drop("cluster"), model), os.path.join(version, "chunks"))
+    model.to_df(spark).write.parquet(os.path.join(version, "mixture"))
+    _publish(spark, index_dir, meta | {"chunks": f"{version}/chunks", "mixture": f"{version}/mixture"})
     return open_index(spark, index_dir)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,24 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df: DataFrame, level=None) -> DataFrame:
-    """Persist and fill the cache now.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return it reread.
 
-    A persisted DataFrame read by several branches of one plan (broadcasts
-    and subqueries run concurrently) would otherwise be computed by each
-    branch at the same time before the cache is filled.
+    A table that several branches of a plan read is computed once, and a lost
+    executor costs no recomputation.  The folder is scratch space: what lies in
+    it can be deleted when the session is over.
     """
-    from pyspark import StorageLevel
-
-    df = df.persist(level or StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = table_path(df.sparkSession, "work", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table_path(spark: SparkSession, *parts: str) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORMATS = ("json", "csv", "txt")
 # CSV export header names and preview length.
@@ -18,7 +19,13 @@ CSV_PREVIEW = 200
 
 def _check(fmt: str) -> None:
     if fmt not in FORMATS:
-        raise ValueError(f"Unsupported format: {fmt}")
+        raise ValueError(f"cannot export as {fmt!r}; choose one of {', '.join(FORMATS)}")
+
+
+def plain_columns(df: DataFrame) -> DataFrame:
+    """Arrays and structs as JSON text, for sinks that hold plain values only."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields])
 
 
 def _py_dict_repr(cols: list[str]) -> Column:
@@ -36,10 +43,12 @@ def hit_records(hits: DataFrame, docs: DataFrame, metadata_cols: list[str], cont
     return hits.join(d, "doc_id", "left")
 
 
-def json_lines(records: DataFrame, metadata_cols: list[str]) -> DataFrame:
+def json_lines(records: DataFrame, metadata_cols: list[str], attributed: bool = False) -> DataFrame:
     """(query_id, rank, json) — content, document_id, similarity_score,
-    retrieval_method, metadata (page and chapter are not exported)."""
+    retrieval_method, metadata; with ``attributed`` the object starts with
+    query_id and rank."""
     obj = F.struct(
+        *([F.col("query_id"), F.col("rank")] if attributed else []),
         F.col("content").alias("content"),
         F.col("doc_id").cast("string").alias("document_id"),
         F.col("score").alias("similarity_score"),
@@ -78,7 +87,7 @@ def save_rows(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorife
     if fmt == "json":
         df.write.mode(mode).json(path)
     elif fmt == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        plain_columns(df).write.mode(mode).option("header", True).csv(path)
     else:
         # consecutive numbering in the rows' current order, computed in the
         # JVM from per-partition counts (no gathering, no Python round trip)
@@ -95,17 +104,21 @@ def save_rows(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorife
 
 def export_hits(hits: DataFrame, docs: DataFrame, path: str, fmt: str = "json",
                 metadata_cols: list[str] | None = None, mode: str = "errorifexists") -> str:
-    """Export search hits with their content in one of json / csv / txt."""
+    """Export search hits with their content in one of json / csv / txt.
+
+    Every record names its query and rank: json and csv as fields of each row,
+    txt as the heading of each query's report."""
     _check(fmt)
     meta = metadata_cols or []
     rec = hit_records(hits, docs, meta)
     if fmt == "json":
-        json_lines(rec, meta).select("json").write.mode(mode).text(path)
+        json_lines(rec, meta, attributed=True).select("json").write.mode(mode).text(path)
     elif fmt == "csv":
-        csv_rows(rec, meta).drop("query_id", "rank").write.mode(mode).option("header", True).csv(path)
+        plain_columns(csv_rows(rec, meta)).write.mode(mode).option("header", True).csv(path)
     else:
         rep = txt_report(rec.withColumnRenamed("doc_id", "document_id").withColumnRenamed("score", "similarity_score")
                          .withColumnRenamed("method", "retrieval_method"),
                          "query_id", "rank", ["document_id", "similarity_score", "retrieval_method"])
-        rep.select("report").write.mode(mode).text(path)
+        heading = F.concat(F.lit("Query "), F.col("query_id").cast("string"), F.lit("\n"), F.col("report"))
+        rep.select(heading.alias("report")).write.mode(mode).text(path)
     return path

@@ -27,8 +27,8 @@ def start_query_stream(spark: SparkSession, index_dir: str, source_dir: str, out
     index = jobs.open_index(spark, index_dir)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        queries = batch.select(F.col(id_col).cast("long").alias("query_id"), "text")
-        if queries.limit(1).count() == 0:
+        queries = batch.select(F.col(id_col).alias("query_id"), "text")
+        if queries.isEmpty():
             return
         out = jobs.query_index(index, queries, k=k, methods=methods)
         hits = out["hits"].join(out["confidence"], "query_id").withColumn("batch_id", F.lit(batch_id))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dense, mixture
+from quarry.operators import blocks, dense, mixture
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,22 +89,61 @@ def test_diagonal_tie_and_cluster_info(spark):
 def test_query_blocks_agree(spark, monkeypatch):
     emb = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = emb.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
-    def run():
-        return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9))
-                      for r in dense.dense_search(emb, q, k=5).collect())
-
-    one = run()
-    monkeypatch.setattr(dense, "MAX_QUERY_BLOCK", 3)  # several blocks, same answer
-    assert run() == one
 
+    def run(**kw):
+        d = emb.select(F.col("doc_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        qq = q.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
+        hits = blocks.block_top_k(d.repartition(3), qq, lambda r: dense._matrix(r, 64), lambda a, x: a @ dense._matrix(x, 64).T,
+                                  5, qq.count(), **kw)
+        return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in hits.collect())
 
-def test_bad_vectors_are_skipped(spark):
+    one = run()
+    assert run(query_rows=3, pack_rows=7) == one  # many blocks and packs, same answer
+    monkeypatch.setattr(blocks, "OPEN_BLOCKS", 1)
+    assert run(query_rows=2) == one
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run(query_rows=3) == one
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_string_ids_and_groups(spark):
+    rows = [(f"d{i}", [float(i % 4), 1.0], "g%d" % (i % 2)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id string, embedding array<float>, lang string")
+    q = spark.createDataFrame([("q1", [1.0, 0.0], "g1"), ("q2", [0.0, 1.0], "g0")], "query_id string, embedding array<double>, lang string")
+    got = dense.dense_search(df, q, k=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [("q1", "d11"), ("q1", "d3"), ("q2", "d0"), ("q2", "d4")]
+    got = dense.dense_search(df, q, k=1, group_col="lang", query_group_col="lang").orderBy("query_id").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [("q1", "d11"), ("q2", "d0")]
+
+
+def test_vectors_that_cannot_be_scored(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0, float("nan"), 0.0]),
-            (5, [1.0, 1.0]), (6, [0.9, 0.1, 0.0]), (6, [0.8, 0.2, 0.0])] + [(10 + i, [float(i % 3), 1.0, 0.5])
-                                                                          for i in range(20)]
+            (5, [1.0, 1.0]), (6, [0.9, 0.1, 0.0]), (6, [0.8, 0.2, 0.0]), (7, None)] + [(10 + i, [float(i % 3), 1.0, 0.5])
+                                                                                      for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
-    got = [r["doc_id"] for r in dense.dense_search(df, q, k=3).orderBy("rank").collect()]
-    assert got == [1, 6, 6] and 4 not in got and 5 not in got
-    m = mixture.fit_gmm(df.withColumnRenamed("doc_id", "vec_id"), k=2, max_iter=5)
+    got = [r["doc_id"] for r in dense.dense_search(df, q, k=3, skip_other_lengths=True).orderBy("rank").collect()]
+    assert got == [1, 6, 6]
+    with pytest.raises(Exception, match="does not have 3 components"):
+        dense.dense_search(df, q, k=3).collect()
+    with pytest.raises(ValueError, match="query vectors have 2 to 3"):
+        dense.dense_search(df, df.where("doc_id in (1, 5)").withColumnRenamed("doc_id", "query_id"), k=3)
+    assert sorted(tuple(r) for r in dense.rejected_vectors(df, 3).collect()) == [(4, "not a number"), (5, "wrong length"), (7, "missing")]
+    vec = df.withColumnRenamed("doc_id", "vec_id")
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        mixture.fit_gmm(vec, k=2, max_iter=5)
+    m = mixture.fit_gmm(vec.where("vec_id <> 5"), k=2, max_iter=5)
     assert m.means.shape == (2, 3) and np.all(np.isfinite(m.means))
+    labels = {r["vec_id"]: r["cluster"] for r in mixture.assign(vec, m).collect()}
+    assert labels[4] is None and labels[5] is None and labels[7] is None and labels[1] is not None
+
+
+def test_large_means_keep_their_precision(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(1e6, 1, (200, 2)), rng.normal(1e6 + 50, 2, (200, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    m = mixture.fit_gmm(df, k=2)
+    got = sorted(float(np.sqrt(np.trace(c) / 2)) for c in m.covariances)
+    assert got[0] == pytest.approx(1, rel=0.2) and got[1] == pytest.approx(2, rel=0.2)
