@@ -36,18 +36,49 @@ from quarry.llm.common import field, global_rank, stage
 
 CAPACITY = 2048
 END = 0
-TURNS = 1000
+TURNS = 300
 STEP = 0.5
 RATE = 2.0
-KNOWN_WORDS = 400_000  # entries of a task's word cache
+KNOWN_WORDS = 600_000  # entries of a task's word cache
 
-# White space other than a lone blank or line break between two words: the
-# library's own splitting decides there.
-_ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+# Marks that end a word: letters before and marks after never share a token.
+_MARKS = ".,!?;:|*#$%&)"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+    others for the characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class _Words(dict):
-    """Token ids (little-endian, unsigned 32 bit) by word."""
+    """Token ids (little-endian, unsigned 32 bit) of words after ``lead`` (a blank
+    or nothing), worked out by the tokenizer when first asked for."""
+
+    def __init__(self, made, lead: str):
+        super().__init__()
+        self.made, self.model, self.lead, self.letters = made, made.model, lead, _byte_letters()
+        self.ends: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if not core.isalpha():
+            ids = np.array(self.made.encode(self.lead + word, add_special_tokens=False).ids, "<u4").tobytes()
+        elif core != word:
+            end = word[len(core):]
+            if end not in self.ends:
+                self.ends[end] = np.array(self.made.encode(end, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self[core] + self.ends[end]
+        else:
+            letters = (self.lead + word).encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -56,7 +87,14 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
-    return made, _Words()
+    return made, _Words(made, ""), _Words(made, " ")
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is lone blanks and line breaks between words; the
+    library's own splitting decides elsewhere."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+                or _OTHER_SPACE.search(text))
 
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
@@ -66,37 +104,20 @@ def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     parts, so a text without other white space is the chain of its words (a
     blank belongs to the word after it), and words are encoded once.
     """
-    made, known = _tokenizer(path)
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    cut: list[list[str] | None] = []
-    new: set[str] = set()
+    made, first, after = _tokenizer(path)
+    break_ = first["\n"]
+    out = []
     for text in texts:
         if not text:
-            cut.append([])
-        elif _ODD.search(text):
-            cut.append(None)
+            out.append(np.zeros(0, "<u4"))
+        elif not _plain(text):
+            out.append(np.array(made.encode(text, add_special_tokens=False).ids, "<u4"))
         else:
-            units: list[str] = []
+            lines = []
             for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                units += ["\n", first] if units else [first]
-                units += [" " + x for x in rest]
-            cut.append(units)
-            new.update(units)
-    new -= known.keys()
-    fresh = sorted(new)
-    for at in range(0, len(fresh), 4096):
-        some = fresh[at:at + 4096]
-        for word, e in zip(some, made.encode_batch(some, add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-    out = []
-    for text, units in zip(texts, cut, strict=True):
-        if units is None:
-            ids = np.array(made.encode(text, add_special_tokens=False).ids, "<u4")
-        else:
-            ids = np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4")
-        out.append(ids)
+                words = line.split(" ")
+                lines.append(first[words[0]] + b"".join(map(after.__getitem__, words[1:])))
+            out.append(np.frombuffer(break_.join(lines), "<u4"))
     return out
 
 
