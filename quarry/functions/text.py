@@ -63,6 +63,11 @@ def strip_ws(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), "^" + WS_RUN + "|" + WS_RUN + r"\z", "")
 
 
+def lstrip_ws(col: Column | str) -> Column:
+    """Strip leading whitespace as ``str.lstrip()`` does."""
+    return F.regexp_replace(_c(col), "^" + WS_RUN, "")
+
+
 def split_words(col: Column | str) -> Column:
     """Whitespace tokenisation with no empty tokens (``str.split()``)."""
     return F.filter(F.split(_c(col), WS_RUN), lambda x: x != F.lit(""))
@@ -205,22 +210,3 @@ def sorted_struct(*names: str) -> Column:
 def tokens(col: Column | str) -> Column:
     """Lower-cased runs of two or more word characters (empty for null text)."""
     return F.coalesce(F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN), 0), F.array().cast("array<string>"))
-
-
-def without(words: Column, stop_words: list[str]) -> Column:
-    if not stop_words:
-        return words
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
-
-
-def with_bigrams(words: Column) -> Column:
-    """Unigrams followed by space-joined bigrams of consecutive words."""
-    shifted = F.slice(F.concat(words, F.array(F.lit(None).cast("string"))), 2, F.size(words))
-    pairs = F.zip_with(words, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda x: x.isNotNull()))
-
-
-def lexical_terms(col: Column | str, stop_words: list[str], ngram_max: int = 2) -> Column:
-    kept = without(tokens(col), stop_words)
-    return with_bigrams(kept) if ngram_max >= 2 else kept

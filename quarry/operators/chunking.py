@@ -7,6 +7,11 @@ per-document window the numbering implies never needs a shuffle.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,22 +34,19 @@ def _check(size: int, overlap: int) -> None:
 
 
 def _number_and_explode(df: DataFrame, pieces: Column, keep: list[str], min_length: int,
-                        source: Column, strip=F.trim) -> DataFrame:
-    """``pieces`` is an array<struct<window_start int, text string>> in order.
+                        source: Column | None, strip=F.trim) -> DataFrame:
+    """``pieces`` is an array<struct<window_start int, at int, text string>> in order.
 
     chunk_index  — position among non-empty pieces (before the length filter)
     chunk_number — 1-based position after the length filter; total_chunks its count
-    chunk_start_char — first occurrence of the chunk in the source text
+    chunk_start_char — ``at``, where the text starts; or, when ``source`` is given,
+    its first occurrence there (a search from the start for every chunk)
     """
     indexed = F.transform(pieces, lambda p, i: F.struct(
-        i.alias("chunk_index"), p["window_start"].alias("window_start"), p["text"].alias("text")))
+        i.alias("chunk_index"), p["window_start"].alias("window_start"), p["text"].alias("text"),
+        (p["at"] if source is None else F.instr(source, p["text"]) - 1).alias("chunk_start_char")))
     kept = F.filter(indexed, lambda p: F.length(strip(p["text"])) >= min_length)
-    located = F.transform(kept, lambda p: F.struct(
-        p["chunk_index"].alias("chunk_index"),
-        p["window_start"].alias("window_start"),
-        p["text"].alias("text"),
-        (F.instr(source, p["text"]) - 1).alias("chunk_start_char")))
-    staged = df.select(*keep, located.alias("_chunks"))
+    staged = df.select(*keep, kept.alias("_chunks"))
     # posexplode_outer + null filter keeps the optimizer from inferring a
     # size() > 0 filter that would evaluate the chunk array twice.
     out = staged.select(*keep, F.posexplode_outer("_chunks").alias("_pos", "_c"),
@@ -63,95 +65,95 @@ def _number_and_explode(df: DataFrame, pieces: Column, keep: list[str], min_leng
 
 
 def chunk_fixed(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                min_length: int = MIN_CHUNK_LENGTH, normalise: bool = True) -> DataFrame:
+                size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, min_length: int = MIN_CHUNK_LENGTH,
+                normalise: bool = True, first_occurrence: bool = False) -> DataFrame:
     """Fixed-stride overlapping character windows over (normalised) text.
 
     Text no longer than ``size`` is one chunk; otherwise windows start at
     0, size-overlap, 2(size-overlap), … while the start is inside the text,
     each window stripped and empty ones skipped.  Chunks shorter than
     ``min_length`` (after stripping) are dropped.
+
+    The text is cut once into strides and a window is a few strides joined, so
+    the work is linear in the text.  ``first_occurrence`` reports where a chunk's
+    text first occurs instead of where it was cut; that search is not linear.
     """
     _check(size, overlap)
     keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
     src = tx.normalize(text_col) if normalise else F.col(text_col)
     # after normalisation only plain spaces remain, so the cheap trim is exact
-    strip = F.trim if normalise else tx.strip_ws
-    staged = df.select(*keep, src.alias("_src"))
+    strip, lead = (F.trim, F.ltrim) if normalise else (tx.strip_ws, tx.lstrip_ws)
+    step = size - overlap
+    staged = df.select(*keep, src.alias("_src")).select(
+        *keep, "_src", F.regexp_extract_all("_src", F.lit(f"(?s).{{1,{step}}}"), 0).alias("_strides"))
     s = F.col("_src")
-    n = F.length(s)
-    single = F.array(F.struct(F.lit(0).alias("window_start"), s.alias("text")))
-    starts = F.sequence(F.lit(0), n - 1, F.lit(size - overlap))
+    single = F.array(F.struct(F.lit(0).alias("window_start"), F.lit(0).alias("at"), s.alias("text")))
+    raw = F.transform("_strides", lambda x, i: F.struct(
+        (i * step).alias("start"),
+        F.substring(F.array_join(F.slice("_strides", i + 1, -(-size // step)), ""), 1, size).alias("raw")))
     windows = F.filter(
-        F.transform(starts, lambda st: F.struct(
-            st.alias("window_start"), strip(F.substring(s, st + 1, size)).alias("text"))),
+        F.transform(raw, lambda w: F.struct(
+            w["start"].alias("window_start"), (w["start"] + F.length(w["raw"]) - F.length(lead(w["raw"]))).alias("at"),
+            strip(w["raw"]).alias("text"))),
         lambda p: p["text"] != F.lit(""))
-    pieces = F.when(n <= size, single).otherwise(windows)
-    return _number_and_explode(staged, pieces, keep, min_length, s, strip)
+    pieces = F.when(F.length(s) <= size, single).otherwise(windows)
+    return _number_and_explode(staged, pieces, keep, min_length, s if first_occurrence else None, strip)
 
 
 # --- separator-aware windows (raw text) --------------------------------------------
 
-_BOUNDS = T.ArrayType(T.StructType([
-    T.StructField("window_start", T.IntegerType()),
-    T.StructField("window_end", T.IntegerType()),
-]))
+_PIECES = T.ArrayType(T.StructType([T.StructField("window_start", T.IntegerType()), T.StructField("at", T.IntegerType()),
+                                    T.StructField("text", T.StringType())]))
+
+
+def _chain(step, n: int) -> list[int]:
+    """0, step(0), step(step(0)), ... as long as they are below ``n``."""
+    return list(itertools.takewhile(lambda x: x < n, itertools.accumulate(itertools.repeat(0), lambda x, _: step(x))))
+
+
+def _separator_pieces(size: int, overlap: int, separator: str):
+    mark = re.compile(re.escape(separator))
 
+    def cut(text: str | None):
+        if text is None:
+            return None
+        if len(text) <= size:
+            return [(0, 0, text)]
+        marks = [m.start() for m in mark.finditer(text)]
 
-def _separator_bounds(size: int, overlap: int, separator: str):
-    half = size // 2
-
-    @F.pandas_udf(_BOUNDS)
-    def bounds(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            n = len(t)
-            if n <= size:
-                out.append([{"window_start": 0, "window_end": n}])
-                continue
-            cuts, start = [], 0
-            while start < n:
-                end = start + size
-                if end < n:
-                    cut = t.rfind(separator, start, end)
-                    if cut > start + half:
-                        end = cut + 1
-                cuts.append({"window_start": start, "window_end": min(end, n)})
-                start = end - overlap
-            out.append(cuts)
-        return pd.Series(out)
-
-    return bounds
+        def stop(start: int) -> int:
+            """Just after the last separator of the window's second half, or the window's end."""
+            i = bisect.bisect_right(marks, start + size - len(separator)) - 1
+            return marks[i] + 1 if start + size < len(text) and i >= 0 and marks[i] > start + size // 2 else start + size
+
+        starts = _chain(lambda x: stop(x) - overlap, len(text))
+        windows = ((x, text[x:stop(x)]) for x in starts)
+        return [(x, x + len(w) - len(w.lstrip()), w.strip()) for x, w in windows if w.strip()]
+
+    @F.pandas_udf(_PIECES)
+    def pieces(texts: pd.Series) -> pd.Series:
+        names = ("window_start", "at", "text")
+        return texts.map(lambda t: None if t is None else [dict(zip(names, p, strict=True)) for p in cut(t)])
+
+    return pieces
 
 
 def chunk_separator(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    min_length: int = MIN_CHUNK_LENGTH, separator: str = "\n") -> DataFrame:
+                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, min_length: int = MIN_CHUNK_LENGTH,
+                    separator: str = "\n", first_occurrence: bool = False) -> DataFrame:
     """Windows that end just after the last separator in their second half.
 
     The next window starts ``overlap`` characters before the previous end, so
-    each boundary depends on the previous one; the boundary walk is a small
-    per-row helper (Arrow-batched) and all text slicing stays in the JVM.
+    each boundary depends on the previous one: a small per-row helper looks the
+    separators up in their sorted positions and cuts the text in one go.
     """
     _check(size, overlap)
     if overlap >= size - size // 2:
         raise ValueError("separator-aware chunking needs overlap < chunk size / 2")
     keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
     staged = df.select(*keep, F.col(text_col).alias("_src"),
-                       _separator_bounds(size, overlap, separator)(F.col(text_col)).alias("_b"))
-    s = F.col("_src")
-    single = F.size("_b") == 1
-    pieces = F.filter(
-        F.transform("_b", lambda b: F.struct(
-            b["window_start"].alias("window_start"),
-            F.when(single, s).otherwise(
-                tx.strip_ws(F.substring(s, b["window_start"] + 1, b["window_end"] - b["window_start"]))
-            ).alias("text"))),
-        lambda p: single | (p["text"] != F.lit("")))
-    return _number_and_explode(staged.select(*keep, "_src", "_b"), pieces, keep, min_length, s, tx.strip_ws)
+                       _separator_pieces(size, overlap, separator)(F.col(text_col)).alias("_p"))
+    return _number_and_explode(staged, F.col("_p"), keep, min_length, F.col("_src") if first_occurrence else None, tx.strip_ws)
 
 
 # --- sentence packing ------------------------------------------------------------------
@@ -163,25 +165,18 @@ _GROUPS = T.ArrayType(T.StructType([
 
 
 def _pack_groups(max_words: int):
+    def groups(counts):
+        """Runs of sentences whose words fit the budget; a longer sentence is a run alone."""
+        total = np.concatenate([[0], np.cumsum(counts)])
+
+        def end(first: int) -> int:
+            return max(first + 1, int(np.searchsorted(total, total[first] + max_words, side="right")) - 1)
+
+        return [{"first": x, "count": end(x) - x} for x in _chain(end, len(counts))]
+
     @F.pandas_udf(_GROUPS)
     def pack(counts: pd.Series) -> pd.Series:
-        out = []
-        for c in counts:
-            if c is None:
-                out.append(None)
-                continue
-            # A chunk closes when the next sentence would take it over the
-            # word budget; an over-budget first sentence closes an empty chunk.
-            groups, first, total = [], 0, 0
-            for i, w in enumerate(c):
-                if total + w > max_words:
-                    groups.append({"first": first, "count": i - first})
-                    first, total = i, 0
-                total += w
-            if len(c) > first:
-                groups.append({"first": first, "count": len(c) - first})
-            out.append(groups)
-        return pd.Series(out)
+        return counts.map(lambda c: None if c is None else groups(c))
 
     return pack
 

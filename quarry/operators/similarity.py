@@ -27,6 +27,8 @@ positional bound of the first shared token before verification.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +76,9 @@ def text_similarity(a: Column, b: Column, method: str = "cosine") -> Column:
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFrame:
-    """(id, key): the exact value two identical records share — the sorted
-    distinct token set, or the text itself for edit similarity."""
+    """(id, key, h0, h1): the exact value two identical records share (the sorted
+    distinct token set, or the text itself for edit similarity) and its 128-bit
+    hash, which is what groups and joins go by."""
     t = F.col(text_col)
     if method == "cosine":
         key = F.sort_array(char_set(t))
@@ -84,7 +87,8 @@ def _keys(df: DataFrame, id_col: str, text_col: str, method: str) -> DataFrame:
     else:
         key = t
     # a record without text has no similarity to anything
-    return df.where(t.isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"))
+    keys = df.where(t.isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"))
+    return keys.select("id", "key", F.xxhash64(F.lit(0), "key").alias("h0"), F.xxhash64(F.lit(1), "key").alias("h1"))
 
 
 def _representatives(keys: DataFrame, method: str) -> DataFrame:
@@ -92,7 +96,7 @@ def _representatives(keys: DataFrame, method: str) -> DataFrame:
 
     A combinable aggregate (min, count), so a key shared by a third of all
     rows costs no more than any other key."""
-    reps = keys.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    reps = keys.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"))
     if method == "levenshtein":
         return reps.select("id", "copies", F.col("key").alias("text"), F.length("key").alias("n"))
     return reps.select("id", "copies", F.col("key").alias("toks"), F.size("key").alias("n"))
@@ -101,10 +105,12 @@ def _representatives(keys: DataFrame, method: str) -> DataFrame:
 def duplicate_groups(df: DataFrame, method: str = "jaccard", id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(rep_id, member_id) for every record whose key (token set or text) is
     shared with a smaller id: each copy is linked to its representative,
-    never to every other copy.  Skew on a hot key is split by AQE."""
-    keys = _keys(df, id_col, text_col, method)
-    reps = keys.groupBy("key").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return (keys.join(reps, "key").where(F.col("id") != F.col("rep_id"))
+    never to every other copy.  The representatives are staged, so that the
+    join is of two plain shuffles and a hot key is split."""
+    keys = _keys(df, id_col, text_col, method).select("id", "h0", "h1")
+    reps = materialize(keys.groupBy("h0", "h1").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("_n"))
+                       .where(F.col("_n") > 1).drop("_n"), "representatives")
+    return (keys.join(reps, ["h0", "h1"]).where(F.col("id") != F.col("rep_id"))
             .select("rep_id", F.col("id").alias("member_id")))
 
 
@@ -132,7 +138,8 @@ def _prefix(tokens: DataFrame, df: DataFrame, prefix_len: Column) -> DataFrame:
 
 def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard",
                     threshold: float = 0.8, left_id: str = "id", left_text: str = "text",
-                    right_id: str | None = None, right_text: str | None = None) -> DataFrame:
+                    right_id: str | None = None, right_text: str | None = None,
+                    per_left: int | None = None) -> DataFrame:
     """Pairs with similarity >= ``threshold`` in compact form:
     (left_id, right_id, similarity, left_copies, right_copies).
 
@@ -143,7 +150,8 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     behind each representative; together they give every pair.  With
     ``right=None`` the table is joined with itself and each pair of distinct
     representatives is reported once (left_id < right_id); copies of one
-    record are similar to each other with similarity 1.
+    record are similar to each other with similarity 1.  With ``per_left`` each
+    left record keeps that many partners: the most similar, then the smallest ids.
     """
     if method not in METHODS:
         raise ValueError(f"no similarity called {method!r}; choose one of {', '.join(METHODS)}")
@@ -152,9 +160,9 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     self_join = right is None
     # identical records collapse to one representative first; representatives
     # feed the token statistics, the prefixes and the verification
-    lrec = materialize(_representatives(_keys(left, left_id, left_text, method), method))
+    lrec = materialize(_representatives(_keys(left, left_id, left_text, method), method), "records")
     rrec = lrec if self_join else materialize(_representatives(
-        _keys(right, right_id or left_id, right_text or left_text, method), method))
+        _keys(right, right_id or left_id, right_text or left_text, method), method), "records")
     t = float(threshold)
 
     if method == "levenshtein":
@@ -176,13 +184,19 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
         rtok.withColumn("side", F.lit(1)))
     df = sides.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # prefixes feed both sides of the candidate join: computed once
-    pre = materialize(_prefix(sides, df, prefix_len))
+    pre = materialize(_prefix(sides, df, prefix_len), "prefixes")
     a = pre.where(F.col("side") == 0).select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token",
                                              F.col("_r").alias("lr"))
     b = (a if self_join else pre.where(F.col("side") == 1).select(
         F.col("id").alias("lid"), F.col("n").alias("ln"), "token", F.col("_r").alias("lr"))).select(
         F.col("lid").alias("rid"), F.col("ln").alias("rn"), "token", F.col("lr").alias("rr"))
-    cand = a.join(b, "token")
+    # qualifying sizes are within a factor t, so they lie in the same or in
+    # neighbouring bands of a logarithmic scale: the band splits a common token
+    width = math.log(1 / t) * 1.0001 + 1e-9
+    a = a.withColumn("band", F.floor(F.log(F.greatest("ln", F.lit(1))) / width))
+    own = F.floor(F.log(F.greatest("rn", F.lit(1))) / width)
+    b = b.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+    cand = a.join(b, ["token", "band"])
     if self_join:
         cand = cand.where(F.col("lid") < F.col("rid"))
     # length filter (exact): sizes of a qualifying pair are within a factor t
@@ -212,7 +226,11 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     out = v.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), sim.alias("similarity"),
                    F.col("left_copies").cast("long").alias("left_copies"),
                    F.col("right_copies").cast("long").alias("right_copies"))
-    return out.where(F.col("similarity") >= t - 1e-12)
+    out = out.where(F.col("similarity") >= t - 1e-12)
+    if per_left is None:
+        return out
+    w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_left).drop("_r")
 
 
 __all__ = ["similarity_join", "duplicate_groups", "text_similarity"]

@@ -92,7 +92,8 @@ FROM chunks"""
 
 @register("chunk_fixed", _chunk_fixed_sql)
 def q_chunk_fixed(spark, sf_dir):
-    c = documents_chunks(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    c = chunking.chunk_fixed(docs, keep=["doc_id"], first_occurrence=True)
     return c.select("doc_id", *[F.col(n).cast("long").alias(n) for n in (
         "chunk_index", "chunk_number", "total_chunks", "chunk_size", "chunk_start_char", "chunk_end_char")],
         F.md5("text").alias("chunk_md5"))

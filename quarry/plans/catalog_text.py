@@ -103,7 +103,7 @@ FROM _c"""
 @register("doc_ids", _doc_ids_sql)
 def q_doc_ids(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    ch = chunking.chunk_fixed(docs, keep=["doc_id", "lang", "source"])
+    ch = chunking.chunk_fixed(docs, keep=["doc_id", "lang", "source"], first_occurrence=True)
     ids = annotate.with_content_ids(ch, metadata_cols=_META)
     return ids.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_uid")
 

@@ -1,17 +1,14 @@
 """Reading the input tables (Parquet); column pruning and filter pushdown are
 left to Catalyst.
 
-A scan yields one task per Parquet row group.  On a cluster reading many
-files that is plenty of parallelism; a single large row group, however,
-would leave all per-row text work (tokenising, chunking) to one task.  Such
-thin scans are spread round-robin over the available cores — only when the
-scan has fewer partitions than the session's parallelism, so large inputs
-are never reshuffled.
+A scan yields one task per Parquet row group, which is plenty on a cluster.  A
+caller whose table is a single small file can ask for its rows to be dealt out
+over the cores, by the session setting ``quarry.spread`` = true; the default
+adds no exchange.
 """
 
 from __future__ import annotations
 
-import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,28 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Target bytes of compressed input per task when spreading a thin scan.
-SPREAD_BYTES = 1 << 20
 
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def spread(df: DataFrame, input_bytes: int) -> DataFrame:
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    current = df.rdd.getNumPartitions()
-    wanted = min(cores, max(1, math.ceil(input_bytes / SPREAD_BYTES)))
-    return df.repartition(wanted) if current < wanted else df
-
-
-def load(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if not rebalance:
-        return df
-    return spread(df, _input_bytes(spark, path))
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spark.conf.get("quarry.spread", "false") == "true":
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df

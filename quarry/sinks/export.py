@@ -87,7 +87,7 @@ def save_rows(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorife
     if fmt == "json":
         df.write.mode(mode).json(path)
     elif fmt == "csv":
-        plain_columns(df).write.mode(mode).option("header", True).csv(path)
+        plain_columns(df).write.mode(mode).option("header", True).option("escape", "\"").csv(path)
     else:
         # consecutive numbering in the rows' current order, computed in the
         # JVM from per-partition counts (no gathering, no Python round trip)
@@ -114,7 +114,7 @@ def export_hits(hits: DataFrame, docs: DataFrame, path: str, fmt: str = "json",
     if fmt == "json":
         json_lines(rec, meta, attributed=True).select("json").write.mode(mode).text(path)
     elif fmt == "csv":
-        plain_columns(csv_rows(rec, meta)).write.mode(mode).option("header", True).csv(path)
+        plain_columns(csv_rows(rec, meta)).write.mode(mode).option("header", True).option("escape", "\"").csv(path)
     else:
         rep = txt_report(rec.withColumnRenamed("doc_id", "document_id").withColumnRenamed("score", "similarity_score")
                          .withColumnRenamed("method", "retrieval_method"),

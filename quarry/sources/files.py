@@ -13,6 +13,7 @@ library, PDF only through a user-supplied extractor).
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.session import materialize
 from quarry.sources import render
 
 # Supported suffixes (lower-cased) and bytes per megabyte.
 SUPPORTED = (".pdf", ".docx", ".txt", ".csv", ".xlsx")
 MB = 1024 * 1024
-MAX_FILE_MB = 100
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,18 +39,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan_files(spark: SparkSession, path: str, supported=SUPPORTED,
-               max_mb: float | None = MAX_FILE_MB) -> tuple[DataFrame, DataFrame]:
-    """(files(path, file_type, length, modificationTime, content), rejects(path, error))."""
+               max_mb: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files(path, file_type, length, modificationTime, content), rejects(path, error)).
+
+    Files of any size are read unless the caller gives ``max_mb``; larger ones are
+    then rejects.  Spark's file sources skip names that start with ``_`` or ``.``."""
     if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     typed = raw.withColumn("file_type", tx.path_suffix("path"))
     ok_type = F.col("file_type").isin(*supported)
     ok_size = F.lit(True) if max_mb is None else F.col("length") <= F.lit(int(max_mb * MB))
     files = typed.where(ok_type & ok_size)
     rejects = typed.where(~(ok_type & ok_size)).select(
-        "path", F.when(~ok_type, F.concat(F.lit("Unsupported file type: "), F.col("file_type")))
-        .otherwise(F.lit("File too large")).alias("error"))
+        "path", F.when(~ok_type, F.concat(F.lit("no reader for files of type "), F.col("file_type")))
+        .otherwise(F.lit("larger than the caller allows")).alias("error"))
     return files, rejects
 
 
@@ -77,12 +81,11 @@ def _csv_text(data: bytes) -> str:
 
 
 def _frame_text(df: pd.DataFrame, limit: int) -> str:
-    out = "Columns: " + ", ".join(str(c) for c in df.columns) + "\n\n"
-    for idx, row in df.head(limit).iterrows():
-        out += f"Row {idx + 1}: " + render.CELL_SEP.join(str(v) for v in row.values) + "\n"
-    if len(df) > limit:
-        out += f"\n... and {len(df) - limit} more rows\n"
-    return out
+    """The table rendering of ``render.render_table`` for a frame in memory."""
+    cells = df.head(limit).astype(object).map(str)
+    rows = [f"Row {i}: {render.CELL_SEP.join(r)}" for i, r in enumerate(cells.itertuples(index=False, name=None), 1)]
+    more = [f"\n... and {len(df) - limit} more rows"] if len(df) > limit else []
+    return "\n".join([f"Columns: {', '.join(map(str, df.columns))}\n", *rows, *more, ""])
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -134,27 +137,19 @@ def _xlsx_text(data: bytes) -> str:
 
 
 def _docx_text(data: bytes) -> str:
-    z = zipfile.ZipFile(io.BytesIO(data))
-    body = ElementTree.fromstring(z.read("word/document.xml")).find("w:body", _NS)
-    w = _NS["w"]
+    """Paragraph lines, then one line per table row; blank ones left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find("w:body", _NS)
 
-    def text_of(el) -> str:
-        return "".join(t.text or "" for t in el.iter(f"{{{w}}}t"))
+    def words(element) -> str:
+        return "".join(t.text or "" for t in element.iterfind(".//w:t", _NS))
 
-    out = ""
-    for p in body.findall("w:p", _NS):
-        t = text_of(p)
-        if t.strip():
-            out += t + "\n"
-    for tbl in body.iter(f"{{{w}}}tbl"):
-        for tr in tbl.findall("w:tr", _NS):
-            cells = [text_of(tc) for tc in tr.findall("w:tc", _NS)]
-            line = render.CELL_SEP.join(c for c in cells if c.strip())
-            if line.strip():
-                out += line + "\n"
-    if not out.strip():
-        raise ValueError("No text content extracted from DOCX")
-    return out
+    paragraphs = map(words, body.iterfind("w:p", _NS))
+    rows = (render.CELL_SEP.join(filter(str.strip, map(words, row.iterfind("w:tc", _NS)))) for row in body.iterfind(".//w:tr", _NS))
+    lines = [x for x in itertools.chain(paragraphs, rows) if x.strip()]
+    if not lines:
+        raise ValueError("the document holds no text")
+    return "\n".join([*lines, ""])
 
 
 DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], str]] = {".csv": _csv_text, ".xlsx": _xlsx_text, ".docx": _docx_text}
@@ -166,11 +161,12 @@ def extract_documents(files: DataFrame, extractors: dict[str, Callable[[bytes],
     ex = dict(DEFAULT_EXTRACTORS)
     ex.update(extractors or {})
     txt = files.where(F.col("file_type") == ".txt").select(
-        "path", "file_type", "length", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+        "path", "file_type", "length", F.regexp_replace(
+            F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n").alias("text"))
     txt_ok = txt.where(F.col("text").isNotNull() & F.col("text").rlike("[^" + tx.WS_CLASS[1:-1] + "]"))
     txt_bad = txt.where(F.col("text").isNull() | ~F.col("text").rlike("[^" + tx.WS_CLASS[1:-1] + "]")).select(
-        "path", F.when(F.col("text").isNull(), F.lit("TXT processing failed: invalid UTF-8"))
-        .otherwise(F.lit("No text content in TXT file")).alias("error"))
+        "path", F.when(F.col("text").isNull(), F.lit("not valid UTF-8"))
+        .otherwise(F.lit("blank file")).alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -189,13 +185,14 @@ def extract_documents(files: DataFrame, extractors: dict[str, Callable[[bytes],
                                 "text": texts, "error": errors})
 
     other = files.where(F.col("file_type") != ".txt").select("path", "file_type", "length", "content")
-    done = other.mapInPandas(run, "path string, file_type string, length long, text string, error string")
+    # written once: documents and rejects both read it
+    done = materialize(other.mapInPandas(run, "path string, file_type string, length long, text string, error string"), "files")
     docs = txt_ok.unionByName(done.where(F.col("error").isNull()).drop("error"))
     rejects = txt_bad.unionByName(done.where(F.col("error").isNotNull()).select("path", "error"))
     return docs, rejects
 
 
-def read_documents(spark: SparkSession, path: str, extractors=None, max_mb: float | None = MAX_FILE_MB
+def read_documents(spark: SparkSession, path: str, extractors=None, max_mb: float | None = None
                    ) -> tuple[DataFrame, DataFrame]:
     """Scan + extract + file metadata: (documents, rejects).  ``doc_id`` is the path."""
     files, rej1 = scan_files(spark, path, max_mb=max_mb)

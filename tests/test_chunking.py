@@ -24,7 +24,7 @@ def test_edge_lengths(spark, n, expected):
 
 
 def test_long_repeated_text(spark):
-    out = chunks_of(spark, "This is a very long text. " * 100)
+    out = chunks_of(spark, "This is a very long text. " * 100, first_occurrence=True)
     # the third window starts on a space, which stripping removes
     assert [r["chunk_size"] for r in out] == [1000, 1000, 998, 199]
     assert [r["chunk_number"] for r in out] == [1, 2, 3, 4]
@@ -34,6 +34,23 @@ def test_long_repeated_text(spark):
     assert all(r["chunk_start_char"] <= r["window_start"] for r in out)
 
 
+def test_offsets_are_where_the_text_was_cut(spark):
+    text = "This is a very long text. " * 100
+    for r in chunks_of(spark, text):
+        assert text[r["chunk_start_char"]:r["chunk_end_char"]] == r["text"]
+    assert [r["chunk_start_char"] for r in chunks_of(spark, text)] == [0, 800, 1601, 2400]
+
+
+def test_a_very_long_document(spark):
+    """Twenty million characters: the work is linear in the text."""
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("wörd and more. "), 1_333_334).alias("text"))
+    got = chunking.chunk_fixed(df, keep=["doc_id"]).agg(F.count("*").alias("n"), F.max("window_start").alias("last")).first()
+    assert (got["n"], got["last"]) == (25_000, 24_999 * 800)  # the last nine characters are too short a chunk
+    part = df.select("doc_id", F.substring("text", 1, 3_000_000).alias("text"))
+    assert chunking.chunk_separator(part, keep=["doc_id"], separator=".").count() > 3_700
+    assert chunking.chunk_sentences(part, keep=["doc_id"]).count() > 5_900
+
+
 def test_numbering_after_filter(spark):
     text = ("word " * 190).strip() + " " + "z" * 5  # 955 chars: one chunk
     assert len(chunks_of(spark, text)) == 1

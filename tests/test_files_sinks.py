@@ -72,7 +72,22 @@ def test_scan_and_extract(spark, scratch):
     assert got["s.xlsx"]["text"] == ("\n--- Sheet: S1 ---\nColumns: h1, h2\n\nRow 1: 1 | 2\n"
                                      "\n--- Sheet: S2 ---\nColumns: k\n\nRow 1: v\n")
     assert set(rej) == {"blank.txt", "bad.txt", "test.xyz", "p.pdf"}
-    assert rej["test.xyz"] == "Unsupported file type: .xyz"
+    assert rej["test.xyz"].endswith(".xyz")
+
+
+def test_line_endings_and_large_files(spark, scratch):
+    root = os.path.join(scratch, "in")
+    os.makedirs(root)
+    _write(f"{root}/dos.txt", b"one\r\ntwo\rthree\n")
+    with open(f"{root}/large.txt", "wb") as f:
+        for _ in range(101):
+            f.write(b"a" * (1 << 20))
+    files_, rejects = files.scan_files(spark, root)
+    assert {os.path.basename(r["path"]) for r in files_.select("path").collect()} == {"dos.txt", "large.txt"} and rejects.isEmpty()
+    files_, rejects = files.scan_files(spark, root, max_mb=100)
+    assert [os.path.basename(r["path"]) for r in rejects.collect()] == ["large.txt"]
+    docs, _ = files.extract_documents(files_)
+    assert [r["text"] for r in docs.select("text").collect()] == ["one\ntwo\nthree\n"]
 
 
 def test_missing_path(spark):
@@ -85,14 +100,15 @@ def test_exports(spark, scratch):
     docs = spark.createDataFrame([(7, "Sample content " * 20, "en")], "doc_id long, text string, lang string")
     p = export.export_hits(hits, docs, os.path.join(scratch, "j"), "json", ["lang"])
     line = json.loads(spark.read.text(p).collect()[0]["value"])
-    assert line == {"content": "Sample content " * 20, "document_id": "7", "similarity_score": 0.85,
+    assert line == {"query_id": 1, "rank": 1, "content": "Sample content " * 20, "document_id": "7", "similarity_score": 0.85,
                     "retrieval_method": "SPIDER", "metadata": {"lang": "en"}}
     p = export.export_hits(hits, docs, os.path.join(scratch, "c"), "csv", ["lang"])
     row = spark.read.option("header", True).csv(p).collect()[0]
+    assert (row["query_id"], row["rank"]) == ("1", "1")
     assert row["Content"].endswith("...") and len(row["Content"]) == 203 and row["Metadata"] == "{'lang': 'en'}"
     p = export.export_hits(hits, docs, os.path.join(scratch, "t"), "txt")
     text = "\n".join(r["value"] for r in spark.read.text(p).collect())
-    assert text.startswith("Result 1:\n  document_id: 7\n  similarity_score: 0.85\n  retrieval_method: SPIDER\n")
+    assert text.startswith("Query 1\nResult 1:\n  document_id: 7\n  similarity_score: 0.85\n  retrieval_method: SPIDER\n")
     with pytest.raises(ValueError):
         export.export_hits(hits, docs, os.path.join(scratch, "x"), "xml")
     assert not os.path.exists(os.path.join(scratch, "x"))
@@ -105,3 +121,9 @@ def test_save_rows(spark, scratch):
     assert text == "Result 1:\n  id: 1\n  v: a\n\nResult 2:\n  id: 2\n  v: b\n"
     with pytest.raises(ValueError):
         export.save_rows(df, os.path.join(scratch, "q"), "yaml")
+
+
+def test_nested_columns_in_csv(spark, scratch):
+    df = spark.createDataFrame([(1, ["x", "y"], {"k": 2})], "id long, topics array<string>, m map<string,int>")
+    p = export.save_rows(df, os.path.join(scratch, "n"), "csv")
+    assert [tuple(r) for r in spark.read.option("header", True).option("escape", "\"").csv(p).collect()] == [("1", '["x","y"]', '{"k":2}')]

@@ -54,3 +54,10 @@ def test_two_sided_join(spark):
     assert sorted(brute_force_pairs(left, right, "jaccard", 0.6)) == [(0, 10, 1.0, 1, 1), (1, 11, round(2 / 3, 9), 1, 1)]
     with pytest.raises(ValueError):
         sim.similarity_join(left, right, "jaccard", 0.0)
+
+
+def test_partners_per_left(spark):
+    left = spark.createDataFrame([(0, "a b c d"), (1, "x y")], "id long, text string")
+    right = spark.createDataFrame([(10, "a b c d"), (11, "a b c"), (12, "a b c e"), (13, "x y")], "id long, text string")
+    got = sim.similarity_join(left, right, "jaccard", 0.5, per_left=2).collect()
+    assert sorted((r["left_id"], r["right_id"]) for r in got) == [(0, 10), (0, 11), (1, 13)]
