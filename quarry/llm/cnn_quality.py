@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it.  In
 each chunk learned filters slide over the bytes; each filter's largest answer
-(max-pooling) goes through a logistic unit, and the chunks' logits (their mean,
+(max-pooling) goes through a logistic unit that also sees how much of the chunk
+is filled, as short texts have lower maxima; the chunks' logits (their mean,
 least and largest) combine into one probability.
 
 The network is trained on the driver on a bounded sample: at most
@@ -34,14 +35,15 @@ CHUNK, STRIDE = 512, 448
 WIDTH, STEP, FILTERS = 6, 2, 16
 SAMPLE_PER_CLASS = 1000
 SAMPLE_CHUNKS = 8
-EPOCHS = 8
+EPOCHS = 16
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Network:
-    """filters[k, byte, f]: the answer of filter f to a byte at place k; bias and
-    weight of the pooled filters; how the chunks' logits combine."""
+    """filters[k, byte, f]: the answer of filter f to a byte at place k; the pooled
+    filters' bias; the logistic unit's weight (of the filters, of the filters times
+    the empty share of the chunk, of that share); how the chunks' logits combine."""
 
     filters: np.ndarray
     bias: np.ndarray
@@ -72,11 +74,18 @@ def _answers(net_filters: np.ndarray, part: np.ndarray) -> np.ndarray:
 def _logits(net: Network, parts: np.ndarray, block: int = 128) -> np.ndarray:
     out = np.empty(len(parts), np.float32)
     for at in range(0, len(parts), block):
-        top = _answers(net.filters, parts[at:at + block]).max(axis=1) + net.bias
-        out[at:at + block] = np.maximum(top, 0) @ net.weight + net.offset
+        part = parts[at:at + block]
+        top = _answers(net.filters, part).max(axis=1) + net.bias
+        out[at:at + block] = _inputs(np.maximum(top, 0), part) @ net.weight + net.offset
     return out
 
 
+def _inputs(act: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What the logistic unit sees of each chunk."""
+    empty = (1 - np.count_nonzero(part, axis=1) / CHUNK).astype(np.float32)[:, None]
+    return np.concatenate([act, act * empty, empty], axis=1)
+
+
 def _spread(logit: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Per document 1, mean, least and largest of its chunks' logits."""
     n = np.diff(np.append(starts, len(logit)))
@@ -110,7 +119,7 @@ def train(parts: np.ndarray, doc: np.ndarray, label: np.ndarray, prior: float, e
     """Fit on chunks ``parts``; ``doc`` numbers each chunk's document (sorted), ``label`` is by document."""
     rng = np.random.default_rng(seed)
     w = {"filters": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)), "bias": np.full(FILTERS, 0.1),
-         "weight": rng.normal(0, 0.3, FILTERS), "offset": np.zeros(1)}
+         "weight": np.concatenate([rng.normal(0, 0.3, FILTERS), np.zeros(FILTERS + 1)]), "offset": np.zeros(1)}
     w = {k: v.astype(np.float32) for k, v in w.items()}
     w["filters"][:, 0] = 0
     mean = {k: np.zeros_like(v) for k, v in w.items()}
@@ -123,14 +132,18 @@ def train(parts: np.ndarray, doc: np.ndarray, label: np.ndarray, prior: float, e
         for at in range(0, len(order), 64):
             rows = order[at:at + 64]
             part = parts[rows]
+            # a third of the chunks are cut short at random, so that short texts are known
+            cut = np.where(rng.random(len(rows)) < 1 / 3, rng.integers(8, CHUNK, len(rows)), CHUNK)
+            part = np.where(np.arange(CHUNK) < cut[:, None], part, np.uint8(0))
             answer = _answers(w["filters"], part)
             place = answer.argmax(axis=1)
             top = np.take_along_axis(answer, place[:, None, :], 1)[:, 0] + w["bias"]
             act = np.maximum(top, 0)
-            z = act @ w["weight"] + w["offset"][0]
+            seen = _inputs(act, part)
+            z = seen @ w["weight"] + w["offset"][0]
             err = (_sigmoid(z) - target[rows]) * weight[rows] / len(rows)
-            back = err[:, None] * w["weight"] * (top > 0)
-            grad = {"filters": np.zeros_like(w["filters"]), "bias": back.sum(0), "weight": act.T @ err,
+            back = err[:, None] * (w["weight"][:FILTERS] + seen[:, -1:] * w["weight"][FILTERS:-1]) * (top > 0)
+            grad = {"filters": np.zeros_like(w["filters"]), "bias": back.sum(0), "weight": seen.T @ err,
                     "offset": np.array([err.sum()])}
             f = np.broadcast_to(np.arange(FILTERS), place.shape)
             for k in range(WIDTH):
