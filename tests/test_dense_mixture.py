@@ -147,3 +147,30 @@ def test_large_means_keep_their_precision(spark):
     m = mixture.fit_gmm(df, k=2)
     got = sorted(float(np.sqrt(np.trace(c) / 2)) for c in m.covariances)
     assert got[0] == pytest.approx(1, rel=0.2) and got[1] == pytest.approx(2, rel=0.2)
+
+
+def test_registered_approximate_search_recall(spark):
+    from quarry.plans import catalog, catalog_more
+    sf = "/root/testdata/sf0.01"
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "doc_id")
+    exact = {(r["query_id"], r["doc_id"]) for r in dense.dense_search(emb, catalog_more._every_twentieth(spark, sf), k=catalog.K).collect()}
+    approx = {(r["query_id"], r["vec_id"]) for r in catalog.queries()["dense_ann"](spark, sf).collect()}
+    assert len(exact & approx) / len(exact) >= 0.9
+
+
+def test_em_step_against_numpy(spark):
+    from quarry.plans.catalog_more import _fixed_model
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.2, (300, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    m = _fixed_model()
+    p = np.stack([w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(c), x - mu)) / (2 * np.pi * np.sqrt(np.linalg.det(c)))
+                  for w, mu, c in zip(m.weights, m.means, m.covariances)], axis=1)
+    r = p / p.sum(axis=1, keepdims=True)
+    got = mixture.em_step(df, m)
+    means = (r.T @ x) / r.sum(0)[:, None]
+    assert np.allclose(got.weights, r.mean(0)) and np.allclose(got.means, means)
+    cov = [((x - means[j]) * r[:, j:j + 1]).T @ (x - means[j]) / r[:, j].sum() + 1e-6 * np.eye(2) for j in range(3)]
+    assert np.allclose(got.covariances, cov) and got.log_likelihood == pytest.approx(np.log(p.sum(axis=1)).mean())
+    labels = {q["vec_id"]: q["cluster"] for q in mixture.assign(df, m).collect()}
+    assert [labels[i] for i in range(300)] == p.argmax(axis=1).tolist()

@@ -83,3 +83,59 @@ def test_streaming_queries(spark, built, scratch):
     n_q = spark.read.parquet(f"{SF}/benchmark.parquet").count()
     assert hits.select("query_id").distinct().count() == n_q
     assert hits.groupBy("query_id").count().where("count > 3").count() == 0
+
+
+def test_an_existing_index_raises_before_any_work(spark, built, monkeypatch):
+    root, _ = built
+    monkeypatch.setattr(jobs, "build_chunks", lambda *a, **k: pytest.fail("work was done"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    with pytest.raises(FileExistsError):
+        jobs.index_corpus(spark, docs, root)
+    with pytest.raises(ValueError):
+        jobs.index_corpus(spark, docs, root, mode="append")
+    with pytest.raises(FileNotFoundError):
+        jobs.open_index(spark, os.path.join(root, "nowhere"))
+
+
+def test_interrupted_reclustering_leaves_the_live_version(spark, built, monkeypatch):
+    root, _ = built
+    before = jobs.open_index(spark, root)
+    k, n = before.model.k, before.chunks.count()
+
+    def broken(*a, **kw):
+        raise RuntimeError("the job died")
+
+    monkeypatch.setattr(jobs, "_publish", broken)
+    with pytest.raises(RuntimeError):
+        jobs.recluster(spark, root, 2)
+    after = jobs.open_index(spark, root)
+    assert after.model.k == k and after.chunks.count() == n
+
+
+def test_overwrite_leaves_earlier_readers_their_rows(spark, scratch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").limit(30)
+    text = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    first = jobs.index_corpus(spark, text, scratch, n_components=2)
+    n = first.chunks.count()
+    second = jobs.index_corpus(spark, text.where("doc_id < 'd2'"), scratch, n_components=2, mode="overwrite")
+    assert first.chunks.count() == n > second.chunks.count() == jobs.open_index(spark, scratch).chunks.count()
+    # string ids reach the hits, with content and metadata
+    q = spark.createDataFrame([("q1", first.chunks.first()["text"][:200])], "query_id string, text string")
+    out = jobs.query_index(first, q, k=3)
+    hit = out["hits"].orderBy("rank").first()
+    assert hit["query_id"] == "q1" and hit["document_id"].startswith("d") and hit["doc_id"].startswith(hit["document_id"] + "#")
+    assert hit["content"] and hit["lang"]
+    answer = out["responses"].collect()
+    assert len(answer) == 1 and answer[0]["total_results"] == 3 and len(answer[0]["documents"]) == 3
+    # a restriction holds before scoring: the list is still full
+    some = hit["source"]
+    only = jobs.query_index(first, q, k=3, restrict=f"source = '{some}'")["hits"].collect()
+    assert {r["source"] for r in only} == {some}
+    ids = spark.createDataFrame([(hit["document_id"],)], "doc_id string")
+    assert {r["document_id"] for r in jobs.query_index(first, q, k=3, doc_filter=ids)["hits"].collect()} == {hit["document_id"]}
+
+
+def test_far_apart_document_ids_share_no_chunk_id(spark):
+    text = "word " * 100
+    docs = spark.createDataFrame([(5, text), (5 + 2**44, text)], "doc_id long, text string")
+    assert jobs.build_chunks(docs).select("chunk_id").distinct().count() == 2
