@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import (cnn_quality, decontaminate, embedding_dedup, hmm_lm, license_scan, line_dedup, oracles, packing,
                         simhash, substring_dedup, tool_chat)
+from quarry.llm.common import stage
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -87,8 +88,9 @@ def op7_cnn_quality(spark, sf_dir):
 
 
 def op8_line_dedup(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"),
-                                                 line_dedup.page_text(F.col("html")).alias("text"))
+    # the pages' text is taken from their HTML once, as the operator reads it more than once
+    pages = stage(table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"),
+                                                       line_dedup.page_text(F.col("html")).alias("text")), "page-text")
     left = line_dedup.drop_lines(pages, F.col("host"), n_lines="n_lines", n_dropped="n_dropped")
     return left.select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
