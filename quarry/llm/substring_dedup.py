@@ -1,13 +1,12 @@
 """Removal of repeated passages by hashing lines and their sentences.
 
-A text is cut into units: lines, and within a line up to the end of each
-sentence, as passages also repeat inside lines.  A unit is normalised (its words,
-A-Z lower-cased, punctuation and spacing aside) and hashed to 128 bits; units of
-fewer than ``min_unit_words`` words are not hashed and go with their
-neighbours.  Digests are grouped over the whole table and the earliest ranked
-occurrence (smallest id, then row, then place) is kept.  The other occurrences
-form runs of consecutive units; a run of ``min_words`` words or more is removed,
-with its offsets in the original text.
+A text is cut into units: lines, and within a line sentences, as passages also
+repeat inside lines; a sentence of fewer than ``min_unit_words`` words goes with
+the next one.  A unit is normalised (its words, A-Z lower-cased, punctuation and
+spacing aside) and hashed to 128 bits.  Digests are grouped over the whole table
+and the earliest ranked occurrence (smallest id, then row, then place) is kept.
+The other occurrences form runs of consecutive units; a run of ``min_words``
+words or more is removed, with its offsets in the original text.
 
 Grouping counts on the map side first; the occurrences meet the repeated digests
 in a plain shuffle join, so one digest with a large share of all rows is split.
@@ -34,15 +33,18 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import field, stage, words
 
-# Units tile the text: up to and with sentence marks or a line break.
-UNIT = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 MIN_UNIT_WORDS = 4
-MIN_WORDS = 20
+MIN_WORDS = 25
 
-_UNIT = re.compile(UNIT)
+
+def unit_pattern(min_unit_words: int = MIN_UNIT_WORDS) -> str:
+    """Units tile the text: enough blank-separated words up to one that ends a
+    sentence, or else the rest of the line (with its break)."""
+    return rf"(?:[^ \n]* ){{{min_unit_words - 1},}}?[^ \n]*[.!?](?: |\n)|[^\n]+\n?|\n"
 
 
 def _unit_tasks(id_type: pa.DataType, min_unit_words: int, own_row: bool):
+    unit = re.compile(unit_pattern(min_unit_words))
     names = ["h0", "h1", "row", "id", "idx", "start", "stop", "n_words"]
 
     def run(batches):
@@ -54,9 +56,9 @@ def _unit_tasks(id_type: pa.DataType, min_unit_words: int, own_row: bool):
                 digests, where, row, idx, start, stop, size = [], [], [], [], [], [], []
                 for k in range(lo, min(lo + 512, len(texts))):
                     n = 0
-                    for m in _UNIT.finditer(texts[k] or ""):
+                    for m in unit.finditer(texts[k] or ""):
                         w = words(m.group())
-                        if len(w) >= min_unit_words:
+                        if w:
                             digests.append(xxhash.xxh3_128_digest(b" ".join(w)))
                             where.append(k)
                             row.append(rows[k])
@@ -132,7 +134,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 def repeats_sql(min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS) -> str:
     """DuckDB SQL for the registered query over ``documents``."""
     return f"""WITH cut AS (
-  SELECT doc_id, regexp_extract_all(text, '{UNIT}') AS u FROM documents),
+  SELECT doc_id, regexp_extract_all(text, '{unit_pattern(min_unit_words)}') AS u FROM documents),
 unit AS (
   SELECT doc_id, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS k FROM cut),
 placed AS (
@@ -141,7 +143,7 @@ placed AS (
                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM unit),
 hashed AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS idx, stop - length(x) AS start, stop, len(w) AS n,
-         array_to_string(w, ' ') AS h FROM placed WHERE len(w) >= {min_unit_words}),
+         array_to_string(w, ' ') AS h FROM placed WHERE len(w) > 0),
 ranked AS (
   SELECT *, row_number() OVER same AS nth, first_value(doc_id) OVER same AS first_id
   FROM hashed WINDOW same AS (PARTITION BY h ORDER BY doc_id, idx)),

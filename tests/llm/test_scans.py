@@ -126,17 +126,33 @@ def test_page_text_and_host(spark):
     assert [tuple(r) for r in got] == [("a.example.com:80", "One two\nthree"), (None, None), ("", "")]
 
 
-def brute_repeats(rows, min_words=20, least=4):
-    import re
+def brute_repeats(rows, min_words=25, least=4):
+    def units(text):
+        """(start, stop) of lines, cut after sentences of enough blank-separated words."""
+        at = 0
+        for line in text.splitlines(keepends=True) if "\n" in text else [text]:
+            start = stop = at
+            pieces = line[:-1].split(" ") if line.endswith("\n") else line.split(" ")
+            count = 0
+            for k, piece in enumerate(pieces):
+                stop += len(piece) + 1
+                count += 1
+                if count >= least and piece[-1:] in tuple(".!?") and (k < len(pieces) - 1 or line.endswith("\n")):
+                    yield start, stop
+                    start, count = stop, 0
+            if start < at + len(line):
+                yield start, at + len(line)
+            at += len(line)
+
     seen, marks = {}, []
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     for k in order:
         n = 0
-        for m in re.finditer(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+", rows[k][1] or ""):
-            w = tuple(words(m.group()))
-            if len(w) >= least:
+        for a, b in units(rows[k][1] or ""):
+            w = tuple(words(rows[k][1][a:b]))
+            if w:
                 if w in seen:
-                    marks.append((k, n, m.start(), m.end(), len(w)))
+                    marks.append((k, n, a, b, len(w)))
                 seen.setdefault(w, k)
                 n += 1
     out = []
