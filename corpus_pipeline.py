@@ -21,9 +21,20 @@ from quarry.llm.common import stage
 from quarry.llm.queries import table, tokenizer_path
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``_key`` that orders by doc_id and tells texts apart."""
-    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as (key, text, row): the key orders by doc_id and tells texts apart;
+    the row travels as one struct, so its column names cannot clash."""
+    return docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("key"), F.col("text").alias("text"),
+                       F.struct("*").alias("row"))
+
+
+def _rows(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    return keyed.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def _same(left: str, right: str):
+    """Whether two key columns are equal, a null doc_id included."""
+    return F.col(f"{left}.id").eqNullSafe(F.col(f"{right}.id")) & (F.col(f"{left}.h") == F.col(f"{right}.h"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,34 +44,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their source's boilerplate lines; n_chars follows the text."""
-    left = line_dedup.drop_lines(docs, F.col("source"), n_dropped="_dropped")
+    left = line_dedup.drop_lines(docs, F.col("source"), n_dropped="lines dropped")
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", F.when(F.col("lines dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                                .otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest doc_id."""
-    keyed = _key(docs)
-    groups = stage(simhash.near_duplicates(keyed, "_key", "text", shingle=3, distance=2), "pipeline-groups")
-    kept = stage(groups.where("_key = component_id").groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"))
-                 .select(F.col("_key.id").alias("_id"), F.col("_key.h").alias("_h"), "_copies"), "pipeline-kept")
-    met = (docs.withColumn("_t", F.xxhash64("text"))
-           .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))))
-    once = met.where("_copies = 1").select(*docs.columns)
-    more = met.where("_copies > 1").dropDuplicates(["_id", "_h"]).select(*docs.columns)
-    return once.unionByName(more)
+    keyed = _keyed(docs)
+    groups = stage(simhash.near_duplicates(keyed, "key", "text", shingle=3, distance=2), "pipeline-groups")
+    kept = stage(groups.where("key = component_id").groupBy(F.col("key").alias("kept"))
+                 .agg(F.count(F.lit(1)).alias("copies")), "pipeline-kept")
+    met = keyed.join(kept, _same("key", "kept")).select("key", "row", "copies")
+    once = met.where("copies = 1").select("row")
+    more = met.where("copies > 1").dropDuplicates(["key"]).select("row")
+    return _rows(once.unionByName(more), docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a benchmark window."""
-    matches = decontaminate.find_matches(_key(docs), table(spark, sf_dir, "benchmark"), id_col="_key", window=10)
-    bad = stage(matches.where(F.size("starts") > 0).select(F.col("_key.id").alias("_id"), F.col("_key.h").alias("_h")).distinct(),
-                "pipeline-contaminated")
-    return (docs.withColumn("_t", F.xxhash64("text"))
-            .join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_anti")
-            .select(*docs.columns))
+    keyed = _keyed(docs)
+    matches = decontaminate.find_matches(keyed, table(spark, sf_dir, "benchmark"), id_col="key", window=10)
+    bad = stage(matches.where(F.size("starts") > 0).select(F.col("key").alias("bad")).distinct(), "pipeline-contaminated")
+    return _rows(keyed.join(bad, _same("key", "bad"), "left_anti"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,19 +73,20 @@ def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: fl
             .groupBy("_host", "_t0", "_t1").agg(F.collect_set("_line").alias("_drop")))
     held = stage(held.select(F.col("_host").alias("_h"), F.col("_t0").alias("_h0"), F.col("_t1").alias("_h1"), "_drop"),
                  "boilerplate-texts")
-    keyed = pages.withColumns({"_host": host.cast("string"), "_t0": F.xxhash64(F.lit(0), text),
-                               "_t1": F.xxhash64(F.lit(1), text)})
+    # the row travels as one struct, so its column names cannot clash
+    keyed = pages.select(F.struct("*").alias("row"), host.cast("string").alias("_host"), text.alias("text"),
+                         F.xxhash64(F.lit(0), text).alias("_t0"), F.xxhash64(F.lit(1), text).alias("_t1"))
     met = keyed.join(held, (F.col("_t0") == F.col("_h0")) & (F.col("_t1") == F.col("_h1"))
                      & F.col("_host").eqNullSafe(F.col("_h")), "left")
-    left = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_drop", digest(x)), F.lit(False)))
-    total = F.size(F.filter(_lines(text), lambda x: F.trim(x) != "")).cast("long")
-    gone = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size(left)).cast("long")
-    out = met
-    more = {k: v for k, v in ((n_lines, total), (n_dropped, gone)) if k}
-    if more:
-        out = out.withColumns(more)
-    out = out.withColumn(text_col, F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(left, "\n")))
-    return out.select(*pages.columns, *more)
+    lines = _lines(F.col("text"))
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", digest(x)), F.lit(False)))
+    total = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
+    gone = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
+    new = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    done = met.select("row", F.struct(new.alias("text"), total.alias("total"), gone.alias("gone")).alias("made"))
+    more = [F.col("made").getField(c).alias(name) for name, c in ((n_lines, "total"), (n_dropped, "gone")) if name]
+    return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+                         for c in pages.columns], *more)
 
 
 # --- raw pages ------------------------------------------------------------------------

@@ -108,10 +108,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
            min_unit_words: int = MIN_UNIT_WORDS) -> DataFrame:
     """``docs``, all columns, with the removed passages cut out of ``text_col`` and
     their spans in a column ``removed`` (array of struct(start, stop))."""
-    kept = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "unit-docs")
-    spans = repeats(kept, id_col, text_col, min_words, min_unit_words, row_col="_row")
-    per_row = spans.groupBy(F.col("row").alias("_spans_row")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    # the row travels as one struct, so its column names cannot clash
+    kept = stage(docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"),
+                             F.monotonically_increasing_id().alias("at")), "unit-docs")
+    spans = repeats(kept, "id", "t", min_words, min_unit_words, row_col="at")
+    per_row = spans.groupBy(F.col("row").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -124,11 +126,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out)
 
-    met = kept.join(per_row, F.col("_row") == F.col("_spans_row"), "left")
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    left = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(
-        cut(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce("_spans", none)))
-    return met.withColumn(text_col, left).select(*docs.columns, F.coalesce("_spans", none).alias("removed"))
+    met = kept.join(per_row, F.col("at") == F.col("of"), "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    left = F.when(F.col("spans").isNull(), F.col("t")).otherwise(cut(F.coalesce("t", F.lit("")), spans))
+    done = met.select("doc", F.struct(left.alias("text"), spans.alias("spans")).alias("made"))
+    return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c)
+                         for c in docs.columns], F.col("made").getField("spans").alias("removed"))
 
 
 def repeats_sql(min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS) -> str:

@@ -205,8 +205,8 @@ def test_pipeline_stages_against_brute_force(spark):
 
 
 def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
-    docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("_key"), F.lit("x").alias("extra"))
-    docs = docs.drop("_key")
+    docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("key"), F.lit("x").alias("row"),
+                                   F.lit(2).alias("_drop"), F.lit(3).alias("copies"))
     for name, step in corpus_pipeline.STAGES:
         for table in (docs, docs.where("1 = 0")):
             out = step(spark, table, SMALL)
