@@ -52,6 +52,10 @@ class Network:
     combine: np.ndarray
     share: float | None = None  # set when there was nothing to tell apart
 
+    def plain(self) -> tuple:
+        """The fields, for a broadcast."""
+        return self.filters, self.bias, self.weight, self.offset, self.combine, self.share
+
 
 def chunks(data: bytes) -> np.ndarray:
     """All chunks of a text's bytes, the last filled up with zero bytes."""
@@ -212,12 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text",
            threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model = docs.sparkSession.sparkContext.broadcast(net.plain())
     schema = T.StructType([T.StructField("id", field(docs, id_col)), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(model.value, batch.column(1).to_pylist()))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(Network(*model.value), batch.column(1).to_pylist()))],
                                              ["id", "score"])
 
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
@@ -227,12 +231,12 @@ def scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model = docs.sparkSession.sparkContext.broadcast(net.plain())
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).to_pylist()
-            yield batch.filter(pa.array(score(model.value, texts) >= threshold))
+            yield batch.filter(pa.array(score(Network(*model.value), texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,8 @@ Every iterative step cuts its lineage by writing Parquet under the folder that
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -34,6 +36,13 @@ def spaced_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(LOWER_BYTES).split() if text else []
 
 
+def per_process(name: str) -> dict:
+    """A dictionary that lives as long as the Python process.  Functions travel to
+    the workers by value, so what their module holds would not outlast a task."""
+    home = sys.modules.setdefault("_quarry_process", types.ModuleType("_quarry_process"))
+    return vars(home).setdefault(name, {})
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread."""
     spark = df.sparkSession

@@ -45,20 +45,24 @@ BLOCK_BYTES = 16 << 20
 class Windows:
     """The windows of a block of items, as rows of term numbers."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.terms: dict[bytes, int] = {}
+    def __init__(self, terms: dict[bytes, int], rows: list[tuple[int, ...]], items: list[list[str]]):
+        self.terms, self.rows, self.items = terms, rows, items
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.flat = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(self.sizes.sum()))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+
+    @staticmethod
+    def of(items: list[tuple[str, str | None]], window: int) -> tuple:
+        """Plain values that make the windows of ``items``, for a broadcast."""
+        terms: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             if item is None:
                 continue
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
+            ids = [terms.setdefault(w, len(terms)) for w in words(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 rows.setdefault(tuple(ids[at:at + window]), set()).add(item)
-        self.rows = list(rows)
-        self.items = [sorted(x) for x in rows.values()]
-        self.sizes = np.array([len(r) for r in self.rows], np.int64)
-        self.flat = np.fromiter(itertools.chain.from_iterable(self.rows), np.int64, int(self.sizes.sum()))
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        return terms, list(rows), [sorted(x) for x in rows.values()]
 
     def possible(self, present: np.ndarray) -> np.ndarray:
         """Numbers of the windows whose terms are all present."""
@@ -72,8 +76,7 @@ def _index_tasks(windows, id_type: pa.DataType):
     schema = pa.schema([("segment", pa.int64()), ("term", pa.int32()), ("positions", pa.list_(pa.int32())),
                         ("docs", directory)])
 
-    def postings(segment: int, docs: list, parts: list[np.ndarray], length: int):
-        w = windows.value
+    def postings(w: Windows, segment: int, docs: list, parts: list[np.ndarray]):
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         at = np.flatnonzero(ids >= 0)
         present = np.zeros(len(w.terms), bool)
@@ -93,7 +96,7 @@ def _index_tasks(windows, id_type: pa.DataType):
             pa.array([docs, *[None] * n], directory)], schema=schema)
 
     def run(batches):
-        w = windows.value
+        w = Windows(*windows.value)
         number = itertools.count(TaskContext.get().partitionId() << 32)
         get, none = w.terms.get, itertools.repeat(-1)
         docs, parts, length = [], [], 0
@@ -105,10 +108,10 @@ def _index_tasks(windows, id_type: pa.DataType):
                 parts += [np.fromiter(map(get, tokens, none), np.int32, len(tokens)), gap]
                 length += len(tokens) + 1
                 if length >= SEGMENT_WORDS:
-                    yield from postings(next(number), docs, parts, length)
+                    yield from postings(w, next(number), docs, parts)
                     docs, parts, length = [], [], 0
         if docs:
-            yield from postings(next(number), docs, parts, length)
+            yield from postings(w, next(number), docs, parts)
     return run
 
 
@@ -145,8 +148,12 @@ def _near(lists: list[tuple[int, np.ndarray]], slop: int, share: float) -> np.nd
 
 
 def _match_tasks(windows, slop: int, share: float):
+    made: list[Windows] = []  # once per task
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = windows.value
+        if not made:
+            made.append(Windows(*windows.value))
+        w = made[0]
         is_term = pdf["term"].to_numpy() >= 0
         docs = pdf.loc[~is_term, "docs"].iloc[0]
         lists = {int(t): np.asarray(p, np.int64) for t, p in
@@ -223,7 +230,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
         # about block_bytes of text, by the number of blocks
-        windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in mine.collect()], window))
+        windows = spark.sparkContext.broadcast(Windows.of([tuple(r) for r in mine.collect()], window))
         stored = stage(read.mapInArrow(_index_tasks(windows, id_arrow), index), "decontaminate-index")
         part = stored.groupBy("segment").applyInPandas(_match_tasks(windows, slop, near_share), result)
         found = part if found is None else found.unionByName(part)

@@ -31,16 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import component_ids, field, forest, global_rank, stage
+from quarry.llm.common import component_ids, field, forest, global_rank, per_process, stage
 
 WINDOW = 512
 MISS = 1e-6
 RUN = 256  # rows that should share their leading hashes, about
 
 
-@functools.lru_cache(maxsize=256)
-def _maps(seed: int, size: int, turn: int, depth: int) -> np.ndarray:
-    return np.random.default_rng([seed, size, turn, depth]).standard_normal((size, size))
+def _maps(*key: int) -> np.ndarray:
+    """The random map of (seed, size, pass, depth)."""
+    known = per_process("maps")
+    if key not in known:
+        known[key] = np.random.default_rng(key).standard_normal((key[1], key[1]))
+    return known[key]
 
 
 def _nearest_axis(x: np.ndarray, turn: np.ndarray) -> np.ndarray:

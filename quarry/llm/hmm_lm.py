@@ -127,6 +127,10 @@ class Chain:
     step: np.ndarray
     emit: np.ndarray
 
+    def plain(self) -> tuple:
+        """The fields, for a broadcast."""
+        return self.start, self.inner, self.step, self.emit
+
 
 def first_chain(seen: np.ndarray, states: int = STATES, seed: int = 3) -> Chain:
     """A start for Baum-Welch: the classes' shares, varied at random per state."""
@@ -210,7 +214,7 @@ def _count_tasks(chain):
         for batch in batches:
             texts = [np.frombuffer(x, np.uint8) for x in batch.column(0).to_pylist()]
             if texts:
-                got = expected(chain.value, texts)
+                got = expected(Chain(*chain.value), texts)
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
         if sums is not None:
             flat = [np.atleast_1d(np.asarray(x, float)).ravel() for x in sums]
@@ -225,7 +229,7 @@ def baum_welch(classes: DataFrame, chain: Chain, rounds: int = ROUNDS) -> Chain:
     """``rounds`` rounds over all rows of ``classes`` (one binary column)."""
     sc, k = classes.sparkSession.sparkContext, len(chain.start)
     for _ in range(rounds):
-        tasks = classes.mapInArrow(_count_tasks(sc.broadcast(chain)), "part string, at long, x double")
+        tasks = classes.mapInArrow(_count_tasks(sc.broadcast(chain.plain())), "part string, at long, x double")
         # states * (states + classes + 2) + 1 rows, whatever the corpus
         rows = tasks.groupBy("part", "at").agg(F.sum("x").alias("x")).collect()
         if not rows:
@@ -291,10 +295,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     seen[END], spread[END] = ends, ends + 1  # a class with one member, never unseen
 
     chain = baum_welch(texts.where("NOT held_out").select("classes"), first_chain(seen, states), rounds)
-    model = spark.sparkContext.broadcast((chain, np.log10(spread)))
+    model = spark.sparkContext.broadcast((chain.plain(), np.log10(spread)))
 
     def run(batches):
-        model_chain, log_spread = model.value
+        fields, log_spread = model.value
+        model_chain = Chain(*fields)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)

@@ -21,7 +21,6 @@ empty result.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import field, global_rank, stage
+from quarry.llm.common import field, global_rank, per_process, stage
 
 CAPACITY = 2048
 END = 0
@@ -81,13 +80,16 @@ class _Words(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made, _Words(made, ""), _Words(made, " ")
+    """The tokenizer and its words at line starts and after blanks, once per process."""
+    known = per_process("tokenizers")
+    if path not in known:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        made = Tokenizer.from_file(path)
+        made.encode_special_tokens = True
+        known[path] = made, _Words(made, ""), _Words(made, " ")
+    return known[path]
 
 
 def _plain(text: str) -> bool:
