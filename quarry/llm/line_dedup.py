@@ -73,8 +73,10 @@ def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: fl
             .groupBy("_host", "_t0", "_t1").agg(F.collect_set("_line").alias("_drop")))
     held = stage(held.select(F.col("_host").alias("_h"), F.col("_t0").alias("_h0"), F.col("_t1").alias("_h1"), "_drop"),
                  "boilerplate-texts")
-    # the row travels as one struct, so its column names cannot clash
-    keyed = pages.select(F.struct("*").alias("row"), host.cast("string").alias("_host"), text.alias("text"),
+    # the row's other columns travel as one struct, so that no name can clash
+    rest = [c for c in pages.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("none"), *[pages[c].alias(f"c{i}") for i, c in enumerate(rest)])
+    keyed = pages.select(row.alias("row"), host.cast("string").alias("_host"), text.alias("text"),
                          F.xxhash64(F.lit(0), text).alias("_t0"), F.xxhash64(F.lit(1), text).alias("_t1"))
     met = keyed.join(held, (F.col("_t0") == F.col("_h0")) & (F.col("_t1") == F.col("_h1"))
                      & F.col("_host").eqNullSafe(F.col("_h")), "left")
@@ -85,8 +87,8 @@ def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: fl
     new = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     done = met.select("row", F.struct(new.alias("text"), total.alias("total"), gone.alias("gone")).alias("made"))
     more = [F.col("made").getField(c).alias(name) for name, c in ((n_lines, "total"), (n_dropped, "gone")) if name]
-    return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
-                         for c in pages.columns], *more)
+    return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else
+                         F.col("row").getField(f"c{rest.index(c)}").alias(c) for c in pages.columns], *more)
 
 
 # --- raw pages ------------------------------------------------------------------------

@@ -108,8 +108,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
            min_unit_words: int = MIN_UNIT_WORDS) -> DataFrame:
     """``docs``, all columns, with the removed passages cut out of ``text_col`` and
     their spans in a column ``removed`` (array of struct(start, stop))."""
-    # the row travels as one struct, so its column names cannot clash
-    kept = stage(docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"),
+    # the row's other columns travel as one struct, so that no name can clash
+    rest = [c for c in docs.columns if c != text_col]
+    doc = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{i}") for i, c in enumerate(rest)])
+    kept = stage(docs.select(doc.alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"),
                              F.monotonically_increasing_id().alias("at")), "unit-docs")
     spans = repeats(kept, "id", "t", min_words, min_unit_words, row_col="at")
     per_row = spans.groupBy(F.col("row").alias("of")).agg(
@@ -130,8 +132,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     left = F.when(F.col("spans").isNull(), F.col("t")).otherwise(cut(F.coalesce("t", F.lit("")), spans))
     done = met.select("doc", F.struct(left.alias("text"), spans.alias("spans")).alias("made"))
-    return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c)
-                         for c in docs.columns], F.col("made").getField("spans").alias("removed"))
+    return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else
+                         F.col("doc").getField(f"c{rest.index(c)}").alias(c) for c in docs.columns], F.col("made").getField("spans").alias("removed"))
 
 
 def repeats_sql(min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS) -> str:
