@@ -248,5 +248,4 @@ def contamination(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of ``find_matches``."""
     covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return matches.select(id_col, "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated"),
-                          F.size("near_items").cast("long").alias("n_near_items"))
+                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated"))

@@ -22,8 +22,7 @@ FROM v JOIN least ON s = v.vec_id"""
 
 
 def decontamination_sql(window: int = 10) -> str:
-    """Every window of every item against every word position of every document
-    (proximity matches, an extra of the operator, are left out)."""
+    """Every window of every item against every word position of every document."""
     return f"""WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 item AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark),
 win AS (
