@@ -37,6 +37,8 @@ BM25_B = 0.75
 PACK_ROWS = 512
 # (document term, query) matches that are expanded at once while scoring
 TILE = 1 << 21
+# A vocabulary with a bound up to this goes to every task.
+SHIPPED_TERMS = 200_000
 
 _TOKEN = re.compile(r"\w\w+")
 
@@ -74,26 +76,13 @@ def term_lists(df: DataFrame, id_col: str, text_col: str, stop_words: list[str],
 
 
 def term_totals(lists: DataFrame) -> DataFrame:
-    """(term, df, cf): each task counts its rows first."""
+    """(term, df, cf): each Arrow batch is summed where it lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, cf = Counter(), Counter()
-
-        def rows():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()),
-                 pa.array([cf[t] for t in df], pa.int64())], ["term", "df", "cf"])
-
         for batch in batches:
-            terms, tfs = batch.column("terms").flatten().to_pylist(), batch.column("tfs").flatten().to_pylist()
-            df.update(terms)
-            for t, n in zip(terms, tfs, strict=True):
-                cf[t] += n
-            if len(df) > 500_000:
-                yield rows()
-                df.clear()
-                cf.clear()
-        yield rows()
+            pairs = pa.table({"term": batch.column("terms").flatten(), "tf": batch.column("tfs").flatten()})
+            sums = pairs.group_by("term").aggregate([("tf", "count"), ("tf", "sum")])
+            yield from sums.select(["term", "tf_count", "tf_sum"]).rename_columns(["term", "df", "cf"]).to_batches()
 
     part = lists.select("terms", "tfs").mapInArrow(run, "term string, df long, cf long")
     return part.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
@@ -105,6 +94,7 @@ class LexicalIndex:
     vocab: DataFrame
     stop_words: list[str] = field(default_factory=list)
     ngram_max: int = 2
+    max_features: int | None = None  # the vocabulary's bound
 
     def postings(self) -> DataFrame:
         """(doc_id, term, weight) in long form."""
@@ -112,11 +102,42 @@ class LexicalIndex:
                 .select("doc_id", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight")))
 
 
-def _weighted(lists: DataFrame, vocab: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def _weighted(lists: DataFrame, index_vocab: DataFrame, max_features: int | None, id_col: str,
+              keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., terms, weights): L2-normalised tf·idf over vocabulary terms.
 
-    The vocabulary meets the terms in a join whose side Spark sizes; a marker row
-    keeps rows without any vocabulary term."""
+    A vocabulary that its parameter bounds goes to the tasks, and every row is
+    weighted where it lies; an unbounded one meets the terms in a join."""
+    if max_features is None or max_features > SHIPPED_TERMS:
+        return _weighted_by_join(lists, index_vocab, id_col, keep)
+    rows = index_vocab.select("term", "idf").collect()  # at most max_features
+    shipped = lists.sparkSession.sparkContext.broadcast(([r["term"] for r in rows], np.array([r["idf"] for r in rows], float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = pa.array(shipped.value[0], pa.string()), shipped.value[1]
+        for batch in batches:
+            terms = batch.column("terms").flatten()
+            at = pc.index_in(terms, value_set=names)
+            known = np.asarray(at.is_valid())
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column("terms"))))[known]
+            w = batch.column("tfs").flatten().to_numpy()[known] * idf[np.asarray(at.drop_null())]
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            ends = pa.array(starts, pa.int32())
+            rest = [n for n in batch.schema.names if n in (id_col, *keep)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in rest), pa.ListArray.from_arrays(ends, terms.filter(pa.array(known))),
+                 pa.ListArray.from_arrays(ends, pa.array(w / norm[row]))], [*rest, "terms", "weights"])
+
+    kept = lists.select(id_col, *keep, "terms", "tfs")
+    return kept.mapInArrow(run, T.StructType([
+        *(f for f in kept.schema.fields if f.name not in ("terms", "tfs")), T.StructField("terms", T.ArrayType(T.StringType())),
+        T.StructField("weights", T.ArrayType(T.DoubleType()))]))
+
+
+def _weighted_by_join(lists: DataFrame, vocab: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``_weighted`` for a vocabulary of any size; a marker row keeps rows without
+    any vocabulary term."""
     marked = lists.select(id_col, *keep, F.explode(F.concat(
         F.array(F.lit(None).cast("struct<terms:string,tfs:bigint>")), F.arrays_zip("terms", "tfs"))).alias("t"))
     met = (marked.select(id_col, *keep, F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
@@ -130,24 +151,37 @@ def _weighted(lists: DataFrame, vocab: DataFrame, id_col: str, keep: tuple[str,
     return rows.select(id_col, *keep, F.col("t.term").alias("terms"), F.transform("t", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
-def build_tfidf_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      max_features: int | None = MAX_FEATURES, stop_words: list[str] | None = None,
-                      ngram_max: int = 2, keep: tuple[str, ...] = ()) -> LexicalIndex:
-    """TF-IDF (smooth idf, raw tf, L2 rows) over unigrams and bigrams.
-
-    The vocabulary keeps the ``max_features`` terms of the highest corpus
-    frequency (ties by term); ``None`` keeps all.  ``keep`` columns stay with the
-    vectors, e.g. a chapter to search in.
-    """
-    stop = stopwords.english() if stop_words is None else list(stop_words)
+def _counted(corpus: DataFrame, id_col: str, text_col: str, max_features: int | None, stop: list[str], ngram_max: int,
+             keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     docs = corpus.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     lists = materialize(term_lists(docs, "doc_id", "text", stop, ngram_max, keep), "terms")
     n_docs = float(lists.count())
     stats = term_totals(lists).withColumn("idf", F.log((1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0)
     if max_features is not None:
         stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    return lists, stats
+
+
+def vocabulary(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int | None = MAX_FEATURES,
+               stop_words: list[str] | None = None, ngram_max: int = 2) -> DataFrame:
+    """(term, df, cf, idf): the ``max_features`` terms of the highest corpus
+    frequency (ties by term); ``None`` keeps all."""
+    stop = stopwords.english() if stop_words is None else list(stop_words)
+    return _counted(corpus, id_col, text_col, max_features, stop, ngram_max, ())[1]
+
+
+def build_tfidf_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      max_features: int | None = MAX_FEATURES, stop_words: list[str] | None = None,
+                      ngram_max: int = 2, keep: tuple[str, ...] = ()) -> LexicalIndex:
+    """TF-IDF (smooth idf, raw tf, L2 rows) over unigrams and bigrams of the
+    ``vocabulary``.  ``keep`` columns stay with the vectors, e.g. a chapter to
+    search in.
+    """
+    stop = stopwords.english() if stop_words is None else list(stop_words)
+    lists, stats = _counted(corpus, id_col, text_col, max_features, stop, ngram_max, keep)
     vocab = materialize(stats, "vocab")
-    return LexicalIndex(materialize(_weighted(lists, vocab, "doc_id", keep), "vectors"), vocab, stop, ngram_max)
+    return LexicalIndex(materialize(_weighted(lists, vocab, max_features, "doc_id", keep), "vectors"), vocab, stop, ngram_max,
+                        max_features)
 
 
 # --- scoring ------------------------------------------------------------------------------
@@ -193,7 +227,7 @@ def _scorer(zeros: bool):
 def _queries(queries: DataFrame, index: LexicalIndex, id_col: str, text_col: str) -> DataFrame:
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     lists = term_lists(q, "query_id", "text", index.stop_words, index.ngram_max)
-    return materialize(_weighted(lists, index.vocab, "query_id"), "queries")
+    return materialize(_weighted(lists, index.vocab, index.max_features, "query_id"), "queries")
 
 
 def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",

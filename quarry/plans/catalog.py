@@ -108,9 +108,8 @@ SELECT term, df::BIGINT AS df, cf::BIGINT AS cf, round(idf, 6) AS idf FROM _voca
 @register("vocab_topn", _vocab_sql)
 def q_vocab(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    idx = lexical.build_tfidf_index(docs)
-    return idx.vocab.select("term", F.col("df").cast("long").alias("df"),
-                            F.col("cf").cast("long").alias("cf"), F.round("idf", 6).alias("idf"))
+    return lexical.vocabulary(docs).select("term", F.col("df").cast("long").alias("df"),
+                                           F.col("cf").cast("long").alias("cf"), F.round("idf", 6).alias("idf"))
 
 
 def _tfidf_sql(queries_sql: str) -> str:

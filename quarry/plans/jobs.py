@@ -38,9 +38,10 @@ class Index:
     path: str
     stop_words: list[str]
     ngram_max: int = 2
+    max_features: int | None = None
 
     def lexical(self) -> lexical.LexicalIndex:
-        return lexical.LexicalIndex(self.vectors, self.vocab, self.stop_words, self.ngram_max)
+        return lexical.LexicalIndex(self.vectors, self.vocab, self.stop_words, self.ngram_max, self.max_features)
 
 
 def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1000,
@@ -83,7 +84,8 @@ def index_corpus(spark: SparkSession, docs: DataFrame, index_dir: str, id_col: s
     lex.vocab.write.parquet(os.path.join(version, "vocab"))
     model.to_df(spark).write.parquet(os.path.join(version, "mixture"))
     _publish(spark, index_dir, {"chunks": f"{version}/chunks", "vectors": f"{version}/vectors", "vocab": f"{version}/vocab",
-                                "mixture": f"{version}/mixture", "stop_words": lex.stop_words, "ngram_max": lex.ngram_max})
+                                "mixture": f"{version}/mixture", "stop_words": lex.stop_words, "ngram_max": lex.ngram_max,
+                                "max_features": max_features})
     return open_index(spark, index_dir)
 
 
@@ -115,7 +117,7 @@ def open_index(spark: SparkSession, index_dir: str) -> Index:
         raise FileNotFoundError(f"no index at {index_dir}")
     model = mixture.MixtureModel.from_df(spark.read.parquet(meta["mixture"]))
     return Index(spark.read.parquet(meta["chunks"]), spark.read.parquet(meta["vectors"]), spark.read.parquet(meta["vocab"]), model,
-                 index_dir, meta["stop_words"], meta["ngram_max"])
+                 index_dir, meta["stop_words"], meta["ngram_max"], meta["max_features"])
 
 
 def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider", "bm25", "gmm"),

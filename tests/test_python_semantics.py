@@ -116,6 +116,14 @@ def test_tfidf_against_python(spark, docs, texts):
     got = lexical.tfidf_search(idx, qdf, k=10).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [i for _, i in scores]
     assert [round(r["score"], 6) for r in got] == [round(-s, 6) for s, _ in scores]
+    # a vocabulary without a bound takes the join; here it holds the same terms and more
+    free = lexical.build_tfidf_index(docs, max_features=None)
+    assert free.vocab.count() == len(cf)
+    joined = lexical._weighted_by_join(lexical.term_lists(docs, "doc_id", "text", idx.stop_words, 2), idx.vocab, "doc_id")
+    both = joined.withColumnRenamed("terms", "t").join(idx.vectors, "doc_id").collect()
+    assert len(both) == len(texts)
+    for r in both:
+        assert dict(zip(r[1], r[2], strict=True)) == pytest.approx(dict(zip(r[3], r[4], strict=True)))
 
 
 def test_separator_and_sentences_against_python(docs, texts):
