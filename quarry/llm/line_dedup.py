@@ -8,8 +8,9 @@ pages, with the other lines left as they are.
 Counting shuffles line digests, not lines, and counts on the map side first, so
 one host or line with a large share of all rows is a partial count per task.
 The boilerplate lines of a host are at most its mean lines per page divided by
-``ratio``; they go back to the rows of ``(host, text)`` that hold them as
-digests, and the text is filtered in its row.
+``ratio``, so their digests fit one row per host.  Pages meet their host's row in a
+join (Spark broadcasts the hosts' rows if they are small, and splits a host with
+many pages otherwise), and the text is filtered in its row.
 
 Defined results: a null or empty text has no lines, is a page of its host all
 the same, and stays as it is; lines are compared with surrounding blanks
@@ -60,32 +61,20 @@ def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: fl
     """``pages`` with the boilerplate lines gone from ``text_col``; on request also
     the counts of lines and of dropped lines, under the given names."""
     text = F.col(text_col)
-    bad = stage(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    # who holds a boilerplate line: by text and host, whichever row it is
-    own = pages.select(host.cast("string").alias("_host"), F.xxhash64(F.lit(0), text).alias("_t0"),
-                       F.xxhash64(F.lit(1), text).alias("_t1"), text.alias("_text"))
-    held = (own.select("_host", "_t0", "_t1", F.explode(F.array_distinct(F.transform(_lines(F.col("_text")), digest)))
-                       .alias("_line"))
-            .join(bad.select(F.col("host").alias("_bad_host"), F.col("line").alias("_bad")),
-                  (F.col("_line.h0") == F.col("_bad.h0")) & (F.col("_line.h1") == F.col("_bad.h1"))
-                  & F.col("_host").eqNullSafe(F.col("_bad_host")))
-            # all lines of one text and host, at most the text's own lines
-            .groupBy("_host", "_t0", "_t1").agg(F.collect_set("_line").alias("_drop")))
-    held = stage(held.select(F.col("_host").alias("_h"), F.col("_t0").alias("_h0"), F.col("_t1").alias("_h1"), "_drop"),
-                 "boilerplate-texts")
+    bad = boilerplate(pages, host, text, ratio, min_pages)
+    held = stage(bad.groupBy(F.col("host").alias("_h")).agg(F.collect_list("line").alias("_drop")), "boilerplate")
     # the row's other columns travel as one struct, so that no name can clash
     rest = [c for c in pages.columns if c != text_col]
     row = F.struct(F.lit(0).alias("none"), *[pages[c].alias(f"c{i}") for i, c in enumerate(rest)])
-    keyed = pages.select(row.alias("row"), host.cast("string").alias("_host"), text.alias("text"),
-                         F.xxhash64(F.lit(0), text).alias("_t0"), F.xxhash64(F.lit(1), text).alias("_t1"))
-    met = keyed.join(held, (F.col("_t0") == F.col("_h0")) & (F.col("_t1") == F.col("_h1"))
-                     & F.col("_host").eqNullSafe(F.col("_h")), "left")
+    keyed = pages.select(row.alias("row"), host.cast("string").alias("_host"), text.alias("text"))
+    met = keyed.join(held, F.col("_host").eqNullSafe(F.col("_h")), "left")
     lines = _lines(F.col("text"))
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", digest(x)), F.lit(False)))
     total = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
-    gone = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
-    new = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    done = met.select("row", F.struct(new.alias("text"), total.alias("total"), gone.alias("gone")).alias("made"))
+    kept = met.select("row", "text", F.when(F.col("_drop").isNotNull(), left).alias("left"), total.alias("total"))
+    gone = F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("left")).cast("long")
+    new = F.when(gone > 0, F.array_join("left", "\n")).otherwise(F.col("text"))
+    done = kept.select("row", F.struct(new.alias("text"), "total", gone.alias("gone")).alias("made"))
     more = [F.col("made").getField(c).alias(name) for name, c in ((n_lines, "total"), (n_dropped, "gone")) if name]
     return done.select(*[F.col("made").getField("text").alias(c) if c == text_col else
                          F.col("row").getField(f"c{rest.index(c)}").alias(c) for c in pages.columns], *more)
