@@ -132,7 +132,7 @@ def responses(hits: DataFrame, conf: DataFrame, queries: DataFrame, text_col: st
     met = (queries.select("query_id", F.col(text_col).alias("query")).join(docs, "query_id", "left")
            .join(conf.select("query_id", "confidence"), "query_id", "left"))
     return met.select("query_id", "query", F.transform("_d", lambda d: d["hit"]).alias("documents"),
-                      F.coalesce(F.size("_d"), F.lit(0)).alias("total_results"),
+                      F.when(F.col("_d").isNull(), F.lit(0)).otherwise(F.size("_d")).alias("total_results"),
                       F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
                       F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
