@@ -43,8 +43,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines; n_chars follows the text."""
-    left = line_dedup.drop_lines(docs, F.col("source"), n_dropped="lines dropped")
+    """All documents, without their source's boilerplate lines; n_chars follows the text.
+    Copies of a text count once, as they are the near-duplicate stage's to remove."""
+    left = line_dedup.drop_lines(docs, F.col("source"), n_dropped="lines dropped", by_text=True)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("lines dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                                .otherwise(F.col("n_chars")))

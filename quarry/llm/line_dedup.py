@@ -15,7 +15,10 @@ many pages otherwise), and the text is filtered in its row.
 Defined results: a null or empty text has no lines, is a page of its host all
 the same, and stays as it is; lines are compared with surrounding blanks
 stripped, blank lines are never boilerplate; a null host is a host of its own;
-repeated rows are pages of their own and lose the same lines; other columns are
+repeated rows are pages of their own and lose the same lines, or with ``by_text``
+pages of one text (a 128-bit digest; null and empty are one) count once, in the
+lines' pages and in the host's, so that copies alone make no line boilerplate;
+other columns are
 kept (clashing names too, as the operator's own columns have names apart); an
 empty table gives an empty result.
 """
@@ -43,10 +46,15 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                by_text: bool = False) -> DataFrame:
     """Rows (host, line digest, pages, share): the lines above the ratio."""
-    p = pages.select(host.cast("string").alias("host"), F.array_distinct(F.transform(
+    whole = F.struct(*[F.xxhash64(F.lit(s), F.coalesce(text, F.lit(""))).alias(f"h{s}") for s in _SEEDS])
+    p = pages.select(host.cast("string").alias("host"), *([whole.alias("page")] if by_text else []), F.array_distinct(F.transform(
         F.filter(_lines(text), lambda x: F.trim(x) != ""), digest)).alias("lines"))
+    if by_text:
+        # copies meet on the map side first, then by digest; staged as it is read twice
+        p = stage(p.dropDuplicates(["host", "page"]).select("host", "lines"), "host-texts")
     # one row per host, staged so that the join below is of two plain shuffles
     totals = stage(p.groupBy("host").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "of_host"), "host-totals")
     counts = (p.select("host", F.explode("lines").alias("line")).groupBy("host", "line")
@@ -57,11 +65,11 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 
 def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-               n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+               n_lines: str | None = None, n_dropped: str | None = None, by_text: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text_col``; on request also
     the counts of lines and of dropped lines, under the given names."""
     text = F.col(text_col)
-    bad = boilerplate(pages, host, text, ratio, min_pages)
+    bad = boilerplate(pages, host, text, ratio, min_pages, by_text)
     held = stage(bad.groupBy(F.col("host").alias("_h")).agg(F.collect_list("line").alias("_drop")), "boilerplate")
     # the row's other columns travel as one struct, so that no name can clash
     rest = [c for c in pages.columns if c != text_col]

@@ -1,5 +1,6 @@
 """Language model, classifier, packing, tool calls and the pipeline."""
 import json
+import random
 import zlib
 from collections import Counter
 
@@ -215,3 +216,19 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
             assert n == 0 if table is not docs else n > 0
     kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, SMALL).collect()
     assert len({simhash.fingerprint(r["text"]) for r in kept}) == len(kept)
+
+
+def test_pipeline_keeps_the_text_of_a_document_with_many_copies(spark):
+    def text(kind, i):
+        r = random.Random(f"{kind}{i}")
+        return "\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(20)) for _ in range(4)) + "\nsite footer"
+
+    rows = [(i, text("own", i), "en", "s", 0) for i in range(60)]
+    for g in range(2):  # two originals, each with copies on more than 2 % of the rows
+        rows += [(100 + 100 * g + c, text("hot", g), "en", "s", 0) for c in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    steps = dict(corpus_pipeline.STAGES)
+    left = steps["line_dedup"](spark, docs, SMALL)
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t.removesuffix("\nsite footer") for i, t, *_ in rows}
+    kept = steps["simhash_dedup"](spark, left, SMALL).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(60), 100, 200] and all(r["text"] for r in kept)
