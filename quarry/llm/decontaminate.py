@@ -2,16 +2,19 @@
 
 Documents are read once.  Every task cuts its documents into segments of a
 bounded number of words, and stores per segment a directory of its documents
-and one postings row per test term: the term's positions in the segment.  Terms
-of windows that lack a word in the segment cannot match there, so their
-postings are left out.  The index is a Parquet table in the shared folder.
+and one postings row per test term: the term's positions in the segment.  Windows
+with fewer than ``near_share`` of their words in the segment cannot match there, so
+the postings that only they need are left out.  The index is a Parquet table in the
+shared folder.
 
 Matching groups the index by segment.  For each window it starts with the
 shortest postings list and intersects it with the others, each shifted by the
 term's place in the window; what remains are the exact occurrences.  A
-proximity match is a place of the rarest term around which at least
-``near_share`` of the window's words lie within ``slop`` words of where the
-window has them.
+proximity match is a place of a document at which at least ``near_share`` of the
+window's words lie, in that document, within ``slop`` words of where the window
+has them.  One of the rarest (words that may be missing + 1) words is then among
+those found, so trying these words' positions, shifted by up to ``slop``, loses
+nothing, and segments do not change the result.
 
 The test items are a stated query set.  They reach the tasks in blocks of about
 ``BLOCK_BYTES``; a larger benchmark means more blocks, each run against all
@@ -26,6 +29,7 @@ table gives an empty result, an empty benchmark no hits.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,13 @@ from quarry.llm.common import field, stage, words
 WINDOW = 10
 SEGMENT_WORDS = 400_000
 BLOCK_BYTES = 16 << 20
+# Proximity candidates tried at once (the occurrences of one word, if more).
+CANDIDATES = 1 << 18
+
+
+def _least(n: int, share: float) -> int:
+    """How many of a window's ``n`` words a proximity match has."""
+    return min(n, max(1, math.ceil(share * n - 1e-9)))
 
 
 class Windows:
@@ -64,14 +75,15 @@ class Windows:
                 rows.setdefault(tuple(ids[at:at + window]), set()).add(item)
         return terms, list(rows), [sorted(x) for x in rows.values()]
 
-    def possible(self, present: np.ndarray) -> np.ndarray:
-        """Numbers of the windows whose terms are all present."""
+    def possible(self, present: np.ndarray, share: float = 1.0) -> np.ndarray:
+        """Numbers of the windows with at least ``share`` of their words present."""
         if not len(self.rows):
             return np.zeros(0, np.int64)
-        return np.flatnonzero(np.logical_and.reduceat(present[self.flat], self.starts[:-1]))
+        least = np.array([_least(n, share) for n in range(int(self.sizes.max()) + 1)])
+        return np.flatnonzero(np.add.reduceat(present[self.flat].astype(np.int64), self.starts[:-1]) >= least[self.sizes])
 
 
-def _index_tasks(windows, id_type: pa.DataType):
+def _index_tasks(windows, id_type: pa.DataType, share: float):
     directory = pa.list_(pa.struct([("id", id_type), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
     schema = pa.schema([("segment", pa.int64()), ("term", pa.int32()), ("positions", pa.list_(pa.int32())),
                         ("docs", directory)])
@@ -82,7 +94,7 @@ def _index_tasks(windows, id_type: pa.DataType):
         present = np.zeros(len(w.terms), bool)
         present[ids[at]] = True
         wanted = np.zeros(len(w.terms), bool)
-        for k in w.possible(present):
+        for k in w.possible(present, share):
             wanted[list(w.rows[k])] = True
         at = at[wanted[ids[at]]] if len(at) else at
         at = at[np.argsort(ids[at], kind="stable")].astype(np.int32)
@@ -135,16 +147,61 @@ def _exact(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
     return found
 
 
-def _near(lists: list[tuple[int, np.ndarray]], slop: int, share: float) -> np.ndarray:
-    """Places where enough of the window's words lie near their own place."""
-    place, base = lists[0]
-    base = base - place
-    seen = np.ones(len(base), np.int64)
-    for place, positions in lists[1:]:
-        at = np.searchsorted(positions, base + place - slop)
-        close = positions[np.minimum(at, len(positions) - 1)]
-        seen += (at < len(positions)) & (np.abs(close - base - place) <= slop)
-    return base[seen >= share * len(lists)]
+def _near(w: Windows, lists: dict[int, np.ndarray], starts: np.ndarray, ends: np.ndarray, exact: set[tuple[int, int]],
+          slop: int, share: float) -> list[tuple[int, int]]:
+    """(window, document) of the proximity matches; those of ``exact`` are among them."""
+    found = {k * len(starts) + d for k, d in exact}
+    # all postings as one ordered list of term * wide + position
+    wide = int(ends[-1]) + int(w.sizes.max(initial=0)) + 4 * slop + 2
+    held = sorted(lists)
+    count = np.zeros(len(w.terms), np.int64)
+    count[held] = [len(lists[t]) for t in held]
+    begin = np.cumsum(count) - count
+    keys = np.concatenate([*(t * wide + lists[t] for t in held), [np.iinfo(np.int64).max]])
+
+    for n in np.unique(w.sizes).tolist():
+        missing = n - _least(n, share)
+        which = np.flatnonzero(w.sizes == n)
+        terms = w.flat[w.starts[which][:, None] + np.arange(n)]
+        there = (count[terms] > 0).sum(axis=1) >= n - missing
+        which, terms = which[there], terms[there]
+        rare = np.argsort(count[terms], axis=1, kind="stable")  # places in the window
+
+        def enough(row, doc, base, reach, n=n, missing=missing, terms=terms, rare=rare):
+            """Numbers of the candidates with enough words within ``reach`` of their place."""
+            left, lost = np.arange(len(row)), np.zeros(len(row), np.int64)
+            for r in range(n):
+                place = rare[row[left], r]
+                term = terms[row[left], place] * wide
+                low = np.maximum(base[left] + place - reach, starts[doc[left]])
+                high = np.minimum(base[left] + place + reach, ends[doc[left]] - 1)
+                lost += keys[np.searchsorted(keys, term + low)] > term + high
+                keep = lost <= missing
+                left, lost = left[keep], lost[keep]
+            return left
+
+        for anchor in range(missing + 1):
+            place = rare[:, anchor]
+            term = terms[np.arange(len(which)), place]
+            total = np.cumsum(count[term])
+            cuts = np.flatnonzero(np.diff(total // CANDIDATES)) + 1
+            for rows in np.split(np.arange(len(which)), cuts):
+                row = np.repeat(rows, count[term[rows]])
+                if not len(row):
+                    continue
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count[term[rows]]) - count[term[rows]], count[term[rows]])
+                at = keys[begin[term[row]] + nth] - term[row] * wide
+                doc = np.searchsorted(starts, at, side="right") - 1
+                base, pair = at - place[row], which[row] * len(starts) + doc
+                new = ~np.isin(pair, np.fromiter(found, np.int64, len(found)))
+                row, doc, base, pair = row[new], doc[new], base[new], pair[new]
+                left = enough(row, doc, base, 2 * slop)  # whatever the shift
+                for shift in sorted(range(-slop, slop + 1), key=abs):
+                    hit = left[enough(row[left], doc[left], base[left] + shift, slop)]
+                    if len(hit):
+                        found.update(pair[hit].tolist())
+                        left = left[~np.isin(pair[left], pair[hit])]
+    return [divmod(x, len(starts)) for x in found]
 
 
 def _match_tasks(windows, slop: int, share: float):
@@ -161,19 +218,19 @@ def _match_tasks(windows, slop: int, share: float):
         present = np.zeros(len(w.terms), bool)
         present[list(lists)] = True
         starts = np.array([d["start"] for d in docs], np.int64)
+        ends = starts + np.array([d["n"] for d in docs], np.int64)
         spans: list[list[tuple[int, int]]] = [[] for _ in docs]
         hit: list[set[str]] = [set() for _ in docs]
         near: list[set[str]] = [set() for _ in docs]
-        for k in w.possible(present):
-            ordered = _offsets(w.rows[k], lists)
-            for at in _exact(ordered).tolist():
+        exact: set[tuple[int, int]] = set()
+        for k in w.possible(present).tolist():
+            for at in _exact(_offsets(w.rows[k], lists)).tolist():
                 d = int(np.searchsorted(starts, at, side="right")) - 1
                 spans[d].append((at - int(starts[d]), int(w.sizes[k])))
                 hit[d].update(w.items[k])
-            if len(ordered) > 2:
-                for at in _near(ordered, slop, share).tolist():
-                    d = int(np.searchsorted(starts, max(at, 0), side="right")) - 1
-                    near[d].update(w.items[k])
+                exact.add((k, d))
+        for k, d in _near(w, lists, starts, ends, exact, slop, share):
+            near[d].update(w.items[k])
         out = []
         for d, s, h, m in zip(docs, spans, hit, near, strict=True):
             merged: list[list[int]] = []
@@ -231,7 +288,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
         # about block_bytes of text, by the number of blocks
         windows = spark.sparkContext.broadcast(Windows.of([tuple(r) for r in mine.collect()], window))
-        stored = stage(read.mapInArrow(_index_tasks(windows, id_arrow), index), "decontaminate-index")
+        stored = stage(read.mapInArrow(_index_tasks(windows, id_arrow, near_share), index), "decontaminate-index")
         part = stored.groupBy("segment").applyInPandas(_match_tasks(windows, slop, near_share), result)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:

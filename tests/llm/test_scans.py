@@ -1,5 +1,6 @@
 """Licence scan, decontamination, line and passage removal against brute force."""
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,53 @@ def test_proximity_matches_tolerate_changed_words(spark):
     assert got[2]["items"] == [] and got[2]["near_items"] == ["5"]
 
 
+def brute_near(text, items, n=10, slop=3, share=0.8):
+    w, ids = words(text), set()
+    for item, t in items:
+        q = words(t)
+        for at in range(max(1, len(q) - n + 1) if q else 0):
+            win = q[at:at + n]
+            for base in range(-len(win) - slop, len(w) + slop):
+                places = [w[max(0, base + k - slop):max(0, base + k + slop + 1)] for k in range(len(win))]
+                if sum(x in p for x, p in zip(win, places, strict=True)) >= share * len(win):
+                    ids.add(str(item))
+                    break
+    return sorted(ids)
+
+
+@pytest.mark.parametrize("segment_words", [1, 60, 400_000])
+def test_proximity_matches_against_brute_force(spark, monkeypatch, segment_words):
+    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", segment_words)
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=k))) for i, k in enumerate([10, 10, 14, 12, 10, 11, 5, 3, 2, 2])]
+    texts = [None, "", "w1"]
+    for _, t in items * 6:
+        q = t.split()
+        for _ in range(rnd.randrange(4)):
+            what, at = rnd.choice("rdis"), rnd.randrange(len(q))
+            if what == "r":
+                q[at] = f"absent{rnd.randrange(10**6)}"
+            elif what == "d":
+                del q[at:at + 1]
+            elif what == "i":
+                q.insert(at, rnd.choice(vocabulary))
+            else:
+                q[at:at + 2] = q[at:at + 2][::-1]
+            q = q or ["w2"]
+        before, after = (rnd.choices(vocabulary, k=rnd.choice([0, 0, 2, 20])) for _ in range(2))
+        texts.append(" ".join([*before, *q, *after]))
+    # the window's first words end one document, its last ones begin the next
+    texts += [" ".join(items[0][1].split()[:5]), " ".join(items[0][1].split()[5:])]
+    # one word replaced by a word that no document or item has; it is the rarest
+    texts.append(" ".join(["unseen", *items[4][1].split()[1:]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["near_items"] for r in decontaminate.find_matches(docs, bench).collect()}
+    assert got == {i: brute_near(t, items) for i, t in enumerate(texts)}
+    assert "4" in got[len(texts) - 1]
+
+
 def brute_lines(rows, ratio, least):
     """rows of (host, text) -> (n_lines, n_dropped, text)."""
     def split(t):
