@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (cnn_quality, decontaminate, embedding_dedup, hmm_lm, license_scan, line_dedup, oracles, packing,
+from quarry.llm import (cnn_quality, decontaminate, dual_tree, embedding_dedup, hmm_lm, license_scan, line_dedup, oracles, packing,
                         simhash, substring_dedup, tool_chat)
 from quarry.llm.common import stage
 
@@ -105,10 +105,14 @@ def op10_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "start", "stop", "n_words", "n_units", first.alias("first_doc_ids"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_license_scan, op3_decontamination, op4_simhash_dedup, op5_hmm_scores, op6_tool_calls,
-        op7_cnn_quality, op8_line_dedup, op9_packing, op10_substring_dedup)}
+        op7_cnn_quality, op8_line_dedup, op9_packing, op10_substring_dedup, op11_lexical_search)}
 
 
 def oracle_sql():
