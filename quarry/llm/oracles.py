@@ -3,7 +3,7 @@ against brute force, an exact round trip or held-out accuracy)."""
 
 from __future__ import annotations
 
-from quarry.llm import dual_tree, license_scan, line_dedup, substring_dedup
+from quarry.llm import dual_tree, license_scan, line_dedup, prefix_trie, substring_dedup
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -108,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": line_dedup_sql(),
         "op10_substring_dedup": substring_dedup.repeats_sql(),
         "op11_lexical_search": dual_tree.search_sql(),
+        "op13_prefix_trie": prefix_trie.trie_sql(),
     }

@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (cnn_quality, decontaminate, dual_tree, embedding_dedup, hmm_lm, license_scan, line_dedup, oracles, packing,
-                        simhash, substring_dedup, tool_chat)
+from quarry.llm import (cnn_quality, decontaminate, dual_tree, embedding_dedup, hmm_lm, license_scan, line_dedup, oracles,
+                        packing, prefix_trie, simhash, stable_search, substring_dedup, tool_chat)
 from quarry.llm.common import stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -109,10 +109,21 @@ def op11_lexical_search(spark, sf_dir):
     return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_stable_search(spark, sf_dir):
+    index = stable_search.build_index(table(spark, sf_dir, "embeddings"))
+    return stable_search.search(index, table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op13_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns, group=5, longest=8))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_license_scan, op3_decontamination, op4_simhash_dedup, op5_hmm_scores, op6_tool_calls,
-        op7_cnn_quality, op8_line_dedup, op9_packing, op10_substring_dedup, op11_lexical_search)}
+        op7_cnn_quality, op8_line_dedup, op9_packing, op10_substring_dedup, op11_lexical_search, op12_stable_search,
+        op13_prefix_trie)}
 
 
 def oracle_sql():
