@@ -43,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quarry.llm.common import stage
 from quarry.llm.ranked import best_rows
 
-COLUMNS = 12  # projections; an even number, for the chi-square law's closed form
+COLUMNS = 16  # projections; an even number, for the chi-square law's closed form
 CONFIDENCE = 0.99
 LEAF_ROWS = 32
 BLOCK_BYTES = 8 << 20
