@@ -1,13 +1,11 @@
 """Top-k of queries against documents, block by block.
 
-Queries stay a DataFrame: they are grouped into blocks of about ``query_rows``
-rows, documents into packs of at most ``pack_rows`` rows inside their own
-tasks, and blocks meet packs in an ordinary equi-join on the block number (and
-on the group, where a query only sees documents of its group).  Spark broadcasts
-the query side when its size, which it knows, allows that, and shuffles
-otherwise, splitting skewed partitions.  A task scores a pack against a block
-with one matrix operation and keeps the best k per query, so at most k rows per
-query and task leave it; the last step ranks those.
+Queries go to the tasks in shipments of about ``SHIP_BYTES``, whatever their number;
+documents stay where they are.  A task cuts its shipment into blocks of at most
+``query_rows`` (of one group, where a query only sees documents of its group), scores
+each pack of documents against the blocks it can meet with one matrix operation, and
+keeps the best k per query.  So neither documents nor scores are shuffled: at most k rows
+per query and task leave a task, and the last step ranks those.
 
 Ids and groups may be integers or strings and keep their type.
 """
@@ -15,6 +13,7 @@ Ids and groups may be integers or strings and keep their type.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarry.session import materialize
+
 QUERY_ROWS = 512
 PACK_ROWS = 1024
+SHIP_BYTES = 16 << 20
 TIE_DECIMALS = 9
-# Query blocks whose running top-k a task keeps; the oldest goes out beyond that.
-OPEN_BLOCKS = 8
+# (query block, group) pairs whose running top-k a task keeps where groups are ranked
+# apart; the oldest goes out beyond that.
+OPEN_BLOCKS = 64
 
 
 def order_key(ids: pa.Array) -> np.ndarray:
@@ -54,36 +57,50 @@ def best_k(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
 
 
-def _pack(pack_rows: int, grouped: bool):
-    """Rows (id, group, payload...) to rows (group, docs array<struct>)."""
+def _parts(batch: pa.RecordBatch, pack_rows: int, grouped: bool) -> Iterator[tuple[object, pa.StructArray]]:
+    """A batch's documents as (group, struct array) packs of at most ``pack_rows``."""
+    if grouped:
+        batch = batch.filter(batch.column("grp").is_valid())
+    if not batch.num_rows:
+        return
+    if grouped:
+        batch = batch.take(pc.sort_indices(batch.column("grp")))
+        g = batch.column("grp").to_pylist()
+        cuts = [i for i in range(len(g)) if i == 0 or g[i] != g[i - 1]]
+    else:
+        g, cuts = [None] * batch.num_rows, [0]
+    names = [n for n in batch.schema.names if n != "grp"]
+    docs = pa.StructArray.from_arrays([batch.column(n) for n in names], fields=[batch.schema.field(n) for n in names])
+    for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        for at in range(lo, hi, pack_rows):
+            yield g[at], docs.slice(at, min(pack_rows, hi - at))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if grouped:
-                batch = batch.filter(batch.column("grp").is_valid())
-            for lo in range(0, batch.num_rows, pack_rows):
-                part = batch.slice(lo, pack_rows)
-                if grouped:
-                    part = part.take(pc.sort_indices(part.column("grp")))
-                    g = part.column("grp").to_pylist()
-                    cuts = [i for i in range(len(g)) if i == 0 or g[i] != g[i - 1]]
-                    groups = part.column("grp").take(pa.array(cuts, pa.int64()))
-                else:
-                    cuts, groups = [0], pa.array([0], pa.int32())
-                rest = [n for n in part.schema.names if n != "grp"]
-                docs = pa.StructArray.from_arrays([part.column(n) for n in rest], fields=[part.schema.field(n) for n in rest])
-                lists = pa.ListArray.from_arrays(pa.array([*cuts, part.num_rows], pa.int32()), docs)
-                yield pa.RecordBatch.from_arrays([groups, lists], ["grp", "docs"])
 
-    return run
+def _blocks(shipment: pa.Table, query_rows: int, by_group: bool) -> dict:
+    """The shipment's queries as {group: [struct arrays of at most ``query_rows``]}."""
+    rest = [n for n in shipment.schema.names if n != "grp"]
+
+    def cut(table: pa.Table) -> list[pa.StructArray]:
+        columns = [table.column(n).combine_chunks() for n in rest]
+        rows = pa.StructArray.from_arrays(columns, fields=[table.schema.field(n) for n in rest])
+        return [rows.slice(lo, query_rows) for lo in range(0, len(rows), query_rows)]
 
+    if not by_group:
+        return {None: cut(shipment)}
+    groups = shipment.column("grp")
+    return {g.as_py(): cut(shipment.filter(pc.equal(groups, g))) for g in groups.unique() if g.is_valid}
 
-def _score(prepare: Callable, score: Callable, k: int, out: pa.Schema, per_group: bool):
+
+def _score(sent, prepare: Callable, score: Callable, k: int, out: pa.Schema, pack_rows: int, query_rows: int, match_group: bool,
+           per_group: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict = {}
+        shipment = pa.ipc.open_stream(sent.value).read_all()
+        blocks = _blocks(shipment, query_rows, match_group)
+        ready: dict = {}  # prepared queries, by (their group, block)
+        open_: dict = {}  # the best so far, by (block, the documents' group)
 
         def close(key):
-            qids, _, ids, scores = open_.pop(key)
+            qids, ids, scores = open_.pop(key)
             rows, cols = np.nonzero(np.isfinite(scores))
             arrays = [qids.take(pa.array(rows)), pa.array(ids[rows, cols]).cast(out.field("doc_id").type), pa.array(scores[rows, cols])]
             if per_group:
@@ -91,29 +108,40 @@ def _score(prepare: Callable, score: Callable, k: int, out: pa.Schema, per_group
             return pa.RecordBatch.from_arrays(arrays, schema=out)
 
         for batch in batches:
-            blocks, groups = batch.column("block").to_pylist(), batch.column("grp").to_pylist()
-            for row, key in enumerate(zip(blocks, groups, strict=True)):
-                if key not in open_:
-                    if len(open_) >= OPEN_BLOCKS:
+            for group, docs in _parts(batch, pack_rows, match_group or per_group):
+                asking = group if match_group else None
+                for i, queries in enumerate(blocks.get(asking, [])):
+                    if (asking, i) not in ready:
+                        ready[asking, i] = prepare(queries)
+                    s = score(ready[asking, i], docs)
+                    ids = np.broadcast_to(order_key(docs.field("id")), s.shape)
+                    key = (i, group)
+                    if key in open_:
+                        _, best_ids, best = open_[key]
+                        ids, s = np.concatenate([best_ids, ids], axis=1), np.concatenate([best, s], axis=1)
+                    elif per_group and len(open_) >= OPEN_BLOCKS:
                         yield close(next(iter(open_)))
-                    queries = batch.column("queries").slice(row, 1).flatten()
-                    open_[key] = (queries.field("query_id"), prepare(queries), None, None)
-                qids, ready, best_ids, best = open_[key]
-                docs = batch.column("docs").slice(row, 1).flatten()
-                s = score(ready, docs)
-                ids = np.broadcast_to(order_key(docs.field("id")), s.shape)
-                if best is not None:
-                    ids, s = np.concatenate([best_ids, ids], axis=1), np.concatenate([best, s], axis=1)
-                open_[key] = (qids, ready, *best_k(ids, s, k))
+                    open_[key] = (queries.field("query_id"), *best_k(ids, s, k))
         for key in list(open_):
             yield close(key)
 
     return run
 
 
+def _shipments(queries: DataFrame, n_queries: int, row_bytes: int) -> Iterator[pa.Table]:
+    """The queries as Arrow tables of about ``SHIP_BYTES``."""
+    ships = max(1, -(-n_queries * row_bytes // SHIP_BYTES))
+    if ships == 1:
+        yield queries.toArrow()
+        return
+    held = materialize(queries, "queries")
+    for s in range(ships):
+        yield held.where(F.pmod(F.xxhash64("query_id"), F.lit(ships)) == s).toArrow()
+
+
 def block_top_k(docs: DataFrame, queries: DataFrame, prepare: Callable, score: Callable, k: int, n_queries: int,
                 match_group: bool = False, per_group: bool = False, query_rows: int = QUERY_ROWS,
-                pack_rows: int = PACK_ROWS) -> DataFrame:
+                pack_rows: int = PACK_ROWS, row_bytes: int = 1024) -> DataFrame:
     """(query_id, [grp,] rank, doc_id, score).
 
     ``docs``: id, [grp,] payload; ``queries``: query_id, [grp,] payload.  With
@@ -121,31 +149,23 @@ def block_top_k(docs: DataFrame, queries: DataFrame, prepare: Callable, score: C
     several groups has a row for each); with ``per_group`` it meets all and each
     group is ranked apart.  ``prepare(queries)`` sees a block as an Arrow struct
     array, ``score(prepared, docs)`` returns the (queries x documents) scores
-    with -inf where a document is no candidate.
+    with -inf where a document is no candidate.  ``n_queries`` rows of about
+    ``row_bytes`` decide how many shipments there are.
     """
-    grouped = match_group or per_group
+    spark = docs.sparkSession
     fields = {f.name: f for f in docs.schema.fields}
-    kind = fields["grp"].dataType if grouped else T.IntegerType()
-    payload = [f for f in docs.schema.fields if f.name != "grp"]
-    packed = docs.where(F.col("id").isNotNull()).mapInArrow(_pack(pack_rows, grouped), T.StructType([
-        T.StructField("grp", kind), T.StructField("docs", T.ArrayType(T.StructType(payload)))]))
-    blocks = max(1, -(-n_queries // query_rows))
-    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    row = F.struct(*[c for c in queries.columns if c != "grp"]).alias("q")
-    if match_group:
-        held = queries.select(F.col("grp").alias("q_grp"), block, row).groupBy("q_grp", "block")
-        on = (F.col("grp") == F.col("q_grp")) & (F.col("block") == F.col("q_block"))
-    else:
-        held = queries.select(block, row).groupBy("block")
-        on = F.col("block") == F.col("q_block")
-    # about query_rows queries in each
-    held = held.agg(F.collect_list("q").alias("queries")).withColumnRenamed("block", "q_block")
-    met = packed.join(held, on).select("block", "grp", "queries", "docs")
+    docs = docs.where(F.col("id").isNotNull())
     result = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", fields["id"].dataType),
-                           T.StructField("score", T.DoubleType()), *([T.StructField("grp", kind)] if per_group else [])])
-    hits = met.mapInArrow(_score(prepare, score, k, to_arrow_schema(result), per_group), result)
+                           T.StructField("score", T.DoubleType()), *([T.StructField("grp", fields["grp"].dataType)] if per_group else [])])
+    found = []
+    for shipment in _shipments(queries, n_queries, row_bytes):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, shipment.schema) as writer:
+            writer.write_table(shipment)
+        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        found.append(docs.mapInArrow(_score(sent, prepare, score, k, to_arrow_schema(result), pack_rows, query_rows, match_group, per_group),
+                                     result))
+    hits = reduce(DataFrame.unionByName, found)
     by = ["query_id", "grp"] if per_group else ["query_id"]
     w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", TIE_DECIMALS)), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "rank", "doc_id", "score")
-

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as tx
 from quarry.operators.blocks import TIE_DECIMALS, block_top_k
+from quarry.session import materialize
 
 HASH_DIM = 64
 DEFAULT_K = 10
@@ -121,6 +122,20 @@ def _matrix(rows: pa.Array, dim: int) -> np.ndarray:
     return _unit_rows(vectors.reshape(len(rows), dim))
 
 
+# The least value of a group's type: comparing with it holds for all but nulls, and counts
+# as a filter where Spark decides whether to prune partitions at run time.
+_LEAST = {"tinyint": -2**7, "smallint": -2**15, "int": -2**31, "bigint": -2**63, "string": ""}
+
+
+def only_groups(corpus: DataFrame, queries: DataFrame, group_col: str, query_group_col: str) -> DataFrame:
+    """The documents of the queries' groups, in place.  A corpus that is stored partitioned by
+    its group is pruned at run time: files of other groups are not read."""
+    kind = queries.schema[query_group_col].dataType.simpleString()
+    asked = queries.where(F.col(query_group_col) >= F.lit(_LEAST[kind])) if kind in _LEAST else queries.where(F.col(query_group_col).isNotNull())
+    asked = asked.select(F.col(query_group_col).alias("_asked")).distinct()
+    return corpus.join(F.broadcast(asked), F.col(group_col) == F.col("_asked"), "left_semi")  # at most one row per group
+
+
 def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "doc_id",
                  vec_col: str = "embedding", query_id_col: str = "query_id", query_vec_col: str = "embedding",
                  group_col: str | None = None, query_group_col: str | None = None,
@@ -135,12 +150,15 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     """
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).cast("array<double>").alias("v"),
                        *([F.col(query_group_col).alias("grp")] if query_group_col else [])).where(usable(F.col("v")))
+    if query_group_col and isinstance(q.schema["grp"].dataType, T.ArrayType):
+        q = q.select("query_id", "v", F.explode("grp").alias("grp"))
+    if group_col:
+        q = materialize(q, "query-groups")  # the groups and the vectors are read apart
+        corpus = only_groups(corpus, q, group_col, "grp")
     seen = q.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
     if seen["lo"] != seen["hi"]:
         raise ValueError(f"query vectors have {seen['lo']} to {seen['hi']} components")
     dim = seen["hi"] or 0
-    if query_group_col and isinstance(q.schema["grp"].dataType, T.ArrayType):
-        q = q.select("query_id", "v", F.explode("grp").alias("grp"))
     x = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
                       *([F.col(group_col).alias("grp")] if group_col else [])).where(usable(F.col("v")))
     if skip_other_lengths:
@@ -153,7 +171,7 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
         s = ready @ _matrix(docs, dim).T
         return s if min_score is None else np.where(s >= min_score, s, -np.inf)
 
-    return block_top_k(x, q, prepare, score, k, seen["n"], match_group=group_col is not None).select(
+    return block_top_k(x, q, prepare, score, k, seen["n"], match_group=group_col is not None, row_bytes=8 * dim + 64).select(
         "query_id", "rank", "doc_id", "score")
 
 

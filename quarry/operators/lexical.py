@@ -3,9 +3,9 @@
 An index is sharded by document: ``vectors(doc_id, terms, weights)`` holds one
 row per document with its terms and their weights (the L2-normalised tf·idf, or
 BM25's saturated tf), and ``vocab(term, df, cf, idf)`` the vocabulary.  A search
-keeps queries as a DataFrame and scores blocks of them against packs of
-documents (see ``blocks``), so only the best k documents per query and task are
-ever shuffled: neither a common term's postings nor (query, document) scores.
+sends blocks of queries to the documents (see ``blocks``), so only the best k
+documents per query and task are ever shuffled: neither a common term's postings
+nor (query, document) scores.
 
 Tokens are counted per row in Arrow batches.  Counted rows are staged, as both
 the vocabulary and the vectors read them.
@@ -22,11 +22,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import stopwords
+from quarry.operators import postings
 from quarry.operators.blocks import block_top_k
 from quarry.session import materialize
 
@@ -151,15 +152,17 @@ def _weighted_by_join(lists: DataFrame, vocab: DataFrame, id_col: str, keep: tup
     return rows.select(id_col, *keep, F.col("t.term").alias("terms"), F.transform("t", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
+def weighted_terms(totals: DataFrame, n_docs: int, max_features: int | None) -> DataFrame:
+    """(term, df, cf, idf): the ``max_features`` terms of the highest corpus frequency, ties by term."""
+    stats = totals.withColumn("idf", F.log((1.0 + float(n_docs)) / (F.col("df") + 1.0)) + 1.0)
+    return stats if max_features is None else stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+
+
 def _counted(corpus: DataFrame, id_col: str, text_col: str, max_features: int | None, stop: list[str], ngram_max: int,
              keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     docs = corpus.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     lists = materialize(term_lists(docs, "doc_id", "text", stop, ngram_max, keep), "terms")
-    n_docs = float(lists.count())
-    stats = term_totals(lists).withColumn("idf", F.log((1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0)
-    if max_features is not None:
-        stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    return lists, stats
+    return lists, weighted_terms(term_totals(lists), lists.count(), max_features)
 
 
 def vocabulary(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int | None = MAX_FEATURES,
@@ -170,6 +173,11 @@ def vocabulary(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _counted(corpus, id_col, text_col, max_features, stop, ngram_max, ())[1]
 
 
+def weigh_lists(lists: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
+    """(doc_id, terms, weights) of counted rows: L2-normalised tf·idf over the vocabulary."""
+    return _weighted(lists, vocab, max_features, "doc_id")
+
+
 def build_tfidf_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       max_features: int | None = MAX_FEATURES, stop_words: list[str] | None = None,
                       ngram_max: int = 2, keep: tuple[str, ...] = ()) -> LexicalIndex:
@@ -224,6 +232,12 @@ def _scorer(zeros: bool):
     return score
 
 
+def _size(q: DataFrame) -> dict:
+    """How many queries there are and how many bytes one takes, for ``block_top_k``."""
+    r = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("t")).first()
+    return {"n_queries": r["n"], "row_bytes": 64 + 32 * (r["t"] or 0) // max(r["n"], 1)}
+
+
 def _queries(queries: DataFrame, index: LexicalIndex, id_col: str, text_col: str) -> DataFrame:
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     lists = term_lists(q, "query_id", "text", index.stop_words, index.ngram_max)
@@ -236,7 +250,31 @@ def tfidf_search(index: LexicalIndex, queries: DataFrame, k: int = DEFAULT_K, id
     ``include_zero`` documents that share no term fill short lists up, by id."""
     q = _queries(queries, index, id_col, text_col)
     docs = index.vectors.select(F.col("doc_id").alias("id"), "terms", "weights")
-    return block_top_k(docs, q, _prepare, _scorer(include_zero), k, q.count(), pack_rows=PACK_ROWS)
+    return block_top_k(docs, q, _prepare, _scorer(include_zero), k, **_size(q), pack_rows=PACK_ROWS)
+
+
+def pruned_search(index: LexicalIndex, blocks: postings.Postings, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",
+                  text_col: str = "text", include_zero: bool = True) -> DataFrame:
+    """``tfidf_search`` through ``blocks``, the postings of the index's weights: only the
+    queries' terms are read, and of those only what can reach the top k."""
+    q = _queries(queries, index, id_col, text_col)
+    asked = (q.select("query_id", F.explode(F.arrays_zip("terms", "weights")).alias("t"))
+             .select("query_id", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight")))
+    hits = postings.search(blocks, asked, lambda terms, buckets: np.ones(len(terms)), postings.Weights(), k)
+    if not include_zero:
+        return hits
+    # a list of fewer than k matches goes on with the smallest other ids
+    first = blocks.table("segments").orderBy("segment").limit(-(-2 * k // blocks.segment_docs)).select("ids").collect()
+    ids = [i for r in first for i in r["ids"]][:2 * k]
+    if not ids:
+        return hits
+    short = (q.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+             .withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k))
+    spare = short.select("query_id", "n", F.explode(F.array(*[F.lit(i) for i in ids])).alias("doc_id"))
+    spare = spare.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    spare = spare.withColumn("rank", (F.col("n") + nth).cast("int")).where(F.col("rank") <= k)
+    return hits.unionByName(spare.select("query_id", "rank", "doc_id", F.lit(0.0).alias("score")))
 
 
 def scoped_search(index: LexicalIndex, queries: DataFrame, scope_col: str, k: int = DEFAULT_K, scope=None,
@@ -249,7 +287,7 @@ def scoped_search(index: LexicalIndex, queries: DataFrame, scope_col: str, k: in
     docs = index.vectors.select(F.col("doc_id").alias("id"), F.col(scope_col).alias("grp"), "terms", "weights")
     if scope is not None:
         docs = docs.where(F.col("grp") == scope)
-    return block_top_k(docs, q, _prepare, _scorer(False), k, q.count(), per_group=True, pack_rows=PACK_ROWS).withColumnRenamed("grp", "scope")
+    return block_top_k(docs, q, _prepare, _scorer(False), k, **_size(q), per_group=True, pack_rows=PACK_ROWS).withColumnRenamed("grp", "scope")
 
 
 # --- Okapi BM25 -------------------------------------------------------------------------
@@ -291,4 +329,4 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int = DEFAULT_K, id_col
             .select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights")))
     held = materialize(held, "bm25-queries")
     docs = index.vectors.select(F.col("doc_id").alias("id"), "terms", "weights")
-    return block_top_k(docs, held, _prepare, _scorer(False), k, held.count(), pack_rows=PACK_ROWS)
+    return block_top_k(docs, held, _prepare, _scorer(False), k, **_size(held), pack_rows=PACK_ROWS)

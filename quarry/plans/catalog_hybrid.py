@@ -277,8 +277,8 @@ def q_tfidf_weights(spark, sf_dir):
     return idx.postings().select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _bm25_sql() -> str:
-    return f"""WITH corpus AS (SELECT doc_id, text FROM documents),
+def bm25_sql(corpus: str = "SELECT doc_id, text FROM documents") -> str:
+    return f"""WITH corpus AS ({corpus}),
 queries AS (SELECT item_id AS query_id, text FROM benchmark),
 _dt AS (SELECT doc_id, {sq.kept_tokens('text')} AS w FROM corpus),
 _dl AS (SELECT doc_id, len(w) AS dl FROM _dt),
@@ -294,7 +294,7 @@ _s AS (SELECT q.query_id, t.doc_id,
 SELECT query_id, rank::BIGINT AS rank, doc_id, round(score, 6) AS score FROM {sq.ranked('_s', K)}"""
 
 
-@register("bm25_topk", _bm25_sql)
+@register("bm25_topk", bm25_sql)
 def q_bm25_topk(spark, sf_dir):
     idx = lexical.build_bm25_index(load(spark, sf_dir, "documents"))
     hits = lexical.bm25_search(idx, all_benchmark(spark, sf_dir), k=K)

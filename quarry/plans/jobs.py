@@ -1,31 +1,35 @@
-"""End-to-end jobs: build a persisted index, open it, query it, re-cluster it.
-
-A build writes a version of its own under ``index_dir`` (all Parquet):
-
-* ``<version>/chunks``  — chunk rows with metadata, ids, vector and cluster,
-                          partitioned by ``cluster`` (cluster-restricted search
-                          reads only the partitions it needs);
-* ``<version>/vectors`` — TF-IDF vectors, one row per chunk;
-* ``<version>/vocab``   — the vocabulary;
-* ``<version>/mixture`` — the fitted mixture parameters (k rows);
-* ``_versions``         — one small JSON line per finished version; the highest
-                          number is the live one.  Lines are only ever added, so
-                          a reader always finds a complete index, and a job that
-                          dies leaves the live version as it was.
+"""End-to-end jobs: build a persisted index, open it, query it, change it, re-cluster it.
+
+Under ``index_dir`` lie, all as Parquet:
+
+* ``chunks/segment=<s>/cluster=<c>`` - chunk rows with metadata, ids and vector (a search
+  in some clusters reads their partitions only);
+* ``terms/segment=<s>``, ``totals/segment=<s>`` - the chunks' counted terms and their sums;
+* ``gone/<x>`` - per delete: the chunks taken out, and the sums of their terms;
+* ``v-<id>``   - the vocabulary, and the mixture (k rows) that clusters were assigned by; of
+  a version without pending changes also the TF-IDF vectors and their block-max postings;
+* ``_versions`` - see ``plans.versions``: which segments and deletes are live.
+
+``add_documents`` writes a segment and ``delete_documents`` a list; each then sums the
+segments' totals to the vocabulary that a rebuild would have.  Vectors of a version with
+pending changes are weighed when they are searched; ``merge_index`` rewrites all live rows
+as one segment.  Files of earlier versions stay, for their readers; a job that dies or
+loses a race leaves the live version as it was.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.operators import annotate, chunking, dense, hybrid, lexical, mixture
+from quarry.functions import stopwords
+from quarry.operators import annotate, chunking, dense, hybrid, lexical, mixture, postings
+from quarry.plans import versions
 from quarry.session import materialize
 
 
@@ -39,6 +43,7 @@ class Index:
     stop_words: list[str]
     ngram_max: int = 2
     max_features: int | None = None
+    blocks: postings.Postings | None = None  # of a version without pending changes
 
     def lexical(self) -> lexical.LexicalIndex:
         return lexical.LexicalIndex(self.vectors, self.vocab, self.stop_words, self.ngram_max, self.max_features)
@@ -68,56 +73,203 @@ def index_corpus(spark: SparkSession, docs: DataFrame, index_dir: str, id_col: s
     which adds a version and leaves the earlier one to its readers."""
     if mode not in ("errorifexists", "overwrite"):
         raise ValueError(f"unknown mode: {mode}")
-    if mode == "errorifexists" and _live(spark, index_dir) is not None:
+    if mode == "errorifexists" and versions.numbers(spark, index_dir):
         raise FileExistsError(f"there is an index at {index_dir}")
-    version = os.path.join(index_dir, f"v-{uuid.uuid4().hex[:12]}")
     # written once, so that fitting, assignment and indexing read the same rows
     staged = materialize(dense.hash_embed(build_chunks(docs, id_col, text_col), dim=embed_dim), "chunks")
-    twice = staged.groupBy("chunk_id").count().where(F.col("count") > 1)
-    if not twice.isEmpty():
-        raise ValueError("document ids are not unique")
+    _check_unique(staged)
     model = mixture.fit_gmm(staged, k=n_components, vec_col="embedding", id_col="chunk_id")
-    _by_cluster(mixture.assign(staged, model), os.path.join(version, "chunks"))
-    lex = lexical.build_tfidf_index(staged.select(F.col("chunk_id").alias("doc_id"), "text"),
-                                    max_features=max_features, stop_words=stop_words)
-    lex.vectors.write.parquet(os.path.join(version, "vectors"))
-    lex.vocab.write.parquet(os.path.join(version, "vocab"))
-    model.to_df(spark).write.parquet(os.path.join(version, "mixture"))
-    _publish(spark, index_dir, {"chunks": f"{version}/chunks", "vectors": f"{version}/vectors", "vocab": f"{version}/vocab",
-                                "mixture": f"{version}/mixture", "stop_words": lex.stop_words, "ngram_max": lex.ngram_max,
-                                "max_features": max_features})
+    meta = {"id_col": id_col, "text_col": text_col, "embed_dim": embed_dim, "ngram_max": 2, "max_features": max_features, "deletes": [],
+            "stop_words": stopwords.english() if stop_words is None else list(stop_words)}
+    meta["segments"] = [_write_segment(spark, index_dir, mixture.assign(staged, model), meta)]
+    meta |= _statics(spark, index_dir, meta, model)
+
+    def change(now: dict | None) -> dict:
+        if now is not None and mode == "errorifexists":
+            raise FileExistsError(f"another writer has made an index at {index_dir}")
+        return meta
+
+    _publish(spark, index_dir, change)
     return open_index(spark, index_dir)
 
 
-def _by_cluster(chunks: DataFrame, path: str) -> None:
-    chunks.write.partitionBy("cluster").parquet(path)
+def _check_unique(chunks: DataFrame) -> None:
+    if not chunks.groupBy("chunk_id").count().where(F.col("count") > 1).isEmpty():
+        raise ValueError("document ids are not unique")
 
 
-def _live(spark: SparkSession, index_dir: str) -> dict | None:
-    """The newest published version, or None."""
-    try:
-        lines = spark.read.text(os.path.join(index_dir, "_versions")).collect()  # a line per version
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return max((json.loads(r["value"]) for r in lines), key=lambda m: m["number"], default=None)
+def _write_segment(spark: SparkSession, index_dir: str, chunks: DataFrame, meta: dict, lists: DataFrame | None = None) -> dict:
+    """A segment of clustered chunks with its counted terms and sums; what a version says of it."""
+    name = f"s-{uuid.uuid4().hex}"
+    where = {t: os.path.join(index_dir, t, f"segment={name}") for t in ("chunks", "terms", "totals")}
+    chunks.write.partitionBy("cluster").parquet(where["chunks"])
+    if lists is None:
+        rows = spark.read.parquet(where["chunks"]).select(F.col("chunk_id").alias("doc_id"), F.col(meta["id_col"]).alias("document"), "text")
+        lists = lexical.term_lists(rows, "doc_id", "text", meta["stop_words"], meta["ngram_max"], ("document",))
+    lists.write.parquet(where["terms"])
+    written = spark.read.parquet(where["terms"])
+    lexical.term_totals(written).write.parquet(where["totals"])
+    return {"name": name, "chunks": written.count()}
 
 
-def _publish(spark: SparkSession, index_dir: str, meta: dict) -> None:
-    live = _live(spark, index_dir)
-    line = json.dumps(meta | {"number": 1 + (live["number"] if live else 0)})
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(os.path.join(index_dir, "_versions"))
+def _table(spark: SparkSession, index_dir: str, meta: dict, name: str) -> DataFrame:
+    """A table over the live segments, deleted chunks included."""
+    base = os.path.join(index_dir, name)
+    return spark.read.option("basePath", base).parquet(*[os.path.join(base, f"segment={s['name']}") for s in meta["segments"]])
 
 
-def open_index(spark: SparkSession, index_dir: str) -> Index:
-    """Reload a persisted index (nothing is recomputed)."""
-    meta = _live(spark, index_dir)
+def _gone(spark: SparkSession, index_dir: str, meta: dict, name: str) -> DataFrame:
+    return spark.read.parquet(*[os.path.join(index_dir, "gone", x["name"], name) for x in meta["deletes"]])
+
+
+def _live_rows(spark: SparkSession, index_dir: str, meta: dict, name: str, key: str) -> DataFrame:
+    """A table's live rows; ``key`` is its column of chunk ids."""
+    rows = _table(spark, index_dir, meta, name)
+    if meta["deletes"]:
+        gone = _gone(spark, index_dir, meta, "chunks").select("segment", F.col("chunk_id").alias(key))
+        rows = rows.join(gone, ["segment", key], "left_anti")
+    return rows
+
+
+def _vocabulary(spark: SparkSession, index_dir: str, meta: dict) -> DataFrame:
+    """The vocabulary of the live chunks: the segments' sums less what was deleted."""
+    totals = _table(spark, index_dir, meta, "totals").select("term", "df", "cf")
+    if meta["deletes"]:
+        less = _gone(spark, index_dir, meta, "totals")
+        totals = totals.unionByName(less.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
+    if len(meta["segments"]) > 1 or meta["deletes"]:
+        totals = totals.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+    n = sum(s["chunks"] for s in meta["segments"]) - sum(x["chunks"] for x in meta["deletes"])
+    return lexical.weighted_terms(totals, n, meta["max_features"])
+
+
+def _statics(spark: SparkSession, index_dir: str, meta: dict, model: mixture.MixtureModel) -> dict:
+    """Vocabulary, mixture, vectors and postings of a version without pending changes."""
+    version = f"v-{uuid.uuid4().hex}"
+    where = os.path.join(index_dir, version)
+    _vocabulary(spark, index_dir, meta).write.parquet(os.path.join(where, "vocab"))
+    model.to_df(spark).write.parquet(os.path.join(where, "mixture"))
+    vocab = spark.read.parquet(os.path.join(where, "vocab"))
+    lists = _table(spark, index_dir, meta, "terms").select("doc_id", "terms", "tfs")
+    lexical.weigh_lists(lists, vocab, meta["max_features"]).write.parquet(os.path.join(where, "vectors"))
+    rows = spark.read.parquet(os.path.join(where, "vectors")).select(
+        "doc_id", "terms", F.col("weights").alias("values"), F.lit(0).cast("long").alias("n_words"))
+    postings.write_delta(rows, os.path.join(where, "postings"), "all")
+    return {"vocab": f"{version}/vocab", "mixture": f"{version}/mixture", "vectors": f"{version}/vectors", "postings": f"{version}/postings"}
+
+
+def _publish(spark: SparkSession, index_dir: str, change) -> dict:
+    return versions.update(spark, index_dir, change)
+
+
+def _version(spark: SparkSession, index_dir: str) -> dict:
+    meta = versions.live(spark, index_dir)
     if meta is None:
         raise FileNotFoundError(f"no index at {index_dir}")
-    model = mixture.MixtureModel.from_df(spark.read.parquet(meta["mixture"]))
-    return Index(spark.read.parquet(meta["chunks"]), spark.read.parquet(meta["vectors"]), spark.read.parquet(meta["vocab"]), model,
-                 index_dir, meta["stop_words"], meta["ngram_max"], meta["max_features"])
+    return meta
+
+
+def _model(spark: SparkSession, index_dir: str, meta: dict) -> mixture.MixtureModel:
+    return mixture.MixtureModel.from_df(spark.read.parquet(os.path.join(index_dir, meta["mixture"])))
+
+
+def open_index(spark: SparkSession, index_dir: str) -> Index:
+    """Reload the live version of a persisted index (nothing is recomputed but the weights of
+    a version with pending changes, when it is searched)."""
+    meta = _version(spark, index_dir)
+    chunks = _live_rows(spark, index_dir, meta, "chunks", "chunk_id").drop("segment")
+    vocab = spark.read.parquet(os.path.join(index_dir, meta["vocab"]))
+    blocks = None
+    if meta["vectors"]:
+        vectors = spark.read.parquet(os.path.join(index_dir, meta["vectors"]))
+        blocks = postings.Postings(spark, os.path.join(index_dir, meta["postings"]), ["all"], postings.BUCKETS, id_type=T.StringType())
+    else:
+        lists = _live_rows(spark, index_dir, meta, "terms", "doc_id").select("doc_id", "terms", "tfs")
+        vectors = lexical.weigh_lists(lists, vocab, meta["max_features"])
+    return Index(chunks, vectors, vocab, _model(spark, index_dir, meta), index_dir, meta["stop_words"], meta["ngram_max"],
+                 meta["max_features"], blocks)
+
+
+# --- changes ---------------------------------------------------------------------------------
+
+def _pending(spark: SparkSession, index_dir: str, meta: dict) -> dict:
+    """``meta`` with the vocabulary of its segments and deletes, weights pending."""
+    vocab = f"v-{uuid.uuid4().hex}/vocab"
+    _vocabulary(spark, index_dir, meta).write.parquet(os.path.join(index_dir, vocab))
+    return meta | {"vocab": vocab, "vectors": None, "postings": None}
+
+
+def add_documents(spark: SparkSession, index_dir: str, docs: DataFrame) -> Index:
+    """Index further documents; their chunks get the clusters of the present mixture.  An id
+    that is live already raises and leaves the index as it was."""
+    meta = _version(spark, index_dir)
+    staged = materialize(dense.hash_embed(build_chunks(docs, meta["id_col"], meta["text_col"]), dim=meta["embed_dim"]), "chunks")
+    _check_unique(staged)
+    if staged.isEmpty():  # no document is long enough for a chunk
+        return open_index(spark, index_dir)
+    added: dict = {}
+    checked: set[str] = set()
+
+    def change(now: dict) -> dict:
+        fresh = [s for s in now["segments"] if s["name"] not in checked]
+        there = _live_rows(spark, index_dir, now | {"segments": fresh}, "terms", "doc_id").select("document") if fresh else None
+        if there is not None and not there.join(staged.select(F.col(meta["id_col"]).alias("document")), "document", "left_semi").isEmpty():
+            raise ValueError("document ids are in the index already")
+        checked.update(s["name"] for s in fresh)
+        if added.get("mixture") != now["mixture"]:  # the first time, or clustered anew meanwhile
+            model = _model(spark, index_dir, now)
+            added.update(mixture=now["mixture"], segment=_write_segment(spark, index_dir, mixture.assign(staged, model), meta))
+        return _pending(spark, index_dir, now | {"segments": [*now["segments"], added["segment"]]})
+
+    _publish(spark, index_dir, change)
+    return open_index(spark, index_dir)
+
+
+def delete_documents(spark: SparkSession, index_dir: str, ids: DataFrame) -> Index:
+    """Take documents out of the live version; ``ids`` has their id column, unknown ids are ignored."""
+    meta = _version(spark, index_dir)
+    wanted = ids.select(F.col(meta["id_col"]).alias("document")).distinct()
+
+    def change(now: dict) -> dict:
+        rows = materialize(_live_rows(spark, index_dir, now, "terms", "doc_id").join(wanted, "document", "left_semi"), "gone")
+        n = rows.count()
+        if not n:
+            return now
+        name = f"x-{uuid.uuid4().hex}"
+        where = os.path.join(index_dir, "gone", name)
+        rows.select("segment", F.col("doc_id").alias("chunk_id")).write.parquet(os.path.join(where, "chunks"))
+        lexical.term_totals(rows).write.parquet(os.path.join(where, "totals"))
+        return _pending(spark, index_dir, now | {"deletes": [*now["deletes"], {"name": name, "chunks": n}]})
+
+    _publish(spark, index_dir, change)
+    return open_index(spark, index_dir)
+
+
+def _rewritten(spark: SparkSession, index_dir: str, now: dict, model: mixture.MixtureModel | None) -> dict:
+    """All live rows as one segment, clustered anew if a model is given."""
+    chunks = _live_rows(spark, index_dir, now, "chunks", "chunk_id").drop("segment")
+    if model is not None:
+        chunks = mixture.assign(chunks.drop("cluster"), model)
+    lists = _live_rows(spark, index_dir, now, "terms", "doc_id").drop("segment")
+    if lists.isEmpty():
+        raise ValueError(f"no document is left in {index_dir}")
+    meta = now | {"segments": [_write_segment(spark, index_dir, chunks, now, lists)], "deletes": []}
+    return meta | _statics(spark, index_dir, meta, model or _model(spark, index_dir, now))
+
+
+def merge_index(spark: SparkSession, index_dir: str) -> Index:
+    """Rewrite the live rows as one segment, with the vectors and postings of a fresh build."""
+    _version(spark, index_dir)
+    _publish(spark, index_dir, lambda now: _rewritten(spark, index_dir, now, None))
+    return open_index(spark, index_dir)
+
+
+def recluster(spark: SparkSession, index_dir: str, n_components: int) -> Index:
+    """Refit the mixture with another k and rewrite the chunks by their new clusters."""
+    index = open_index(spark, index_dir)
+    model = mixture.fit_gmm(index.chunks, k=n_components, vec_col="embedding", id_col="chunk_id")
+    _publish(spark, index_dir, lambda now: _rewritten(spark, index_dir, now, model))
+    return open_index(spark, index_dir)
 
 
 def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider", "bm25", "gmm"),
@@ -149,7 +301,10 @@ def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider"
         lex = index.lexical()
         if restrict is not None or doc_filter is not None:
             lex.vectors = lex.vectors.join(corpus.select("doc_id"), "doc_id", "left_semi")
-        per["bm25"] = lexical.tfidf_search(lex, q, k=k, include_zero=include_zero)
+        if index.blocks is not None and restrict is None and doc_filter is None:
+            per["bm25"] = lexical.pruned_search(lex, index.blocks, q, k=k, include_zero=include_zero)
+        else:
+            per["bm25"] = lexical.tfidf_search(lex, q, k=k, include_zero=include_zero)
     if "gmm" in methods:
         if cluster_filter is not None:
             wanted = int(cluster_filter)
@@ -162,18 +317,7 @@ def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider"
     found = index.chunks.select(F.col("chunk_id").alias("_chunk"), *[
         F.col(c).alias("document_id" if c == id_col else "content" if c == "text" else c) for c in index.chunks.columns if c not in drop])
     hits = materialize(fused.join(found, F.col("doc_id") == F.col("_chunk"), "left").drop("_chunk"), "hit-rows")
-    ctx = hybrid.context(fused, hits.select("doc_id", F.col("content").alias("text")).distinct())
+    ctx = hybrid.context(fused, hits.select("doc_id", F.col("content").alias("text")).dropDuplicates(["doc_id"]))
     conf = hybrid.confidence(fused, q)
     return {"hits": hits, "confidence": conf, "context": ctx, "prompt": hybrid.prompt(ctx, q),
             "responses": hybrid.responses(hits, conf, q)}
-
-
-def recluster(spark: SparkSession, index_dir: str, n_components: int) -> Index:
-    """Refit the mixture with another k; write a new chunk version, then publish it."""
-    index, meta = open_index(spark, index_dir), _live(spark, index_dir)
-    model = mixture.fit_gmm(index.chunks, k=n_components, vec_col="embedding", id_col="chunk_id")
-    version = os.path.join(index_dir, f"v-{uuid.uuid4().hex[:12]}")
-    _by_cluster(mixture.assign(index.chunks.drop("cluster"), model), os.path.join(version, "chunks"))
-    model.to_df(spark).write.parquet(os.path.join(version, "mixture"))
-    _publish(spark, index_dir, meta | {"chunks": f"{version}/chunks", "mixture": f"{version}/mixture"})
-    return open_index(spark, index_dir)

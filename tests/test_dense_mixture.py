@@ -1,5 +1,8 @@
 """Dense search against numpy, approximate recall, audits, mixture invariants."""
 
+import glob
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +104,8 @@ def test_query_blocks_agree(spark, monkeypatch):
     assert run(query_rows=3, pack_rows=7) == one  # many blocks and packs, same answer
     monkeypatch.setattr(blocks, "OPEN_BLOCKS", 1)
     assert run(query_rows=2) == one
+    monkeypatch.setattr(blocks, "SHIP_BYTES", 4096)  # several shipments
+    assert run(query_rows=2) == one
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert run(query_rows=3) == one
@@ -118,6 +123,29 @@ def test_string_ids_and_groups(spark):
     assert [(r["query_id"], r["doc_id"]) for r in got] == [("q1", "d11"), ("q2", "d0")]
 
 
+def test_searched_groups_are_pruned_at_run_time(spark, scratch):
+    """Files of clusters that no query has are spoilt; the plan has the dynamic filter."""
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    path = os.path.join(scratch, "v")
+    emb.write.partitionBy("label").parquet(path)
+    stored = spark.read.parquet(path)
+    q = emb.where("label IN (2, 5) AND doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id")
+
+    def run():
+        hits = dense.dense_search(stored, q, k=4, group_col="label", query_group_col="label")
+        return sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits.collect())
+
+    want = run()
+    for f in glob.glob(os.path.join(path, "label=*", "*.parquet")):
+        if "label=2" not in f and "label=5" not in f:
+            with open(f, "wb") as out:
+                out.write(b"not parquet")
+    assert want and run() == want
+    asked = q.select("query_id", F.col("label").alias("grp"))
+    plan = dense.only_groups(stored, asked, "label", "grp")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
 def test_vectors_that_cannot_be_scored(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0, float("nan"), 0.0]),
             (5, [1.0, 1.0]), (6, [0.9, 0.1, 0.0]), (6, [0.8, 0.2, 0.0]), (7, None)] + [(10 + i, [float(i % 3), 1.0, 0.5])

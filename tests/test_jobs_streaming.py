@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking
+from quarry.operators import chunking, lexical
 from quarry.plans import jobs
 from quarry.streaming import ingest, queries
 
@@ -135,6 +135,51 @@ def test_overwrite_leaves_earlier_readers_their_rows(spark, scratch):
     assert {r["document_id"] for r in jobs.query_index(first, q, k=3, doc_filter=ids)["hits"].collect()} == {hit["document_id"]}
 
 
+def _rows(df, *without):
+    return sorted(str(r) for r in df.select(*[c for c in df.columns if c not in without]).collect())
+
+
+def test_add_delete_merge_equal_a_rebuild(spark, scratch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").where("doc_id < 45")
+    first, more = docs.where("doc_id < 30"), docs.where("doc_id >= 30")
+    gone = docs.where("doc_id % 4 = 1").select("doc_id")
+    root, again = os.path.join(scratch, "a"), os.path.join(scratch, "b")
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(4)
+    old = jobs.index_corpus(spark, first, root, n_components=2)
+    n_old = old.chunks.count()
+    jobs.add_documents(spark, root, more)
+    changed = jobs.delete_documents(spark, root, gone)
+    with pytest.raises(ValueError):
+        jobs.add_documents(spark, root, more.where("doc_id < 40"))  # 32 is live
+    left = docs.join(gone, "doc_id", "left_anti")
+    want = jobs.index_corpus(spark, left, again, n_components=2)
+    merged = jobs.merge_index(spark, root)
+    # the mixture is the first build's: all but the clusters equal the rebuild's
+    for index in (changed, merged):
+        assert _rows(index.chunks, "cluster") == _rows(want.chunks.select(index.chunks.columns), "cluster")
+        assert _rows(index.vocab) == _rows(want.vocab) and _rows(index.vectors) == _rows(want.vectors)
+    assert changed.blocks is None and merged.blocks is not None
+    found = [_rows(jobs.query_index(index, q, k=5, methods=("bm25",))["hits"].select("query_id", "rank", "doc_id", F.round("score", 9)))
+             for index in (changed, merged, want)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 20
+    assert old.chunks.count() == n_old  # an index opened earlier keeps its rows
+    ids = jobs.add_documents(spark, root, docs.where("doc_id = 1"))  # a deleted id may come back
+    assert ids.chunks.where("doc_id = 1").count() == old.chunks.where("doc_id = 1").count() > 0
+    assert jobs.recluster(spark, root, 3).chunks.count() == ids.chunks.count()
+
+
+def test_short_lists_are_filled_up(spark, scratch):
+    text = [(i, f"alpha{i % 3} " * 40 + "common words here") for i in range(12)]
+    docs = spark.createDataFrame(text, "doc_id long, text string")
+    index = jobs.index_corpus(spark, docs, scratch, n_components=2)
+    q = spark.createDataFrame([(1, "alpha1"), (2, "nothing"), (3, None)], "query_id long, text string")
+    for zero in (True, False):
+        a = lexical.pruned_search(index.lexical(), index.blocks, q, k=7, include_zero=zero)
+        b = lexical.tfidf_search(index.lexical(), q, k=7, include_zero=zero)
+        a, b = (x.select("query_id", "rank", "doc_id", F.round("score", 9)) for x in (a, b))
+        assert _rows(a) == _rows(b) and a.count() == (21 if zero else 4)
+
+
 def test_far_apart_document_ids_share_no_chunk_id(spark):
     text = "word " * 100
     docs = spark.createDataFrame([(5, text), (5 + 2**44, text)], "doc_id long, text string")
