@@ -3,12 +3,14 @@
 Texts are tokenised where they lie; only the lengths' histogram (at most
 ``capacity`` numbers) reaches the driver.  There the covering program "use as
 few configurations as possible such that each length is covered as often as it
-occurs" is solved by multiplicative weights: each length's price falls as it is
-covered, the best configuration at the current prices comes from a knapsack
-dynamic program, and a step covers at most ``STEP`` of any length in it.  The
-fractions are rounded down and what is left is packed by best fit, length by
-length in bulk.  The result is a list of configurations with multiplicities,
-bounded by the capacity and not by the number of documents.
+occurs" is solved by multiplicative weights: a length's price falls as it is
+covered, and a knapsack dynamic program prices the best filling of every space.
+One such table serves a whole turn: each open length, the longest first, gets the
+best configuration that holds it, which covers at most ``STEP`` of any length in it,
+in sequences rounded down.  Turns go on until all but ``REST`` of the pieces are
+covered; those are packed by best fit, length by length in bulk.  The result is a list
+of configurations with multiplicities, bounded by the capacity and not by the number of
+documents.
 
 Pieces of one length are interchangeable: a global sort numbers them and the
 number decides configuration, copy and offset, in every task by itself.
@@ -35,9 +37,9 @@ from quarry.llm.common import field, global_rank, per_process, stage
 
 CAPACITY = 2048
 END = 0
-TURNS = 300
 STEP = 0.5
-RATE = 2.0
+RATE = 0.1
+REST = 0.01
 KNOWN_WORDS = 400_000  # entries of a task's word cache
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -87,8 +89,8 @@ def _tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        known[path] = made, _Words(made, ""), _Words(made, " ")
+        added = [t.content for t in made.get_added_tokens_decoder().values()]
+        known[path] = made, _Words(made, ""), _Words(made, " "), added
     return known[path]
 
 
@@ -100,19 +102,20 @@ def _plain(text: str) -> bool:
 
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizer file; without special tokens.
+    """Ids of each text by the tokenizer file, ``add_special_tokens`` false.
 
     The byte-level splitting never joins what a lone blank or line break
     parts, so a text without other white space is the chain of its words (a
-    blank belongs to the word after it), and words are encoded once.
+    blank belongs to the word after it), and words are encoded once.  A text that
+    holds an added token's content goes to the library as it is.
     """
-    made, first, after = _tokenizer(path)
+    made, first, after, added = _tokenizer(path)
     break_ = first["\n"]
     out = []
     for text in texts:
         if not text:
             out.append(np.zeros(0, "<u4"))
-        elif not _plain(text):
+        elif not _plain(text) or any(t in text for t in added):
             out.append(np.array(made.encode(text, add_special_tokens=False).ids, "<u4"))
         else:
             lines = []
@@ -153,9 +156,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(cut, schema)
 
 
-def _best(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the highest price, by dynamic programming over the
-    space used: {index into lengths: count}, no count above ``most``."""
+def _table(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack table: for every space, the index of a length in its filling of the
+    highest price, or -1 where the space is best left as the next smaller one."""
     value = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
     fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
@@ -168,43 +171,52 @@ def _best(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: in
             k = int(gain.argmax())
             if gain[k] > value[space]:
                 value[space], last[space] = gain[k], k
-    used: dict[int, int] = {}
-    space = capacity
+    return last
+
+
+def _configuration(last: np.ndarray, lengths: np.ndarray, left: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """The table's best configuration that holds length ``first``: {index: count}.  Where it
+    asks for more of a length than is left, the longest length that fits stands in."""
+    used = {first: 1}
+    space = capacity - int(lengths[first])
     while space > 0:
-        k = last[space]
+        k = int(last[space])
         if k < 0:
             space -= 1
-        else:
-            if used.get(int(k), 0) < most[k]:
-                used[int(k)] = used.get(int(k), 0) + 1
-            space -= int(lengths[k])
+            continue
+        if used.get(k, 0) >= left[k]:
+            k = int(np.searchsorted(lengths, space, side="right")) - 1
+            while k >= 0 and used.get(k, 0) >= left[k]:
+                k -= 1
+            if k < 0:
+                break
+        used[k] = used.get(k, 0) + 1
+        space -= int(lengths[k])
     return used
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, turns: int = TURNS, step: float = STEP,
-          rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations [({length: count}, how often)] by multiplicative weights."""
+def solve(counts: dict[int, int], capacity: int = CAPACITY, step: float = STEP, rate: float = RATE,
+          rest: float = REST) -> list[tuple[dict[int, int], int]]:
+    """Configurations with whole multiplicities [({length: count}, how often)] by
+    multiplicative weights, for all but a share ``rest`` of the pieces."""
     lengths = np.array(sorted(counts), np.int64)
-    need = np.array([counts[int(x)] for x in lengths], float)
-    covered = np.zeros(len(lengths))
-    found: dict[tuple, float] = {}
-    for _ in range(turns if len(lengths) else 0):
-        open_ = covered < 1 - 1e-9
-        if not open_.any():
-            break
-        # a covered length is worth nothing more; the others less the more they are covered
-        at = np.flatnonzero(open_)
-        price = lengths[at] * np.exp(-rate * (covered[at] - covered[at].min()))
-        config = _best(lengths[at], price, need[at], capacity)
-        if not config:
-            break
-        k = at[list(config)]
-        n = np.array(list(config.values()), float)
-        often = float(min(np.min((1 - covered[k]) * need[k] / n), step * np.min(need[k] / n)))
-        often = max(often, min(1.0, float(np.min((1 - covered[k]) * need[k] / n))))
-        covered[k] += often * n / need[k]
-        key = tuple(sorted((int(lengths[i]), int(c)) for i, c in zip(k, n, strict=True)))
-        found[key] = found.get(key, 0.0) + often
+    need = np.array([counts[int(x)] for x in lengths], np.int64)
+    left = need.copy()
+    found: dict[tuple, int] = {}
+    while left.sum() > rest * need.sum():
+        at = np.flatnonzero(left)
+        covered = 1 - left[at] / need[at]
+        # a length is worth less the more it is covered
+        last = _table(lengths[at], lengths[at] * np.exp(-rate * (covered - covered.min())), capacity)
+        for first in range(len(at) - 1, -1, -1):
+            if not left[at[first]]:
+                continue
+            config = _configuration(last, lengths[at], left[at], first, capacity)
+            k, n = at[list(config)], np.array(list(config.values()))
+            often = min(int(np.min(left[k] // n)), max(1, int(step * np.min(need[k] / n))))
+            left[k] -= often * n
+            key = tuple(sorted(zip(lengths[k].tolist(), n.tolist(), strict=True)))
+            found[key] = found.get(key, 0) + often
     return [(dict(k), v) for k, v in found.items()]
 
 
@@ -240,17 +252,14 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dic
     return [(c, n) for gs in groups.values() for c, n in gs]
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, turns: int = TURNS) -> list[tuple[dict[int, int], int]]:
+def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Whole configurations with multiplicities that cover the histogram exactly."""
     left = {int(k): int(v) for k, v in counts.items() if v}
-    out = []
-    for config, often in sorted(solve(left, capacity, turns), key=lambda x: -x[1]):
-        whole = min(int(often + 1e-9), *(left[k] // n for k, n in config.items()))
-        if whole and sum(k * n for k, n in config.items()) >= capacity - 1:
-            out.append((config, whole))
-            for k, n in config.items():
-                left[k] -= whole * n
-    return out + best_fit({k: v for k, v in left.items() if v}, capacity)
+    plan = solve(left, capacity)
+    for config, often in plan:
+        for k, n in config.items():
+            left[k] -= often * n
+    return plan + best_fit({k: v for k, v in left.items() if v}, capacity)
 
 
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -288,11 +297,11 @@ def _place_tasks(slots, first_rank: dict[int, int]):
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         turns: int = TURNS, keep_ids: bool = False) -> DataFrame:
+         keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
     cut = stage(pieces(docs, tokenizer, id_col, text_col, capacity, keep_ids), "packing-pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
-    slots = docs.sparkSession.sparkContext.broadcast(_slots(configurations(counts, capacity, turns)))
+    slots = docs.sparkSession.sparkContext.broadcast(_slots(configurations(counts, capacity)))
     first_rank, total = {}, 0
     for length in sorted(counts):
         first_rank[length], total = total, total + counts[length]
