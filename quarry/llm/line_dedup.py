@@ -1,9 +1,11 @@
 """Line removal by site-relative frequency, in DataFrame functions only.
 
 A site is a host.  For each (host, line) the pages of the host that hold the
-line are counted and divided by the host's pages; a line above ``ratio`` on at
-least ``min_pages`` pages is boilerplate of that host and is dropped from all its
-pages, with the other lines left as they are.
+line are counted and divided by the host's pages; a line on more than ``ratio`` of
+them is boilerplate of that host and is dropped from all its pages, with the other
+lines left as they are.  Pages of one text (a 128-bit digest) count once, in the
+lines' pages and in the host's, so that copies alone make no line boilerplate; a
+line must stand on ``MIN_PAGES`` = 2 of them, as a host of a single text tells nothing.
 
 Counting shuffles line digests, not lines, and counts on the map side first, so
 one host or line with a large share of all rows is a partial count per task.
@@ -13,14 +15,12 @@ join (Spark broadcasts the hosts' rows if they are small, and splits a host with
 many pages otherwise), and the text is filtered in its row.
 
 Defined results: a null or empty text has no lines, is a page of its host all
-the same, and stays as it is; lines are compared with surrounding blanks
-stripped, blank lines are never boilerplate; a null host is a host of its own;
-repeated rows are pages of their own and lose the same lines, or with ``by_text``
-pages of one text (a 128-bit digest; null and empty are one) count once, in the
-lines' pages and in the host's, so that copies alone make no line boilerplate;
-other columns are
-kept (clashing names too, as the operator's own columns have names apart); an
-empty table gives an empty result.
+the same (all of them one), and stays as it is; lines are compared with surrounding
+blanks stripped, blank lines are never boilerplate; a null host is a host of its own;
+repeated rows lose the same lines, and count each on request (``by_text`` false);
+other columns are kept (clashing names too, as the operator's own columns have names
+apart); an empty table gives an empty result.  A very long text is one row's array of
+lines and digests.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stage
 
-RATIO = 0.02
-MIN_PAGES = 5
+RATIO = 0.5
+MIN_PAGES = 2
 
 # A line's digest: two 64-bit hashes with different seeds.
 _SEEDS = (0, 1)
@@ -47,7 +47,7 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                by_text: bool = False) -> DataFrame:
+                by_text: bool = True) -> DataFrame:
     """Rows (host, line digest, pages, share): the lines above the ratio."""
     whole = F.struct(*[F.xxhash64(F.lit(s), F.coalesce(text, F.lit(""))).alias(f"h{s}") for s in _SEEDS])
     p = pages.select(host.cast("string").alias("host"), *([whole.alias("page")] if by_text else []), F.array_distinct(F.transform(
@@ -65,7 +65,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 
 def drop_lines(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-               n_lines: str | None = None, n_dropped: str | None = None, by_text: bool = False) -> DataFrame:
+               n_lines: str | None = None, n_dropped: str | None = None, by_text: bool = True) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text_col``; on request also
     the counts of lines and of dropped lines, under the given names."""
     text = F.col(text_col)

@@ -73,15 +73,16 @@ FROM t WHERE role = 'assistant'
 
 def lines_sql(source: str, key: str, host: str, text: str, ratio: float = line_dedup.RATIO,
               min_pages: int = line_dedup.MIN_PAGES) -> str:
-    """CTEs ``page`` and ``left_lines`` (key, n_lines, n_dropped, text): line removal over ``source``."""
+    """CTEs ``page`` and ``left_lines`` (key, n_lines, n_dropped, text): line removal over ``source``,
+    where pages of one text count once."""
     return f"""page AS (SELECT {key} AS k, {host} AS host, {text} AS text FROM {source}),
 line AS (
-  SELECT k, host, i, x, trim(x) AS s FROM (
-    SELECT k, host, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+  SELECT k, host, body, i, x, trim(x) AS s FROM (
+    SELECT k, host, md5(coalesce(text, '')) AS body, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
            unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM page)),
-total AS (SELECT host, count(*) AS total FROM page GROUP BY host),
+total AS (SELECT host, count(DISTINCT coalesce(text, '')) AS total FROM page GROUP BY host),
 bad AS (
-  SELECT l.host, s FROM (SELECT host, s, count(DISTINCT k) AS n FROM line WHERE s <> '' GROUP BY host, s) l
+  SELECT l.host, s FROM (SELECT host, s, count(DISTINCT body) AS n FROM line WHERE s <> '' GROUP BY host, s) l
   JOIN total t ON l.host IS NOT DISTINCT FROM t.host WHERE n >= {min_pages} AND n / total::DOUBLE > {ratio}),
 marked AS (SELECT l.*, b.s IS NOT NULL AS bad FROM line l LEFT JOIN bad b ON l.host IS NOT DISTINCT FROM b.host AND l.s = b.s),
 left_lines AS (

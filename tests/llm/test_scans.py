@@ -160,13 +160,25 @@ def test_boilerplate_lines_by_host(spark):
     rows += [("b", "menu\nother"), ("b", "text"), (None, "menu\nx")] + [(None, "menu")] * 6 + [("a", None), ("a", ""), ("a", "menu")]
     rows += [("a", "line\n" * 3000 + "menu")]
     df = spark.createDataFrame([(h, t, 1, "x") for h, t in rows], "host string, text string, _drop long, line string").repartition(3)
-    got = line_dedup.drop_lines(df, F.col("host"), ratio=0.3, min_pages=5, n_lines="n", n_dropped="d")
+    got = line_dedup.drop_lines(df, F.col("host"), ratio=0.3, min_pages=5, n_lines="n", n_dropped="d", by_text=False)
     assert got.columns == ["host", "text", "_drop", "line", "n", "d"] or set(got.columns) == {"host", "text", "_drop", "line", "n", "d"}
     want = [(h, t, n, d) for (h, _), (n, d, t) in zip(rows, brute_lines(rows, 0.3, 5), strict=True)]
     assert sorted(map(str, [(r["host"], r["text"], r["n"], r["d"]) for r in got.collect()])) == sorted(map(str, want))
     assert line_dedup.drop_lines(df.where("1 = 0"), F.col("host")).count() == 0
 
 
+def test_the_share_of_distinct_texts_decides(spark):
+    """Defaults: over half of a host's distinct texts, copies once; a single text tells nothing."""
+    rows = [("a", "menu\nunique one\nhalf"), ("a", "menu\nunique two\nhalf"), ("a", "menu\nunique three"), ("a", "other\nunique four"),
+            ("b", "copied\nline"), ("b", "copied\nline"), ("b", "copied\nline"), ("c", "shared\nx"), ("c", "shared\ny"),
+            ("d", "twice\nbody")] + [("d", f"text {i}") for i in range(3)] + [("d", "twice\nbody")] * 20
+    df = spark.createDataFrame(rows, "host string, text string").repartition(3)
+    got = line_dedup.drop_lines(df, F.col("host"), n_dropped="d").collect()
+    gone = {(r["host"], r["text"], r["d"]) for r in got if r["d"]}
+    assert gone == {("a", "unique one\nhalf", 1), ("a", "unique two\nhalf", 1), ("a", "unique three", 1), ("c", "x", 1), ("c", "y", 1)}
+    assert len(got) == len(rows)
+
+
 def test_page_text_and_host(spark):
     df = spark.createDataFrame([("http://A.example.com:80/x?y", "<html><head><style>p{}</style></head><p>One <b>two</b></p><br/>three<!-- no --></html>"),
                                 (None, None), ("nothing", "")], "url string, html string")
