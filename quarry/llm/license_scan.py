@@ -1,21 +1,22 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-The templates (short licence notices) are indexed by word: a posting is a
-template and a place in it.  One pass over the files keeps each file's word
-count, its distinct licence words and, where some template's key phrases could
-be complete, its words.  The licence words' document frequencies over all files
-give their IDF.  Each key phrase's word of the highest IDF is an anchor: a file
-that holds the phrase holds its anchor, so looking up a file's anchors loses
-nothing.  A file's anchor places and the anchor's postings give alignments
-(place in the file minus place in the template); at each the mandatory key
-phrases are verified word by word, and the share of the template's words that
-stand at their place is the alignment's score.
+The templates (licence titles, headers and notices) are indexed by word: a posting is a
+template and a place in it.  One pass over the files keeps each file's word count, its
+distinct licence words and, where some template's key phrases could be complete, its
+words.  The licence words' document frequencies over all files give their IDF.  Of each
+template's key phrases, which are mandatory, the ``ANCHORS`` words of the highest IDF are
+its anchors: a file that matches holds them all, so looking up a file's anchors loses
+nothing.  An anchor's places in the file less its place in the template are the positions
+at which the template could stand; the anchors' lists are intersected, and at what is left
+the mandatory key phrases are verified word by word.  Complete key phrases decide; the share
+of the template's words that stand at their place is the alignment's score (``coverage``
+can ask for a least share).
 
 The template list is a bounded literal, so the index needs no join.
 
 Defined results: a null or empty text has no words and score 0; repeated rows
 give equal rows; a null id stays null; columns beside id and text are not read;
-an empty table gives an empty result.
+an empty table gives an empty result.  A very long text is one row's array of words.
 """
 
 from __future__ import annotations
@@ -60,31 +61,42 @@ class Template:
 
 
 TEMPLATES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3",
-             ("gnu general public license version 3",)),
+    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    Template("gpl-2.0", "gnu general public license version 2 june 1991", ("gnu general public license version 2",)),
+    Template("gpl-3.0", "gnu general public license version 3 29 june 2007", ("gnu general public license version 3",)),
+    Template("gpl-2.0", "either version 2 of the license or at your option any later version", ("either version 2 of the license",)),
+    Template("gpl-3.0", "either version 3 of the license or at your option any later version", ("either version 3 of the license",)),
     Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
     Template("mit-notice", "released under the mit license", ("under the mit license",)),
     Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software",
              ("permission is hereby granted", "obtaining a copy")),
+    Template("mit-text", "the software is provided as is without warranty of any kind express or implied",
+             ("the software is provided as is without warranty of any kind express or implied",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
              ("redistribution and use", "source and binary forms")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice",
+             ("redistributions of source code must retain the above copyright notice",)),
+    Template("mpl-2.0", "mozilla public license version 2 0", ("mozilla public license version 2 0",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0",
-             ("mozilla public license",)),
+             ("mozilla public license v 2 0",)),
+    Template("epl", "eclipse public license v 2 0", ("eclipse public license",)),
+    Template("boost", "boost software license version 1 0", ("boost software license",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
              ("permission to use copy modify", "with or without fee")),
     Template("unlicense", "this is free and unencumbered software released into the public domain",
              ("free and unencumbered", "public domain")),
+    Template("cc-by-4.0", "creative commons attribution 4 0 international", ("creative commons attribution 4 0",)),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     Template("cc-by-sa", "licensed under cc by sa", ("cc by sa",)),
     Template("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0", "public domain")),
     Template("rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
 
-# At least this share of a template's words must stand at their place.
-COVERAGE = 0.6
+# The least share of a template's words at their place; complete key phrases are enough.
+COVERAGE = 0.0
+# Words of a template whose positions are intersected before anything is verified.
+ANCHORS = 2
 
 
 def ascii_lower(col: Column) -> Column:
@@ -137,40 +149,43 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     # document frequencies of the fixed vocabulary: at most that many rows
     df = {r["x"]: r["count"] for r in kept.select(F.explode("known").alias("x")).groupBy("x").count().collect()}
     # the highest IDF is the lowest frequency; of equals the first in the alphabet
-    rarest = {key: min(key.split(), key=lambda x: (df.get(x, 0), x)) for t in templates for key in t.keys}
-    anchors = sorted(set(rarest.values()))
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for n, t in enumerate(templates):
-        for key in t.keys[:1]:  # one phrase is enough to align: all are mandatory
-            k, w = key.split(), t.words
-            at = next(i for i in range(len(w)) if w[i:i + len(k)] == k)
-            postings.setdefault(rarest[key], []).append((n, at + k.index(rarest[key])))
-
-    index = F.create_map(*[c for w, ps in sorted(postings.items()) for c in (F.lit(w), F.array(*[
-        F.struct(F.lit(n).alias("t"), F.lit(p).alias("p")) for n, p in ps]))]) if postings else None
-    body = F.array(*[_strings(t.words) for t in templates])
-    required = F.array(*[F.array(*[F.lit(i) for i in t.required]) for t in templates])
-    names = _strings([t.label for t in templates])
+    anchors = [sorted(t.required, key=lambda i, w=t.words: (df.get(w[i], 0), w[i], i))[:ANCHORS] for t in templates]
+    looked_up = sorted({t.words[i] for t, at in zip(templates, anchors, strict=True) for i in at})
     place = F.sequence(F.lit(0), F.size("w") - 1)
     found_type = "array<struct<label:string,at:bigint,score:double>>"
-    if index is None:
-        found = F.array().cast(found_type)
-    else:
-        hits = F.filter(place, lambda i: F.get("w", i).isin(anchors))
-        aligned = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(
-            F.coalesce(F.element_at(index, F.get("w", i)), F.array().cast("array<struct<t:int,p:int>>")),
-            lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("at"))))))
-
-        def stands(x, k):
+    # the file's places of all anchors, found in one pass
+    kept = kept.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(looked_up), F.struct(x.alias("x"), i.alias("i")))),
+                                          lambda x: x.isNotNull()) if looked_up else F.lit(None).cast("array<struct<x:string,i:int>>"))
+
+    def positions(t: Template, anchor: int) -> Column:
+        """Where the template would begin for this anchor to stand."""
+        word = t.words[anchor]
+        return F.transform(F.filter("at", lambda a: a["x"] == word), lambda a: a["i"] - anchor)
+
+    def alignments(t: Template, at: list[int]) -> Column:
+        meet = positions(t, at[0])
+        for anchor in at[1:]:
+            meet = F.array_intersect(meet, positions(t, anchor))
+
+        def stands(begin, k):
             """Whether the template's word k stands at its place (get() outside the file is null)."""
-            return F.coalesce(F.get("w", x["at"] + k) == F.get(F.get(body, x["t"]), k), F.lit(False))
-
-        verified = F.filter(aligned, lambda x: F.forall(F.get(required, x["t"]), lambda k: stands(x, k)))
-        found = F.transform(verified, lambda x: F.struct(
-            F.get(names, x["t"]).alias("label"), x["at"].cast("long").alias("at"),
-            (F.size(F.filter(F.sequence(F.lit(0), F.size(F.get(body, x["t"])) - 1), lambda k: stands(x, k)))
-             / F.size(F.get(body, x["t"]))).alias("score")))
-        found = F.filter(found, lambda x: x["score"] >= coverage)
+            return F.coalesce(F.get("w", begin + k) == F.lit(t.words[k]), F.lit(False))
+
+        def verified(begin):
+            every = F.lit(True)
+            for k in t.required:
+                every = every & stands(begin, k)
+            return every
+
+        def scored(begin):
+            share = sum((stands(begin, k).cast("int") for k in range(len(t.words))), F.lit(0)) / len(t.words)
+            return F.struct(F.lit(t.label).alias("label"), begin.cast("long").alias("at"), share.alias("score"))
+
+        return F.filter(F.transform(F.filter(F.array_distinct(meet), verified), scored), lambda x: x["score"] >= coverage)
+
+    found = F.array().cast(found_type)
+    if templates:
+        found = F.flatten(F.array(*[alignments(t, at) for t, at in zip(templates, anchors, strict=True)]))
     base = F.array().cast("array<struct<at:bigint,label:string>>")
     for phrase, label in phrases.items():
         base = F.concat(base, F.transform(F.filter(place, _begins(phrase.split())), _labelled(label)))
