@@ -55,16 +55,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class _Words(dict):
+class _Words:
     """Token ids (little-endian, unsigned 32 bit) of words after ``lead`` (a blank
     or nothing), worked out by the tokenizer when first asked for."""
 
     def __init__(self, made, lead: str):
-        super().__init__()
         self.made, self.model, self.lead, self.letters = made, made.model, lead, _byte_letters()
+        self.known: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; a plain dictionary's look-up, and the tokenizer for the rest."""
+        found = list(map(self.known.get, words))
+        return [self[w] if x is None else x for w, x in zip(words, found, strict=True)] if None in found else found
+
+    def __getitem__(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is not None:
+            return ids
         core = word.rstrip(_MARKS)
         if not core.isalpha():
             ids = np.array(self.made.encode(self.lead + word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,9 +84,9 @@ class _Words(dict):
         else:
             letters = (self.lead + word).encode().decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = ids
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        self.known[word] = ids
         return ids
 
 
@@ -121,7 +129,7 @@ def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
             lines = []
             for line in text.split("\n"):
                 words = line.split(" ")
-                lines.append(first[words[0]] + b"".join(map(after.__getitem__, words[1:])))
+                lines.append(first[words[0]] + b"".join(after.of(words[1:])))
             out.append(np.frombuffer(break_.join(lines), "<u4"))
     return out
 

@@ -182,16 +182,18 @@ def _pack_groups(max_words: int):
 
 
 def chunk_sentences(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                    max_words: int = SENTENCE_MAX_WORDS) -> DataFrame:
+                    max_words: int = SENTENCE_MAX_WORDS, sentences: Column | None = None) -> DataFrame:
     """Greedy sentence packing up to ``max_words`` whitespace words per chunk.
 
-    Sentences are split after ``.``, ``!`` or ``?`` followed by whitespace and
-    joined back with one space; empty chunks are dropped.  Only the sentence
+    Sentences are split after ``.``, ``!`` or ``?`` followed by whitespace (or are those
+    of the column ``sentences``, e.g. from learnt boundaries, see ``operators.sentences``)
+    and joined back with one space; empty chunks are dropped.  Only the sentence
     word counts cross into Python (the packing walk is sequential); the text
     stays in the JVM and no shuffle is needed.
     """
     keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
-    staged = df.select(*keep, F.split(F.col(text_col), SENTENCE_SPLIT).alias("_s"))
+    split = F.split(F.col(text_col), SENTENCE_SPLIT) if sentences is None else sentences
+    staged = df.select(*keep, split.alias("_s"))
     staged = staged.select(*keep, "_s", _pack_groups(max_words)(
         F.transform("_s", lambda x: tx.word_count(x))).alias("_g"))
     chunks = F.filter(

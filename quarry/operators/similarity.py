@@ -233,4 +233,95 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_left).drop("_r")
 
 
-__all__ = ["similarity_join", "duplicate_groups", "text_similarity"]
+# --- top-k without a threshold ------------------------------------------------------------
+
+FIRST_BOUND = 0.6
+FALL = 0.5
+# Below this a record's prefix is all of it: every partner that shares a token is a candidate.
+LEAST_BOUND = 0.02
+
+
+def _needed(n: Column, t: Column, method: str) -> Column:
+    """Tokens, rarest first, of which a record of ``n`` shares one with every partner of
+    similarity ``t`` or more."""
+    if method == "levenshtein":
+        return F.when(t <= 0, n + 1).otherwise(F.least(n + 1, F.floor(n * (1 - t) / F.greatest(t, F.lit(1e-9)) + 1e-9) + 1))
+    return n - F.ceil(n * t - 1e-9) + 1
+
+
+def _ranked_tokens(rec: DataFrame, side: int, method: str) -> DataFrame:
+    tokens = _edit_tokens(rec, 1) if method == "levenshtein" else rec.select("id", "n", F.explode("toks").alias("token"))
+    return tokens.withColumn("side", F.lit(side))
+
+
+def similarity_top_k(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard", k: int = 5, left_id: str = "id",
+                     left_text: str = "text", right_id: str | None = None, right_text: str | None = None) -> DataFrame:
+    """The ``k`` most similar right records of every left record, without a threshold:
+    (left_id, rank, right_id, similarity, left_copies, right_copies).
+
+    Records are representatives of their copies, as in ``similarity_join``; with
+    ``right=None`` a record's own group is no partner.  Partners of similarity 0 are none;
+    equal similarities go by id.
+
+    Every left record has a bound under which partners may be unseen.  A round joins
+    prefixes as long as the record's bound asks for and verifies what meets; the bound then
+    falls to the record's k-th similarity, or to a share of itself where there are fewer than
+    k partners yet, and the prefix grows with it.  A record is done when its k-th similarity
+    reaches the bound of its last round, so only records without near partners go on to
+    frequent tokens.
+    """
+    if method not in METHODS:
+        raise ValueError(f"no similarity called {method!r}; choose one of {', '.join(METHODS)}")
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    self_join = right is None
+    lrec = materialize(_representatives(_keys(left, left_id, left_text, method), method), "records")
+    rrec = lrec if self_join else materialize(_representatives(
+        _keys(right, right_id or left_id, right_text or left_text, method), method), "records")
+    both = _ranked_tokens(lrec, 0, method).unionByName(_ranked_tokens(rrec, 1, method))
+    df = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("side", "id").orderBy("df", "token")
+    ranked = materialize(both.join(df, "token").withColumn("r", F.row_number().over(w)).select("side", "id", "n", "token", "r"), "ranked")
+    a = ranked.where("side = 0").select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token", F.col("r").alias("lr"))
+    b = ranked.where("side = 1").select(F.col("id").alias("rid"), F.col("n").alias("rn"), "token", F.col("r").alias("rr"))
+    payload = "text" if method == "levenshtein" else "toks"
+    lv = lrec.select(F.col("id").alias("lid"), F.col(payload).alias("lp"))
+    rv = rrec.select(F.col("id").alias("rid"), F.col(payload).alias("rp"))
+    sim = (edit_similarity if method == "levenshtein" else set_jaccard)(F.col("lp"), F.col("rp"))
+    best = Window.partitionBy("lid").orderBy(F.desc("similarity"), "rid")
+
+    active = lrec.select(F.col("id").alias("lid"), F.lit(FIRST_BOUND).alias("t"))
+    found = None
+    while True:
+        active = materialize(active, "active")
+        if active.isEmpty():
+            break
+        t = F.col("t")
+        mine = a.join(active, "lid").where(F.col("lr") <= _needed(F.col("ln"), t, method))
+        met = mine.join(b, "token").where((F.col("rr") <= _needed(F.col("rn"), t, method))
+                                          & (F.col("ln") >= F.col("rn") * t - 1e-9) & (F.col("rn") >= F.col("ln") * t - 1e-9))
+        if self_join:
+            met = met.where(F.col("lid") != F.col("rid"))
+        firsts = met.groupBy("lid", "rid").agg(F.min(F.struct("lr", "rr")).alias("f"), F.first("ln").alias("ln"), F.first("rn").alias("rn"),
+                                               F.first("t").alias("t"))
+        if method != "levenshtein":  # after the first shared token at most so many more can be shared
+            bound = 1 + F.least(F.col("ln") - F.col("f.lr"), F.col("rn") - F.col("f.rr"))
+            firsts = firsts.where(bound >= (F.col("ln") + F.col("rn")) * t / (1 + t) - 1e-9)
+        pairs = firsts.select("lid", "rid")
+        if found is not None:
+            pairs = pairs.join(found.select("lid", "rid"), ["lid", "rid"], "left_anti")
+        scored = pairs.join(lv, "lid").join(rv, "rid").select("lid", "rid", sim.alias("similarity")).where("similarity > 0")
+        scored = scored if found is None else found.select("lid", "rid", "similarity").unionByName(scored)
+        found = materialize(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")
+        kth = found.where(F.col("rank") == k).select("lid", F.col("similarity").alias("kth"))
+        # all partners at the bound or above have been seen; a full list's k-th similarity is the next, and last, bound
+        active = (active.join(kth, "lid", "left").where((t > 0) & (F.col("kth").isNull() | (F.col("kth") < t - 1e-12)))
+                  .withColumn("fallen", t * FALL)
+                  .select("lid", F.coalesce("kth", F.when(F.col("fallen") < LEAST_BOUND, F.lit(0.0)).otherwise(F.col("fallen"))).alias("t")))
+    copies = [rec.select(F.col("id").alias(c), F.col("copies").cast("long").alias(name)) for rec, c, name in
+              ((lrec, "lid", "left_copies"), (rrec, "rid", "right_copies"))]
+    return (found.join(copies[0], "lid").join(copies[1], "rid")
+            .select(F.col("lid").alias("left_id"), "rank", F.col("rid").alias("right_id"), "similarity", "left_copies", "right_copies"))
+
+
+__all__ = ["similarity_join", "similarity_top_k", "duplicate_groups", "text_similarity"]

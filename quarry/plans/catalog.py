@@ -36,7 +36,7 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 
 def _register_all() -> None:
     # importing the modules registers their queries
-    from quarry.plans import catalog_hybrid, catalog_index, catalog_io, catalog_joins, catalog_more, catalog_text  # noqa: F401
+    from quarry.plans import catalog_hybrid, catalog_index, catalog_io, catalog_joins, catalog_learnt, catalog_more, catalog_text  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

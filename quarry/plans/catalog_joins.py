@@ -74,3 +74,23 @@ def q_dup_groups(spark, sf_dir):
     """Copies (identical word sets) linked to their representative document."""
     docs = load(spark, sf_dir, "documents")
     return similarity.duplicate_groups(docs, "jaccard", id_col="doc_id")
+
+
+TOP_PARTNERS = 5
+
+
+@register("sim_topk_words", lambda: f"""WITH
+a AS ({_reps_sql(f"SELECT item_id AS id, list_sort(list_distinct({sq.split_words('lower(text)')})) AS s FROM benchmark")}),
+b AS ({_reps_sql(f"SELECT doc_id AS id, list_sort(list_distinct({sq.split_words('lower(text)')})) AS s FROM documents")}),
+p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS similarity,
+             a.copies AS left_copies, b.copies AS right_copies FROM a, b WHERE len(a.s) > 0 AND len(b.s) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS rank FROM p WHERE similarity > 0)
+SELECT left_id, rank::BIGINT AS rank, right_id, round(similarity, 6) AS similarity, left_copies::BIGINT AS left_copies,
+       right_copies::BIGINT AS right_copies FROM r WHERE rank <= {TOP_PARTNERS}""")
+def q_sim_topk_words(spark, sf_dir):
+    """The documents most similar to each benchmark item, however little."""
+    bench = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    top = similarity.similarity_top_k(bench, docs, "jaccard", k=TOP_PARTNERS)
+    return top.select("left_id", F.col("rank").cast("long").alias("rank"), "right_id", F.round("similarity", 6).alias("similarity"),
+                      "left_copies", "right_copies")

@@ -1,5 +1,7 @@
 """Similarity functions and joins against brute force."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,52 @@ def test_partners_per_left(spark):
     right = spark.createDataFrame([(10, "a b c d"), (11, "a b c"), (12, "a b c e"), (13, "x y")], "id long, text string")
     got = sim.similarity_join(left, right, "jaccard", 0.5, per_left=2).collect()
     assert sorted((r["left_id"], r["right_id"]) for r in got) == [(0, 10), (0, 11), (1, 13)]
+
+
+@pytest.mark.parametrize("method", ["jaccard", "cosine", "levenshtein"])
+@pytest.mark.parametrize("self_join", [True, False])
+def test_top_k_equals_all_pairs(spark, method, self_join):
+    """Near and far partners, copies, ties, empty and null texts."""
+    rnd = random.Random(len(method))
+    vocabulary = [f"t{i}" for i in range(25)]
+    texts = [" ".join(rnd.sample(vocabulary, rnd.randint(1, 8))) for _ in range(30)]
+    texts += [texts[0], texts[0], texts[1].upper(), "", None, "zzz", "q", texts[2] + " extra"]
+    rows = list(enumerate(texts))
+    other = [(100 + i, t) for i, t in enumerate(texts[::-1][:20] + ["t1 t2 t3", "t1 t2 t3"])]
+    left = spark.createDataFrame(rows, "id long, text string")
+    right = None if self_join else spark.createDataFrame(other, "id long, text string")
+    k = 4
+    got = {}
+    for r in sim.similarity_top_k(left, right, method, k=k).collect():
+        got.setdefault(r["left_id"], []).append((r["rank"], r["right_id"], round(r["similarity"], 9), r["left_copies"], r["right_copies"]))
+
+    def key(t):
+        return t if method == "levenshtein" else tuple(sorted(set(t.lower().split() if method == "jaccard" else t.lower())))
+
+    def groups(pairs):
+        out = {}
+        for i, t in pairs:
+            if t is not None:
+                out.setdefault(key(t), []).append(i)
+        return {min(v): (kk, len(v)) for kk, v in out.items()}
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def alike(a, b):
+        if method == "levenshtein":
+            return 1 - edit(a, b) / max(len(a), len(b), 1)
+        return len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+
+    lg, rg = groups(rows), groups(rows if self_join else other)
+    want = {}
+    for i, (a, n) in lg.items():
+        found = sorted((-alike(a, b), j, m) for j, (b, m) in rg.items() if not (self_join and i == j) and alike(a, b) > 0)[:k]
+        if found:
+            want[i] = [(r, j, round(-s, 9), n, m) for r, (s, j, m) in enumerate(found, 1)]
+    assert {i: sorted(v) for i, v in got.items()} == want
