@@ -295,7 +295,7 @@ def scoped_search(index: LexicalIndex, queries: DataFrame, scope_col: str, k: in
 @dataclass
 class BM25Index:
     vectors: DataFrame  # doc_id, terms, weights (saturated tf)
-    lists: DataFrame  # doc_id, terms, tfs, n_words
+    totals: DataFrame  # term, df, cf, summed once
     n_docs: float
     stop_words: list[str]
 
@@ -312,7 +312,7 @@ def build_bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     length = k1 * (1 - b + b * F.col("n_words") / average)
     vectors = lists.select("doc_id", "terms", length.alias("length"), "tfs").select(
         "doc_id", "terms", F.transform("tfs", lambda tf: tf * (k1 + 1) / (tf + F.col("length"))).alias("weights"))
-    return BM25Index(vectors, lists, n_docs, stop)
+    return BM25Index(vectors, materialize(term_totals(lists), "bm25-totals"), n_docs, stop)
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "query_id",
@@ -322,8 +322,7 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int = DEFAULT_K, id_col
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only the queries' terms get one."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     terms = term_lists(q, "query_id", "text", index.stop_words, 1).select("query_id", F.explode("terms").alias("term"))
-    stats = term_totals(index.lists).withColumn(
-        "idf", F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    stats = index.totals.withColumn("idf", F.log(1.0 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     held = (terms.join(stats.select("term", "idf"), "term").groupBy("query_id")
             .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
             .select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights")))

@@ -127,16 +127,35 @@ def _batch_matrix(b: pa.RecordBatch, d: int) -> np.ndarray:
     return flat.reshape(b.num_rows, d)
 
 
-def _sum_stats(x: DataFrame, fn, size: int) -> np.ndarray:
-    """Run ``fn`` per partition (yields flat stats arrays) and sum them in two
-    levels, so that no task reads the statistics of all others."""
+def _stat_rows(stats: np.ndarray, rest: float | None = None) -> pa.RecordBatch:
+    """One row per component of a task's statistics; ``rest`` is a last row of one number."""
+    rows = list(stats) if rest is None else [*stats, np.array([rest])]
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))],
+                                      ["component", "s"])
+
+
+def _sum_stats(x: DataFrame, fn, k: int, width: int) -> tuple[np.ndarray, float]:
+    """Run ``fn`` per partition (yields ``_stat_rows``) and sum by component in two levels, so
+    that a row is one component's statistics and no task reads those of all others:
+    ((k, width) sums, sum of the rest)."""
     parts = x.rdd.getNumPartitions()
-    stats = x.mapInArrow(fn, "s array<double>").select(
-        array_to_vector("s").alias("s"), F.pmod(F.spark_partition_id(), F.lit(max(1, round(parts ** 0.5)))).alias("g"))
-    middle = stats.groupBy("g").agg(Summarizer.sum(F.col("s")).alias("s"))
-    # one row: the summed statistics (k + k·d + k·d² numbers), never data rows
-    total = middle.agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("t")).collect()[0]["t"]
-    return np.zeros(size) if total is None else np.asarray(total)
+    group = F.pmod(F.spark_partition_id(), F.lit(max(1, round(parts ** 0.5)))).alias("g")
+    stats = x.mapInArrow(fn, "component int, s array<double>").select("component", array_to_vector("s").alias("s"), group)
+    middle = stats.groupBy("component", "g").agg(Summarizer.sum(F.col("s")).alias("s"))
+    total = middle.groupBy("component").agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("t"))
+    out, rest = np.zeros((k, width)), 0.0
+    for r in total.collect():  # a row per component, never data rows
+        if r["component"] < k:
+            out[r["component"]] = r["t"]
+        else:
+            rest = r["t"][0]
+    return out, rest
+
+
+def _parts(t: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, sums and, where there are any, second moments of summed statistics."""
+    return t[:, 0], t[:, 1:1 + d], t[:, 1 + d:].reshape(len(t), -1, d)
 
 
 def _em_stats_fn(model: MixtureModel, d: int):
@@ -157,8 +176,7 @@ def _em_stats_fn(model: MixtureModel, d: int):
             nk += r.sum(axis=0)
             sx += r.T @ x - r.sum(axis=0)[:, None] * mu
             sxx += _second_moments(r, x, mu)
-        flat = np.concatenate([nk, sx.ravel(), sxx.ravel(), [ll]])
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
+        yield _stat_rows(np.concatenate([nk[:, None], sx, sxx.reshape(k, -1)], axis=1), ll)
 
     return fn
 
@@ -170,7 +188,7 @@ def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nk, sx = np.zeros(k), np.zeros((k, d))
-        sxx = np.zeros((k, d, d)) if second_moments else np.zeros(0)
+        sxx = np.zeros((k, d, d)) if second_moments else np.zeros((k, 0))
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -183,8 +201,7 @@ def _hard_stats_fn(centres: np.ndarray, d: int, second_moments: bool = True):
             sx += r.T @ x - r.sum(axis=0)[:, None] * centres
             if second_moments:
                 sxx += _second_moments(r, x, centres)
-        flat = np.concatenate([nk, sx.ravel(), sxx.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
+        yield _stat_rows(np.concatenate([nk[:, None], sx, sxx.reshape(k, -1)], axis=1))
 
     return fn
 
@@ -247,10 +264,8 @@ def kmeans(vectors: DataFrame, k: int, vec_col: str = "embedding", id_col: str =
     try:
         centres = kmeanspp_seeds(x, k, seed)
         kk, d = centres.shape
-        size = kk + kk * d
         for _ in range(max_iter):
-            t = _sum_stats(x, _hard_stats_fn(centres, d, False), size)
-            nk, sx = t[:kk], t[kk:kk + kk * d].reshape(kk, d)
+            nk, sx, _none = _parts(_sum_stats(x, _hard_stats_fn(centres, d, False), kk, 1 + d)[0], d)
             new = centres + sx / np.maximum(nk, 1)[:, None]
             shift = float(np.sum((new - centres) ** 2))
             centres = new
@@ -274,9 +289,8 @@ def _m_step(nk: np.ndarray, sx: np.ndarray, sxx: np.ndarray, n: int, reg: float,
 
 def _em_step(x: DataFrame, model: MixtureModel, n: int, reg: float) -> tuple[MixtureModel, float]:
     k, d = model.means.shape
-    size = k + k * d + k * d * d
-    t = _sum_stats(x, _em_stats_fn(model, d), size + 1)
-    return _m_step(t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:size].reshape(k, d, d), n, reg, model.means), t[-1] / n
+    t, ll = _sum_stats(x, _em_stats_fn(model, d), k, 1 + d + d * d)
+    return _m_step(*_parts(t, d), n, reg, model.means), ll / n
 
 
 def em_step(vectors: DataFrame, model: MixtureModel, vec_col: str = "embedding", id_col: str = "vec_id",
@@ -300,28 +314,92 @@ def fit_gmm(vectors: DataFrame, k: int = 10, vec_col: str = "embedding", id_col:
             raise ValueError(f"n_components={k} must be <= number of rows ({n})")
         centres = kmeanspp_seeds(x, k, seed)
         d = centres.shape[1]
-        size_h = k + k * d + k * d * d
         for _ in range(max(1, lloyd_steps)):
-            t = _sum_stats(x, _hard_stats_fn(centres, d, False), k + k * d)
-            nk, sx = t[:k], t[k:].reshape(k, d)
+            nk, sx, _none = _parts(_sum_stats(x, _hard_stats_fn(centres, d, False), k, 1 + d)[0], d)
             new = centres + sx / np.maximum(nk, 1)[:, None]
             done = np.allclose(new, centres)
             centres = new
             if done:
                 break
         # the starting mixture: one hard assignment to the final centres
-        t = _sum_stats(x, _hard_stats_fn(centres, d, True), size_h)
-        nk, sx, sxx = t[:k], t[k:k + k * d].reshape(k, d), t[k + k * d:].reshape(k, d, d)
-        model = _m_step(nk, sx, sxx, n, reg, centres)
-        prev = -np.inf
-        for it in range(1, max_iter + 1):
-            model, ll = _em_step(x, model, n, reg)
-            model.n_iter, model.log_likelihood = it, ll
-            if abs(ll - prev) < tol:
-                model.converged = True
-                break
-            prev = ll
-        return _canonical(model)
+        t, _none = _sum_stats(x, _hard_stats_fn(centres, d, True), k, 1 + d + d * d)
+        return _canonical(_iterate(x, _m_step(*_parts(t, d), n, reg, centres), n, reg, tol, max_iter))
+    finally:
+        x.unpersist()
+
+
+def _iterate(x: DataFrame, model: MixtureModel, n: int, reg: float, tol: float, max_iter: int) -> MixtureModel:
+    """EM steps until the mean log-likelihood moves by less than ``tol``."""
+    prev = -np.inf
+    for it in range(1, max_iter + 1):
+        model, ll = _em_step(x, model, n, reg)
+        model.n_iter, model.log_likelihood = it, ll
+        if abs(ll - prev) < tol:
+            model.converged = True
+            break
+        prev = ll
+    return model
+
+
+# --- another number of components, from the fitted ones ------------------------------------------
+
+def _merged(model: MixtureModel, i: int, j: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weight, mean and covariance of two components taken as one (moments kept)."""
+    w = model.weights[i] + model.weights[j]
+    a, b = model.weights[i] / w, model.weights[j] / w
+    gap = model.means[i] - model.means[j]
+    return w, a * model.means[i] + b * model.means[j], a * model.covariances[i] + b * model.covariances[j] + a * b * np.outer(gap, gap)
+
+
+def _merge_loss(model: MixtureModel, i: int, j: int) -> float:
+    """Upper bound of what the mean log-likelihood loses if two components become one."""
+    w, _, cov = _merged(model, i, j)
+    logdet = [np.linalg.slogdet(c)[1] for c in (cov, model.covariances[i], model.covariances[j])]
+    return 0.5 * (w * logdet[0] - model.weights[i] * logdet[1] - model.weights[j] * logdet[2])
+
+
+def merge_once(model: MixtureModel) -> MixtureModel:
+    """One component less: the two whose merging loses least become one."""
+    pairs = [(i, j) for i in range(model.k) for j in range(i)]
+    i, j = min(pairs, key=lambda p: (_merge_loss(model, *p), p))
+    w, mean, cov = _merged(model, i, j)
+    rest = [m for m in range(model.k) if m not in (i, j)]
+    return MixtureModel(np.append(model.weights[rest], w), np.vstack([model.means[rest], mean]),
+                        np.concatenate([model.covariances[rest], cov[None]]))
+
+
+def split_once(model: MixtureModel, at: int | None = None) -> MixtureModel:
+    """One component more: the one with the largest spread along one axis, by weight (or the
+    given one), is halved across its principal axis; its mean and covariance are kept."""
+    spread, axis = np.linalg.eigh(model.covariances)
+    if at is None:
+        at = int(np.argmax(model.weights * spread[:, -1]))
+    u = axis[at][:, -1]
+    u = u * np.sign(u[np.argmax(np.abs(u))])
+    # the halves of a normal distribution: means at sqrt(2 / pi) deviations, variance 1 - 2 / pi
+    step = np.sqrt(2 / np.pi * spread[at, -1]) * u
+    cov = model.covariances[at] - np.outer(step, step)
+    rest = [m for m in range(model.k) if m != at]
+    half = model.weights[at] / 2
+    return MixtureModel(np.append(model.weights[rest], [half, half]), np.vstack([model.means[rest], model.means[at] - step, model.means[at] + step]),
+                        np.concatenate([model.covariances[rest], cov[None], cov[None]]))
+
+
+def refit(vectors: DataFrame, model: MixtureModel, k: int | None = None, vec_col: str = "embedding", id_col: str = "vec_id",
+          tol: float = TOL, max_iter: int = MAX_ITER, reg: float = REG_COVAR, settle: int = 3) -> MixtureModel:
+    """Go on from a fitted mixture, e.g. for other rows or another ``k``: components are split
+    or merged one at a time, ``settle`` EM steps after each, then EM runs to its end.  No seeds
+    and no k-means: each step is one pass over the rows."""
+    k = model.k if k is None else k
+    x = _vectors(vectors, vec_col, id_col).persist()
+    try:
+        n = x.count()
+        if not 1 <= k <= n:
+            raise ValueError(f"n_components={k} must be from 1 to the number of rows ({n})")
+        while model.k != k:
+            model = split_once(model) if model.k < k else merge_once(model)
+            model = _iterate(x, model, n, reg, tol, settle)
+        return _canonical(_iterate(x, model, n, reg, tol, max_iter))
     finally:
         x.unpersist()
 

@@ -220,7 +220,11 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     rv = rrec.select(F.col("id").alias("rid"), F.col(payload).alias("rp"), F.col("copies").alias("right_copies"))
     v = pairs.join(lv, "lid").join(rv, "rid")
     if method == "levenshtein":
-        sim = edit_similarity(F.col("lp"), F.col("rp"))
+        # distances are worked out up to the largest that reaches t; beyond it they are -1
+        longest = F.greatest(F.length("lp"), F.length("rp"))
+        v = v.withColumn("_most", F.floor(longest * (1 - t) + 1e-9).cast("int")).withColumn("_distance", F.expr("levenshtein(lp, rp, _most)"))
+        v = v.where(F.col("_distance") >= 0)
+        sim = F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.col("_distance") / longest)
     else:
         sim = set_jaccard(F.col("lp"), F.col("rp"))
     out = v.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), sim.alias("similarity"),

@@ -264,10 +264,14 @@ def merge_index(spark: SparkSession, index_dir: str) -> Index:
     return open_index(spark, index_dir)
 
 
-def recluster(spark: SparkSession, index_dir: str, n_components: int) -> Index:
-    """Refit the mixture with another k and rewrite the chunks by their new clusters."""
+def recluster(spark: SparkSession, index_dir: str, n_components: int, from_scratch: bool = False) -> Index:
+    """Give the index another number of clusters and rewrite its chunks by them.  The present
+    mixture is split or merged (``mixture.refit``), or fitted anew from k-means ``from_scratch``."""
     index = open_index(spark, index_dir)
-    model = mixture.fit_gmm(index.chunks, k=n_components, vec_col="embedding", id_col="chunk_id")
+    if from_scratch:
+        model = mixture.fit_gmm(index.chunks, k=n_components, vec_col="embedding", id_col="chunk_id")
+    else:
+        model = mixture.refit(index.chunks, index.model, n_components, vec_col="embedding", id_col="chunk_id")
     _publish(spark, index_dir, lambda now: _rewritten(spark, index_dir, now, model))
     return open_index(spark, index_dir)
 

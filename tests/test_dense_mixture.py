@@ -202,3 +202,37 @@ def test_em_step_against_numpy(spark):
     assert np.allclose(got.covariances, cov) and got.log_likelihood == pytest.approx(np.log(p.sum(axis=1)).mean())
     labels = {q["vec_id"]: q["cluster"] for q in mixture.assign(df, m).collect()}
     assert [labels[i] for i in range(300)] == p.argmax(axis=1).tolist()
+
+
+def test_refitted_mixtures_reach_a_fresh_fit(spark):
+    """Fewer, as many and more components from a fitted mixture, and going on with more rows."""
+    rng = np.random.default_rng(6)
+    centres = np.array([[0, 0, 0], [6, 0, 0], [0, 6, 0], [0, 0, 6], [6, 6, 6]], float)
+    x = np.concatenate([c + rng.standard_normal((150, 3)) * 0.7 for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    three = mixture.fit_gmm(df, k=3)
+    for k in (2, 3, 5):
+        fresh, again = mixture.fit_gmm(df, k=k), mixture.refit(df, three, k)
+        assert again.k == k and np.isclose(again.weights.sum(), 1)
+        assert again.log_likelihood >= fresh.log_likelihood - 0.01 * abs(fresh.log_likelihood)
+    part = mixture.fit_gmm(df.where("vec_id % 2 = 0"), k=5)
+    assert mixture.refit(df, part).log_likelihood >= mixture.fit_gmm(df, k=5).log_likelihood * 1.01
+    with pytest.raises(ValueError):
+        mixture.refit(df.limit(2), three, 3)
+
+
+def test_splits_and_merges_keep_the_moments():
+    rng = np.random.default_rng(7)
+    a = rng.standard_normal((3, 4, 4))
+    model = mixture.MixtureModel(np.array([0.2, 0.5, 0.3]), rng.standard_normal((3, 4)), a @ a.transpose(0, 2, 1) + np.eye(4))
+
+    def moments(m):
+        mean = m.weights @ m.means
+        gap = m.means - mean
+        return mean, np.einsum("k,kij->ij", m.weights, m.covariances) + np.einsum("k,ki,kj->ij", m.weights, gap, gap)
+
+    for changed in (mixture.split_once(model), mixture.split_once(model, 2), mixture.merge_once(model)):
+        assert all(np.allclose(x, y) for x, y in zip(moments(changed), moments(model), strict=True))
+        assert (np.linalg.eigvalsh(changed.covariances) > 0).all()
+    # halves that were split are the cheapest to merge again
+    assert np.allclose(sorted(mixture.merge_once(mixture.split_once(model, 0)).weights), sorted(model.weights))
