@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import language, sentences
-from quarry.plans.catalog import register
+from quarry.functions import stopwords
+from quarry.operators import heavy, language, lexical, sentences
+from quarry.plans.catalog import _vocab_sql, register
 from quarry.plans.tables import load
+from quarry.session import materialize
 
 # Language profiles are learnt from the documents whose id leaves another remainder.
 HELD_OUT = (5, 0)
@@ -67,3 +69,13 @@ def q_sentence_scores(spark, sf_dir):
     """How much every type that stands with a full stop looks like an abbreviation."""
     scores = sentences.abbreviation_scores(load(spark, sf_dir, "documents"))
     return scores.select("type", "n_stop", "n_plain", F.round("score", 6).alias("score"))
+
+
+@register("vocab_heavy", lambda: _vocab_sql())
+def q_vocab_heavy(spark, sf_dir):
+    """The vocabulary by bounded summaries and an exact second pass."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    lists = materialize(lexical.term_lists(docs, "doc_id", "text", stopwords.english(), 2), "terms")
+    totals = heavy.heavy_terms(lists, lexical.MAX_FEATURES)
+    found = lexical.weighted_terms(totals, lists.count(), lexical.MAX_FEATURES)
+    return found.select("term", F.col("df").cast("long").alias("df"), F.col("cf").cast("long").alias("cf"), F.round("idf", 6).alias("idf"))

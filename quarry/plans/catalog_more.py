@@ -196,64 +196,77 @@ def q_gmm_fit(spark, sf_dir):
         F.lit(round(model.log_likelihood, 6)).alias("log_likelihood"))
 
 
-# --- full-covariance mixture from fixed parameters, on two components of the vectors -------
+# --- full-covariance mixture from fixed parameters, on all components of the vectors -------
 
-# The mixture that the two queries below start from.
+# The mixture that the queries below start from.  A component's covariance is
+# ``own`` on the diagonal plus ``common`` everywhere, so that SQL knows its inverse.
 FIXED_WEIGHTS = [0.3, 0.3, 0.4]
-FIXED_MEANS = [[-0.1, -0.1], [0.1, 0.0], [0.0, 0.12]]
-FIXED_COVARIANCES = [[[0.02, 0.005], [0.005, 0.03]], [[0.01, -0.002], [-0.002, 0.02]], [[0.03, 0.0], [0.0, 0.015]]]
+FIXED_OWN = [0.0156, 0.012, 0.02]
+FIXED_COMMON = [0.0005, 0.0002, 0.001]
+FIXED_SHIFT = 0.03
 FIXED_CLUSTER = 1
 
 
-def _fixed_model() -> mixture.MixtureModel:
-    return mixture.MixtureModel(np.array(FIXED_WEIGHTS), np.array(FIXED_MEANS), np.array(FIXED_COVARIANCES))
+def _fixed_mean(j: int, d: int) -> list[float]:
+    """0: nothing; 1: up and down in turn; 2: up in the first half, down in the second."""
+    sign = [lambda i: 0, lambda i: 1 if i % 2 == 0 else -1, lambda i: 1 if i < d // 2 else -1][j]
+    return [FIXED_SHIFT * sign(i) for i in range(d)]
 
 
-def _plane(spark, sf_dir):
-    emb = load(spark, sf_dir, "embeddings")
-    return emb.select("vec_id", "embedding", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("plane"))
+def _fixed_model(d: int = 64) -> mixture.MixtureModel:
+    covariances = [own * np.eye(d) + common for own, common in zip(FIXED_OWN, FIXED_COMMON, strict=True)]
+    return mixture.MixtureModel(np.array(FIXED_WEIGHTS), np.array([_fixed_mean(j, d) for j in range(3)]), np.array(covariances))
 
 
-def _fixed_ctes() -> str:
-    rows = ", ".join(f"({j}, {w}, {m[0]}, {m[1]}, {c[0][0]}, {c[0][1]}, {c[1][1]})" for j, (w, m, c) in enumerate(
-        zip(FIXED_WEIGHTS, FIXED_MEANS, FIXED_COVARIANCES, strict=True)))
-    return f"""p(j, w, m0, m1, a, b, c) AS (SELECT j, w::DOUBLE, m0::DOUBLE, m1::DOUBLE, a::DOUBLE, b::DOUBLE, c::DOUBLE
-  FROM (VALUES {rows}) t(j, w, m0, m1, a, b, c)),
-x AS (SELECT vec_id, embedding, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1 FROM embeddings),
+def _fixed_ctes(d: int = 64) -> str:
+    rows = ", ".join(f"({j}, {w}, {own}, {common})" for j, (w, own, common) in enumerate(
+        zip(FIXED_WEIGHTS, FIXED_OWN, FIXED_COMMON, strict=True)))
+    return f"""p AS (SELECT j, w::DOUBLE AS w, own::DOUBLE AS own, common::DOUBLE AS common FROM (VALUES {rows}) t(j, w, own, common)),
+mu AS (SELECT j, i, {FIXED_SHIFT}::DOUBLE * CASE j WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END
+                ELSE CASE WHEN i <= {d // 2} THEN 1 ELSE -1 END END AS m FROM p, (SELECT unnest(range(1, {d + 1})) AS i)),
+x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+form AS (SELECT vec_id, j, sum((v - m) ** 2) AS s2, sum(v - m) AS s1 FROM x JOIN mu USING (i) GROUP BY ALL),
 ld AS (
-  SELECT vec_id, embedding, x0, x1, j, ln(w) - ln(2 * pi()) - 0.5 * ln(a * c - b * b)
-         - 0.5 * (c * (x0 - m0) ** 2 - 2 * b * (x0 - m0) * (x1 - m1) + a * (x1 - m1) ** 2) / (a * c - b * b) AS l FROM x, p)"""
+  SELECT vec_id, j, ln(w) - 0.5 * ({d} * ln(2 * pi()) + {d - 1} * ln(own) + ln(own + {d} * common)
+         + (s2 - common / (own + {d} * common) * s1 * s1) / own) AS l FROM form JOIN p USING (j))"""
 
 
 @register("gmm_step", lambda: f"""WITH {_fixed_ctes()},
-r AS (SELECT *, exp(l) / sum(exp(l)) OVER (PARTITION BY vec_id) AS r, ln(sum(exp(l)) OVER (PARTITION BY vec_id)) AS ll FROM ld),
-n AS (SELECT count(DISTINCT vec_id)::DOUBLE AS n, sum(ll) / count(*) AS ll FROM r),
-m AS (SELECT j, sum(r) AS nk, sum(r * x0) / sum(r) AS m0, sum(r * x1) / sum(r) AS m1 FROM r GROUP BY j)
-SELECT m.j::BIGINT AS component, round(any_value(m.nk) / any_value(n.n), 6) AS weight, round(any_value(m.m0), 6) AS mean_0,
-       round(any_value(m.m1), 6) AS mean_1, round(sum(r.r * (x0 - m0) ** 2) / any_value(m.nk) + {mixture.REG_COVAR}, 6) AS cov_00,
-       round(sum(r.r * (x0 - m0) * (x1 - m1)) / any_value(m.nk), 6) AS cov_01,
-       round(sum(r.r * (x1 - m1) ** 2) / any_value(m.nk) + {mixture.REG_COVAR}, 6) AS cov_11, round(any_value(n.ll), 6) AS log_likelihood
-FROM r JOIN m USING (j), n GROUP BY m.j""")
+top AS (SELECT *, max(l) OVER (PARTITION BY vec_id) AS most FROM ld),
+r AS (SELECT vec_id, j, exp(l - most) / sum(exp(l - most)) OVER (PARTITION BY vec_id) AS r,
+             most + ln(sum(exp(l - most)) OVER (PARTITION BY vec_id)) AS ll FROM top),
+n AS (SELECT count(DISTINCT vec_id)::DOUBLE AS n, avg(ll) AS ll FROM r),
+k AS (SELECT j, sum(r) AS nk FROM r GROUP BY j),
+m AS (SELECT j, i, sum(r * v) / any_value(nk) AS m FROM r JOIN x USING (vec_id) JOIN k USING (j) GROUP BY j, i),
+y AS (SELECT j, i, vec_id, v - m AS y FROM x JOIN m USING (i)),
+c AS (SELECT a.j, a.i, b.i AS h, sum(r.r * a.y * b.y) AS s FROM y a JOIN y b ON a.j = b.j AND a.vec_id = b.vec_id AND a.i <= b.i
+      JOIN r ON r.j = a.j AND r.vec_id = a.vec_id GROUP BY ALL)
+SELECT c.j::BIGINT AS component, c.i::BIGINT AS row, c.h::BIGINT AS col, round(nk / n.n, 6) AS weight, round(m.m, 6) AS mean,
+       round(s / nk + CASE WHEN c.i = c.h THEN {mixture.REG_COVAR} ELSE 0 END, 6) AS covariance, round(n.ll, 6) AS log_likelihood
+FROM c JOIN k USING (j) JOIN m ON m.j = c.j AND m.i = c.i, n""")
 def q_gmm_step(spark, sf_dir):
-    """One full-covariance EM step over all vectors from fixed parameters."""
-    after = mixture.em_step(_plane(spark, sf_dir), _fixed_model(), vec_col="plane")
-    p = after.to_df(spark)
-    cov = [F.round(F.col("covariance")[i][j], 6).alias(f"cov_{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))]
-    return p.select(F.col("component").cast("long").alias("component"), F.round("weight", 6).alias("weight"),
-                    F.round(F.col("mean")[0], 6).alias("mean_0"), F.round(F.col("mean")[1], 6).alias("mean_1"), *cov,
+    """One full-covariance EM step over all vectors and components from fixed parameters; the
+    upper half of the covariances."""
+    after = mixture.em_step(load(spark, sf_dir, "embeddings"), _fixed_model())
+    p = after.to_df(spark).select("component", "weight", "mean", F.posexplode("covariance").alias("i", "line"))
+    p = p.select("component", "weight", "mean", "i", F.posexplode("line").alias("h", "covariance")).where("i <= h")
+    return p.select(F.col("component").cast("long").alias("component"), (F.col("i") + 1).cast("long").alias("row"),
+                    (F.col("h") + 1).cast("long").alias("col"), F.round("weight", 6).alias("weight"),
+                    F.round(F.get("mean", F.col("i")), 6).alias("mean"), F.round("covariance", 6).alias("covariance"),
                     F.lit(round(float(after.log_likelihood), 6)).alias("log_likelihood"))
 
 
 @register("gmm_search", lambda: f"""WITH {_fixed_ctes()},
-best AS (SELECT vec_id, embedding FROM (
+best AS (SELECT vec_id FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, j) AS rn FROM ld) WHERE rn = 1 AND j = {FIXED_CLUSTER}),
 q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
-s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS score FROM best, q)
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS score
+      FROM best JOIN embeddings USING (vec_id), q)
 SELECT query_id, rank::BIGINT AS rank, vec_id, round(score, 6) AS score
 FROM {sq.ranked('s', K, ids='vec_id')}""")
 def q_gmm_search(spark, sf_dir):
     """Search in one explicitly given cluster of a full-covariance assignment."""
-    x = mixture.assign(_plane(spark, sf_dir), _fixed_model(), vec_col="plane").where(F.col("cluster") == FIXED_CLUSTER)
+    x = mixture.assign(load(spark, sf_dir, "embeddings"), _fixed_model()).where(F.col("cluster") == FIXED_CLUSTER)
     return _hits(dense.dense_search(x, _every_twentieth(spark, sf_dir), k=K, id_col="vec_id"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking, dense, language, latent, lexical, sentences
+from quarry.operators import chunking, dense, heavy, language, latent, lexical, sentences
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,3 +138,34 @@ def test_latent_vectors_of_nothing(spark):
     assert model.dim == 0 and [r["embedding"] for r in latent.embed_documents(index, model).collect()] == [[]]
     with pytest.raises(ValueError):
         latent.fit(lexical.build_tfidf_index(none, max_features=None))
+
+
+# --- heavy terms --------------------------------------------------------------------------------
+
+def test_heavy_terms_equal_a_full_count(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        words = [f"t{int(x)}" for x in np.minimum(rng.zipf(1.3, 60), 5000)]
+        counts = Counter(words)
+        rows.append((i, list(counts), list(counts.values())))
+    lists = spark.createDataFrame(rows, "doc_id long, terms array<string>, tfs array<long>").repartition(4)
+    full = sorted((r["term"], r["df"], r["cf"]) for r in lexical.term_totals(lists).collect())
+    for top, capacity, proven in ((10, 400, True), (50, 400, True), (10, 20, None), (2000, 30, False), (10**6, 10**6, True)):
+        want = sorted(full, key=lambda x: (-x[2], x[0]))[:top]
+        got = [(r["term"], r["df"], r["cf"]) for r in heavy.heavy_terms(lists, top, capacity).collect()]
+        assert sorted(got) == sorted(want)
+        terms = heavy.candidates(lists, top, capacity)
+        assert proven is None or (terms is not None) == proven
+        if terms is not None and capacity < 1000:  # far fewer terms are counted than there are
+            assert {t for t, _, _ in want} <= set(terms) and len(terms) < len(full) / 2
+    assert heavy.heavy_terms(lists.limit(0), 5).count() == 0
+
+
+def test_counters_and_errors_enclose_the_truth():
+    import pyarrow as pa
+    rng = np.random.default_rng(10)
+    counts = {f"x{i}": int(n) for i, n in enumerate(rng.zipf(1.5, 500))}
+    left, error = heavy.cut(pa.table({"term": list(counts), "low": list(counts.values())}), 40)
+    low = dict(zip(left.column("term").to_pylist(), left.column("low").to_pylist(), strict=True))
+    assert len(low) <= 40 and all(low.get(t, 0) <= n <= low.get(t, 0) + error for t, n in counts.items())
