@@ -218,11 +218,18 @@ def _fixed_model(d: int = 64) -> mixture.MixtureModel:
     return mixture.MixtureModel(np.array(FIXED_WEIGHTS), np.array([_fixed_mean(j, d) for j in range(3)]), np.array(covariances))
 
 
-def _fixed_ctes(d: int = 64) -> str:
-    rows = ", ".join(f"({j}, {w}, {own}, {common})" for j, (w, own, common) in enumerate(
-        zip(FIXED_WEIGHTS, FIXED_OWN, FIXED_COMMON, strict=True)))
-    return f"""p AS (SELECT j, w::DOUBLE AS w, own::DOUBLE AS own, common::DOUBLE AS common FROM (VALUES {rows}) t(j, w, own, common)),
-mu AS (SELECT j, i, {FIXED_SHIFT}::DOUBLE * CASE j WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END
+def _fixed_ctes(split: bool = False, d: int = 64) -> str:
+    """The fixed mixture; ``split``: its last component halved along its principal axis, which is
+    the diagonal of the space, as far as a half of a normal distribution has its mean."""
+    rows = [(j, w, own, common, j, "0") for j, (w, own, common) in enumerate(zip(FIXED_WEIGHTS, FIXED_OWN, FIXED_COMMON, strict=True))]
+    if split:
+        j, w, own, common, base, _ = rows.pop()
+        far = f"sqrt(2 / pi() * ({own} + {d} * {common}) / {d})"
+        rows += [(j + n, w / 2, own, f"{common} - {far} * {far}", base, f"{sign}{far}") for n, sign in enumerate("-+")]
+    values = ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+    return f"""p AS (SELECT j, w::DOUBLE AS w, own::DOUBLE AS own, (common)::DOUBLE AS common, base, (far)::DOUBLE AS far
+      FROM (VALUES {values}) t(j, w, own, common, base, far)),
+mu AS (SELECT j, i, far + {FIXED_SHIFT}::DOUBLE * CASE base WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END
                 ELSE CASE WHEN i <= {d // 2} THEN 1 ELSE -1 END END AS m FROM p, (SELECT unnest(range(1, {d + 1})) AS i)),
 x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 form AS (SELECT vec_id, j, sum((v - m) ** 2) AS s2, sum(v - m) AS s1 FROM x JOIN mu USING (i) GROUP BY ALL),
@@ -231,7 +238,8 @@ ld AS (
          + (s2 - common / (own + {d} * common) * s1 * s1) / own) AS l FROM form JOIN p USING (j))"""
 
 
-@register("gmm_step", lambda: f"""WITH {_fixed_ctes()},
+def _step_sql(split: bool = False) -> str:
+    return f"""WITH {_fixed_ctes(split)},
 top AS (SELECT *, max(l) OVER (PARTITION BY vec_id) AS most FROM ld),
 r AS (SELECT vec_id, j, exp(l - most) / sum(exp(l - most)) OVER (PARTITION BY vec_id) AS r,
              most + ln(sum(exp(l - most)) OVER (PARTITION BY vec_id)) AS ll FROM top),
@@ -243,11 +251,12 @@ c AS (SELECT a.j, a.i, b.i AS h, sum(r.r * a.y * b.y) AS s FROM y a JOIN y b ON
       JOIN r ON r.j = a.j AND r.vec_id = a.vec_id GROUP BY ALL)
 SELECT c.j::BIGINT AS component, c.i::BIGINT AS row, c.h::BIGINT AS col, round(nk / n.n, 6) AS weight, round(m.m, 6) AS mean,
        round(s / nk + CASE WHEN c.i = c.h THEN {mixture.REG_COVAR} ELSE 0 END, 6) AS covariance, round(n.ll, 6) AS log_likelihood
-FROM c JOIN k USING (j) JOIN m ON m.j = c.j AND m.i = c.i, n""")
-def q_gmm_step(spark, sf_dir):
-    """One full-covariance EM step over all vectors and components from fixed parameters; the
-    upper half of the covariances."""
-    after = mixture.em_step(load(spark, sf_dir, "embeddings"), _fixed_model())
+FROM c JOIN k USING (j) JOIN m ON m.j = c.j AND m.i = c.i, n"""
+
+
+def _step(spark, sf_dir, model: mixture.MixtureModel):
+    """One EM step over all vectors; the upper half of the covariances."""
+    after = mixture.em_step(load(spark, sf_dir, "embeddings"), model)
     p = after.to_df(spark).select("component", "weight", "mean", F.posexplode("covariance").alias("i", "line"))
     p = p.select("component", "weight", "mean", "i", F.posexplode("line").alias("h", "covariance")).where("i <= h")
     return p.select(F.col("component").cast("long").alias("component"), (F.col("i") + 1).cast("long").alias("row"),
@@ -256,6 +265,18 @@ def q_gmm_step(spark, sf_dir):
                     F.lit(round(float(after.log_likelihood), 6)).alias("log_likelihood"))
 
 
+@register("gmm_step", _step_sql)
+def q_gmm_step(spark, sf_dir):
+    """One full-covariance EM step over all vectors and components from fixed parameters."""
+    return _step(spark, sf_dir, _fixed_model())
+
+
+@register("gmm_split", lambda: _step_sql(split=True))
+def q_gmm_split(spark, sf_dir):
+    """A component split in two, as a mixture gets another one, and one EM step of all."""
+    return _step(spark, sf_dir, mixture.split_once(_fixed_model(), at=2))
+
+
 @register("gmm_search", lambda: f"""WITH {_fixed_ctes()},
 best AS (SELECT vec_id FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, j) AS rn FROM ld) WHERE rn = 1 AND j = {FIXED_CLUSTER}),
