@@ -68,7 +68,12 @@ SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1), 'orphan', NULL, N
        '{{"call_id":' || to_json('call-' || conv_id || '-' || (turn - 1))::VARCHAR || ',"result":'
          || coalesce(to_json(text)::VARCHAR, 'null') || '}}'
 FROM t WHERE role = 'assistant'
-  AND NOT EXISTS (SELECT 1 FROM {known} k WHERE k.conv_id = t.conv_id AND k.turn = t.turn - 1)"""
+  AND NOT EXISTS (SELECT 1 FROM {known} k WHERE k.conv_id = t.conv_id AND k.turn = t.turn - 1)
+UNION ALL
+SELECT t.conv_id, t.turn, c.call_id, 'extra', c.name, c.turn, c.n_results::BIGINT, 0, true, '',
+       '{{"call_id":' || to_json(c.call_id)::VARCHAR || ',"result":' || coalesce(to_json(t.text)::VARCHAR, 'null') || '}}'
+FROM t JOIN (SELECT DISTINCT conv_id, turn, call_id, name, n_results, r FROM checked) c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1
+WHERE t.role = 'assistant' AND (t.turn, t.text) IS DISTINCT FROM c.r"""
 
 
 def lines_sql(source: str, key: str, host: str, text: str, ratio: float = line_dedup.RATIO,

@@ -12,7 +12,9 @@ One row per call is made, never one per conversation, so a conversation with a
 large share of all rows is spread like any other rows.
 
 Defined results: a null or unknown identifier links nothing; of several results
-of a call the first by (turn, content) is linked and all are counted; repeated
+of a call the first by (turn, content) is linked, the others are rows of their own (kind
+"extra", with the call's place and name), and all are counted; results that repeat the
+linked one in turn and content are that result; repeated
 calls each get their row and the same result; null or empty arguments are an
 empty object; arguments that are not a JSON object are invalid and kept as text;
 a tool without a schema makes its calls invalid; results without a call are
@@ -103,9 +105,9 @@ def _serialise(schemas: dict[str, dict]):
             for r in pdf.itertuples(index=False):
                 call = None if r.call_id is None or pd.isna(r.call_id) else str(r.call_id)
                 result = None if r.content is None or pd.isna(r.content) else str(r.content)
-                if r.kind == "orphan":
-                    valid.append(False)
-                    errors.append("no call")
+                if r.kind != "call":
+                    valid.append(r.kind == "extra")
+                    errors.append("" if r.kind == "extra" else "no call")
                     out.append(canonical({"call_id": call, "result": result}))
                     continue
                 name = None if r.name is None or pd.isna(r.name) else str(r.name)
@@ -147,11 +149,12 @@ def _places(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``calls``: conv, turn, call_id, name, arguments (JSON text), needs (array of
-    call ids); ``results``: conv, turn, call_id, content.  One row per call and per
-    orphan result: conv, turn, call_id, kind, name, place, n_results, missing
-    (dependencies without a call), valid, errors, json."""
+    call ids); ``results``: conv, turn, call_id, content.  One row per call, per further
+    result of a call and per orphan result: conv, turn, call_id, kind, name, place,
+    n_results, missing (dependencies without a call), valid, errors, json."""
     calls = calls.select("conv", "turn", "call_id", "name", F.col("arguments").cast("string").alias("arguments"),
                          F.coalesce("needs", F.array().cast(field(calls, "needs"))).alias("needs"))
+    results = results.select("conv", "turn", "call_id", "content")
     first = stage(results.where("call_id IS NOT NULL").groupBy("call_id").agg(
         F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results")), "call-results")
     known = calls.where("call_id IS NOT NULL").select("call_id").distinct()
@@ -173,7 +176,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                        F.lit(None).cast("string").alias("arguments"), F.array().cast(field(calls, "needs")).alias("needs"), "content",
                        F.lit(None).cast("long").alias("place"), F.lit(0).cast("long").alias("n_results"),
                        F.lit(0).cast("long").alias("missing")))
-    rows = linked.unionByName(orphans)
+    # results beyond the linked one, with what is known of their call (of repeated calls, the first)
+    many = first.where("n_results > 1").select("call_id", F.col("r").alias("linked"), F.col("n_results").alias("n"))
+    of_call = stage(linked.where("call_id IS NOT NULL AND n_results > 1").groupBy("call_id").agg(F.min(F.struct("turn", "name", "place")).alias("c")),
+                    "calls-with-more")
+    extra = (results.join(many, "call_id").where(~F.struct("turn", "content").eqNullSafe(F.col("linked"))).join(of_call, "call_id")
+             .select("conv", "turn", "call_id", F.lit("extra").alias("kind"), F.col("c.name").alias("name"),
+                     F.lit(None).cast("string").alias("arguments"), F.array().cast(field(calls, "needs")).alias("needs"), "content",
+                     F.col("c.place").alias("place"), F.col("n").cast("long").alias("n_results"), F.lit(0).cast("long").alias("missing")))
+    rows = linked.unionByName(orphans).unionByName(extra)
     keep = ["conv", "turn", "call_id", "kind", "name", "place", "n_results", "missing"]
     schema = T.StructType([*(T.StructField(n, field(rows, n)) for n in keep), T.StructField("valid", T.BooleanType()),
                            T.StructField("errors", T.StringType()), T.StructField("json", T.StringType())])

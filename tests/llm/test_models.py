@@ -152,6 +152,34 @@ def test_configurations_cover_the_histogram_exactly():
         assert least <= sum(n for _, n in plan) <= best * 1.002 + 1
 
 
+def test_scores_equal_a_naive_convolution():
+    """Byte by byte, chunk by chunk, for empty, short, long and non-ASCII texts."""
+    rng = np.random.default_rng(8)
+    c = cnn_quality
+    net = c.Network(rng.normal(0, 0.3, (c.WIDTH, 256, c.FILTERS)).astype(np.float32), rng.normal(0, 0.3, c.FILTERS).astype(np.float32),
+                    rng.normal(0, 0.3, 2 * c.FILTERS + 1).astype(np.float32), 0.1, np.array([0.2, 1.0, -0.5, 0.4]))
+    texts = [None, "", "a", "é" * 300, "word " * 103, "x" * 448, "x" * 513, "".join(map(chr, rng.integers(32, 900, 1500)))]
+    got = c.score(net, texts)
+    for text, p in zip(texts, got, strict=True):
+        data = (text or "").encode()
+        logits, begin = [], 0
+        while True:
+            part = (data[begin:begin + c.CHUNK] + bytes(c.CHUNK))[:c.CHUNK]
+            empty = 1 - sum(b != 0 for b in part) / c.CHUNK
+            seen = []
+            for f in range(c.FILTERS):
+                best = max(sum(float(net.filters[k, part[at + k], f]) for k in range(c.WIDTH))
+                           for at in range(0, c.CHUNK - c.WIDTH + 1, c.STEP))
+                seen.append(max(best + float(net.bias[f]), 0.0))
+            seen = [*seen, *(x * empty for x in seen), empty]
+            logits.append(sum(x * float(w) for x, w in zip(seen, net.weight, strict=True)) + net.offset)
+            begin += c.STRIDE
+            if begin + (c.CHUNK - c.STRIDE) >= len(data):
+                break
+        z = np.dot([1, np.mean(logits), min(logits), max(logits)], net.combine)
+        assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def test_the_program_places_the_pieces():
     """At least 95 % of the pieces come from the program, in as few sequences as best fit needs."""
     rng = np.random.default_rng(4)
@@ -181,7 +209,10 @@ def test_calls_are_linked_ordered_validated_and_serialised(spark):
              (None, 0, None, None, None, None), (4, None, "q", "f", '{"a":1}', ["q"])]
     results = [(1, 1, "a", "é\n\"q\""), (1, 3, "a", "second"), (1, 5, "b", None), (9, 0, "lost", "r"), (9, 1, None, "r")]
     got, rows = link(spark, calls, results)
-    assert len(rows) == len(calls) + 2
+    assert len(rows) == len(calls) + 3
+    extra = got["a", "extra"]
+    assert (extra["turn"], extra["name"], extra["place"], extra["n_results"], extra["valid"], extra["errors"], extra["json"]) == (
+        3, "f", 0, 2, True, "", '{"call_id":"a","result":"second"}')
     assert got["a", "call"]["json"] == '{"arguments":{"a":1},"call_id":"a","depends_on":[],"name":"f","result":"é\\n\\"q\\""}'
     assert (got["a", "call"]["n_results"], got["a", "call"]["valid"]) == (2, True)
     assert got["b", "call"]["errors"] == "$.a: minimum; $.b: additional" and got["b", "call"]["missing"] == 1
@@ -198,6 +229,11 @@ def test_no_calls_and_repeated_calls(spark):
     calls = [(1, 0, "a", "f", '{"a":1}', [])] * 2
     rows = link(spark, calls, [(1, 1, "a", "r")])[1]
     assert len(rows) == 2 and len({r["json"] for r in rows}) == 1
+    # a repeated result is the linked one; others are rows of their own, nulls too
+    rows = link(spark, calls, [(1, 1, "a", "r"), (1, 1, "a", "r"), (1, 1, "a", "s"), (1, None, "a", None)])[1]
+    linked = [r for r in rows if r["kind"] == "call"]
+    assert {(r["n_results"], json.loads(r["json"])["result"]) for r in linked} == {(4, None)}
+    assert sorted((str(r["turn"]), json.loads(r["json"])["result"]) for r in rows if r["kind"] == "extra") == [("1", "r"), ("1", "r"), ("1", "s")]
 
 
 def test_pipeline_stages_against_brute_force(spark):
