@@ -151,7 +151,7 @@ def test_heavy_terms_equal_a_full_count(spark):
         rows.append((i, list(counts), list(counts.values())))
     lists = spark.createDataFrame(rows, "doc_id long, terms array<string>, tfs array<long>").repartition(4)
     full = sorted((r["term"], r["df"], r["cf"]) for r in lexical.term_totals(lists).collect())
-    for top, capacity, proven in ((10, 400, True), (50, 400, True), (10, 20, None), (2000, 30, False), (10**6, 10**6, True)):
+    for top, capacity, proven in ((50, 400, True), (10, 20, None), (2000, 30, False)):
         want = sorted(full, key=lambda x: (-x[2], x[0]))[:top]
         got = [(r["term"], r["df"], r["cf"]) for r in heavy.heavy_terms(lists, top, capacity).collect()]
         assert sorted(got) == sorted(want)
