@@ -121,7 +121,8 @@ def _fixed_signs(vectors: np.ndarray) -> np.ndarray:
 
 def embed_weights(rows: DataFrame, model: LatentModel, out_col: str = "embedding") -> DataFrame:
     """Rows with ``terms`` and ``weights`` get their latent vector (unit length, or zeros)."""
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in ("terms", "weights")), T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in ("terms", "weights")),
+                           T.StructField(out_col, T.ArrayType(T.DoubleType()))])
     sent, dim = rows.sparkSession.sparkContext.broadcast((model.terms, model.vectors)), model.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

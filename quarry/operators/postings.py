@@ -110,7 +110,8 @@ def _segment_blocks(table: pa.Table) -> pa.Table:
     low = np.minimum.reduceat(words[row], first) if len(first) else words[row]
     return pa.Table.from_arrays(
         [names.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), segment)), pa.array(n), pa.array(top, pa.float64()),
-         pa.array(low, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(gaps, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value, pa.float64()))],
+         pa.array(low, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(gaps, pa.int32())),
+         pa.ListArray.from_arrays(ends, pa.array(value, pa.float64()))],
         names=["term", "segment", "n", "top", "low", "gaps", "values"])
 
 

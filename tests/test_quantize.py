@@ -5,7 +5,6 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators import dense, quantize
 
