@@ -286,10 +286,10 @@ def _ship(index: Postings, rows: list, id_type: T.DataType, weigh, impact, k: in
     bounds = materialize(maxima.mapInArrow(_bounds(spark.sparkContext.broadcast((weights, impact))),
                                            "delta string, segment long, query int, bound double"), "bounds")
     w = Window.partitionBy("query").orderBy(F.desc("bound"), "delta", "segment")
-    seeds = bounds.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= SEED_SEGMENTS).drop("nth")
+    seeds = bounds.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= SEED_SEGMENTS)
+    seeds = spark.createDataFrame(seeds.select("query", "delta", "segment").collect(), "query int, delta string, segment long")  # few per query
     none = np.zeros(len(rows))
     first = materialize(_score(index, seeds, terms, buckets, spark.sparkContext.broadcast((weights, impact, none)), k), "first-phase")
-    seeds = spark.createDataFrame(seeds.select("query", "delta", "segment").collect(), "query int, delta string, segment long")  # few per query
     least = none.copy()
     for r in _ranked(first, k).where(F.col("rank") == k).collect():  # a number per query
         least[r["query"]] = r["score"] - SLACK
@@ -308,15 +308,24 @@ def search(index: Postings, queries: DataFrame, weigh, impact: Weights | Saturat
     a term's weight is multiplied by, e.g. its inverse document frequency."""
     spark = index.spark
     id_type = queries.schema["query_id"].dataType
-    asked = materialize(queries.select("query_id", "term", "weight", bucket_of(F.col("term"), index.buckets).alias("bucket")), "asked")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("q")).first()
-    ships = max(1, -(-size["q"] // SHIP_QUERIES), -(-size["n"] // SHIP_TERMS))
+    asked = queries.select("query_id", "term", "weight", bucket_of(F.col("term"), index.buckets).alias("bucket"))
+    few = asked.limit(SHIP_TERMS + 1).collect() if index.deltas else []
+    held: dict = {}
+    for r in few:
+        held.setdefault(r["query_id"], {})[r["term"]] = r
     ranked = []
-    for s in range(ships if size["n"] and index.deltas else 0):
-        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(ships)) == s).groupBy("query_id")
-                .agg(F.sort_array(F.collect_list(F.struct("term", "bucket", "weight"))).alias("t")).collect())  # about a shipment
-        if rows:
-            ranked.append(_ship(index, rows, id_type, weigh, impact, k))
+    if len(few) <= SHIP_TERMS and len(held) <= SHIP_QUERIES:  # all of them are one shipment
+        rows = [{"query_id": q, "t": [t[x] for x in sorted(t)]} for q, t in held.items()]
+        ranked = [_ship(index, rows, id_type, weigh, impact, k)] if rows else []
+    else:
+        asked = materialize(asked, "asked")
+        size = asked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("q")).first()
+        ships = max(1, -(-size["q"] // SHIP_QUERIES), -(-size["n"] // SHIP_TERMS))
+        for s in range(ships):
+            rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(ships)) == s).groupBy("query_id")
+                    .agg(F.sort_array(F.collect_list(F.struct("term", "bucket", "weight"))).alias("t")).collect())  # about a shipment
+            if rows:
+                ranked.append(_ship(index, rows, id_type, weigh, impact, k))
     if not ranked:
         return spark.createDataFrame([], T.StructType([T.StructField("query_id", id_type), T.StructField("rank", T.IntegerType()),
                                                        T.StructField("doc_id", index.id_type), T.StructField("score", T.DoubleType())]))

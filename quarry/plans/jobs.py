@@ -33,6 +33,9 @@ from quarry.plans import versions
 from quarry.session import materialize
 
 
+PRUNED_FROM = 500_000
+
+
 @dataclass
 class Index:
     chunks: DataFrame
@@ -44,6 +47,7 @@ class Index:
     ngram_max: int = 2
     max_features: int | None = None
     blocks: postings.Postings | None = None  # of a version without pending changes
+    n_chunks: int = 0
 
     def lexical(self) -> lexical.LexicalIndex:
         return lexical.LexicalIndex(self.vectors, self.vocab, self.stop_words, self.ngram_max, self.max_features)
@@ -187,7 +191,7 @@ def open_index(spark: SparkSession, index_dir: str) -> Index:
         lists = _live_rows(spark, index_dir, meta, "terms", "doc_id").select("doc_id", "terms", "tfs")
         vectors = lexical.weigh_lists(lists, vocab, meta["max_features"])
     return Index(chunks, vectors, vocab, _model(spark, index_dir, meta), index_dir, meta["stop_words"], meta["ngram_max"],
-                 meta["max_features"], blocks)
+                 meta["max_features"], blocks, sum(s["chunks"] for s in meta["segments"]) - sum(x["chunks"] for x in meta["deletes"]))
 
 
 # --- changes ---------------------------------------------------------------------------------
@@ -278,12 +282,15 @@ def recluster(spark: SparkSession, index_dir: str, n_components: int, from_scrat
 
 def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider", "bm25", "gmm"),
                 cluster_filter: int | None = None, include_zero: bool = True, restrict: str | None = None,
-                doc_filter: DataFrame | None = None, id_col: str = "doc_id") -> dict[str, DataFrame]:
+                doc_filter: DataFrame | None = None, id_col: str = "doc_id", pruned: bool | None = None) -> dict[str, DataFrame]:
     """Run the chosen methods (fixed order), fuse, score confidence, build context.
 
     ``restrict`` (a SQL condition on chunk columns, e.g. "chapter = 3") and
     ``doc_filter`` (a DataFrame with document ids) narrow the chunks before
     anything is scored.  Scoring runs once; every output reads its result.
+    ``pruned`` says whether the lexical method goes through the postings or scans the
+    vectors, with the same result; by default an index of ``PRUNED_FROM`` chunks or more
+    does, as the postings' few more jobs cost more than the scan of a small index.
 
     Returns ``hits`` (query_id, rank, doc_id = chunk id, score, method,
     method_rank, then the chunk's document id, content and metadata),
@@ -305,7 +312,8 @@ def query_index(index: Index, queries: DataFrame, k: int = 10, methods=("spider"
         lex = index.lexical()
         if restrict is not None or doc_filter is not None:
             lex.vectors = lex.vectors.join(corpus.select("doc_id"), "doc_id", "left_semi")
-        if index.blocks is not None and restrict is None and doc_filter is None:
+        pruned = index.n_chunks >= PRUNED_FROM if pruned is None else pruned
+        if pruned and index.blocks is not None and restrict is None and doc_filter is None:
             per["bm25"] = lexical.pruned_search(lex, index.blocks, q, k=k, include_zero=include_zero)
         else:
             per["bm25"] = lexical.tfidf_search(lex, q, k=k, include_zero=include_zero)

@@ -158,7 +158,7 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = DEFAULT_
     n_docs, n_words = (sum(d[c] for d in meta["deltas"]) - sum(d[c] for d in meta["deletes"]) for c in ("docs", "words"))
     impact = postings.Saturated(meta["k1"], meta["b"], max(n_words / max(n_docs, 1), 1e-300))
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
-    asked = term_lists(q, "query_id", "text", meta["stop_words"], 1).select("query_id", F.explode("terms").alias("term")).distinct()
+    asked = term_lists(q, "query_id", "text", meta["stop_words"], 1).select("query_id", F.explode("terms").alias("term"))
 
     def weigh(terms: list[str], buckets: list[int]) -> np.ndarray:
         return postings.idf(float(n_docs), postings.document_frequency(index, terms, buckets))
