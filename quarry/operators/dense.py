@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as tx
 from quarry.operators.blocks import TIE_DECIMALS, block_top_k
+from quarry.operators.slices import ELEMENTS, series_slices
 from quarry.session import materialize
 
 HASH_DIM = 64
@@ -41,13 +42,14 @@ def hash_slots(text: Column | str, dim: int = HASH_DIM) -> Column:
 
 def _slots_to_vectors(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def to_vec(slots: pd.Series) -> pd.Series:
-        # one bincount for the whole Arrow batch: cell = row * dim + slot
-        lens = np.fromiter((len(x) for x in slots), dtype=np.int64, count=len(slots))
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in slots]) if lens.sum() else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(len(slots), dtype=np.int64), lens)
-        m = np.bincount(rows * dim + flat, minlength=len(slots) * dim).astype(np.float64).reshape(len(slots), dim)
-        return pd.Series(list(_unit_rows(m)))
+    def to_vec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # one bincount for a slice of a batch: cell = row * dim + slot
+        for slots in series_slices(batches, ELEMENTS):
+            lens = np.fromiter((len(x) for x in slots), dtype=np.int64, count=len(slots))
+            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in slots]) if lens.sum() else np.zeros(0, np.int64)
+            rows = np.repeat(np.arange(len(slots), dtype=np.int64), lens)
+            m = np.bincount(rows * dim + flat, minlength=len(slots) * dim).astype(np.float64).reshape(len(slots), dim)
+            yield pd.Series(list(_unit_rows(m)))
 
     return to_vec
 
