@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text as tx
+from quarry.operators.slices import TEXT_BYTES, series_slices
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -131,9 +133,10 @@ def _separator_pieces(size: int, overlap: int, separator: str):
         return [(x, x + len(w) - len(w.lstrip()), w.strip()) for x, w in windows if w.strip()]
 
     @F.pandas_udf(_PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("window_start", "at", "text")
-        return texts.map(lambda t: None if t is None else [dict(zip(names, p, strict=True)) for p in cut(t)])
+        for texts in series_slices(batches, TEXT_BYTES):
+            yield texts.map(lambda t: None if t is None else [dict(zip(names, p, strict=True)) for p in cut(t)])
 
     return pieces
 
