@@ -28,7 +28,7 @@ CAPACITY = 100_000
 
 def _counted(batch: pa.RecordBatch) -> pa.Table:
     pairs = pa.table({"term": batch.column("terms").flatten(), "low": batch.column("tfs").flatten()})
-    return pairs.group_by("term").aggregate([("low", "sum")]).rename_columns(["term", "low"])
+    return pairs.group_by("term", use_threads=False).aggregate([("low", "sum")]).rename_columns(["term", "low"])
 
 
 def cut(held: pa.Table, capacity: int) -> tuple[pa.Table, int]:
@@ -46,7 +46,7 @@ def _summaries(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, error = pa.table({"term": pa.array([], pa.string()), "low": pa.array([], pa.int64())}), 0
         for batch in batches:
-            held = pa.concat_tables([held, _counted(batch)]).group_by("term").aggregate([("low", "sum")]).rename_columns(["term", "low"])
+            held = pa.concat_tables([held, _counted(batch)]).group_by("term", use_threads=False).aggregate([("low", "sum")]).rename_columns(["term", "low"])
             if held.num_rows > 2 * capacity:
                 held, lowered = cut(held, capacity)
                 error += lowered
@@ -68,7 +68,7 @@ def _counted_exactly(lists: DataFrame, terms: list[str]) -> DataFrame:
             term = batch.column("terms").flatten()
             known = pc.is_valid(pc.index_in(term, value_set=names))
             pairs = pa.table({"term": term.filter(known), "tf": batch.column("tfs").flatten().filter(known)})
-            sums = pairs.group_by("term").aggregate([("tf", "count"), ("tf", "sum")])
+            sums = pairs.group_by("term", use_threads=False).aggregate([("tf", "count"), ("tf", "sum")])
             yield from sums.select(["term", "tf_count", "tf_sum"]).rename_columns(["term", "df", "cf"]).to_batches()
 
     part = lists.select("terms", "tfs").mapInArrow(run, "term string, df long, cf long")

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from quarry.functions import stopwords
 from quarry.operators import postings
 from quarry.operators.blocks import block_top_k
+from quarry.operators.slices import ELEMENTS, TEXT_BYTES, slices
 from quarry.session import materialize
 
 MAX_FEATURES = 10000
@@ -37,7 +38,7 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 PACK_ROWS = 512
 # (document term, query) matches that are expanded at once while scoring
-TILE = 1 << 21
+TILE = 1 << 18
 # A vocabulary with a bound up to this goes to every task.
 SHIPPED_TERMS = 200_000
 
@@ -52,7 +53,7 @@ def term_lists(df: DataFrame, id_col: str, text_col: str, stop_words: list[str],
     stop = frozenset(stop_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "_text", TEXT_BYTES)):
             terms, tfs, sizes, n_words = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 words = [w for w in _TOKEN.findall(text.lower()) if w not in stop] if text else []
@@ -77,12 +78,12 @@ def term_lists(df: DataFrame, id_col: str, text_col: str, stop_words: list[str],
 
 
 def term_totals(lists: DataFrame) -> DataFrame:
-    """(term, df, cf): each Arrow batch is summed where it lies."""
+    """(term, df, cf): each slice of a batch is summed where it lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "terms", 2 * ELEMENTS)):
             pairs = pa.table({"term": batch.column("terms").flatten(), "tf": batch.column("tfs").flatten()})
-            sums = pairs.group_by("term").aggregate([("tf", "count"), ("tf", "sum")])
+            sums = pairs.group_by("term", use_threads=False).aggregate([("tf", "count"), ("tf", "sum")])
             yield from sums.select(["term", "tf_count", "tf_sum"]).rename_columns(["term", "df", "cf"]).to_batches()
 
     part = lists.select("terms", "tfs").mapInArrow(run, "term string, df long, cf long")
@@ -116,7 +117,7 @@ def _weighted(lists: DataFrame, index_vocab: DataFrame, max_features: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, idf = pa.array(shipped.value[0], pa.string()), shipped.value[1]
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "terms", ELEMENTS)):
             terms = batch.column("terms").flatten()
             at = pc.index_in(terms, value_set=names)
             known = np.asarray(at.is_valid())
