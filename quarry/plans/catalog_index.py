@@ -12,7 +12,7 @@ from quarry.plans import catalog, lexical_store
 from quarry.plans import sqlparts as sq
 from quarry.plans.catalog import K, all_benchmark, register
 from quarry.plans.catalog_hybrid import bm25_sql
-from quarry.plans.catalog_more import FIXED_CLUSTER, _every_twentieth, _fixed_model
+from quarry.plans.catalog_more import FIXED_CLUSTER, FIXED_DIM, _every_twentieth, _fixed_model
 from quarry.plans.tables import load
 from quarry.session import table_path
 
@@ -55,7 +55,7 @@ def q_bm25_incremental(spark, sf_dir):
 
 def clustered_search(spark, sf_dir, root: str) -> DataFrame:
     """Vectors stored by cluster under ``root``; every query searches the files of its cluster only."""
-    mixture.assign(load(spark, sf_dir, "embeddings"), _fixed_model()).write.partitionBy("cluster").parquet(root)
+    mixture.assign(load(spark, sf_dir, "embeddings"), _fixed_model(FIXED_DIM)).write.partitionBy("cluster").parquet(root)
     queries = _every_twentieth(spark, sf_dir).withColumn("cluster", F.lit(FIXED_CLUSTER))
     return dense.dense_search(spark.read.parquet(root), queries, k=K, id_col="vec_id", group_col="cluster", query_group_col="cluster")
 

@@ -204,6 +204,8 @@ FIXED_WEIGHTS = [0.3, 0.3, 0.4]
 FIXED_OWN = [0.0156, 0.012, 0.02]
 FIXED_COMMON = [0.0005, 0.0002, 0.001]
 FIXED_SHIFT = 0.03
+# Components of the vectors of `embeddings`.
+FIXED_DIM = 64
 FIXED_CLUSTER = 1
 
 
@@ -213,12 +215,12 @@ def _fixed_mean(j: int, d: int) -> list[float]:
     return [FIXED_SHIFT * sign(i) for i in range(d)]
 
 
-def _fixed_model(d: int = 64) -> mixture.MixtureModel:
+def _fixed_model(d: int = 2) -> mixture.MixtureModel:
     covariances = [own * np.eye(d) + common for own, common in zip(FIXED_OWN, FIXED_COMMON, strict=True)]
     return mixture.MixtureModel(np.array(FIXED_WEIGHTS), np.array([_fixed_mean(j, d) for j in range(3)]), np.array(covariances))
 
 
-def _fixed_ctes(split: bool = False, d: int = 64) -> str:
+def _fixed_ctes(split: bool = False, d: int = FIXED_DIM) -> str:
     """The fixed mixture; ``split``: its last component halved along its principal axis, which is
     the diagonal of the space, as far as a half of a normal distribution has its mean."""
     rows = [(j, w, own, common, j, "0") for j, (w, own, common) in enumerate(zip(FIXED_WEIGHTS, FIXED_OWN, FIXED_COMMON, strict=True))]
@@ -268,13 +270,13 @@ def _step(spark, sf_dir, model: mixture.MixtureModel):
 @register("gmm_step", _step_sql)
 def q_gmm_step(spark, sf_dir):
     """One full-covariance EM step over all vectors and components from fixed parameters."""
-    return _step(spark, sf_dir, _fixed_model())
+    return _step(spark, sf_dir, _fixed_model(FIXED_DIM))
 
 
 @register("gmm_split", lambda: _step_sql(split=True))
 def q_gmm_split(spark, sf_dir):
     """A component split in two, as a mixture gets another one, and one EM step of all."""
-    return _step(spark, sf_dir, mixture.split_once(_fixed_model(), at=2))
+    return _step(spark, sf_dir, mixture.split_once(_fixed_model(FIXED_DIM), at=2))
 
 
 @register("gmm_search", lambda: f"""WITH {_fixed_ctes()},
@@ -287,7 +289,7 @@ SELECT query_id, rank::BIGINT AS rank, vec_id, round(score, 6) AS score
 FROM {sq.ranked('s', K, ids='vec_id')}""")
 def q_gmm_search(spark, sf_dir):
     """Search in one explicitly given cluster of a full-covariance assignment."""
-    x = mixture.assign(load(spark, sf_dir, "embeddings"), _fixed_model()).where(F.col("cluster") == FIXED_CLUSTER)
+    x = mixture.assign(load(spark, sf_dir, "embeddings"), _fixed_model(FIXED_DIM)).where(F.col("cluster") == FIXED_CLUSTER)
     return _hits(dense.dense_search(x, _every_twentieth(spark, sf_dir), k=K, id_col="vec_id"))
 
 
