@@ -41,11 +41,11 @@ def order_key(ids: pa.Array) -> np.ndarray:
     return np.array(ids.cast(pa.string()).to_pylist(), dtype=str)
 
 
-def best_k(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_k(ids: np.ndarray, scores: np.ndarray, k: int, decimals: int = TIE_DECIMALS) -> tuple[np.ndarray, np.ndarray]:
     """Row-wise best k of ``scores`` (Q, n) with ``ids`` (Q, n): by rounded score,
     then smaller id.  -inf marks what is not a candidate."""
     if scores.shape[1] > 4 * k:
-        rounded = np.round(scores, TIE_DECIMALS)
+        rounded = np.round(scores, decimals)
         kth = -np.partition(-rounded, k - 1, axis=1)[:, k - 1:k]
         keep = (rounded >= kth) & np.isfinite(scores)  # all ties with the k-th stay
         width = max(1, int(keep.sum(axis=1).max()))
@@ -53,7 +53,7 @@ def best_k(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.
         ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(np.where(keep, scores, -np.inf), at, 1)
     at = np.argsort(ids, axis=1, kind="stable")
     ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
-    at = np.argsort(-np.round(scores, TIE_DECIMALS), axis=1, kind="stable")[:, :k]
+    at = np.argsort(-np.round(scores, decimals), axis=1, kind="stable")[:, :k]
     return np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
 
 
@@ -92,7 +92,7 @@ def _blocks(shipment: pa.Table, query_rows: int, by_group: bool) -> dict:
 
 
 def _score(sent, prepare: Callable, score: Callable, k: int, out: pa.Schema, pack_rows: int, query_rows: int, match_group: bool,
-           per_group: bool):
+           per_group: bool, decimals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shipment = pa.ipc.open_stream(sent.value).read_all()
         blocks = _blocks(shipment, query_rows, match_group)
@@ -121,7 +121,7 @@ def _score(sent, prepare: Callable, score: Callable, k: int, out: pa.Schema, pac
                         ids, s = np.concatenate([best_ids, ids], axis=1), np.concatenate([best, s], axis=1)
                     elif per_group and len(open_) >= OPEN_BLOCKS:
                         yield close(next(iter(open_)))
-                    open_[key] = (queries.field("query_id"), *best_k(ids, s, k))
+                    open_[key] = (queries.field("query_id"), *best_k(ids, s, k, decimals))
         for key in list(open_):
             yield close(key)
 
@@ -141,7 +141,7 @@ def _shipments(queries: DataFrame, n_queries: int, row_bytes: int) -> Iterator[p
 
 def block_top_k(docs: DataFrame, queries: DataFrame, prepare: Callable, score: Callable, k: int, n_queries: int,
                 match_group: bool = False, per_group: bool = False, query_rows: int = QUERY_ROWS,
-                pack_rows: int = PACK_ROWS, row_bytes: int = 1024) -> DataFrame:
+                pack_rows: int = PACK_ROWS, row_bytes: int = 1024, decimals: int = TIE_DECIMALS) -> DataFrame:
     """(query_id, [grp,] rank, doc_id, score).
 
     ``docs``: id, [grp,] payload; ``queries``: query_id, [grp,] payload.  With
@@ -150,7 +150,8 @@ def block_top_k(docs: DataFrame, queries: DataFrame, prepare: Callable, score: C
     group is ranked apart.  ``prepare(queries)`` sees a block as an Arrow struct
     array, ``score(prepared, docs)`` returns the (queries x documents) scores
     with -inf where a document is no candidate.  ``n_queries`` rows of about
-    ``row_bytes`` decide how many shipments there are.
+    ``row_bytes`` decide how many shipments there are.  Scores that agree to
+    ``decimals`` places are equal, and ordered by id.
     """
     spark = docs.sparkSession
     fields = {f.name: f for f in docs.schema.fields}
@@ -163,9 +164,10 @@ def block_top_k(docs: DataFrame, queries: DataFrame, prepare: Callable, score: C
         with pa.ipc.new_stream(sink, shipment.schema) as writer:
             writer.write_table(shipment)
         sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        found.append(docs.mapInArrow(_score(sent, prepare, score, k, to_arrow_schema(result), pack_rows, query_rows, match_group, per_group),
+        found.append(docs.mapInArrow(_score(sent, prepare, score, k, to_arrow_schema(result), pack_rows, query_rows, match_group, per_group,
+                                            decimals),
                                      result))
     hits = reduce(DataFrame.unionByName, found)
     by = ["query_id", "grp"] if per_group else ["query_id"]
-    w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", TIE_DECIMALS)), "doc_id")
+    w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", decimals)), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "rank", "doc_id", "score")

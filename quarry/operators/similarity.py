@@ -28,14 +28,24 @@ positional bound of the first shared token before verification.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import text as tx
+from quarry.operators import lexical
+from quarry.operators.blocks import block_top_k, order_key
+from quarry.operators.slices import ELEMENTS, slices
 from quarry.session import materialize
 
 METHODS = ("cosine", "jaccard", "levenshtein")
+# So many of the most frequent tokens, with their counts, go to every task.
+FREQUENT = 1 << 19
 PAD_LEFT, PAD_RIGHT = "\u0001", "\u0002"
 
 
@@ -114,6 +124,11 @@ def duplicate_groups(df: DataFrame, method: str = "jaccard", id_col: str = "id",
             .select("rep_id", F.col("id").alias("member_id")))
 
 
+def gram_size(t: float) -> int:
+    """Longer q-grams are rarer, but an edit spoils q of them: the higher the threshold, the longer they may be."""
+    return 4 if t >= 0.85 else 2 if t >= 0.5 else 1
+
+
 def _edit_tokens(rec: DataFrame, q: int) -> DataFrame:
     """(id, n, token) with padded q-grams numbered by occurrence."""
     if q == 1:
@@ -125,15 +140,55 @@ def _edit_tokens(rec: DataFrame, q: int) -> DataFrame:
         rec = staged
     ex = rec.select("id", "n", F.posexplode_outer(grams).alias("pos", "gram")).where(F.col("gram").isNotNull())
     occ = F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))
-    return ex.select("id", "n", F.concat("gram", F.lit("#"), occ.cast("string")).alias("token"))
+    return ex.select("id", "n", F.xxhash64("gram", occ).alias("token"))
+
+
+def _set_prefixes(sides: DataFrame, t: float) -> DataFrame:
+    """``_prefix`` of token sets, in place: (side, id, n, token, _r, _before).
+
+    Tokens are hashes.  Two tokens with one hash only add candidates: a record keeps as many
+    as it has tokens, and pairs are verified by the tokens.  Any order that all records share
+    is good for prefixes; here the ``FREQUENT`` most frequent tokens come last, by frequency,
+    and all others before them, by hash.  So the tasks get a bounded table, and tokens are
+    neither joined nor sorted across tasks."""
+    hashed = sides.select("side", "id", "n", F.transform("toks", lambda w: F.xxhash64(w)).alias("h"))
+    counts = hashed.select(F.explode("h").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a bounded number of pairs of numbers
+    top = counts.where("df > 1").orderBy(F.desc("df"), "token").limit(FREQUENT).toArrow()
+    tokens, dfs = (top.column(c).to_numpy().astype(np.int64) for c in ("token", "df"))
+    order = np.argsort(tokens)
+    sent = sides.sparkSession.sparkContext.broadcast((tokens[order], dfs[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frequency = sent.value
+        for batch in (part for b in batches for part in slices(b, "h", ELEMENTS)):
+            flat = batch.column("h").flatten().to_numpy()
+            if not len(flat):
+                continue
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            df = np.where(known[at] == flat, frequency[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+            n = np.asarray(pc.list_value_length(batch.column("h"))).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            flat = flat[np.lexsort((flat, df, row))]
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1
+            # a partner reaching t may miss at most n - ceil(t*n) of this record's tokens
+            keep = np.flatnonzero(rank <= (n - np.ceil(n * t - 1e-9).astype(np.int64) + 1)[row])
+            of = pa.array(row[keep])
+            before = pa.array(flat[keep - 1], mask=rank[keep] == 1)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(of) for c in ("side", "id", "n")), pa.array(flat[keep]), pa.array(rank[keep].astype(np.int32)), before],
+                ["side", "id", "n", "token", "_r", "_before"])
+
+    return hashed.mapInArrow(run, T.StructType([*(hashed.schema[c] for c in ("side", "id", "n")), T.StructField("token", T.LongType()),
+                                                T.StructField("_r", T.IntegerType()), T.StructField("_before", T.LongType())]))
 
 
 def _prefix(tokens: DataFrame, df: DataFrame, prefix_len: Column) -> DataFrame:
     """Keep each record's first ``prefix_len`` tokens in rarest-first order."""
     ranked = tokens.join(df, "token")
     w = Window.partitionBy("side", "id").orderBy("df", "token")
-    return (ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= prefix_len)
-            .select("side", "id", "n", "token", "_r"))
+    return (ranked.withColumn("_r", F.row_number().over(w)).withColumn("_before", F.lag("token").over(w))
+            .where(F.col("_r") <= prefix_len).select("side", "id", "n", "token", "_r", "_before"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard",
@@ -166,53 +221,60 @@ def similarity_join(left: DataFrame, right: DataFrame | None = None, method: str
     t = float(threshold)
 
     if method == "levenshtein":
-        q = 2 if t >= 0.5 else 1
+        q = gram_size(t)
         ltok = _edit_tokens(lrec, q)
         rtok = ltok if self_join else _edit_tokens(rrec, q)
         # largest distance any partner may have: tau <= (1-t)/t * n
         tau = F.floor(F.col("n") * ((1 - t) / t)).cast("long")
         size = F.col("n") + (q - 1) if q > 1 else F.col("n") + 1
         prefix_len = F.least(size, q * tau + 1)
+        sides = ltok.withColumn("side", F.lit(0)) if self_join else ltok.withColumn("side", F.lit(0)).unionByName(
+            rtok.withColumn("side", F.lit(1)))
+        df = sides.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        pre = _prefix(sides, df, prefix_len)
     else:
-        ltok = lrec.select("id", "n", F.explode_outer("toks").alias("token")).where(F.col("token").isNotNull())
-        rtok = ltok if self_join else rrec.select("id", "n", F.explode_outer("toks").alias("token")).where(
-            F.col("token").isNotNull())
-        # a partner reaching t may miss at most n - ceil(t*n) of this record's tokens
-        prefix_len = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
-
-    sides = ltok.withColumn("side", F.lit(0)) if self_join else ltok.withColumn("side", F.lit(0)).unionByName(
-        rtok.withColumn("side", F.lit(1)))
-    df = sides.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        sides = lrec.withColumn("side", F.lit(0))
+        pre = _set_prefixes(sides if self_join else sides.unionByName(rrec.withColumn("side", F.lit(1))), t)
     # prefixes feed both sides of the candidate join: computed once
-    pre = materialize(_prefix(sides, df, prefix_len), "prefixes")
-    a = pre.where(F.col("side") == 0).select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token",
-                                             F.col("_r").alias("lr"))
-    b = (a if self_join else pre.where(F.col("side") == 1).select(
-        F.col("id").alias("lid"), F.col("n").alias("ln"), "token", F.col("_r").alias("lr"))).select(
-        F.col("lid").alias("rid"), F.col("ln").alias("rn"), "token", F.col("lr").alias("rr"))
+    pre = materialize(pre, "prefixes")
+    a = pre.where(F.col("side") == 0).select(F.col("id").alias("lid"), F.col("n").alias("ln"), "token", F.col("_r").alias("lr"),
+                                             F.col("_before").alias("lb"))
+    b = pre.where(F.col("side") == (0 if self_join else 1)).select(
+        F.col("id").alias("rid"), F.col("n").alias("rn"), "token", F.col("_r").alias("rr"), F.col("_before").alias("rb"))
     # qualifying sizes are within a factor t, so they lie in the same or in
     # neighbouring bands of a logarithmic scale: the band splits a common token
     width = math.log(1 / t) * 1.0001 + 1e-9
     a = a.withColumn("band", F.floor(F.log(F.greatest("ln", F.lit(1))) / width))
     own = F.floor(F.log(F.greatest("rn", F.lit(1))) / width)
-    b = b.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+    if self_join:
+        # each pair meets once, the larger record (then the larger id) on the left; a smaller
+        # record of a qualifying set pair shares 2t/(1+t) of its own tokens at least
+        if method != "levenshtein":
+            b = b.where(F.col("rr") <= F.col("rn") - F.ceil(F.col("rn") * (2 * t / (1 + t)) - 1e-9) + 1)
+        b = b.withColumn("band", F.explode(F.array(own, own + 1)))
+    else:
+        b = b.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
     cand = a.join(b, ["token", "band"])
     if self_join:
-        cand = cand.where(F.col("lid") < F.col("rid"))
+        cand = cand.where((F.col("ln") > F.col("rn")) | ((F.col("ln") == F.col("rn")) & (F.col("lid") > F.col("rid"))))
     # length filter (exact): sizes of a qualifying pair are within a factor t
     cand = cand.where((F.col("ln") >= F.col("rn") * t - 1e-9) & (F.col("rn") >= F.col("ln") * t - 1e-9))
-    if method == "levenshtein":
-        pairs = cand.select("lid", "rid").distinct()
-    else:
+    # a pair that shares the tokens just before this one has met there: of a run of shared
+    # tokens only the first goes on
+    cand = cand.where(~F.coalesce(F.col("lb") == F.col("rb"), F.lit(False)))
+    if method != "levenshtein":
         # positional filter (exact): both records list tokens in the same global
         # order, so after their first shared token at ranks (lr, rr) at most
         # 1 + min(ln - lr, rn - rr) tokens can be shared; Jaccard >= t needs
-        # an overlap of t / (1 + t) * (ln + rn)
-        firsts = cand.groupBy("lid", "rid").agg(
-            F.min(F.struct("lr", "rr")).alias("_f"), F.first("ln").alias("ln"), F.first("rn").alias("rn"))
-        bound = 1 + F.least(F.col("ln") - F.col("_f.lr"), F.col("rn") - F.col("_f.rr"))
-        need = (F.col("ln") + F.col("rn")) * (t / (1 + t))
-        pairs = firsts.where(bound >= need - 1e-9).select("lid", "rid")
+        # an overlap of t / (1 + t) * (ln + rn).  A qualifying pair passes at its
+        # first token, so rows are dropped before anything is shuffled
+        bound = 1 + F.least(F.col("ln") - F.col("lr"), F.col("rn") - F.col("rr"))
+        cand = cand.where(bound >= (F.col("ln") + F.col("rn")) * (t / (1 + t)) - 1e-9)
+    lid, rid = F.col("lid"), F.col("rid")
+    if self_join:  # reported with the smaller id on the left
+        lid, rid = F.least(lid, rid), F.greatest(lid, rid)
+    # staged, so that few pairs are sent to the records instead of all records to the pairs
+    pairs = materialize(cand.select(lid.alias("lid"), rid.alias("rid")).distinct(), "pairs")
 
     # verification needs only the token sets (or, for edit distance, the text)
     payload = "text" if method == "levenshtein" else "toks"
@@ -243,6 +305,10 @@ FIRST_BOUND = 0.6
 FALL = 0.5
 # Below this a record's prefix is all of it: every partner that shares a token is a candidate.
 LEAST_BOUND = 0.02
+# Up to so many left token sets are sent to the right records.
+SHIPPED_RECORDS = 2048
+# Different shares of tokens differ within so many places, equal ones do not.
+EXACT_DECIMALS = 15
 
 
 def _needed(n: Column, t: Column, method: str) -> Column:
@@ -258,14 +324,44 @@ def _ranked_tokens(rec: DataFrame, side: int, method: str) -> DataFrame:
     return tokens.withColumn("side", F.lit(side))
 
 
-def similarity_top_k(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard", k: int = 5, left_id: str = "id",
-                     left_text: str = "text", right_id: str | None = None, right_text: str | None = None) -> DataFrame:
-    """The ``k`` most similar right records of every left record, without a threshold:
-    (left_id, rank, right_id, similarity, left_copies, right_copies).
+def _overlaps(rows: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """Token sets as terms of weight 1, and their sizes."""
+    sizes, flat = np.asarray(pc.list_value_length(rows.field("terms"))).astype(np.int64), rows.field("terms").flatten()
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(at, pa.array(np.ones(len(flat))))]
+    return pa.StructArray.from_arrays(lists, ["terms", "weights"]), sizes
+
+
+def _shipped_top_k(lrec: DataFrame, rrec: DataFrame, k: int, self_join: bool) -> DataFrame:
+    """(lid, rid, rank, similarity) of few left sets: they go to the right records, which stay
+    where they are, and the tokens that two sets share are counted there."""
+    shared = lexical._scorer(True)
+
+    def prepare(rows: pa.Array):
+        sets, sizes = _overlaps(rows)
+        flat = sets.field("terms").flatten()
+        names = flat.unique()
+        at = np.asarray(pc.index_in(flat, value_set=names)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))]).astype(np.int64)
+        query = np.repeat(np.arange(len(rows)), sizes)[order]
+        return (len(rows), names, starts, query, np.ones(len(query))), sizes, order_key(rows.field("query_id"))
+
+    def score(ready, docs: pa.Array) -> np.ndarray:
+        known, n, ids = ready
+        sets, m = _overlaps(docs)
+        both = shared(known, sets)
+        s = np.where(both > 0, both / np.maximum(n[:, None] + m - both, 1), -np.inf)
+        return np.where(ids[:, None] == order_key(docs.field("id")), -np.inf, s) if self_join else s
+
+    q = lrec.select(F.col("id").alias("query_id"), F.col("toks").alias("terms"))
+    docs = rrec.select("id", F.col("toks").alias("terms"))
+    hits = block_top_k(docs, q, prepare, score, k, pack_rows=lexical.PACK_ROWS, decimals=EXACT_DECIMALS, **lexical._size(q))
+    return hits.select(F.col("query_id").alias("lid"), F.col("doc_id").alias("rid"), "rank", F.col("score").alias("similarity"))
 
-    Records are representatives of their copies, as in ``similarity_join``; with
-    ``right=None`` a record's own group is no partner.  Partners of similarity 0 are none;
-    equal similarities go by id.
+
+def _prefix_top_k(lrec: DataFrame, rrec: DataFrame, method: str, k: int, self_join: bool) -> DataFrame:
+    """(lid, rid, rank, similarity) in rounds of growing prefixes.
 
     Every left record has a bound under which partners may be unseen.  A round joins
     prefixes as long as the record's bound asks for and verifies what meets; the bound then
@@ -274,14 +370,6 @@ def similarity_top_k(left: DataFrame, right: DataFrame | None = None, method: st
     reaches the bound of its last round, so only records without near partners go on to
     frequent tokens.
     """
-    if method not in METHODS:
-        raise ValueError(f"no similarity called {method!r}; choose one of {', '.join(METHODS)}")
-    if k < 1:
-        raise ValueError("k must be 1 or more")
-    self_join = right is None
-    lrec = materialize(_representatives(_keys(left, left_id, left_text, method), method), "records")
-    rrec = lrec if self_join else materialize(_representatives(
-        _keys(right, right_id or left_id, right_text or left_text, method), method), "records")
     both = _ranked_tokens(lrec, 0, method).unionByName(_ranked_tokens(rrec, 1, method))
     df = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("side", "id").orderBy("df", "token")
@@ -322,6 +410,31 @@ def similarity_top_k(left: DataFrame, right: DataFrame | None = None, method: st
         active = (active.join(kth, "lid", "left").where((t > 0) & (F.col("kth").isNull() | (F.col("kth") < t - 1e-12)))
                   .withColumn("fallen", t * FALL)
                   .select("lid", F.coalesce("kth", F.when(F.col("fallen") < LEAST_BOUND, F.lit(0.0)).otherwise(F.col("fallen"))).alias("t")))
+    return found
+
+
+def similarity_top_k(left: DataFrame, right: DataFrame | None = None, method: str = "jaccard", k: int = 5, left_id: str = "id",
+                     left_text: str = "text", right_id: str | None = None, right_text: str | None = None) -> DataFrame:
+    """The ``k`` most similar right records of every left record, without a threshold:
+    (left_id, rank, right_id, similarity, left_copies, right_copies).
+
+    Records are representatives of their copies, as in ``similarity_join``; with
+    ``right=None`` a record's own group is no partner.  Partners of similarity 0 are none;
+    equal similarities go by id.
+    """
+    if method not in METHODS:
+        raise ValueError(f"no similarity called {method!r}; choose one of {', '.join(METHODS)}")
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    self_join = right is None
+    lrec = materialize(_representatives(_keys(left, left_id, left_text, method), method), "records")
+    rrec = lrec if self_join else materialize(_representatives(
+        _keys(right, right_id or left_id, right_text or left_text, method), method), "records")
+    # a few left sets are sent to the right records; more, and texts, go through prefixes
+    if method != "levenshtein" and len(lrec.select("id").limit(SHIPPED_RECORDS + 1).collect()) <= SHIPPED_RECORDS:
+        found = _shipped_top_k(lrec, rrec, k, self_join)
+    else:
+        found = _prefix_top_k(lrec, rrec, method, k, self_join)
     copies = [rec.select(F.col("id").alias(c), F.col("copies").cast("long").alias(name)) for rec, c, name in
               ((lrec, "lid", "left_copies"), (rrec, "rid", "right_copies"))]
     return (found.join(copies[0], "lid").join(copies[1], "rid")
