@@ -46,6 +46,8 @@ BUCKETS = 64
 SHIP_QUERIES = 256
 SHIP_TERMS = 1 << 14
 SEED_SEGMENTS = 2
+# Segments whose blocks of one bucket go to the same file.
+RUN_SEGMENTS = 256
 # Cells of a (segments x terms) matrix of maxima.
 CELLS = 1 << 22
 # A shipment of up to so many terms is also pushed to the scan by value.
@@ -118,18 +120,21 @@ def _segment_blocks(table: pa.Table) -> pa.Table:
 def write_delta(docs: DataFrame, root: str, delta: str, buckets: int = BUCKETS, segment_docs: int = SEGMENT_DOCS) -> None:
     """Write the tables of a delta from ``docs`` (doc_id, terms, values, n_words); the ids
     must be unique and not null."""
-    numbered = consecutive_numbers(docs.select("doc_id", "terms", "values", "n_words"), ["doc_id"], "doc_no")
+    # the ids are numbered alone, so the terms are dealt out once
+    numbers = consecutive_numbers(docs.select("doc_id"), ["doc_id"], "doc_no")
+    numbered = docs.select("doc_id", "terms", "values", "n_words").join(numbers, "doc_id")
     numbered = numbered.withColumn("segment", F.floor(F.col("doc_no") / segment_docs).cast("long"))
-    numbered.drop("segment").write.parquet(os.path.join(root, "docs", f"delta={delta}"))
+    numbered.select("doc_id", "terms", "values", "n_words", "doc_no").write.parquet(os.path.join(root, "docs", f"delta={delta}"))
     numbered = docs.sparkSession.read.parquet(os.path.join(root, "docs", f"delta={delta}")).withColumn(
         "segment", F.floor(F.col("doc_no") / segment_docs).cast("long"))
     place = (F.col("doc_no") - F.col("segment") * segment_docs).cast("int")
     rows = numbered.select("segment", "doc_no", place.alias("place"), "n_words", "terms", "values")
-    blocks = materialize(rows.groupBy("segment").applyInArrow(
-        _segment_blocks, "term string, segment long, n long, top double, low long, gaps array<int>, values array<double>"), "blocks")
+    blocks = rows.groupBy("segment").applyInArrow(
+        _segment_blocks, "term string, segment long, n long, top double, low long, gaps array<int>, values array<double>")
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # even parts, each of few buckets, sorted so that a scan can skip by term
-    (blocks.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
+    # by bucket and, as a term has a row per segment, by runs of segments; sorted so that a scan
+    # can skip by term.  The keys need no sample, so the blocks are made once and not staged
+    (blocks.repartition("bucket", F.floor(F.col("segment") / RUN_SEGMENTS)).sortWithinPartitions("bucket", "term", "segment")
      .write.partitionBy("bucket").parquet(os.path.join(root, "blocks", f"delta={delta}")))
     whole = numbered.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("doc_no", "doc_id", "n_words"))).alias("d"))
     whole.select("segment", F.col("d.doc_id").alias("ids"), F.col("d.n_words").alias("words")).write.parquet(
