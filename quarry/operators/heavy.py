@@ -21,16 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.lexical import SHIPPED_TERMS, term_totals
+from quarry.operators.slices import ELEMENTS, parts
 from quarry.session import materialize
 
 CAPACITY = 100_000
+# Counted slices wait until they hold this many times the capacity: the fewer cuts, the smaller
+# the error; what a task holds is bounded all the same.
+WAITING = 4
 
 
-def _counted(batch: pa.RecordBatch) -> pa.Table:
-    pairs = pa.table({"term": batch.column("terms").flatten(), "low": batch.column("tfs").flatten()})
+def _summed(pairs: pa.Table) -> pa.Table:
     return pairs.group_by("term", use_threads=False).aggregate([("low", "sum")]).rename_columns(["term", "low"])
 
 
+def _counted(batch: pa.RecordBatch) -> pa.Table:
+    return _summed(pa.table({"term": batch.column("terms").flatten(), "low": batch.column("tfs").flatten()}))
+
+
 def cut(held: pa.Table, capacity: int) -> tuple[pa.Table, int]:
     """At most ``capacity`` counters, and by how much all were lowered for it."""
     if held.num_rows <= capacity:
@@ -45,15 +52,21 @@ def cut(held: pa.Table, capacity: int) -> tuple[pa.Table, int]:
 def _summaries(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, error = pa.table({"term": pa.array([], pa.string()), "low": pa.array([], pa.int64())}), 0
-        for batch in batches:
-            held = pa.concat_tables([held, _counted(batch)]).group_by("term", use_threads=False).aggregate([("low", "sum")]).rename_columns(["term", "low"])
-            if held.num_rows > 2 * capacity:
-                held, lowered = cut(held, capacity)
-                error += lowered
+        waiting: list[pa.Table] = []
+        for batch in parts(batches, "terms", ELEMENTS):
+            waiting.append(_counted(batch))
+            if sum(t.num_rows for t in waiting) > WAITING * capacity:
+                held, waiting = _summed(pa.concat_tables([held, *waiting])), []
+                if held.num_rows > 2 * capacity:
+                    held, lowered = cut(held, capacity)
+                    error += lowered
+        held = _summed(pa.concat_tables([held, *waiting]))
         held, lowered = cut(held, capacity)
         yield from held.combine_chunks().to_batches()
         # the row without a term is the task's error
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([error + lowered], pa.int64())], ["term", "low"])
+        del held
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -64,7 +77,7 @@ def _counted_exactly(lists: DataFrame, terms: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(sent.value, pa.string())
-        for batch in batches:
+        for batch in parts(batches, "terms", ELEMENTS):
             term = batch.column("terms").flatten()
             known = pc.is_valid(pc.index_in(term, value_set=names))
             pairs = pa.table({"term": term.filter(known), "tf": batch.column("tfs").flatten().filter(known)})

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from quarry.functions import stopwords
 from quarry.operators import postings
 from quarry.operators.blocks import block_top_k
-from quarry.operators.slices import ELEMENTS, TEXT_BYTES, slices
+from quarry.operators.slices import ELEMENTS, TEXT_BYTES, parts
 from quarry.session import materialize
 
 MAX_FEATURES = 10000
@@ -53,7 +53,7 @@ def term_lists(df: DataFrame, id_col: str, text_col: str, stop_words: list[str],
     stop = frozenset(stop_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b, "_text", TEXT_BYTES)):
+        for batch in parts(batches, "_text", TEXT_BYTES):
             terms, tfs, sizes, n_words = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 words = [w for w in _TOKEN.findall(text.lower()) if w not in stop] if text else []
@@ -78,16 +78,9 @@ def term_lists(df: DataFrame, id_col: str, text_col: str, stop_words: list[str],
 
 
 def term_totals(lists: DataFrame) -> DataFrame:
-    """(term, df, cf): each slice of a batch is summed where it lies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b, "terms", 2 * ELEMENTS)):
-            pairs = pa.table({"term": batch.column("terms").flatten(), "tf": batch.column("tfs").flatten()})
-            sums = pairs.group_by("term", use_threads=False).aggregate([("tf", "count"), ("tf", "sum")])
-            yield from sums.select(["term", "tf_count", "tf_sum"]).rename_columns(["term", "df", "cf"]).to_batches()
-
-    part = lists.select("terms", "tfs").mapInArrow(run, "term string, df long, cf long")
-    return part.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    """(term, df, cf) of all terms: no Python worker holds any."""
+    pairs = lists.select(F.inline(F.arrays_zip("terms", "tfs"))).toDF("term", "tf")
+    return pairs.groupBy("term").agg(F.count("tf").alias("df"), F.sum("tf").alias("cf"))
 
 
 @dataclass
@@ -117,7 +110,7 @@ def _weighted(lists: DataFrame, index_vocab: DataFrame, max_features: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, idf = pa.array(shipped.value[0], pa.string()), shipped.value[1]
-        for batch in (part for b in batches for part in slices(b, "terms", ELEMENTS)):
+        for batch in parts(batches, "terms", ELEMENTS):
             terms = batch.column("terms").flatten()
             at = pc.index_in(terms, value_set=names)
             known = np.asarray(at.is_valid())
@@ -162,8 +155,13 @@ def weighted_terms(totals: DataFrame, n_docs: int, max_features: int | None) ->
 def _counted(corpus: DataFrame, id_col: str, text_col: str, max_features: int | None, stop: list[str], ngram_max: int,
              keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     docs = corpus.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    from quarry.operators.heavy import heavy_terms
+
     lists = materialize(term_lists(docs, "doc_id", "text", stop, ngram_max, keep), "terms")
-    return lists, weighted_terms(term_totals(lists), lists.count(), max_features)
+    # a bounded vocabulary does not shuffle all distinct terms
+    bounded = max_features is not None and max_features <= SHIPPED_TERMS
+    totals = heavy_terms(lists, max_features) if bounded else term_totals(lists)
+    return lists, weighted_terms(totals, lists.count(), max_features)
 
 
 def vocabulary(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_features: int | None = MAX_FEATURES,

@@ -34,6 +34,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         lo = hi
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``slices`` of all batches.  Arrow's pool keeps what is freed; it goes back to the system after
+    every batch, so that a worker that waits for its next task does not hold its largest batch."""
+    for batch in batches:
+        yield from slices(batch, column, most)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def series_slices(batches: Iterator[pd.Series], most: int) -> Iterator[pd.Series]:
     """``slices`` for the batches of a pandas function, by the lengths of their texts or lists."""
     for values in batches:
