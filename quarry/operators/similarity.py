@@ -33,7 +33,6 @@ positional bound of the first shared token before verification.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +55,10 @@ FREQUENT = 1 << 19
 GROUP_PAIRS = 1 << 20
 # Bytes of groups that a task works on at once, if no group is larger.
 GROUP_BYTES = 1 << 24
+# So many records with a token, at most, are a group; more are dealt to groups by two.
+GROUP_RECORDS = 1 << 14
+# Pairs that are filtered at once.
+MET_PAIRS = 1 << 19
 # So many keys, at most, tell the records whose tokens are wanted again (a power of two).
 SIEVE = 1 << 20
 PAD_LEFT, PAD_RIGHT = "\u0001", "\u0002"
@@ -258,6 +261,44 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.T
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
+def _dealt(tokens: np.ndarray, df: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, part): records with a frequent token are dealt to parts by their seeds, and each
+    two parts meet; ``part`` is 0 but in a group of two parts."""
+    cuts = -(-np.maximum(df, 1) // GROUP_RECORDS)
+    part = (_spread(seeds.view(np.uint64)) % cuts.astype(np.uint64)).astype(np.int64)
+    again, other = np.repeat(np.arange(len(cuts)), cuts), _within(cuts)
+    part, cuts = part[again], cuts[again]
+    least, most = np.minimum(part, other), np.maximum(part, other)
+    group = _spread(tokens[again].view(np.uint64) + (least * cuts + most).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return again, group.view(np.int64), np.where(least < most, part + 1, 0).astype(np.int32)
+
+
+def _meeting(group: np.ndarray, part: np.ndarray, side: np.ndarray, n: np.ndarray, last: np.ndarray, t: float,
+             self_join: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that may be near by their lengths; rows are sorted by group and length.
+
+    A pair that shares the token just before this one (``last``) has met there."""
+    number = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
+    key = number * (1 << 32) + n
+    lefts, rights = (np.arange(len(n)),) * 2 if self_join else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    lo = np.searchsorted(key[rights], number[lefts] * (1 << 32) + np.ceil(n[lefts] * t - 1e-9).astype(np.int64))
+    hi = lefts if self_join else np.searchsorted(key[rights], number[lefts] * (1 << 32) + np.floor(n[lefts] / t + 1e-9).astype(np.int64), side="right")
+    ends = np.cumsum(hi - lo)
+    at = 0
+    while at < len(lefts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET_PAIRS, side="right")))
+        sizes = (hi - lo)[at:to]
+        left, right = np.repeat(lefts[at:to], sizes), rights[np.repeat(lo[at:to], sizes) + _within(sizes)]
+        keep = np.flatnonzero(np.repeat(last[lefts[at:to]], sizes) != last[right])
+        left, right = left[keep], right[keep]
+        # where a token's records are dealt to parts, records of one part meet in that part alone
+        if part[left].any():
+            keep = (part[left] != part[right]) | (part[left] == 0)
+            left, right = left[keep], right[keep]
+        yield left, right
+        at = to
+
+
 # --- token sets ---------------------------------------------------------------------------
 
 
@@ -317,47 +358,61 @@ def _differing_bits(a: Column, b: Column) -> Column:
             .when(F.size(b) == 2 * F.size(a), count(a, folded(b))).otherwise(0))
 
 
-def _set_candidates(lrec: DataFrame, rrec: DataFrame, t: float, self_join: bool) -> DataFrame:
-    """(lid, rid, group): pairs that may reach ``t``, and a token that both have."""
-    def postings(rec, i, n, r, before):
-        # a pair that shares the tokens just before this one has met there
-        last = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))))
-        rows = rec.where(F.size("tokens") > 0).select(F.col("id").alias(i), F.col("n").alias(n),
-                                                      F.inline(F.arrays_zip("tokens", "ranks", last.alias("before"))))
-        return rows.toDF(i, n, "token", r, before)
-
-    a, b = postings(lrec, "lid", "ln", "lr", "lb"), postings(rrec, "rid", "rn", "rr", "rb")
-    # qualifying sizes are within a factor t, so they lie in the same or in
-    # neighbouring bands of a logarithmic scale: the band splits a common token
-    width = math.log(1 / t) * 1.0001 + 1e-9
-    a = a.withColumn("band", F.floor(F.log(F.greatest("ln", F.lit(1))) / width))
-    own = F.floor(F.log(F.greatest("rn", F.lit(1))) / width)
-    if self_join:
-        # each pair meets once, the larger record (then the larger id) on the left; a smaller
-        # record of a qualifying set pair shares 2t/(1+t) of its own tokens at least
-        b = b.where(F.col("rr") <= F.col("rn") - F.ceil(F.col("rn") * (2 * t / (1 + t)) - 1e-9) + 1)
-        b = b.withColumn("band", F.explode(F.array(own, own + 1)))
-    else:
-        b = b.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
-    cand = a.join(b, ["token", "band"])
-    if self_join:
-        cand = cand.where((F.col("ln") > F.col("rn")) | ((F.col("ln") == F.col("rn")) & (F.col("lid") > F.col("rid"))))
-        cand = cand.where(F.col("lid") != F.col("rid"))
-    # length filter (exact): sizes of a qualifying pair are within a factor t
-    cand = cand.where((F.col("ln") >= F.col("rn") * t - 1e-9) & (F.col("rn") >= F.col("ln") * t - 1e-9))
-    # of a run of shared tokens only the first goes on
-    cand = cand.where(~F.coalesce(F.col("lb") == F.col("rb"), F.lit(False)))
-    # positional filter (exact): both records list tokens in the same global
-    # order, so after their first shared token at ranks (lr, rr) at most
-    # 1 + min(ln - lr, rn - rr) tokens can be shared; Jaccard >= t needs
-    # an overlap of t / (1 + t) * (ln + rn).  A qualifying pair passes at its
-    # first token, so rows are dropped before anything is shuffled
-    bound = 1 + F.least(F.col("ln") - F.col("lr"), F.col("rn") - F.col("rr"))
-    cand = cand.where(bound >= (F.col("ln") + F.col("rn")) * (t / (1 + t)) - 1e-9)
+def _set_postings(rec: DataFrame, side: int, sent) -> DataFrame:
+    """(group, part, side, id, n, r, before) for every token of a record's prefix that another
+    record may have: its rank, and such a token before it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frequency, _ = sent.value
+        for batch in parts(batches, "tokens", ELEMENTS):
+            flat, sizes = _list_tokens(batch.column("tokens"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            df = np.where(known[at] == flat, frequency[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+            again, group, part = _dealt(flat, df, batch.column("hash").to_numpy()[row])
+            before = pa.array(np.roll(flat, 1)[again], mask=(_within(sizes) == 0)[again])
+            of = pa.array(row[again])
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(part), *(batch.column(c).take(of) for c in ("side", "id", "n")),
+                                              batch.column("ranks").flatten().take(pa.array(again)), before], out.fieldNames())
+
+    rows = rec.select(F.lit(side).alias("side"), "id", "n", "tokens", "ranks", F.xxhash64("id").alias("hash"))
+    out = T.StructType([T.StructField("group", T.LongType()), T.StructField("part", T.IntegerType()), *(rows.schema[c] for c in ("side", "id", "n")),
+                        T.StructField("r", T.IntegerType()), T.StructField("before", T.LongType())])
+    return rows.mapInArrow(run, out)
+
+
+def _set_candidates(lrec: DataFrame, rrec: DataFrame, sent, t: float, self_join: bool) -> DataFrame:
+    """(lid, rid, group): pairs that may reach ``t``, and a group in which both are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, GROUP_BYTES):
+            group, part, side, n = (table.column(c).to_numpy().astype(np.int64) for c in ("group", "part", "side", "n"))
+            order = np.lexsort((n, group))
+            table = table.take(pa.array(order))
+            group, part, side, n = (x[order] for x in (group, part, side, n))
+            r, ids = table.column("r").to_numpy(), table.column("id").combine_chunks()
+            last = _last(_list(table.column("before").combine_chunks().drop_null(), np.asarray(table.column("before").is_valid()).astype(np.int64)))
+            apart = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
+            for left, right in _meeting(apart, part, side, n, last, t, self_join):
+                # positional filter (exact): both records list tokens in the same global
+                # order, so after their first shared token at their ranks r at most
+                # 1 + min(n - r) tokens can be shared; Jaccard >= t needs an overlap of
+                # t / (1 + t) * (n + n).  A qualifying pair passes at its first token, so
+                # pairs are dropped before anything is shuffled
+                bound = 1 + np.minimum(n[left] - r[left], n[right] - r[right])
+                keep = np.flatnonzero(bound >= (n[left] + n[right]) * (t / (1 + t)) - 1e-9)
+                left, right = left[keep], right[keep]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(group[left])], out.fieldNames())
+
+    rows = _set_postings(lrec, 0, sent)
+    if not self_join:
+        rows = rows.unionByName(_set_postings(rrec, 1, sent))
+    kind = rows.schema["id"].dataType
+    out = T.StructType([T.StructField("lid", kind), T.StructField("rid", kind), T.StructField("group", T.LongType())])
+    cand = rows.repartition(_tasks(rows), "group").sortWithinPartitions("group").mapInArrow(run, out)
     lid, rid = F.col("lid"), F.col("rid")
     if self_join:  # reported with the smaller id on the left
+        cand = cand.where(lid != rid)
         lid, rid = F.least(lid, rid), F.greatest(lid, rid)
-    pairs = cand.select(lid.alias("lid"), rid.alias("rid"), "token").groupBy("lid", "rid").agg(F.min("token").alias("group"))
+    pairs = cand.select(lid.alias("lid"), rid.alias("rid"), "group").groupBy("lid", "rid").agg(F.min("group").alias("group"))
     # few bytes of each record, in place of its tokens, tell most of the others
     lv = lrec.select(F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("bits").alias("lw"))
     rv = rrec.select(F.col("id").alias("rid"), F.col("n").alias("rn"), F.col("bits").alias("rw"))
@@ -451,7 +506,7 @@ def _set_join(sources: list, method: str, t: float) -> DataFrame:
         hashed = hashed.unionByName(_hashed(k).select("h"))
     sent = _known(_counted(hashed, _list_tokens, "h", 4 * ELEMENTS))
     recs = [_set_records(k, sent, t) for k in keys]
-    pairs = _set_candidates(recs[0], recs[-1], t, len(recs) == 1)
+    pairs = _set_candidates(recs[0], recs[-1], sent, t, len(recs) == 1)
     v = _verified_sets(pairs, [(*r, rec) for r, rec in zip(raw, recs)], t)
     union = F.col("ln") + F.col("rn") - F.col("shared")
     return v.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"),
@@ -463,10 +518,8 @@ def _set_join(sources: list, method: str, t: float) -> DataFrame:
 # Code points of a text that is sent to its groups, where distances are worked out: they fit a
 # byte.  Pairs with a longer text are sent to their texts.
 LONG = 127
-# So many records with a token, at most, are a group; more are dealt to groups by two.
-GROUP_RECORDS = 1 << 14
-# Pairs that are filtered at once, and pairs whose distances are worked out at once.
-MET_PAIRS, EDIT_PAIRS = 1 << 19, 1 << 15
+# Pairs whose distances are worked out at once.
+EDIT_PAIRS = 1 << 15
 HIGH, ONES = np.uint64(0x8080808080808080), np.uint64(0x0101010101010101)
 
 
@@ -486,18 +539,12 @@ def _edit_postings(rec: DataFrame, side: int, sent, t: float, q: int, texts: boo
             row, flat, df = row[keep], flat[keep], df[keep]
             counts = np.bincount(row, minlength=len(n))
             nth = _within(counts)
-            # records with a frequent token are dealt to parts; each two parts meet
-            cuts = -(-np.maximum(df, 1) // GROUP_RECORDS)
-            part = (_spread(batch.column("hash").to_numpy().view(np.uint64))[row] % cuts.astype(np.uint64)).astype(np.int64)
-            again, other = np.repeat(np.arange(len(row)), cuts), _within(cuts)
-            part, cuts = part[again], cuts[again]
-            least, most = np.minimum(part, other), np.maximum(part, other)
-            group = _spread(flat[again].view(np.uint64) + (least * cuts + most).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+            again, group, part = _dealt(flat, df, batch.column("hash").to_numpy()[row])
             of = pa.array(row[again])
             mine = (nth if texts else np.zeros_like(nth))[again]
             earlier = np.repeat((np.cumsum(counts) - counts)[row[again]], mine) + _within(mine)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group), pa.array(flat[again]), pa.array(np.where(least < most, part + 1, 0).astype(np.int32)),
+                [pa.array(group), pa.array(flat[again]), pa.array(part),
                  *(batch.column(c).take(of) for c in ("side", "id", "n", "copies")),
                  batch.column("text").take(of) if texts else pa.nulls(len(of), pa.string()), _list(pa.array(flat[earlier]), mine)], out.fieldNames())
 
@@ -507,32 +554,6 @@ def _edit_postings(rec: DataFrame, side: int, sent, t: float, q: int, texts: boo
     return rows.mapInArrow(run, out)
 
 
-def _meeting(group: np.ndarray, part: np.ndarray, side: np.ndarray, n: np.ndarray, last: np.ndarray, t: float,
-             self_join: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a group that may be near by their lengths; rows are sorted by group and length.
-
-    A pair that shares the token just before this one (``last``) has met there."""
-    number = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
-    key = number * (1 << 32) + n
-    lefts, rights = (np.arange(len(n)),) * 2 if self_join else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    lo = np.searchsorted(key[rights], number[lefts] * (1 << 32) + np.ceil(n[lefts] * t - 1e-9).astype(np.int64))
-    hi = lefts if self_join else np.searchsorted(key[rights], number[lefts] * (1 << 32) + np.floor(n[lefts] / t + 1e-9).astype(np.int64), side="right")
-    ends = np.cumsum(hi - lo)
-    at = 0
-    while at < len(lefts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET_PAIRS, side="right")))
-        sizes = (hi - lo)[at:to]
-        left, right = np.repeat(lefts[at:to], sizes), rights[np.repeat(lo[at:to], sizes) + _within(sizes)]
-        keep = np.flatnonzero(np.repeat(last[lefts[at:to]], sizes) != last[right])
-        left, right = left[keep], right[keep]
-        # where a token's records are dealt to parts, records of one part meet in that part alone
-        if part[left].any():
-            keep = (part[left] != part[right]) | (part[left] == 0)
-            left, right = left[keep], right[keep]
-        yield left, right
-        at = to
-
-
 def _last(lists: pa.Array) -> np.ndarray:
     """A number for the last token of each list; an empty list has a number of its own."""
     flat, sizes = _list_tokens(lists)
